@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, packing, urlfilter, warc
+from . import knn_quality, minhash, packing, urlfilter, warc
 from .shared import table
 
 
@@ -47,11 +47,16 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.compare_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_warc": op3_warc,
     "op6_url_filter": op6_url_filter,
     "op7_fingerprint": op7_fingerprint,
+    "op8_quality": op8_quality,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
