@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import knn_quality, minhash, packing, urlfilter, warc
+from . import knn_quality, media, minhash, packing, urlfilter, warc
 from .shared import table
 
 
@@ -23,6 +23,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(docs, tokenizer_path("word_bpe_49k.json")))
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.encode_texts(table(spark, sf_dir, "documents")))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return warc.read(spark, warc.write(warc.with_revisits(pages)))
@@ -53,6 +57,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_media": op2_media,
     "op3_warc": op3_warc,
     "op6_url_filter": op6_url_filter,
     "op7_fingerprint": op7_fingerprint,
