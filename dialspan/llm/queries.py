@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import knn_quality, media, minhash, packing, urlfilter, warc
+from . import jaccard, knn_quality, media, minhash, packing, urlfilter, warc
 from .shared import table
 
 
@@ -32,6 +32,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, warc.write(warc.with_revisits(pages)))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 #: (verdict, host, path): fixed values of the contract.
 URL_RULES = [
     ("allow", "com", "/"),
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_media": op2_media,
     "op3_warc": op3_warc,
+    "op4_jaccard": op4_jaccard,
     "op6_url_filter": op6_url_filter,
     "op7_fingerprint": op7_fingerprint,
     "op8_quality": op8_quality,
