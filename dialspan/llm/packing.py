@@ -11,12 +11,17 @@ within their class.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,31 +32,77 @@ LENGTH, UNIT, END_ID = 4096, 8, 2
 #: Most (class, salt) groups that ranks are counted in; their offsets are broadcast.
 GROUPS = 100_000
 #: Words whose ids a task remembers.
-WORDS_KEPT = 200_000
+WORDS_KEPT = 150_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if printable Latin-1, else the next from U+0100."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 def word_ids(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     """A function from distinct words to (their token ids one after the other, the ids of each).
 
-    Right for tokenizers whose words never span ASCII white space, which they drop.
+    Right for tokenizers whose words never span ASCII white space, which they drop. Where the
+    file asks for what most words need no library for (lower case, one splitting pattern), words
+    of plain Latin-1 letters, digits and signs are lowered and split here and the library's
+    model gets each distinct part once; all other words go through the whole tokenizer.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    known: dict[str, list[int]] = {}
+    made = json.loads(tokenizer.to_str())
+    steps = [x["type"] for x in (made["normalizer"] or {}).get("normalizers", [])]
+    splits = [x for x in (made["pre_tokenizer"] or {}).get("pretokenizers", [])]
+    simple = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in splits] == ["Split", "ByteLevel"] and splits[0]["behavior"] == "Removed" and splits[0]["invert"] and made["post_processor"] is None
+    special = [x["content"] for x in made["added_tokens"]]
+    odd = "[^!-~\u00a1-\u00ff]" + "".join("|" + re.escape(x[:2]) for x in special)
+    parts_of = regex.compile((splits[0]["pattern"]["Regex"] if simple else "") + "|\n").findall
+    letters = byte_letters()
+    whole: dict[str, list[int]] = {}
+    parts: dict[str, list[int]] = {}
 
-    def encode(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        words = words.to_pylist()
+    def recalled(known: dict[str, list[int]], words: list[str], ids_of: Callable[[list[str]], list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
         if new := [w for w in words if w not in known]:
             if len(known) > WORDS_KEPT:
                 known.clear()
                 new = words
-            known.update(zip(new, (e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+            known.update(zip(new, ids_of(new), strict=True))
         found = [known[w] for w in words]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
-        return flat, sizes
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+
+    def by_all(words: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def by_model(words: list[str]) -> list[list[int]]:
+        one = tokenizer.model.tokenize
+        return [[x.id for x in one(w if w.isascii() else "".join(letters[b] for b in w.encode()))] for w in words]
+
+    def encode(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not simple:
+            return recalled(whole, words.to_pylist(), by_all)
+        plain = ~pc.match_substring_regex(words, odd).to_numpy(zero_copy_only=False)
+        lines = words.filter(pa.array(plain)).cast(pa.string())
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(lines)], lines), pa.scalar("\n"))[0].as_py()
+        found = pa.array(parts_of(joined.lower() + "\n" if len(lines) else ""), pa.string()).dictionary_encode()
+        texts = found.dictionary.to_pylist()
+        flat, sizes = recalled(parts, [x for x in texts if x != "\n"], by_model)
+        line = texts.index("\n") if "\n" in texts else len(texts)
+        sizes = np.insert(sizes, line, 0) if line < len(texts) else sizes
+        codes = found.indices.to_numpy().astype(np.int64)
+        ids, ends = gathered(flat, sizes, codes)
+        starts = np.concatenate([[0], ends[1:][codes == line]])  # where the plain words begin and end
+        odd_flat, odd_sizes = recalled(whole, words.filter(pa.array(~plain)).to_pylist(), by_all)
+        every = np.zeros(len(words), np.int64)
+        every[plain], every[~plain] = np.diff(starts), odd_sizes
+        out = np.empty(int(every.sum()), np.uint32)
+        of_plain = np.repeat(plain, every)
+        out[of_plain], out[~of_plain] = ids, odd_flat
+        return out, every
 
     return encode
 
