@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, knn_quality, media, minhash, packing, urlfilter, warc
+from . import jaccard, knn_quality, media, minhash, packing, pieces, urlfilter, warc
 from .shared import table
 
 
@@ -59,6 +59,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_media": op2_media,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filter": op6_url_filter,
     "op7_fingerprint": op7_fingerprint,
     "op8_quality": op8_quality,
+    "op10_pieces": op10_pieces,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
