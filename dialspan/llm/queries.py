@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, knn_quality, media, minhash, packing, pieces, urlfilter, warc
+from . import jaccard, knn_quality, media, minhash, packing, pieces, pii, quotes, urlfilter, warc
 from .shared import table
 
 
@@ -36,6 +36,15 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+#: The key of the surrogates; a caller's own in production.
+PII_KEY = b"an example key of the queries"
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.anonymise(docs, PII_KEY)
+
+
 #: (verdict, host, path): fixed values of the contract.
 URL_RULES = [
     ("allow", "com", "/"),
@@ -63,14 +72,23 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op9_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages as they are, and with quotes of the turns before, whose links are to be found again."""
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    both = given.withColumn("quoting", F.lit(False)).unionByName(quotes.with_quotes(given).withColumn("quoting", F.lit(True)))
+    return quotes.ordered(both, ["quoting", "conv_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_media": op2_media,
     "op3_warc": op3_warc,
     "op4_jaccard": op4_jaccard,
+    "op5_pii": op5_pii,
     "op6_url_filter": op6_url_filter,
     "op7_fingerprint": op7_fingerprint,
     "op8_quality": op8_quality,
+    "op9_quotes": op9_quotes,
     "op10_pieces": op10_pieces,
 }
 ORACLE_SQL: dict[str, str] = {
