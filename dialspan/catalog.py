@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import core_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(core_queries.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(core_queries.ORACLE)
