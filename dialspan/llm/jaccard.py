@@ -38,6 +38,10 @@ from .arrowtext import shingle_sets, slices
 from .shared import components, cut
 
 GROUPS, LEAF, BLOCK = 64, 16, 1024
+#: Groups of the points that a verifying task makes of the texts it holds; more tell more apart.
+FINE_GROUPS = 512
+#: Rows of two numbers that may be broadcast; a larger table is joined by shuffles.
+MOST_BROADCAST = 1_000_000
 #: Rows that one call of the Python side is to get, of points and of texts.
 POINT_ROWS, TEXT_ROWS = 6000, 2000
 SMALL = 24
@@ -48,10 +52,16 @@ def least_shared(total: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * total // (100 + percent))
 
 
-def count_vectors(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def count_vectors(hashes: np.ndarray, offsets: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    group = (hashes % np.uint64(GROUPS)).astype(np.int64)
-    return np.bincount(rows * GROUPS + group, minlength=(len(offsets) - 1) * GROUPS).reshape(-1, GROUPS)
+    group = (hashes % np.uint64(groups)).astype(np.int64)
+    counts = np.bincount(rows * groups + group, minlength=(len(offsets) - 1) * groups).reshape(-1, groups)
+    return counts.astype(np.int16 if counts.max(initial=0) < 1 << 15 else np.int32)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` (a written table) to be broadcast if its size allows it."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
 
 def sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -112,9 +122,10 @@ class RTree:
 def bounded(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, least: np.ndarray) -> np.ndarray:
     """Whether the coordinate minima of a[i] and b[j] sum up to ``least``, some pairs at a time."""
     out = np.empty(len(i), bool)
-    for at in range(0, len(i), 1 << 15):
-        part = slice(at, at + (1 << 15))
-        out[part] = np.minimum(a[i[part]], b[j[part]]).sum(axis=1) >= least[part]
+    step = (1 << 21) // a.shape[1]
+    for at in range(0, len(i), step):
+        part = slice(at, at + step)
+        out[part] = np.minimum(a[i[part]], b[j[part]]).sum(axis=1, dtype=np.int32) >= least[part]
     return out
 
 
@@ -179,14 +190,15 @@ def candidate_links(nodes: DataFrame, percent: int) -> DataFrame:
     cells = keys.groupBy("key").agg(F.count("*").alias("many"), F.bit_xor(F.xxhash64("doc_id")).alias("who")).where("many > 1")
     cells = cut(cells.groupBy("many", "who").agg(F.min("key").alias("key")).select("key", "many"))
     total = cells.agg(replicas(F.col("many"))).first()[0]
-    rows = keys.join(cells, "key").join(nodes.select("doc_id", "n", "point"), "doc_id")
+    rows = keys.join(small(cells), "key").join(nodes.select("doc_id", "n", "point"), "doc_id")
     rows = in_blocks(rows, "key", F.col("many"), total, POINT_ROWS).drop("many")
 
     def run(table: pa.Table) -> pa.Table:
         cell = table["part"].to_numpy()
         order = np.argsort(cell, kind="stable")
         cell, ids, sizes = cell[order], table["doc_id"].to_numpy()[order], table["n"].to_numpy()[order]
-        points = np.frombuffer(b"".join(table["point"].to_pylist()), "<u4").reshape(-1, GROUPS)[order].astype(np.int32)
+        points = np.frombuffer(b"".join(table["point"].to_pylist()), "<u4").reshape(-1, GROUPS)[order]
+        points = points.astype(np.int16 if points.max(initial=0) < 1 << 15 else np.int32)
         label = np.arange(len(cell))
         for i, j in pairs_in_cells(cell, points, sizes, percent):
             label = joined(label, i, j)
@@ -199,7 +211,7 @@ def verified_links(docs: DataFrame, candidates: DataFrame, words: int, percent:
     """Edges (a, b) that connect what the links between documents of one candidate component connect."""
     sizes = cut(candidates.groupBy("component").agg(F.count("*").alias("many")))
     total = sizes.agg(replicas(F.col("many"))).first()[0]
-    rows = candidates.join(sizes, "component").withColumnRenamed("node", "doc_id")
+    rows = small(cut(candidates.join(sizes, "component").withColumnRenamed("node", "doc_id")))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(rows, "doc_id")
     rows = in_blocks(rows, "component", F.col("many"), total, TEXT_ROWS).drop("many")
 
@@ -210,12 +222,14 @@ def verified_links(docs: DataFrame, candidates: DataFrame, words: int, percent:
         found = [shingle_sets(p.column("text"), words) for b in table.to_batches() for p in slices(b, "text")]
         sets = [h[a:b] for h, o in found for a, b in zip(o[:-1], o[1:], strict=True)]
         n = np.array([len(s) for s in sets], np.int64)
-        points = np.concatenate([count_vectors(h, o) for h, o in found]).astype(np.int32)
+        points = np.concatenate([count_vectors(h, o, FINE_GROUPS) for h, o in found])
         label = np.arange(len(cell))
         for i, j in pairs_in_cells(cell, points, n, percent):
+            if not len(i):
+                continue
             order = np.argsort(i, kind="stable")
             i, j = i[order], j[order]
-            starts = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else []
+            starts = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
             for a, b in zip(starts, [*starts[1:], len(i)], strict=True):
                 one, others = i[a], j[a:b]
                 while len(others := others[label[others] != label[one]]):
