@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import shingle_sets, slices
@@ -42,8 +42,10 @@ GROUPS, LEAF, BLOCK = 64, 16, 1024
 FINE_GROUPS = 512
 #: Rows of two numbers that may be broadcast; a larger table is joined by shuffles.
 MOST_BROADCAST = 1_000_000
-#: Rows that one call of the Python side is to get, of points and of texts.
-POINT_ROWS, TEXT_ROWS = 6000, 2000
+#: From so many shingles on a stored point has ``FINE_GROUPS``, too: the longer the sets, the less few groups tell.
+LONG_SET = 1024
+#: Shingles of a block of texts; rows and shingles that one call of the Python side is to get.
+BLOCK_SHINGLES, POINT_ROWS, CALL_SHINGLES = 500_000, 6000, 1_000_000
 SMALL = 24
 
 
@@ -59,6 +61,11 @@ def count_vectors(hashes: np.ndarray, offsets: np.ndarray, groups: int = GROUPS)
     return counts.astype(np.int16 if counts.max(initial=0) < 1 << 15 else np.int32)
 
 
+def folded(points: np.ndarray) -> np.ndarray:
+    """Points of ``FINE_GROUPS`` as points of ``GROUPS``, which divide them."""
+    return points.reshape(*points.shape[:-1], FINE_GROUPS // GROUPS, GROUPS).sum(axis=-2)
+
+
 def small(df: DataFrame) -> DataFrame:
     """``df`` (a written table) to be broadcast if its size allows it."""
     return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
@@ -72,14 +79,15 @@ def sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
             for part in slices(batch, "text"):
                 h, o = shingle_sets(part.column("text"), words)
                 n = np.diff(o)
-                points = count_vectors(h, o).astype("<u4")
+                points = count_vectors(h, o, FINE_GROUPS).astype("<u4")
+                points = [p.tobytes() if k >= LONG_SET else folded(p).astype("<u4").tobytes() for p, k in zip(points, n, strict=True)]
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)]) for x in (h, (h ^ (h >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25))]
                 sums = [(s[o[1:]] - s[o[:-1]]).astype(np.uint64).view(np.int64) for s in sums]
                 first = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
                 ends = np.concatenate([[0], np.cumsum(first)])
                 at = np.repeat(o[:-1] - ends[:-1], first) + np.arange(ends[-1])
                 keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h[at].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), pa.array([p.tobytes() for p in points], pa.binary()), keys], names=["doc_id", "n", "sum_a", "sum_b", "point", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), pa.array(points, pa.binary()), keys], names=["doc_id", "n", "sum_a", "sum_b", "point", "keys"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, sum_a long, sum_b long, point binary, keys array<long>")
 
@@ -169,51 +177,59 @@ def edges_of(ids: np.ndarray, label: np.ndarray) -> pa.Table:
     return pa.table({"a": pa.array(ids[away], pa.int64()), "b": pa.array(ids[label[away]], pa.int64())})
 
 
-def in_blocks(rows: DataFrame, cell: str, many: Column, total: int, per_call: int) -> DataFrame:
-    """``rows`` with ``part`` (cell and pair of blocks) and ``bucket``; a row of a large cell stands in one part per block."""
-    blocks = F.ceil(many / F.lit(BLOCK)).cast("int")
-    rows = rows.withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int"))
+def in_blocks(rows: DataFrame, cell: str, buckets: int) -> DataFrame:
+    """``rows`` with ``part`` (cell and pair of its ``blocks``) and ``bucket``; a row of a large cell stands in one part per block."""
+    rows = rows.withColumn("_blocks", F.col("blocks").cast("int")).withColumn("_own", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int"))
     alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
     pairs = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda x: F.struct(F.least(x, F.col("_own")).alias("i"), F.greatest(x, F.col("_own")).alias("j")))
     rows = rows.withColumn("_pair", F.explode(F.when(F.col("_blocks") > 1, pairs).otherwise(alone)))
     rows = rows.withColumn("part", F.xxhash64(cell, "_pair.i", "_pair.j"))
-    return rows.withColumn("bucket", F.pmod(F.col("part"), F.lit(max(1, -(-total // per_call))))).drop("_blocks", "_own", "_pair", cell)
-
-
-def replicas(many: Column) -> Column:
-    return F.coalesce(F.sum(many * F.ceil(many / F.lit(BLOCK))), F.lit(0))
+    return rows.withColumn("bucket", F.pmod(F.col("part"), F.lit(max(1, buckets)))).drop("blocks", "_blocks", "_own", "_pair", cell)
 
 
 def candidate_links(nodes: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) that connect what the pairs of ``nodes`` that may be linked connect."""
     keys = nodes.select("doc_id", F.explode("keys").alias("key"))
     cells = keys.groupBy("key").agg(F.count("*").alias("many"), F.bit_xor(F.xxhash64("doc_id")).alias("who")).where("many > 1")
-    cells = cut(cells.groupBy("many", "who").agg(F.min("key").alias("key")).select("key", "many"))
-    total = cells.agg(replicas(F.col("many"))).first()[0]
-    rows = keys.join(small(cells), "key").join(nodes.select("doc_id", "n", "point"), "doc_id")
-    rows = in_blocks(rows, "key", F.col("many"), total, POINT_ROWS).drop("many")
+    cells = cells.groupBy("many", "who").agg(F.min("key").alias("key"))
+    cells = cut(cells.select("key", "many", F.ceil(F.col("many") / BLOCK).alias("blocks")))
+    total = cells.agg(F.coalesce(F.sum(F.col("many") * F.col("blocks")), F.lit(0))).first()[0]
+    rows = keys.join(small(cells.drop("many")), "key").join(nodes.select("doc_id", "n", "point"), "doc_id")
+    rows = in_blocks(rows, "key", -(-total // POINT_ROWS))
 
     def run(table: pa.Table) -> pa.Table:
         cell = table["part"].to_numpy()
         order = np.argsort(cell, kind="stable")
         cell, ids, sizes = cell[order], table["doc_id"].to_numpy()[order], table["n"].to_numpy()[order]
-        points = np.frombuffer(b"".join(table["point"].to_pylist()), "<u4").reshape(-1, GROUPS)[order]
+        raw = [np.frombuffer(p, "<u4") for p in table["point"].take(pa.array(order)).to_pylist()]
+        points = np.stack([p if len(p) == GROUPS else folded(p) for p in raw])
         points = points.astype(np.int16 if points.max(initial=0) < 1 << 15 else np.int32)
+        nth = np.cumsum(sizes >= LONG_SET) - 1
+        long = [p for p in raw if len(p) == FINE_GROUPS]
+        fine = np.stack(long).astype(np.int32) if long else None
         label = np.arange(len(cell))
         for i, j in pairs_in_cells(cell, points, sizes, percent):
+            both = np.flatnonzero((sizes[i] >= LONG_SET) & (sizes[j] >= LONG_SET))
+            if len(both):
+                x, y = i[both], j[both]
+                kept = np.ones(len(i), bool)
+                kept[both] = bounded(fine, fine, nth[x], nth[y], least_shared(sizes[x] + sizes[y], percent))
+                i, j = i[kept], j[kept]
             label = joined(label, i, j)
         return edges_of(ids, label)
 
     return rows.groupBy("bucket").applyInArrow(run, "a long, b long")
 
 
-def verified_links(docs: DataFrame, candidates: DataFrame, words: int, percent: int) -> DataFrame:
+def verified_links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, words: int, percent: int) -> DataFrame:
     """Edges (a, b) that connect what the links between documents of one candidate component connect."""
-    sizes = cut(candidates.groupBy("component").agg(F.count("*").alias("many")))
-    total = sizes.agg(replicas(F.col("many"))).first()[0]
-    rows = small(cut(candidates.join(sizes, "component").withColumnRenamed("node", "doc_id")))
+    rows = candidates.select(F.col("node").alias("doc_id"), "component").join(nodes.select("doc_id", "n"), "doc_id")
+    sizes = rows.groupBy("component").agg(F.sum("n").alias("many"))
+    sizes = cut(sizes.withColumn("blocks", F.ceil(F.col("many") / BLOCK_SHINGLES)))
+    total = sizes.agg(F.coalesce(F.sum(F.col("many") * F.col("blocks")), F.lit(0))).first()[0]
+    rows = small(cut(rows.join(sizes.drop("many"), "component").select("doc_id", "component", "blocks")))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(rows, "doc_id")
-    rows = in_blocks(rows, "component", F.col("many"), total, TEXT_ROWS).drop("many")
+    rows = in_blocks(rows, "component", -(-total // CALL_SHINGLES))
 
     def run(table: pa.Table) -> pa.Table:
         cell = table["part"].to_numpy()
@@ -255,8 +271,9 @@ def link_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     firsts = known.groupBy(*group).agg(F.min("doc_id").alias("node"))
     members = cut(known.select("doc_id", *group).join(firsts, group).select("doc_id", "n", "node"))
     nodes = known.join(members.where("doc_id = node").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", *group])
-    candidates = components(candidate_links(cut(nodes.select("doc_id", "n", "point", "keys")), percent))
-    links = cut(verified_links(docs, candidates, words, percent))
+    nodes = cut(nodes.select("doc_id", "n", "point", "keys"))
+    candidates = components(candidate_links(nodes, percent))
+    links = cut(verified_links(docs, nodes, candidates, words, percent))
     same = known.groupBy("doc_id").agg(F.min(F.struct(*group)).alias("x"), F.max(F.struct(*group)).alias("y")).where("x <> y").select("doc_id")
     twins = members.join(same, "doc_id", "left_semi").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     of = components(links.unionByName(twins))
