@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import core_queries
+from .plans import core_queries, log_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(core_queries.QUERIES)
-ORACLE_SQL: dict[str, str] = dict(core_queries.ORACLE)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = core_queries.QUERIES | log_queries.QUERIES
+ORACLE_SQL: dict[str, str] = core_queries.ORACLE | log_queries.ORACLE

@@ -12,6 +12,9 @@ from ..functions.scalars import micros
 from .joins import unique_window
 from .windows import SECOND
 
+#: Runs that one call of a walking function gets.
+RUNS = 1000
+
 
 def reconstruct_legs(lifecycle: DataFrame) -> DataFrame:
     """Legs of (import_id, line_id, ts, ord, event, call_id) rows; event is added, connected, ended or summary.
@@ -96,14 +99,15 @@ def dedup_within_gap(df: DataFrame, key: list[str], ts: str = "ts", gap_us: int
     rows = df.withColumn("_t", micros(ts)).withColumn("_run", F.sum(F.when(far, 1).otherwise(0)).over(by))
 
     def walk(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values("_t", kind="stable")
-        kept, last = [], None
-        for t in batch["_t"]:
-            kept.append(last is None or t - last > gap_us)
-            last = t if kept[-1] else last
+        batch = batch.sort_values(["_run", "_t"], kind="stable")
+        kept, last, run = [], 0, None
+        for r, t in zip(batch["_run"], batch["_t"], strict=True):
+            kept.append(r != run or t - last > gap_us)
+            run, last = r, t if kept[-1] else last
         return batch[kept]
 
-    return rows.groupBy(*key, "_run").applyInPandas(walk, rows.schema).drop("_t", "_run")
+    rows = rows.withColumn("_part", F.floor(F.col("_run") / RUNS))
+    return rows.groupBy(*key, "_part").applyInPandas(walk, rows.schema).drop("_t", "_run", "_part")
 
 
 def mark_duplicates(perspectives: DataFrame, producers: DataFrame, roles: DataFrame | None = None) -> DataFrame:

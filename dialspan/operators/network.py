@@ -12,6 +12,8 @@ from ..functions.scalars import from_micros, haversine, micros
 from .joins import state_at, unique_window
 from .windows import SECOND, coalesce_segments
 
+#: Runs that one call of the walking function gets.
+RUNS = 1000
 LAYERS = ("device", "stun", "cti", "sip", "media", "app")
 
 
@@ -58,8 +60,10 @@ def movement_sequences(fixes: DataFrame, key: str = "import_id", gap_us: int = 3
     schema = f"{key} string, t_us long, latitude double, longitude double, run long, part long, ordinal long, reason string"
 
     def walk(batch: pd.DataFrame) -> pd.DataFrame:
-        out, last, part, n, why = [], None, 0, 0, "time_gap" if int(batch["_run"].iloc[0]) > 1 else "first_sample"
+        out, last, part, n, why, run = [], None, 0, 0, None, None
         for f in batch.sort_values("t_us").itertuples(index=False):
+            if f.run != run:
+                run, last, part, why = f.run, None, 0, "time_gap" if f.run > 1 else "first_sample"
             if not f.ok:
                 last, why = None, "ambiguous_or_invalid"
                 continue
@@ -81,12 +85,13 @@ def movement_sequences(fixes: DataFrame, key: str = "import_id", gap_us: int = 3
             if last is None:
                 part, n, reason = part + 1, 0, why
             n += 1
-            out.append((getattr(f, key), f.t_us, f.latitude, f.longitude, int(f[-1]), part, n, reason if n == 1 else None))
+            out.append((getattr(f, key), f.t_us, f.latitude, f.longitude, int(f.run), part, n, reason if n == 1 else None))
             last = f
         return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
-    columns = [key, "t_us", "ok", "latitude", "longitude", "accuracy", "elapsed", "elapsed_s", "_run"]
-    return rows.select(*columns).groupBy(key, "_run").applyInPandas(walk, schema)
+    columns = [key, "t_us", "ok", "latitude", "longitude", "accuracy", "elapsed", "elapsed_s"]
+    rows = rows.select(*columns, F.col("_run").alias("run"), F.floor(F.col("_run") / RUNS).alias("_part"))
+    return rows.groupBy(key, "_part").applyInPandas(walk, schema)
 
 
 def _distance(a, b) -> float:  # noqa: ANN001
