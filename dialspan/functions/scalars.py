@@ -85,7 +85,7 @@ def elapsed_seconds(text: Column | str) -> Column:
     """Seconds of ``+1d2h3m4s5ms`` (any parts, in this order); NULL for other text."""
     text = col(text)
     part = lambda p: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(text, p, 1), F.lit("")), F.lit("999999999999")).cast("double"), F.lit(0.0))
-    total = part(r"(\d+)d") * 86400 + part(r"(\d+)h") * 3600 + part(r"(\d+)m(?!s)") * 60 + part(r"(?<!m)(?<![a-z])(\d+)s") + part(r"(\d+)ms") / 1000
+    total = part(r"(\d+)d") * 86400 + part(r"(\d+)h") * 3600 + part(r"(\d+)m(?!s)") * 60 + part(r"(\d+)s") + part(r"(\d+)ms") / 1000
     return F.when(text.rlike(r"^\+(?=\d)(?:\d+d)?(?:\d+h)?(?:\d+m)?(?:\d+s)?(?:\d+ms)?$"), total)
 
 
