@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 from .arrowtext import shingle_sets, slices
 from .shared import components, cut
 
-GROUPS, LEAF, BLOCK = 64, 16, 1024
+GROUPS, LEAF, BLOCK = 64, 16, 4096
 #: Groups of the points that a verifying task makes of the texts it holds; more tell more apart.
-FINE_GROUPS = 512
+FINE_GROUPS = 256
 #: Rows of two numbers that may be broadcast; a larger table is joined by shuffles.
 MOST_BROADCAST = 1_000_000
 #: From so many shingles on a stored point has ``FINE_GROUPS``, too: the longer the sets, the less few groups tell.
@@ -66,6 +66,16 @@ def folded(points: np.ndarray) -> np.ndarray:
     return points.reshape(*points.shape[:-1], FINE_GROUPS // GROUPS, GROUPS).sum(axis=-2)
 
 
+def stored(point: np.ndarray) -> bytes:
+    """The width of a count (1, or 4 where one is over 255), then the counts."""
+    width = 1 if point.max(initial=0) < 256 else 4
+    return bytes([width]) + point.astype(f"<u{width}").tobytes()
+
+
+def read_point(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int32)
+
+
 def small(df: DataFrame) -> DataFrame:
     """``df`` (a written table) to be broadcast if its size allows it."""
     return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
@@ -79,8 +89,7 @@ def sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
             for part in slices(batch, "text"):
                 h, o = shingle_sets(part.column("text"), words)
                 n = np.diff(o)
-                points = count_vectors(h, o, FINE_GROUPS).astype("<u4")
-                points = [p.tobytes() if k >= LONG_SET else folded(p).astype("<u4").tobytes() for p, k in zip(points, n, strict=True)]
+                points = [stored(p if k >= LONG_SET else folded(p)) for p, k in zip(count_vectors(h, o, FINE_GROUPS), n, strict=True)]
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)]) for x in (h, (h ^ (h >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25))]
                 sums = [(s[o[1:]] - s[o[:-1]]).astype(np.uint64).view(np.int64) for s in sums]
                 first = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
@@ -201,12 +210,12 @@ def candidate_links(nodes: DataFrame, percent: int) -> DataFrame:
         cell = table["part"].to_numpy()
         order = np.argsort(cell, kind="stable")
         cell, ids, sizes = cell[order], table["doc_id"].to_numpy()[order], table["n"].to_numpy()[order]
-        raw = [np.frombuffer(p, "<u4") for p in table["point"].take(pa.array(order)).to_pylist()]
+        raw = [read_point(p) for p in table["point"].take(pa.array(order)).to_pylist()]
         points = np.stack([p if len(p) == GROUPS else folded(p) for p in raw])
         points = points.astype(np.int16 if points.max(initial=0) < 1 << 15 else np.int32)
         nth = np.cumsum(sizes >= LONG_SET) - 1
         long = [p for p in raw if len(p) == FINE_GROUPS]
-        fine = np.stack(long).astype(np.int32) if long else None
+        fine = np.stack(long) if long else None
         label = np.arange(len(cell))
         for i, j in pairs_in_cells(cell, points, sizes, percent):
             both = np.flatnonzero((sizes[i] >= LONG_SET) & (sizes[j] >= LONG_SET))
