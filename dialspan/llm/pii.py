@@ -61,10 +61,10 @@ PATTERNS = {
     "email": r"(?<![\w.+-])[\w+-](?:[\w.+-]{0,62}[\w+-])?@[\w-]{1,63}(?:\.[\w-]{1,63})+",
     "iban": r"(?<![\w])[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]{4}){3,7}(?: ?[A-Za-z0-9]{1,3})?(?![\w])",
     "secret": r"(?<![\w])(?=[a-fA-F]*\d)[0-9a-fA-F]{32,}(?![\w])",
-    "phone": rf"(?<![\w])(?:\+\d{{1,3}}{_JUNK}\(?\d{{2,4}}\)?{_JUNK}\d{{3,4}}[-. ]?\d{{3,4}}(?:[-. ]?\d{{2,4}})?|\(\d{{3}}\){_JUNK}\d{{3}}[-. ]\d{{4}}|\d{{3}}[-.]\d{{3}}[-.]\d{{4}})(?!\w)",
+    "phone": rf"(?<![\w])(?:\+\d{{1,3}}{_JUNK}\(?\d{{2,4}}\)?{_JUNK}\d{{3,4}}[-. ]?\d{{3,4}}(?:[-. ]?\d{{2,4}}(?![\d.]))?|\(\d{{3}}\){_JUNK}\d{{3}}[-. ]\d{{4}}|\d{{3}}[-.]\d{{3}}[-.]\d{{4}})(?!\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
-    "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d)",
+    "card": r"(?<![\w.-])(?:\d{13,19}|\d{4}(?: \d{4}){2} \d{1,7}|\d{4}(?:-\d{4}){2}-\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w]|[.-]\d)",
     "name": rf"(?<!\w)(?:{'|'.join(sorted(_TITLES, key=len, reverse=True))})\.? {_NAME}(?: {_NAME})?",
 }
 _FIND = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS.items()))

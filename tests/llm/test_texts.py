@@ -69,6 +69,14 @@ def test_surrogates_keep_type_and_format():
     assert A.replaced("Version 3. 4.0. 2.0. of 2024-01-02, 12 items", KEY, {}) == ("Version 3. 4.0. 2.0. of 2024-01-02, 12 items", 0)
 
 
+def test_neighbouring_entities():
+    kinds = lambda t: [m[2] for m in A.mentions(t)]
+    assert kinds("+1 (826) 555-4081 190.137.223.204") == ["phone", "ip"]
+    assert kinds("+1 (706) 555-3138 4644348398010899 12") == ["phone", "card"]
+    assert kinds("4111-1111-1111-1111 3782 822463 10005") == ["card", "card"]
+    assert kinds("a" * 100_000) == kinds("7." * 50_000) == []
+
+
 def test_collisions_are_drawn_again(spark, docs, no_docs):
     rows = [(i, f"Mr. {n}") for i, n in enumerate(f"Q{chr(97 + a)}{chr(97 + b)}" for a in range(12) for b in range(12))]
     rows.append((1000, f"Mr. {A.surrogate('name', 'm Qaa', KEY).split()[1]}"))
