@@ -33,6 +33,8 @@ LENGTH, UNIT, END_ID = 4096, 8, 2
 GROUPS = 100_000
 #: Words whose ids a task remembers.
 WORDS_KEPT = 150_000
+#: Words of one part: ASCII and Latin-1 letters that are their own NFC.
+LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -85,7 +87,14 @@ def word_ids(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     def encode(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not simple:
             return recalled(whole, words.to_pylist(), by_all)
-        plain = ~pc.match_substring_regex(words, odd).to_numpy(zero_copy_only=False)
+        letters = pc.match_substring_regex(words, LETTERS).to_numpy(zero_copy_only=False)
+        plain = ~letters & ~pc.match_substring_regex(words, odd).to_numpy(zero_copy_only=False)
+        # letters alone are one part
+        one = pc.utf8_lower(words.filter(pa.array(letters))).dictionary_encode()
+        flat, sizes = recalled(parts, one.dictionary.to_pylist(), by_model)
+        codes = one.indices.to_numpy().astype(np.int64)
+        kinds = [(letters, sizes[codes], gathered(flat, sizes, codes)[0])]
+        # other plain words are split where the pattern says
         lines = words.filter(pa.array(plain)).cast(pa.string())
         joined = pc.binary_join(pa.ListArray.from_arrays([0, len(lines)], lines), pa.scalar("\n"))[0].as_py()
         found = pa.array(parts_of(joined.lower() + "\n" if len(lines) else ""), pa.string()).dictionary_encode()
@@ -95,13 +104,17 @@ def word_ids(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
         sizes = np.insert(sizes, line, 0) if line < len(texts) else sizes
         codes = found.indices.to_numpy().astype(np.int64)
         ids, ends = gathered(flat, sizes, codes)
-        starts = np.concatenate([[0], ends[1:][codes == line]])  # where the plain words begin and end
-        odd_flat, odd_sizes = recalled(whole, words.filter(pa.array(~plain)).to_pylist(), by_all)
+        kinds.append((plain, np.diff(np.concatenate([[0], ends[1:][codes == line]])), ids))
+        # the whole tokenizer gets the rest
+        rest = ~letters & ~plain
+        flat, sizes = recalled(whole, words.filter(pa.array(rest)).to_pylist(), by_all)
+        kinds.append((rest, sizes, flat))
         every = np.zeros(len(words), np.int64)
-        every[plain], every[~plain] = np.diff(starts), odd_sizes
+        for mask, many, _ in kinds:
+            every[mask] = many
         out = np.empty(int(every.sum()), np.uint32)
-        of_plain = np.repeat(plain, every)
-        out[of_plain], out[~of_plain] = ids, odd_flat
+        for mask, _, ids in kinds:
+            out[np.repeat(mask, every)] = ids
         return out, every
 
     return encode
