@@ -15,6 +15,8 @@ with the same conversation and turn are one message in links; each is returned.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,14 +56,18 @@ def reply_links(messages: DataFrame, conversation: list[str]) -> DataFrame:
 
 def threads(links: DataFrame, conversation: list[str]) -> DataFrame:
     """conversation, turn, thread (the turn that the chain of replies begins with) and depth of the messages in ``links``."""
-    at = cut(links.select(*conversation, "turn", F.col("reply_to").alias("thread"), F.lit(1).cast("long").alias("depth")))
+    active = cut(links.select(*conversation, "turn", F.col("reply_to").alias("thread"), F.lit(1).cast("long").alias("depth")))
+    done: list[DataFrame] = []
     while True:
-        up = at.select(*conversation, F.col("turn").alias("thread"), F.col("thread").alias("above"), F.col("depth").alias("more"))
-        step = at.join(up, [*conversation, "thread"], "left")
+        up = reduce(DataFrame.unionByName, done, active)
+        up = up.select(*conversation, F.col("turn").alias("thread"), F.col("thread").alias("above"), F.col("depth").alias("more"))
+        step = active.join(up, [*conversation, "thread"], "left")
         moved = F.col("above").isNotNull()
-        at = cut(step.select(*conversation, "turn", F.coalesce("above", "thread").alias("thread"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), moved.alias("moved")))
-        if at.where("moved").limit(1).count() == 0:
-            return at.drop("moved")
+        step = cut(step.select(*conversation, "turn", F.coalesce("above", "thread").alias("thread"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), moved.alias("moved")))
+        done.append(step.where(~F.col("moved")).drop("moved"))  # their threads have begun; only the others are joined again
+        active = step.where("moved").drop("moved")
+        if active.limit(1).count() == 0:
+            return reduce(DataFrame.unionByName, done)
 
 
 def ordered(messages: DataFrame, conversation: list[str] | None = None) -> DataFrame:
