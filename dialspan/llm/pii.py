@@ -10,7 +10,8 @@ format can't meet. Card numbers and IBANs that pass their check keep passing it.
 
 What a bijection can't exclude is checked over the whole corpus: a surrogate that two
 entities have, or that is itself an entity of the corpus, is drawn again with the next
-attempt number. Only entities are grouped (hot ones are pre-aggregated); texts are not
+attempt number. What later attempts draw from grows with the attempt (names and e-mails get
+keyed syllables and letters), so that any number of entities is settled. Only entities are grouped (hot ones are pre-aggregated); texts are not
 shuffled, but for those with redrawn entities, whose table Spark broadcasts if it is small and
 joins otherwise.
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from .arrowtext import slices
 from .shared import cut
 
-ROUNDS, MOST_ATTEMPTS = 6, 20
+ROUNDS = 6
 ENTITIES = "array<struct<kind: string, entity: string>>"
 
 # Forms of address by gender, and names by script and gender.
@@ -51,6 +53,18 @@ FAMILY = {
     "latin": "Abbott Becker Castro Duval Engel Fischer Garner Hansen Ibarra Jansen Keller Lambert Moreno Novak Ortega Perrin Quiroga Renner Santos Torres Ullman Vargas Weber Young Zimmer Bennett Carver Dalton Ellis Foster",
     "cyrillic": "Алексеенко Бондаренко Василенко Гнатюк Дорошенко Ефименко Жуковских Захаренко Коваленко Литвиненко Мельник Никитенко Остапенко Петренко",
 }  # family names that don't change with gender
+#: What names of later attempts are made of: beginnings and endings of syllables, and last syllables by gender.
+SYLLABLES = {"latin": ("b d f g h k l m n p r s t v w z", "a e i o u"), "cyrillic": ("б в г д з к л м н п р с т ф", "а е и о у")}
+LAST = {
+    ("latin", "m"): "bert mund win rik",
+    ("latin", "f"): "lina rosa bella dora",
+    ("latin", "n"): "ley ren sky lin",
+    ("cyrillic", "m"): "слав мир дар бор",
+    ("cyrillic", "f"): "лина слава мира дара",
+    ("cyrillic", "n"): "ша ля ня ся",
+    ("latin", ""): "mann sen ton ger",
+    ("cyrillic", ""): "енко ук ых ич",
+}
 
 _TITLES = {t: g for g, names in ADDRESS.items() for t in names.split()}
 _GIVEN_GENDER = {n: g for (_, g), names in GIVEN.items() for n in names.split()}
@@ -140,13 +154,28 @@ def permuted(text: str, key: bytes, tweak: str, alphabets: list[str] | None = No
     return "".join(out)
 
 
+def letters(key: bytes, tweak: str, entity: str, n: int) -> str:
+    """``n`` letters that depend on the entity."""
+    return "".join(chr(97 + x % 26) for x, _ in zip(stream(key, tweak, "letters", entity), range(n), strict=False))
+
+
+def named(drawn: Iterator[int], script: str, gender: str, attempt: int) -> str:
+    """A name of a gender, or a family name: of the pool at first, then of more syllables with each attempt."""
+    pick = lambda pool: pool[(next(drawn) * 256 + next(drawn)) % len(pool)]
+    if attempt == 0:
+        return pick((GIVEN[script, gender] if gender else FAMILY[script]).split())
+    begins, ends = (x.split() for x in SYLLABLES[script])
+    return ("".join(pick(begins) + pick(ends) for _ in range(attempt + 1)) + pick(LAST[script, gender].split())).capitalize()
+
+
 def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
     """The canonical form of the entity's replacement."""
     tweak = f"{kind}{attempt}"
     if kind == "email":
         local, _, domain = entity.rpartition("@")
         labels = domain.split(".")
-        return f"{permuted(local, key, tweak + domain)}@{'.'.join([permuted('.'.join(labels[:-1]), key, tweak), labels[-1]])}"
+        more = letters(key, tweak, entity, attempt - 3)  # short addresses are few
+        return f"{permuted(local, key, tweak + domain)}{more}@{'.'.join([permuted('.'.join(labels[:-1]), key, tweak), labels[-1]])}"
     if kind == "secret":
         return permuted(entity, key, tweak, ["0123456789" if c.isdigit() else "abcdef" for c in entity])
     if kind == "ip":
@@ -167,11 +196,8 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
         gender, *names = entity.split(" ")
         script = "cyrillic" if re.match("[А-Яа-яЁё]", names[0]) else "latin"
         drawn = stream(key, tweak, entity)
-        pick = lambda pool: pool[(next(drawn) * 256 + next(drawn)) % len(pool)]
-        family = FAMILY[script].split()
-        out = [pick(GIVEN[script, gender].split())] if len(names) > 1 else []
-        double = attempt > 3 or "-" in names[-1]  # the pool of single names is small
-        return " ".join([gender, *out, f"{pick(family)}-{pick(family)}" if double else pick(family)])
+        out = [named(drawn, script, gender, attempt)] if len(names) > 1 else []
+        return " ".join([gender, *out, "-".join(named(drawn, script, "", attempt) for _ in names[-1].split("-"))])
     return permuted(entity, key, tweak)
 
 
@@ -232,20 +258,20 @@ def attempts(found: DataFrame, key: bytes) -> DataFrame:
     """kind, entity and attempt of the entities whose first surrogate isn't theirs alone.
 
     Of entities that share a surrogate the smallest keeps it, unless the surrogate is itself
-    an entity. After ``MOST_ATTEMPTS`` draws what still shares one is an error.
+    an entity. Each round draws from a larger space, so that few rounds settle all.
     """
     every = cut(found.select("kind", "entity").distinct().withColumn("attempt", F.lit(0)))
+    own = every.select("kind", F.col("entity").alias("made")).withColumn("real", F.lit(True))
     settled = cut(drawn(every, key))
-    for attempt in range(1, MOST_ATTEMPTS + 1):
-        own = every.select("kind", F.col("entity").alias("made")).withColumn("real", F.lit(True))
+    for attempt in count(1):
         keep = settled.groupBy("kind", "made").agg(F.count("*").alias("many"), F.min(F.struct("attempt", "entity")).alias("first"))
         bad = keep.join(own, ["kind", "made"], "left").where("many > 1 or real")
         again = settled.join(bad, ["kind", "made"]).where("real or entity <> first.entity").select("kind", "entity")
         again = cut(again.withColumn("attempt", F.lit(attempt)))
         if again.limit(1).count() == 0:
-            return settled.where("attempt > 0").select("kind", "entity", "attempt")
+            break
         settled = cut(settled.join(again.select("kind", "entity"), ["kind", "entity"], "left_anti").select(*settled.columns).unionByName(drawn(again, key)))
-    raise ValueError(f"entities share surrogates after {MOST_ATTEMPTS} draws: the pools are too small for them")
+    return settled.where("attempt > 0").select("kind", "entity", "attempt")
 
 
 def anonymise(docs: DataFrame, key: bytes) -> DataFrame:
