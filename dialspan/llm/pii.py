@@ -22,7 +22,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 from itertools import count
 
 import pyarrow as pa
@@ -77,7 +79,7 @@ PATTERNS = {
     "secret": r"(?<![\w])(?=[a-fA-F]*\d)[0-9a-fA-F]{32,}(?![\w])",
     "phone": rf"(?<![\w])(?:\+\d{{1,3}}{_JUNK}\(?\d{{2,4}}\)?{_JUNK}\d{{3,4}}[-. ]?\d{{3,4}}(?:[-. ]?\d{{2,4}}(?![\d.]))?|\(\d{{3}}\){_JUNK}\d{{3}}[-. ]\d{{4}}|\d{{3}}[-.]\d{{3}}[-.]\d{{4}})(?!\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
+    "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)",
     "card": r"(?<![\w.-])(?:\d{13,19}|\d{4}(?: \d{4}){2} \d{1,7}|\d{4}(?:-\d{4}){2}-\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w]|[.-]\d)",
     "name": rf"(?<!\w)(?:{'|'.join(sorted(_TITLES, key=len, reverse=True))})\.? {_NAME}(?: {_NAME})?",
 }
@@ -94,15 +96,35 @@ def iban_rest(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
+def low(text: str) -> str:
+    """Lower case, character by character; what would grow stays."""
+    return text.lower() if text.isascii() else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def raised(c: str) -> str:
+    """The capital letter of a canonical one, or itself where it has none that leads back."""
+    return c.upper() if len(c.upper()) == 1 and low(c.upper()) == c else c
+
+
+def plain(digits: str) -> str:
+    """Decimal digits of any script as ASCII digits."""
+    return digits if digits.isascii() else "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in digits)
+
+
+def like(c: str, digit: str) -> str:
+    """An ASCII digit in the script of the digit ``c``."""
+    return digit if c.isascii() or not digit.isdecimal() else chr(ord(c) - unicodedata.decimal(c) + int(digit))
+
+
 def canonical(kind: str, mention: str) -> str | None:
     """The entity that a mention names, or None where it isn't one after all."""
     if kind in ("phone", "ssn", "card"):
-        digits = re.sub(r"\D", "", mention)
+        digits = plain(re.sub(r"\D", "", mention))
         if kind == "card" and len(digits) != 16 and luhn(digits):
             return None
         return digits if kind != "phone" or 9 <= len(digits) <= 15 else None
     if kind == "iban":
-        iban = mention.replace(" ", "").upper()
+        iban = plain(mention.replace(" ", "").upper())
         return iban if iban_rest(iban) == 1 else None
     if kind == "name":
         title, *names = mention.split(" ")
@@ -110,7 +132,10 @@ def canonical(kind: str, mention: str) -> str | None:
         if gender == "n" and len(names) > 1:
             gender = _GIVEN_GENDER.get(names[0], "n")
         return f"{gender} {' '.join(names)}"
-    return mention.lower()
+    if kind == "ip":
+        octets = mention.split(".")
+        return ".".join(str(int(x)) for x in octets) if all(int(x) < 256 and (len(x) < 3 or int(x) > 99) for x in octets) else None
+    return low(mention)
 
 
 def mentions(text: str) -> list[tuple[int, int, str, str]]:
@@ -128,20 +153,50 @@ def stream(key: bytes, *parts: str) -> Iterator[int]:
         n += 1
 
 
+@cache
+def _class(c: str) -> tuple[str, str] | None:
+    """What a letter or number of the canonical form shares with those that may replace it: category and script."""
+    if not c.isalnum() or low(c) != c:
+        return None
+    category = unicodedata.category(c)
+    return category, unicodedata.name(c, "").split(" ")[0] if category[0] == "L" else ""
+
+
+@cache
+def _page(n: int) -> dict[str, str]:
+    """The alphabet of each letter and number of 256 code points; classes of few characters are put together."""
+    groups: dict = {}
+    for c in map(chr, range(n * 256, n * 256 + 256)):
+        if (k := _class(c)) and k[0] != "Nd":
+            groups.setdefault(k, []).append(c)
+    few = [c for g in groups.values() if len(g) < 4 for c in g]
+    return {c: "".join(g) for g in [few, *(g for g in groups.values() if len(g) > 3)] for c in g if len(g) > 1}
+
+
+@cache
 def alphabet(c: str) -> str:
+    """The characters that may replace this one: digits of its block, letters of its script near it; "" if it stays."""
     for chars in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя"):
         if c in chars:
             return chars
-    return ""
+    if not c.isalnum():
+        return ""
+    if c.isdecimal():
+        zero = ord(c) - unicodedata.decimal(c)
+        return "".join(map(chr, range(zero, zero + 10)))
+    return _page(ord(c) // 256).get(c, "")
 
 
 def permuted(text: str, key: bytes, tweak: str, alphabets: list[str] | None = None) -> str:
     """A bijection of texts of one format: every letter or digit stays in its alphabet, other characters stay."""
-    alphabets = alphabets or [alphabet(c) for c in text]
+    if alphabets is None:
+        # a character that is alone in its class becomes a letter; entities that meet so are drawn again
+        text = "".join(c if alphabet(c) or not c.isalnum() else chr(97 + ord(c) % 26) for c in text)
+        alphabets = [alphabet(c) for c in text]
     places = [i for i, a in enumerate(alphabets) if a]
     values = [alphabets[i].index(text[i]) for i in places]
     sizes = [len(alphabets[i]) for i in places]
-    form = tweak + "|" + ",".join(map(str, sizes))
+    form = tweak + "|" + ",".join(map(str, sizes)) + ("" if text.isascii() else "|" + "".join(a[0] for a in alphabets if a))
     half = len(places) // 2
     for r in range(ROUNDS):
         moved, other = (range(half, len(places)), range(half)) if r % 2 == 0 else (range(half), range(half, len(places)))
@@ -174,7 +229,8 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
     if kind == "email":
         local, _, domain = entity.rpartition("@")
         labels = domain.split(".")
-        more = letters(key, tweak, entity, attempt - 3)  # short addresses are few
+        few = not any(map(str.isalnum, local + "".join(labels[:-1])))
+        more = letters(key, tweak, entity, 4 + attempt if few else attempt - 3)  # short addresses are few
         return f"{permuted(local, key, tweak + domain)}{more}@{'.'.join([permuted('.'.join(labels[:-1]), key, tweak), labels[-1]])}"
     if kind == "secret":
         return permuted(entity, key, tweak, ["0123456789" if c.isdigit() else "abcdef" for c in entity])
@@ -205,17 +261,19 @@ def dressed(kind: str, mention: str, made: str) -> str:
     """The canonical surrogate in the mention's case and punctuation."""
     if kind in ("phone", "ssn", "card"):
         digits = iter(made)
-        return "".join(next(digits) if c.isdigit() else c for c in mention)
+        return "".join(like(c, next(digits)) if c.isdecimal() else c for c in mention)
     if kind == "iban":
         made = made if mention.upper() == mention else made.lower()
         letters = iter(made)
-        return "".join(c if c == " " else next(letters) for c in mention)
+        return "".join(c if c == " " else next(letters) if not c.isdecimal() else like(c, next(letters)) for c in mention)
     if kind == "name":
         return f"{mention.split(' ')[0]} {made.split(' ', 1)[1]}"
+    if kind == "ip":
+        return "".join(like(mention[0], c) for c in made)
     if mention.isupper():
-        return made.upper()
+        return "".join(map(raised, made))
     if kind in ("email", "secret") and len(made) == len(mention):
-        return "".join(m.upper() if c.isupper() else m for c, m in zip(mention, made, strict=True))
+        return "".join(raised(m) if c.isupper() else m for c, m in zip(mention, made, strict=True))
     return made
 
 

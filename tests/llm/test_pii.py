@@ -10,3 +10,17 @@ def test_thousands_of_surnames(spark):
     out = {r.doc_id: r.text for r in A.anonymise(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
     assert len(set(out.values())) == len(rows) and not {t for _, t in rows} & set(out.values())
     assert all([m[2:] for m in A.mentions(out[i])] != [m[2:] for m in A.mentions(t)] and A.mentions(out[i])[0][2] == A.mentions(t)[0][2] for i, t in rows)
+
+
+def test_every_script(spark):
+    texts = ["张三@例子.com", "٠٥٥-١٢٣-٤٥٦٧", "055-123-4567", "Ünal.ß@Straße.de", "ΟΔΟΣ@ΔΟΚΙΜΗ.GR", "οδοσ@δοκιμη.gr", "__@--.com", "İş@örnek.tr", "²@½.com", "ª@µ.fr", "मन१२@कमल.in", "홍길동@예시.kr", "८.८.८.१०", "ǅ@ÿ.org", "𝐀𝟗@x.io", "四111111111111111"]
+    out = {r.doc_id: r.text for r in A.anonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), KEY).collect()}
+    for i, t in list(enumerate(texts))[:-1]:
+        was, now = A.mentions(t), A.mentions(out[i])
+        assert [m[2] for m in was] == [m[2] for m in now] and len(was) == 1 and was[0][3] != now[0][3], (t, out[i])
+        if "@" in t and t != "__@--.com":
+            left, made = t.rpartition(".")[0], out[i].rpartition(".")[0]
+            assert len(left) == len(made) and sum(a != b for a, b in zip(left, made, strict=True) if a.isalnum()), (t, out[i])
+    assert out[1].translate(str.maketrans("٠١٢٣٤٥٦٧٨٩", "0123456789")) == out[2]
+    assert A.mentions(out[4])[0][3] == A.mentions(out[5])[0][3]
+    assert len({A.permuted(f"{a}{b}", KEY, "t") for a in A.alphabet("三") for b in A.alphabet("٣")}) == len(A.alphabet("三")) * 10
