@@ -84,7 +84,8 @@ PATTERNS = {
     "name": rf"(?<!\w)(?:{'|'.join(sorted(_TITLES, key=len, reverse=True))})\.? {_NAME}(?: {_NAME})?",
 }
 _FIND = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS.items()))
-_MAYBE = re.compile(rf"@|\d{{2}}|(?<!\w)(?:{'|'.join(_TITLES)})\.? ")
+#: Whatever _FIND matches holds a match of this.
+_MAYBE = re.compile(rf"@|\d[\d.]|[0-9a-fA-F]{{32}}|(?<!\w)(?:{'|'.join(_TITLES)})\.? ")
 
 
 def luhn(digits: str) -> int:

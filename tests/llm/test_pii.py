@@ -1,3 +1,5 @@
+import random
+
 from dialspan.llm import pii as A
 
 KEY = b"key of the tests"
@@ -24,3 +26,13 @@ def test_every_script(spark):
     assert out[1].translate(str.maketrans("٠١٢٣٤٥٦٧٨٩", "0123456789")) == out[2]
     assert A.mentions(out[4])[0][3] == A.mentions(out[5])[0][3]
     assert len({A.permuted(f"{a}{b}", KEY, "t") for a in A.alphabet("三") for b in A.alphabet("٣")}) == len(A.alphabet("三")) * 10
+
+
+def test_prefilter_hides_nothing():
+    assert [m[2:] for m in A.mentions("DNS is 8.8.8.8, or 1.1.1.1")] == [("ip", "8.8.8.8"), ("ip", "1.1.1.1")]
+    assert [m[2] for m in A.mentions("key " + "a1b" * 11)] == ["secret"]
+    some = ["@", ".", " ", "-", "a", "f", "1", "7", "٣", "+", "(", ")", "Mr", "Dr. ", "Anna", "DE", "12", "555", "4111", "x.y", "1.1", "\n", "a1" * 16, "b2c" * 11]
+    draw = random.Random(1)
+    texts = ["".join(draw.choices(some, k=draw.randint(1, 9))) for _ in range(100_000)]
+    hidden = [t for t in texts if A._FIND.search(t) and not A._MAYBE.search(t)]
+    assert not hidden and sum(bool(A._FIND.search(t)) for t in texts) > 1000
