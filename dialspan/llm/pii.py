@@ -70,12 +70,22 @@ LAST = {
 
 _TITLES = {t: g for g, names in ADDRESS.items() for t in names.split()}
 _GIVEN_GENDER = {n: g for (_, g), names in GIVEN.items() for n in names.split()}
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
 _JUNK = r"[^\w\n]{0,7}"
 _NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+(?:-[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+)?"
 #: Kinds of entities; the first that matches at a place counts.
 PATTERNS = {
     "email": r"(?<![\w.+-])[\w+-](?:[\w.+-]{0,62}[\w+-])?@[\w-]{1,63}(?:\.[\w-]{1,63})+",
-    "iban": r"(?<![\w])[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]{4}){3,7}(?: ?[A-Za-z0-9]{1,3})?(?![\w])",
+    "iban": r"(?<![\w])[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?(?![\w])",
     "secret": r"(?<![\w])(?=[a-fA-F]*\d)[0-9a-fA-F]{32,}(?![\w])",
     "phone": rf"(?<![\w])(?:\+\d{{1,3}}{_JUNK}\(?\d{{2,4}}\)?{_JUNK}\d{{3,4}}[-. ]?\d{{3,4}}(?:[-. ]?\d{{2,4}}(?![\d.]))?|\(\d{{3}}\){_JUNK}\d{{3}}[-. ]\d{{4}}|\d{{3}}[-.]\d{{3}}[-.]\d{{4}})(?!\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
@@ -84,6 +94,7 @@ PATTERNS = {
     "name": rf"(?<!\w)(?:{'|'.join(sorted(_TITLES, key=len, reverse=True))})\.? {_NAME}(?: {_NAME})?",
 }
 _FIND = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS.items()))
+_ONE = {kind: re.compile(p) for kind, p in PATTERNS.items()}
 #: Whatever _FIND matches holds a match of this.
 _MAYBE = re.compile(rf"@|\d[\d.]|[0-9a-fA-F]{{32}}|(?<!\w)(?:{'|'.join(_TITLES)})\.? ")
 
@@ -126,7 +137,7 @@ def canonical(kind: str, mention: str) -> str | None:
         return digits if kind != "phone" or 9 <= len(digits) <= 15 else None
     if kind == "iban":
         iban = plain(mention.replace(" ", "").upper())
-        return iban if iban_rest(iban) == 1 else None
+        return iban if 15 <= len(iban) <= 34 and iban_rest(iban) == 1 else None
     if kind == "name":
         title, *names = mention.split(" ")
         gender = _TITLES[title.rstrip(".")]
@@ -143,8 +154,39 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, entity) of the mentions in a text, from left to right."""
     if not _MAYBE.search(text):
         return []
-    found = ((m.start(), m.end(), m.lastgroup, canonical(m.lastgroup, m.group())) for m in _FIND.finditer(text))
-    return [x for x in found if x[3] is not None]
+    found, at = [], 0
+    while m := _FIND.search(text, at):
+        mention = accepted(text, m.start())
+        if mention:
+            found.append(mention)
+        at = mention[1] if mention else m.start() + 1
+    return found
+
+
+def accepted(text: str, start: int) -> tuple[int, int, str, str] | None:
+    """The mention that begins at a place: the first kind that has a valid one there, at its longest valid end."""
+    for kind, pattern in _ONE.items():
+        m = pattern.match(text, start)
+        if m:
+            for end in ends(kind, text, start, m.end()):
+                if (entity := canonical(kind, text[start:end])) is not None:
+                    return start, end, kind, entity
+    return None
+
+
+def ends(kind: str, text: str, start: int, end: int) -> Iterator[int]:
+    """Where a mention whose longest match is given may end: an IBAN as its country says, numbers at any shorter match."""
+    if kind == "iban":
+        n = IBAN_LENGTHS.get(text[start : start + 2].upper(), 0)
+        places = [i for i in range(start, end) if text[i] != " "]
+        if n and len(places) >= n and not re.match(r"\w", text[places[n - 1] + 1 : places[n - 1] + 2]):
+            yield places[n - 1] + 1
+    yield end
+    if kind in ("phone", "card"):
+        for shorter in range(end - 1, start + 8, -1):
+            # the real text must not go on there with a letter or digit, nor with a point or dash and a digit
+            if text[shorter - 1].isdecimal() and not re.match(r"\w|[.-]\d", text[shorter : shorter + 2]) and _ONE[kind].fullmatch(text, start, shorter):
+                yield shorter
 
 
 def stream(key: bytes, *parts: str) -> Iterator[int]:

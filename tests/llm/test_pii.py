@@ -36,3 +36,24 @@ def test_prefilter_hides_nothing():
     texts = ["".join(draw.choices(some, k=draw.randint(1, 9))) for _ in range(100_000)]
     hidden = [t for t in texts if A._FIND.search(t) and not A._MAYBE.search(t)]
     assert not hidden and sum(bool(A._FIND.search(t)) for t in texts) > 1000
+
+
+def iban(country, body):
+    return f"{country}{98 - A.iban_rest(country + '00' + body):02d}{body}"
+
+
+def test_rejected_matches_hide_nothing():
+    found = lambda t: [m[2:] for m in A.mentions(t)]
+    assert found("ES91 2100 0418 4502 0005 1332 en Madrid") == [("iban", "ES9121000418450200051332")]
+    assert found("AT61 1904 3002 3457 3201 wird 12 gut") == [("iban", "AT611904300234573201")]
+    assert found("AB12 4111 1111 1111 1111 paid") == [("card", "4111111111111111")]
+    assert found("NO93 8601 1117 947 er betalt") == [("iban", "NO9386011117947")]
+    assert found("ES91 2100 0418 4502 0005 1332 4111 1111 1111 1111") == [("iban", "ES9121000418450200051332"), ("card", "4111111111111111")]
+    assert found("AB12 abcd 999.1.1.1 +1 (643) 555-5742") == [("phone", "16435555742")]
+    assert found("+123 4567 8901 2345 6789 x") == [("phone", "123456789012345")]
+    for country, n in A.IBAN_LENGTHS.items():
+        whole = iban(country, ("0123456789" * 3)[: n - 4])
+        spaced = " ".join(whole[i : i + 4] for i in range(0, n, 4))
+        for after in ("", " a", " en", " und", " wird", " sehr gut", " information", " 4111 1111 1111 1111", " 8.8.8.8"):
+            assert found(spaced + after)[:1] == [("iban", whole)] == found(whole + after)[:1], spaced + after
+    assert found("ab12 " * 20_000) == []
