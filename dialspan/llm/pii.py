@@ -1,7 +1,9 @@
 """Surrogates for personal data: keyed, of the same type, script, gender and format, distinct and coreferent.
 
 Detected are e-mail addresses, phone and card numbers, IPv4 addresses, social security
-numbers, IBANs, long hexadecimal secrets, and names after a form of address. A mention's
+numbers, IBANs, long hexadecimal secrets, names after a form of address, and the same names
+elsewhere in the document. Given names (of a gender) and family names are entities of their own,
+so that 'Mr. John Smith', 'Dr. Smith', 'John Smith' and 'Smith' agree. A mention's
 canonical form (lower case, digits only) is the entity; its surrogate depends on the key and
 the entity alone, and the mention's case and punctuation are kept, so that an entity has one
 surrogate in all documents. Digits and letters go through a keyed Feistel network over
@@ -94,6 +96,7 @@ PATTERNS = {
     "name": rf"(?<!\w)(?:{'|'.join(sorted(_TITLES, key=len, reverse=True))})\.? {_NAME}(?: {_NAME})?",
 }
 _FIND = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS.items()))
+_WORD = re.compile(rf"(?<!\w){_NAME}(?!\w)")
 _ONE = {kind: re.compile(p) for kind, p in PATTERNS.items()}
 #: Whatever _FIND matches holds a match of this.
 _MAYBE = re.compile(rf"@|\d[\d.]|[0-9a-fA-F]{{32}}|(?<!\w)(?:{'|'.join(_TITLES)})\.? ")
@@ -160,7 +163,66 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
         if mention:
             found.append(mention)
         at = mention[1] if mention else m.start() + 1
-    return found
+    return with_untitled(text, found) if any(kind == "name" for _, _, kind, _ in found) else found
+
+
+def with_untitled(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """The mentions of a text and those of their names without a form of address.
+
+    A given name after a neutral title has the gender that the text's other titles give it. A name
+    that the text also has as a word in lower case doesn't count where it stands alone.
+    """
+    genders, families = {}, {}
+    titled = lambda start: _TITLES[text[start : text.index(" ", start)].rstrip(".")]
+    for start, _, kind, entity in found:
+        gender, *names = entity.split(" ") if kind == "name" else ("",)
+        if len(names) > 1:
+            genders.setdefault(names[0], {})[titled(start)] = gender
+            families.setdefault(names[1], gender)
+    given = {}
+    for name, by_title in genders.items():
+        sure = sorted({"m", "f"} & set(by_title))
+        given[name] = sure[0] if len(sure) == 1 else by_title.get("n", by_title.get("m"))
+    out = []
+    for start, end, kind, entity in found:
+        if kind == "name":
+            gender, *names = entity.split(" ")
+            neutral = titled(start) == "n"
+            if names[0] in given and neutral and (len(names) > 1 or names[0] not in families):
+                gender = given[names[0]]
+            if len(names) == 1 and names[0] in given and names[0] not in families:
+                kind = "given"
+            elif len(names) == 1:
+                families.setdefault(names[0], gender)
+            entity = " ".join([gender, *names])
+        out.append((start, end, kind, entity))
+    edges = [0, *(x for m in out for x in m[:2]), len(text)]
+    plain_words = {w for a, b in zip(edges[::2], edges[1::2], strict=True) for w in re.findall(r"\w+", text[a:b])}
+    alone = lambda name: name.lower() not in plain_words
+    taken, more, at = iter([*out, (len(text), len(text), "", "")]), [], 0
+    span, words = next(taken), [(m.start(), m.end(), m.group()) for m in _WORD.finditer(text)]
+    for i, (start, end, word) in enumerate(words):
+        while span[1] <= start and span[0] < len(text):
+            span = next(taken)
+        if start < at or end > span[0]:
+            continue
+        follows = words[i + 1] if i + 1 < len(words) and words[i + 1][0] == end + 1 and text[end] == " " and words[i + 1][1] <= span[0] else None
+        if word in given and follows and follows[2] in families:
+            more.append((start, follows[1], "name", f"{given[word]} {word} {follows[2]}"))
+            at = follows[1]
+        elif word in families and alone(word):
+            more.append((start, end, "name", f"{families[word]} {word}"))
+        elif word in given and alone(word):
+            more.append((start, end, "given", f"{given[word]} {word}"))
+    return sorted([*out, *more])
+
+
+def parts(kind: str, entity: str) -> list[tuple[str, str]]:
+    """The entities that have surrogates of their own: a name's given and family name, or the entity itself."""
+    if kind != "name":
+        return [(kind, entity)]
+    gender, *names = entity.split(" ")
+    return [*(("given", f"{gender} {n}") for n in names[:-1]), ("family", names[-1])]
 
 
 def accepted(text: str, start: int) -> tuple[int, int, str, str] | None:
@@ -292,11 +354,13 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
         body = permuted(entity[4:], key, tweak + entity[:2])
         return f"{entity[:2]}{98 - iban_rest(entity[:2] + '00' + body):02d}{body}"
     if kind == "name":
-        gender, *names = entity.split(" ")
-        script = "cyrillic" if re.match("[А-Яа-яЁё]", names[0]) else "latin"
+        return entity[:2] + " ".join(surrogate(k, e, key, attempt).split(" ")[-1] for k, e in parts(kind, entity))
+    if kind in ("given", "family"):
+        gender, name = entity.split(" ") if kind == "given" else ("", entity)
+        script = "cyrillic" if re.match("[А-Яа-яЁё]", name) else "latin"
         drawn = stream(key, tweak, entity)
-        out = [named(drawn, script, gender, attempt)] if len(names) > 1 else []
-        return " ".join([gender, *out, "-".join(named(drawn, script, "", attempt) for _ in names[-1].split("-"))])
+        made = "-".join(named(drawn, script, gender, attempt) for _ in name.split("-"))
+        return f"{gender} {made}" if gender else made
     return permuted(entity, key, tweak)
 
 
@@ -309,8 +373,9 @@ def dressed(kind: str, mention: str, made: str) -> str:
         made = made if mention.upper() == mention else made.lower()
         letters = iter(made)
         return "".join(c if c == " " else next(letters) if not c.isdecimal() else like(c, next(letters)) for c in mention)
-    if kind == "name":
-        return f"{mention.split(' ')[0]} {made.split(' ', 1)[1]}"
+    if kind in ("name", "given"):
+        names = made.split(" ")[1:]
+        return " ".join([*mention.split(" ")[: -len(names)], *names])
     if kind == "ip":
         return "".join(like(mention[0], c) for c in made)
     if mention.isupper():
@@ -320,12 +385,16 @@ def dressed(kind: str, mention: str, made: str) -> str:
     return made
 
 
-def replaced(text: str, key: bytes, redrawn: dict[tuple[str, str], int]) -> tuple[str, int]:
-    """(the text with surrogates, how many mentions were replaced)."""
+def replaced(text: str, key: bytes, redrawn: dict[tuple[str, str], int], same: dict[tuple[str, str], str] | None = None) -> tuple[str, int]:
+    """(the text with surrogates, how many mentions were replaced); ``same`` has entities that are another of their kind."""
     out, at, found = [], 0, mentions(text)
     for start, end, kind, entity in found:
-        made = surrogate(kind, entity, key, redrawn.get((kind, entity), 0))
-        out += [text[at:start], dressed(kind, text[start:end], made)]
+        made = []
+        for k, e in parts(kind, entity):
+            e = (same or {}).get((k, e), e)
+            made.append(surrogate(k, e, key, redrawn.get((k, e), 0)))
+        whole = " ".join([entity[0], *(m.split(" ")[-1] for m in made)]) if kind == "name" else made[0]
+        out += [text[at:start], dressed(kind, text[start:end], whole)]
         at = end
     return "".join([*out, text[at:]]), len(found)
 
@@ -337,7 +406,7 @@ def entities(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                rows += [(doc, *x) for x in sorted({m[2:] for m in mentions(text.as_py() or "")})]
+                rows += [(doc, *x) for x in sorted({p for m in mentions(text.as_py() or "") for p in parts(*m[2:])})]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "kind", "entity"])
 
@@ -375,11 +444,22 @@ def attempts(found: DataFrame, key: bytes) -> DataFrame:
     return settled.where("attempt > 0").select("kind", "entity", "attempt")
 
 
+def same_given(found: DataFrame) -> DataFrame:
+    """entity and target: given names seen after neutral titles that the corpus has with one gender only."""
+    seen = found.where("kind = 'given'").select(F.substring("entity", 1, 1).alias("gender"), F.expr("substring(entity, 3)").alias("name")).distinct()
+    by_name = seen.groupBy("name").agg(F.array_sort(F.collect_set("gender")).alias("g"))
+    one = by_name.where(F.col("g").isin(F.array(F.lit("m"), F.lit("n")), F.array(F.lit("f"), F.lit("n"))))
+    return one.select(F.concat(F.lit("n "), "name").alias("entity"), F.concat(F.col("g")[0], F.lit(" "), "name").alias("target"))
+
+
 def anonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """``docs`` with surrogates in text, and n_replaced (mentions)."""
     found = cut(entities(docs))
-    redrawn = attempts(found, key)
-    special = found.join(redrawn, ["kind", "entity"]).groupBy("doc_id").agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("_redrawn"))
+    given = found.where("kind = 'given'").join(same_given(found), "entity", "left")
+    found = cut(found.where("kind <> 'given'").withColumn("target", F.col("entity")).unionByName(given.withColumn("target", F.coalesce("target", "entity"))))
+    redrawn = attempts(found.select("kind", F.col("target").alias("entity")), key).withColumnRenamed("entity", "target")
+    special = found.join(redrawn, ["kind", "target"], "left").where("attempt is not null or target <> entity")
+    special = special.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "entity", "target", F.coalesce("attempt", F.lit(0)).alias("attempt"))).alias("_redrawn"))
     docs = docs.drop("n_replaced")
     names = docs.columns
     rows = docs.withColumn("_id", F.col("doc_id").cast("long")).join(cut(special).withColumnRenamed("doc_id", "_id"), "_id", "left").select(*names, "_redrawn")
@@ -390,7 +470,9 @@ def anonymise(docs: DataFrame, key: bytes) -> DataFrame:
             for part in slices(batch, "text"):
                 out = []
                 for text, special in zip(part.column("text").to_pylist(), part.column("_redrawn").to_pylist(), strict=True):
-                    out.append((None, 0) if text is None else replaced(text, key, {(x["kind"], x["entity"]): x["attempt"] for x in special or ()}))
+                    redrawn = {(x["kind"], x["target"]): x["attempt"] for x in special or ()}
+                    same = {(x["kind"], x["entity"]): x["target"] for x in special or ()}
+                    out.append((None, 0) if text is None else replaced(text, key, redrawn, same))
                 texts, many = zip(*out, strict=True)
                 columns = [pa.array(texts, part.schema.field("text").type) if n == "text" else part.column(n) for n in names]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(many, pa.int64())], names=[*names, "n_replaced"])

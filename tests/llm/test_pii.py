@@ -57,3 +57,25 @@ def test_rejected_matches_hide_nothing():
         for after in ("", " a", " en", " und", " wird", " sehr gut", " information", " 4111 1111 1111 1111", " 8.8.8.8"):
             assert found(spaced + after)[:1] == [("iban", whole)] == found(whole + after)[:1], spaced + after
     assert found("ab12 " * 20_000) == []
+
+
+def test_names_are_coreferent(spark):
+    rows = [
+        (1, "Smith came early. Mr. John Smith met Ms. Anna Weber-Voss. Dr. Smith and John Smith left; Smith's car, then John, Mr. John and Anna. Mail john.Smith@x.org."),
+        (2, "Mr. Smith"),
+        (3, "Dr. John Smith or Prof. Anna Smith"),
+        (4, "Господин Иван Петров, потом Петров и Иван Петров"),
+        (5, "Mr. Young told young people; Young people agreed with Neil. He is Dr. The end of the day. The rest."),
+        *((100 + i, f"Ms. {a} {b}") for i, (a, b) in enumerate((f"Q{chr(97 + i % 26)}{chr(97 + i // 26)}", f"W{chr(97 + i // 26)}{chr(97 + i % 26)}") for i in range(200))),
+    ]
+    out = {r.doc_id: r.text for r in A.anonymise(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
+    smith = out[2].split()[1]
+    john, anna, weber = out[1].split("Mr. ")[1].split()[0], out[1].split("Ms. ")[1].split()[0], out[1].split("Ms. ")[1].split()[1].rstrip(".")
+    mail = out[1].split("Mail ")[1]
+    assert out[1] == f"{smith} came early. Mr. {john} {smith} met Ms. {anna} {weber}. Dr. {smith} and {john} {smith} left; {smith}'s car, then {john}, Mr. {john} and {anna}. Mail {mail}"
+    assert out[3] == f"Dr. {john} {smith} or Prof. {anna} {smith}" and mail != "john.Smith@x.org."
+    assert len({smith, john, anna, weber, "Smith", "John", "Anna", "Weber-Voss"}) == 8 and "-" in weber
+    _, ivan, petrov, _, *rest = out[4].replace(",", "").split()
+    assert rest == [petrov, "и", ivan, petrov] and not {ivan, petrov} & {"Иван", "Петров"}
+    assert out[5].endswith("of the day. The rest.") and "Young people agreed" in out[5] and "Mr. Young" not in out[5]
+    assert len({out[i].split()[1] for i, _ in rows[5:]}) == len({out[i].split()[2] for i, _ in rows[5:]}) == 200
