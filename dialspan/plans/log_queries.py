@@ -129,11 +129,11 @@ def i10_incident_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def i11_pq_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Continuity per minute of a user's first hours, with errors that end at the next purchase."""
+    """Continuity per minute from a user's first to last event, with errors that end at the next purchase."""
     e = read(spark, sf_dir, "events").where("event_type IN ('error', 'purchase')")
     signals = e.select(F.col("user_id").alias("perspective_id"), F.lit("o").alias("observer"), F.when(F.col("event_type") == "error", "start").otherwise("end").alias("phase"), S.micros("ts").alias("t_us"), F.lit(None).cast("double").alias("duration_ms"))
     episodes = N.reconstruct_incidents(signals, ["perspective_id", "observer"])
-    calls = e.groupBy(F.col("user_id").alias("perspective_id")).agg(S.micros(F.min("ts")).alias("begin_us")).withColumn("stop_us", F.col("begin_us") + 48 * HOUR)
+    calls = e.groupBy(F.col("user_id").alias("perspective_id")).agg(S.micros(F.min("ts")).alias("begin_us"), (S.micros(F.max("ts")) + 1).alias("stop_us"))
     out = N.pq_windows(episodes, calls, ["observer"], width_us=MINUTE)
     return out.groupBy("perspective_id").agg(F.count("*").alias("minutes"), F.round(F.avg("pq"), 6).alias("pq"))
 
