@@ -1,28 +1,33 @@
 """Linked documents by the Jaccard similarity of their word shingles.
 
-A document's shingles are hashed into ``GROUPS`` groups; the counts are a point. The sum of
-the smaller coordinates bounds how many shingles two documents can share. Points stand in
-R-trees, whose nodes keep the greatest coordinates below them, so that a node bounds
-the overlap with all its points; pairs that survive are verified on the shingles.
+A document's shingles are hashed into groups; the counts are a point. The sum of the smaller
+coordinates bounds how many shingles two documents can share. Points stand in R-trees, whose
+nodes keep the greatest coordinates below them, so that a node bounds the overlap with all
+its points; pairs that survive are verified on the 64-bit hashes of their shingles.
 
 Counts alone tell equally long texts apart only point by point: a node of unlike texts
 bounds nothing, because the allowed distance grows with the length and the spread of the
-counts with its root. So the trees are made per cell: two linked documents share one of the
-smallest hashes of their sets (as many as can be missing, and one), and the documents with
-the same such hash are one cell. No link is lost by it, and nothing is compared with all.
-
-1. Documents with equal sets are one node, the one with the smallest id (pre-aggregated).
-2. Cells of one document are dropped, cells of the same documents are one.
-3. A tree in each cell gives the pairs that may be linked; a cell sends on only enough of
-   them to connect what they connect. A cell of more than ``BLOCK`` documents is spread
-   over pairs of blocks, which are tasks' work of bounded size.
-4. Each candidate component's texts come together once (or in pairs of blocks), and the
-   pairs that a tree over them leaves are verified exactly, but for those that are connected
-   already.
-5. The verified links' components are the result.
+counts with its root. So a tree is never made over all texts: the candidates come from shared
+rare shingles. All shingles have one order, common ones last; of two linked documents the
+first shingles in it (as many as may be missing, and one: the keys) share one. No link is
+lost by it, nothing is compared with all, and what a third of all documents share is a key of
+those only that hold nothing rarer.
+
+1. Shingles that many texts hold are counted in fixed memory by task. The counts only say
+   what comes last in the order; results are the same with any counts.
+2. Documents with equal sets are one node with a number of its own (pre-aggregated).
+3. The nodes with one key are a cell, the cells with the same smallest node a group, so that a
+   point is sent once per group and not once per key. A tree in each group gives the pairs
+   that may be linked; what these connect in a group is a unit.
+4. The sets of a unit come together once and are verified exactly, but for pairs that are
+   connected already. A unit of more than ``BLOCK_SHINGLES`` is dealt into blocks, each with
+   the unit's first node, too; what isn't connected with that one is then held against all
+   blocks. A large group of near copies so costs its own size.
+5. The components of the verified links are the result.
 
 Null ids: the document is linked with nothing and has no component. Rows with the same id
-are one document in links. Null and empty texts have no shingles and no links.
+are one document in links, whatever their texts. Null and empty texts have no shingles and
+no links. Further columns, whatever their names, are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -37,16 +42,18 @@ from pyspark.sql import functions as F
 from .arrowtext import shingle_sets, slices
 from .shared import components, cut
 
+#: Coordinates of a tree's points, rows of a leaf, and rows of a group that one task compares.
 GROUPS, LEAF, BLOCK = 64, 16, 4096
-#: Groups of the points that a verifying task makes of the texts it holds; more tell more apart.
-FINE_GROUPS = 256
-#: Rows of two numbers that may be broadcast; a larger table is joined by shuffles.
-MOST_BROADCAST = 1_000_000
-#: From so many shingles on a stored point has ``FINE_GROUPS``, too: the longer the sets, the less few groups tell.
-LONG_SET = 1024
-#: Shingles of a block of texts; rows and shingles that one call of the Python side is to get.
+#: Shingles per coordinate of a stored point, whose coordinates grow with the set (powers of two).
+PER_GROUP = 8
+#: Counters of a task, and from which count on a shingle is common; the most common ones that are ordered by their counts.
+COUNTERS, COMMON, ORDERED = 1 << 22, 32, 1 << 16
+#: Bytes of a table that may be broadcast; a larger one is joined by shuffles.
+MOST_BROADCAST = 16 << 20
+#: Shingles of a block of sets; rows and shingles that one call of the Python side is to get.
 BLOCK_SHINGLES, POINT_ROWS, CALL_SHINGLES = 500_000, 6000, 1_000_000
 SMALL = 24
+SET = ["n", "sum_a", "sum_b"]
 
 
 def least_shared(total: np.ndarray, percent: int) -> np.ndarray:
@@ -61,42 +68,86 @@ def count_vectors(hashes: np.ndarray, offsets: np.ndarray, groups: int = GROUPS)
     return counts.astype(np.int16 if counts.max(initial=0) < 1 << 15 else np.int32)
 
 
-def folded(points: np.ndarray) -> np.ndarray:
-    """Points of ``FINE_GROUPS`` as points of ``GROUPS``, which divide them."""
-    return points.reshape(*points.shape[:-1], FINE_GROUPS // GROUPS, GROUPS).sum(axis=-2)
+def coordinates(n: int) -> int:
+    """How many coordinates the stored point of ``n`` shingles has."""
+    return max(GROUPS, 1 << (-(-n // PER_GROUP) - 1).bit_length())
 
 
-def stored(point: np.ndarray) -> bytes:
-    """The width of a count (1, or 4 where one is over 255), then the counts."""
+def stored(h: np.ndarray) -> bytes:
+    """The point of a set: the width of a count (1, or 4 where one is over 255), then the counts."""
+    groups = coordinates(len(h))
+    point = np.bincount((h % np.uint64(groups)).astype(np.int64), minlength=groups)
     width = 1 if point.max(initial=0) < 256 else 4
     return bytes([width]) + point.astype(f"<u{width}").tobytes()
 
 
 def read_point(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int32)
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1)
+
+
+def folded(point: np.ndarray, groups: int) -> np.ndarray:
+    """The point with fewer coordinates, which divide its own."""
+    return point.reshape(-1, groups).sum(axis=0, dtype=np.int32)
 
 
 def small(df: DataFrame) -> DataFrame:
-    """``df`` (a written table) to be broadcast if its size allows it."""
-    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+    """``df`` (a written table of numbers) to be broadcast if its size allows it."""
+    return F.broadcast(df) if 8 * len(df.columns) * df.count() <= MOST_BROADCAST else df
+
+
+def set_sums(h: np.ndarray, o: np.ndarray) -> list[np.ndarray]:
+    """Two sums of every set's hashes that equal sets share."""
+    sums = [np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)]) for x in (h, (h ^ (h >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25))]
+    return [(s[o[1:]] - s[o[:-1]]).astype(np.uint64).view(np.int64) for s in sums]
+
+
+def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ascending; their places in the order of counts) of the ``ORDERED`` most common shingles, counted by task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters, found = np.zeros(COUNTERS, np.int32), np.zeros(0, np.uint64)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                h, o = shingle_sets(part.column("text"), words)
+                _, one = np.unique(set_sums(h, o)[0], return_index=True)  # equal sets count once
+                own = np.zeros(len(o) - 1, bool)
+                own[one] = True
+                h = h[np.repeat(own, np.diff(o))]
+                place = (h % np.uint64(COUNTERS)).astype(np.int64)
+                counters += np.bincount(place, minlength=COUNTERS).astype(np.int32)
+                found = np.union1d(found, h[counters[place] >= COMMON])
+        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counters[(found % np.uint64(COUNTERS)).astype(np.int64)], pa.int64())], names=["h", "c"])
+
+    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    top = counts.orderBy(F.desc("c"), "h").limit(ORDERED).toArrow()
+    h, c = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy()
+    place = np.empty(len(h), np.int64)
+    place[np.lexsort((h, c))] = np.arange(1, len(h) + 1)
+    order = np.argsort(h)
+    return h[order], place[order]
 
 
 def sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n (shingles), two sums that equal sets share, the point, and the smallest hashes."""
+    """doc_id, n (shingles), two sums that equal sets share, the point, and the first hashes in the order."""
+    common, place = common_shingles(docs, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 h, o = shingle_sets(part.column("text"), words)
                 n = np.diff(o)
-                points = [stored(p if k >= LONG_SET else folded(p)) for p, k in zip(count_vectors(h, o, FINE_GROUPS), n, strict=True)]
-                sums = [np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)]) for x in (h, (h ^ (h >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25))]
-                sums = [(s[o[1:]] - s[o[:-1]]).astype(np.uint64).view(np.int64) for s in sums]
+                sets = [h[a:b] for a, b in zip(o[:-1], o[1:], strict=True)]
                 first = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
                 ends = np.concatenate([[0], np.cumsum(first)])
                 at = np.repeat(o[:-1] - ends[:-1], first) + np.arange(ends[-1])
+                if len(common) and len(h):
+                    near = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                    last = np.where(common[near] == h, place[near], 0)
+                    at = np.lexsort((last, np.repeat(np.arange(len(n)), n)))[at] if last.any() else at
                 keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h[at].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), pa.array(points, pa.binary()), keys], names=["doc_id", "n", "sum_a", "sum_b", "point", "keys"])
+                sums = [pa.array(s) for s in set_sums(h, o)]
+                points = pa.array([stored(s) if len(s) else None for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), *sums, points, keys], names=["doc_id", *SET, "point", "keys"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, sum_a long, sum_b long, point binary, keys array<long>")
 
@@ -139,7 +190,7 @@ class RTree:
 def bounded(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, least: np.ndarray) -> np.ndarray:
     """Whether the coordinate minima of a[i] and b[j] sum up to ``least``, some pairs at a time."""
     out = np.empty(len(i), bool)
-    step = (1 << 21) // a.shape[1]
+    step = max(1, (1 << 21) // a.shape[1])
     for at in range(0, len(i), step):
         part = slice(at, at + step)
         out[part] = np.minimum(a[i[part]], b[j[part]]).sum(axis=1, dtype=np.int32) >= least[part]
@@ -169,6 +220,18 @@ def pairs_in_cells(cell: np.ndarray, points: np.ndarray, sizes: np.ndarray, perc
             yield start + i[i < j], start + j[i < j]
 
 
+def finely_bounded(points: list[np.ndarray], many: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether pairs also fit by their stored points (of ``many`` coordinates), in the coordinates of the coarser one."""
+    both, least = np.minimum(many[i], many[j]), least_shared(sizes[i] + sizes[j], percent)
+    kept = np.ones(len(i), bool)
+    for groups in np.unique(both[both > GROUPS]):
+        at = np.flatnonzero(both == groups)
+        rows, back = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
+        fine = np.stack([folded(points[r], groups) for r in rows])
+        kept[at] = bounded(fine, fine, back[: len(at)], back[len(at) :], least[at])
+    return kept
+
+
 def joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Labels (the smallest row of each component) after the pairs i, j are linked, too."""
     while len(i):
@@ -181,92 +244,213 @@ def joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def edges_of(ids: np.ndarray, label: np.ndarray) -> pa.Table:
-    away = np.flatnonzero(label != np.arange(len(label)))
-    return pa.table({"a": pa.array(ids[away], pa.int64()), "b": pa.array(ids[label[away]], pa.int64())})
-
-
-def in_blocks(rows: DataFrame, cell: str, buckets: int) -> DataFrame:
-    """``rows`` with ``part`` (cell and pair of its ``blocks``) and ``bucket``; a row of a large cell stands in one part per block."""
-    rows = rows.withColumn("_blocks", F.col("blocks").cast("int")).withColumn("_own", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int"))
-    alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda x: F.struct(F.least(x, F.col("_own")).alias("i"), F.greatest(x, F.col("_own")).alias("j")))
-    rows = rows.withColumn("_pair", F.explode(F.when(F.col("_blocks") > 1, pairs).otherwise(alone)))
-    rows = rows.withColumn("part", F.xxhash64(cell, "_pair.i", "_pair.j"))
-    return rows.withColumn("bucket", F.pmod(F.col("part"), F.lit(max(1, buckets)))).drop("blocks", "_blocks", "_own", "_pair", cell)
+def in_cells(rows: DataFrame) -> DataFrame:
+    """(first, node) of ``rows`` (node, key): the nodes of every key that more than one has, with the smallest of them.
 
+    Keys are sorted where they are shuffled to, so that a key is a run whose first row has its smallest node.
+    """
 
-def candidate_links(nodes: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that connect what the pairs of ``nodes`` that may be linked connect."""
-    keys = nodes.select("doc_id", F.explode("keys").alias("key"))
-    cells = keys.groupBy("key").agg(F.count("*").alias("many"), F.bit_xor(F.xxhash64("doc_id")).alias("who")).where("many > 1")
-    cells = cells.groupBy("many", "who").agg(F.min("key").alias("key"))
-    cells = cut(cells.select("key", "many", F.ceil(F.col("many") / BLOCK).alias("blocks")))
-    total = cells.agg(F.coalesce(F.sum(F.col("many") * F.col("blocks")), F.lit(0))).first()[0]
-    rows = keys.join(small(cells.drop("many")), "key").join(nodes.select("doc_id", "n", "point"), "doc_id")
-    rows = in_blocks(rows, "key", -(-total // POINT_ROWS))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int, int, bool] | None = None  # the last run's key and first node, and whether that one is already out
+        for batch in batches:
+            key, node = batch.column("key").to_numpy(), batch.column("node").to_numpy()
+            if not len(key):
+                continue
+            carried = last is not None and last[0] == key[0]
+            begins = np.concatenate([[not carried], key[1:] != key[:-1]])
+            starts = np.flatnonzero(begins)
+            firsts = node[starts] if not carried else np.concatenate([[last[1]], node[starts]])
+            run_of = np.cumsum(begins) - (0 if carried else 1)
+            first = firsts[run_of]
+            later = ~begins
+            shared = np.zeros(len(firsts), bool)
+            shared[run_of[later]] = True
+            own = begins & shared[run_of]
+            a, b = np.concatenate([first[later], first[own]]), np.concatenate([node[later], first[own]])
+            if carried and not last[2]:
+                a, b = np.append(a, last[1]), np.append(b, last[1])
+            last = (key[-1], firsts[-1], bool(shared[-1]))
+            both = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64())], names=["first", "node"])
+
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "first long, node long").distinct()
+
+
+def candidate_units(nodes: DataFrame, percent: int) -> DataFrame:
+    """(unit, node): what pairs of nodes that may be linked connect in each group. Equal units are one."""
+    cells = cut(in_cells(nodes.select("node", F.explode("keys").alias("key"))))
+    groups = cut(cells.groupBy("first").agg(F.count("*").alias("many")))
+    total = groups.where(F.col("many") <= BLOCK).agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]
+    buckets = max(1, -(-total // POINT_ROWS))
+    known = small(groups)
+    rows = cells.join(known.where(F.col("many") <= BLOCK), "first").join(nodes.select("node", "n", "point"), "node")
+    rows = rows.select("first", "node", "n", "point", F.pmod(F.xxhash64("first"), F.lit(buckets)).alias("bucket"))
 
     def run(table: pa.Table) -> pa.Table:
-        cell = table["part"].to_numpy()
+        cell = table["first"].to_numpy()
         order = np.argsort(cell, kind="stable")
-        cell, ids, sizes = cell[order], table["doc_id"].to_numpy()[order], table["n"].to_numpy()[order]
-        raw = [read_point(p) for p in table["point"].take(pa.array(order)).to_pylist()]
-        points = np.stack([p if len(p) == GROUPS else folded(p) for p in raw])
+        cell, ids, sizes = cell[order], table["node"].to_numpy()[order], table["n"].to_numpy()[order]
+        fine = [read_point(p) for p in table["point"].take(pa.array(order)).to_pylist()]
+        points = np.stack([folded(p, GROUPS) for p in fine])
         points = points.astype(np.int16 if points.max(initial=0) < 1 << 15 else np.int32)
-        nth = np.cumsum(sizes >= LONG_SET) - 1
-        long = [p for p in raw if len(p) == FINE_GROUPS]
-        fine = np.stack(long) if long else None
-        label = np.arange(len(cell))
+        label, coordinates_of = np.arange(len(cell)), np.array([len(p) for p in fine])
         for i, j in pairs_in_cells(cell, points, sizes, percent):
-            both = np.flatnonzero((sizes[i] >= LONG_SET) & (sizes[j] >= LONG_SET))
-            if len(both):
-                x, y = i[both], j[both]
-                kept = np.ones(len(i), bool)
-                kept[both] = bounded(fine, fine, nth[x], nth[y], least_shared(sizes[x] + sizes[y], percent))
-                i, j = i[kept], j[kept]
-            label = joined(label, i, j)
-        return edges_of(ids, label)
-
-    return rows.groupBy("bucket").applyInArrow(run, "a long, b long")
-
-
-def verified_links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, words: int, percent: int) -> DataFrame:
-    """Edges (a, b) that connect what the links between documents of one candidate component connect."""
-    rows = candidates.select(F.col("node").alias("doc_id"), "component").join(nodes.select("doc_id", "n"), "doc_id")
-    sizes = rows.groupBy("component").agg(F.sum("n").alias("many"))
-    sizes = cut(sizes.withColumn("blocks", F.ceil(F.col("many") / BLOCK_SHINGLES)))
-    total = sizes.agg(F.coalesce(F.sum(F.col("many") * F.col("blocks")), F.lit(0))).first()[0]
-    rows = small(cut(rows.join(sizes.drop("many"), "component").select("doc_id", "component", "blocks")))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(rows, "doc_id")
-    rows = in_blocks(rows, "component", -(-total // CALL_SHINGLES))
+            apart = label[i] != label[j]
+            i, j = i[apart], j[apart]
+            kept = finely_bounded(fine, coordinates_of, sizes, i, j, percent)
+            label = joined(label, i[kept], j[kept])
+        many = np.bincount(label, minlength=len(label))[label] > 1
+        return pa.table({"first": pa.array(cell[many], pa.int64()), "root": pa.array(ids[label[many]], pa.int64()), "node": pa.array(ids[many], pa.int64())})
+
+    found = rows.groupBy("bucket").applyInArrow(run, "first long, root long, node long")
+    large = cells.join(known.where(F.col("many") > BLOCK), "first").select("first", F.col("first").alias("root"), "node")
+    found = cut(found.unionByName(large).select(F.xxhash64("first", "root").alias("unit"), "node"))
+    sums = [F.sum(F.shiftright(F.xxhash64("node", F.lit(k)), 24)) for k in (1, 2)]
+    once = found.groupBy("unit").agg(F.count("*").alias("m"), sums[0].alias("a"), sums[1].alias("b")).groupBy("m", "a", "b").agg(F.min("unit").alias("unit"))
+    return found.join(small(cut(once.select("unit"))), "unit")
+
+
+def rows_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, pa.Table]:
+    """Parts (standing together), nodes, sets, sizes and points of the rows that a verifying call gets."""
+    table = table.take(pa.array(np.argsort(table["part"].to_numpy(), kind="stable")))
+    sets = [np.frombuffer(x, "<u8") for x in table["set"].to_pylist()]
+    n = np.array([len(s) for s in sets], np.int64)
+    points = np.stack([folded(read_point(stored(s)), GROUPS) for s in sets])
+    points = points.astype(np.int16 if points.max(initial=0) < 1 << 15 else np.int32)
+    return table["part"].to_numpy(), table["node"].to_numpy(), sets, n, points, table
+
+
+def verified(sets: list[np.ndarray], n: np.ndarray, i: np.ndarray, j: np.ndarray, label: np.ndarray, of: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of the rows i, j that are linked; those whose labels (of[row] is a row's place there) are equal already are left out."""
+    order = np.argsort(i, kind="stable")
+    i, j = i[order], j[order]
+    starts = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(0, np.int64)
+    for a, b in zip(starts, [*starts[1:], len(i)], strict=False):
+        one, others = i[a], j[a:b]
+        while len(others := others[label[of[others]] != label[of[one]]]):
+            other, others = others[0], others[1:]
+            at = np.minimum(np.searchsorted(sets[one], sets[other]), n[one] - 1)
+            shared = int((sets[one][at] == sets[other]).sum())
+            if 100 * shared >= percent * (n[one] + n[other] - shared):
+                x, y = sorted((label[of[one]], label[of[other]]))
+                label[label == y] = x
+                yield one, other
+
+
+def verified_links(docs: DataFrame, nodes: DataFrame, again: DataFrame, units: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between nodes that connect what all links between nodes of one unit connect."""
+    units = units.join(nodes.select("node", "n"), "node")
+    sizes = units.groupBy("unit").agg(F.sum("n").alias("many"), F.min("node").alias("pivot"))
+    sizes = cut(sizes.select("unit", "pivot", "many", F.ceil(F.col("many") / BLOCK_SHINGLES).cast("int").alias("blocks")))
+    total = sizes.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]
+    units = cut(units.join(small(sizes.drop("many")), "unit").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    schema = "a long, b long, unit long"
+
+    def run(table: pa.Table) -> pa.Table:
+        part, ids, sets, n, points, table = rows_of(table)
+        label, at = np.arange(len(part)), np.arange(len(part))
+        links = [x for i, j in pairs_in_cells(part, points, n, percent) for x in verified(sets, n, i, j, label, at, percent)]
+        a, b = np.array(links, np.int64).reshape(-1, 2).T
+        split = table["blocks"].to_numpy() > 1
+        pivot_at = np.flatnonzero(split & (ids == table["pivot"].to_numpy()))
+        whole = dict(zip(part[pivot_at].tolist(), label[pivot_at].tolist(), strict=True))
+        rest = [k for k in np.flatnonzero(split) if label[k] != whole.get(part[k])]
+        none = pa.nulls(len(rest), pa.int64())
+        return pa.concat_tables([
+            pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64()), "unit": pa.nulls(len(a), pa.int64())}),
+            pa.table({"a": pa.array(ids[rest], pa.int64()), "b": none, "unit": table["unit"].take(pa.array(rest, pa.int64()))}),
+        ])
+
+    everywhere = F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    rows = units.withColumn("block", F.explode(everywhere)).withColumn("part", F.xxhash64("unit", "block"))
+    sets = node_sets(docs, nodes, again, units.select("node").distinct(), words)
+    found = cut(dealt(sets, rows.select("part", "unit", "node", "pivot", "blocks"), total).applyInArrow(run, schema))
+    links, rest = found.where("unit is null").select("a", "b"), found.where("unit is not null").select("unit", F.col("a").alias("node"))
+    if rest.limit(1).count() == 0:
+        return links
+    return links.unionByName(rest_links(docs, nodes, again, units, rest, words, percent))
+
+
+def rest_links(docs: DataFrame, nodes: DataFrame, again: DataFrame, units: DataFrame, rest: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links of the ``rest`` (unit, node), which isn't connected with its unit's first node, with all of the unit.
+
+    Blocks of the rest are held against blocks of the unit; its other nodes are connected with each other already.
+    """
+    rest = units.join(rest, ["unit", "node"]).select("unit", "node", "n")
+    sizes = cut(rest.groupBy("unit").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("rows")))
+    rest = rest.withColumn("side", F.lit(1))
+    rows = units.join(small(sizes), "unit").join(rest.select("unit", "node", "side"), ["unit", "node"], "left").withColumn("side", F.coalesce("side", F.lit(0)))
+    rows = cut(rows)
+    total = rows.agg(F.coalesce(F.sum(F.col("n") * (F.col("rows") + F.col("side") * F.col("blocks"))), F.lit(0))).first()[0]
+    down = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumns({"_j": F.col("block"), "query": F.lit(0)})
+    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("rows")).cast("int")
+    across = rows.where("side = 1").withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"_i": own, "query": F.lit(1)})
+    parts = down.unionByName(across).select(F.xxhash64("unit", "_i", "_j").alias("part"), "node", "side", "query")
 
     def run(table: pa.Table) -> pa.Table:
-        cell = table["part"].to_numpy()
-        table = table.take(pa.array(np.argsort(cell, kind="stable"))).combine_chunks()
-        cell, ids = table["part"].to_numpy(), table["doc_id"].to_numpy()
-        found = [shingle_sets(p.column("text"), words) for b in table.to_batches() for p in slices(b, "text")]
-        sets = [h[a:b] for h, o in found for a, b in zip(o[:-1], o[1:], strict=True)]
-        n = np.array([len(s) for s in sets], np.int64)
-        points = np.concatenate([count_vectors(h, o, FINE_GROUPS) for h, o in found])
-        label = np.arange(len(cell))
-        for i, j in pairs_in_cells(cell, points, n, percent):
-            if not len(i):
+        part, ids, sets, n, points, table = rows_of(table)
+        query, side, links = table["query"].to_numpy(), table["side"].to_numpy(), []
+        for cell in np.unique(part[query == 1]):
+            to, of = (np.flatnonzero((part == cell) & (query == q)) for q in (0, 1))
+            if not len(to):
                 continue
-            order = np.argsort(i, kind="stable")
-            i, j = i[order], j[order]
-            starts = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
-            for a, b in zip(starts, [*starts[1:], len(i)], strict=True):
-                one, others = i[a], j[a:b]
-                while len(others := others[label[others] != label[one]]):
-                    other, others = others[0], others[1:]
-                    at = np.minimum(np.searchsorted(sets[one], sets[other]), n[one] - 1)
-                    shared = int((sets[one][at] == sets[other]).sum())
-                    if 100 * shared >= percent * (n[one] + n[other] - shared):
-                        x, y = sorted((label[one], label[other]))
-                        label[label == y] = x
-        return edges_of(ids, label)
-
-    return rows.groupBy("bucket").applyInArrow(run, "a long, b long")
+            both = np.concatenate([to, of])
+            known, place = np.unique(ids[both], return_inverse=True)
+            label, at = np.arange(len(known)), np.zeros(len(part), np.int64)
+            at[both] = place
+            connected = at[both[side[both] == 0]]
+            label[connected] = connected.min(initial=len(known))
+            tree = RTree(points[to], n[to])
+            for k in range(0, len(of), 128):
+                i, j = tree.near(points[to], n[to], points[of[k : k + 128]], n[of[k : k + 128]], percent)
+                links += verified(sets, n, of[i + k], to[j], label, at, percent)
+        a, b = np.array(links, np.int64).reshape(-1, 2).T
+        return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64())})
+
+    sets = node_sets(docs, nodes, again, rows.select("node").distinct(), words)
+    return dealt(sets, parts, total).applyInArrow(run, "a long, b long")
+
+
+def node_sets(docs: DataFrame, nodes: DataFrame, again: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, set: ascending hashes) of the ``wanted`` nodes, from the text of each one's first document.
+
+    ``again``: documents whose id stands in several rows, which may all hold the node's text.
+    """
+    one = cut(nodes.join(small(cut(wanted)), "node").select("node", "doc_id", *[F.col(c).alias(f"_{c}") for c in SET]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                h, o = shingle_sets(part.column("text"), words)
+                same = np.diff(o) == part.column("_n").to_numpy()
+                for name, s in zip(SET[1:], set_sums(h, o), strict=True):
+                    same &= s == part.column(f"_{name}").to_numpy()  # of the texts under one id the node's own
+                at = np.flatnonzero(same)
+                _, once = np.unique(part.column("node").to_numpy()[at], return_index=True)
+                at = at[once]
+                sets = pa.array([h[o[k] : o[k + 1]].astype("<u8").tobytes() for k in at], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(at)), sets], names=["node", "set"])
+
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(small(one), "doc_id")
+    sets = texts.select("text", "node", *[f"_{c}" for c in SET]).mapInArrow(run, "node long, set binary")
+    if again.limit(1).count() == 0:
+        return sets
+    several = small(cut(one.join(again, "doc_id", "left_semi").select("node")))
+    return sets.join(several, "node", "left_anti").unionByName(sets.join(several, "node", "left_semi").dropDuplicates(["node"]))
+
+
+def dealt(sets: DataFrame, rows: DataFrame, total: int):  # noqa: ANN201
+    """``rows`` (part, node, ...) with their sets, parts dealt into the buckets that one call gets."""
+    buckets = max(1, -(-total // CALL_SHINGLES))
+    return sets.join(small(cut(rows)), "node").withColumn("bucket", F.pmod(F.col("part"), F.lit(buckets))).groupBy("bucket")
+
+
+def with_component(known: DataFrame, groups: DataFrame) -> DataFrame:
+    """``known`` with the component of its set; sets that many rows have are joined apart, by a broadcast if their table is small."""
+    many = F.col("members") > BLOCK // 16
+    hot = small(cut(groups.where(many).select("component", *SET)))
+    few = groups.where(~many).select("component", *SET)
+    return known.join(hot, SET).unionByName(known.join(hot, SET, "left_anti").join(few, SET))
 
 
 def link_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -275,18 +459,18 @@ def link_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     Two documents are linked if 100 * shared shingles >= percent * all shingles of both.
     """
     sketch = cut(sketches(docs, words, percent))
-    group = ["n", "sum_a", "sum_b"]
     known = sketch.where("n > 0 and doc_id is not null")
-    firsts = known.groupBy(*group).agg(F.min("doc_id").alias("node"))
-    members = cut(known.select("doc_id", *group).join(firsts, group).select("doc_id", "n", "node"))
-    nodes = known.join(members.where("doc_id = node").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", *group])
-    nodes = cut(nodes.select("doc_id", "n", "point", "keys"))
-    candidates = components(candidate_links(nodes, percent))
-    links = cut(verified_links(docs, nodes, candidates, words, percent))
-    same = known.groupBy("doc_id").agg(F.min(F.struct(*group)).alias("x"), F.max(F.struct(*group)).alias("y")).where("x <> y").select("doc_id")
-    twins = members.join(same, "doc_id", "left_semi").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    of = components(links.unionByName(twins))
-    rows = members.select("doc_id", F.col("n").alias("n_shingles"), "node").join(of, "node", "left")
-    linked = rows.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
+    groups = known.groupBy(*SET).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("members"), F.first("point").alias("point"), F.first("keys").alias("keys"))
+    nodes = cut(groups.withColumn("node", F.monotonically_increasing_id()))  # numbers of the written table
+    ids = known.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(F.struct(*SET)).alias("x"), F.max(F.struct(*SET)).alias("y")).where("rows > 1")
+    again = cut(ids.select("doc_id", (F.col("x") != F.col("y")).alias("differ")))
+    links = cut(verified_links(docs, nodes, again, candidate_units(nodes, percent), words, percent))
+    ends = [nodes.select(F.col("node").alias(end), F.col("doc_id").alias(name)) for end, name in (("a", "x"), ("b", "y"))]
+    edges = links.join(ends[0], "a").join(ends[1], "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    texts = known.join(again.where("differ"), "doc_id", "left_semi").select("doc_id", *SET).distinct()
+    twins = texts.join(nodes.select(*SET, F.col("doc_id").alias("b")), SET).select(F.col("doc_id").alias("a"), "b")
+    of = components(edges.unionByName(twins)).withColumnRenamed("node", "doc_id")
+    placed = cut(nodes.select("doc_id", "members", *SET).join(of, "doc_id", "left").select("members", *SET, F.coalesce("component", "doc_id").alias("component")))
+    linked = with_component(known.select("doc_id", *SET), placed).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     alone = sketch.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)

@@ -42,10 +42,22 @@ def corpus(seed):
     return list(enumerate(out))
 
 
+def brute_by_rows(texts, size, percent):
+    """brute(), for rows whose ids may repeat: rows with one id are linked."""
+    own = brute(list(enumerate(t for _, t in texts)), size, percent)
+    label = {k: own[k][1] for k in own}
+    for i in {i for i, _ in texts}:
+        rows = {label[k] for k, (j, _) in enumerate(texts) if j == i and own[k][0]}
+        label = {k: min(rows) if v in rows else v for k, v in label.items()}
+    least = {v: min(texts[k][0] for k in label if label[k] == v) for v in label.values()}
+    return sorted((i, own[k][0], least[label[k]] if own[k][0] else i) for k, (i, _) in enumerate(texts))
+
+
 def test_components_by_brute_force(spark, monkeypatch):
-    for seed, (block, shingles_) in enumerate([(1024, 500_000), (3, 400)]):
+    for seed, (block, shingles_, common) in enumerate([(1024, 500_000, 32), (1024, 400, 2), (3, 400, 2)]):
         monkeypatch.setattr(J, "BLOCK", block)
         monkeypatch.setattr(J, "BLOCK_SHINGLES", shingles_)
+        monkeypatch.setattr(J, "COMMON", common)
         monkeypatch.setattr(J, "SMALL", 4)
         texts = corpus(seed)
         df = spark.createDataFrame(texts, "doc_id long, text string")
@@ -54,6 +66,35 @@ def test_components_by_brute_force(spark, monkeypatch):
             assert got == brute(texts, size, percent)
 
 
+def test_repeated_ids_by_brute_force(spark):
+    texts = [(i // 3, t) for i, t in corpus(4)]
+    texts += [(i, t) for i, t in texts[:5]]
+    got = sorted(tuple(r) for r in J.link_components(spark.createDataFrame(texts, "doc_id long, text string"), 4, 85).collect())
+    assert got == brute_by_rows(texts, 4, 85)
+
+
+def test_pairs_under_repeated_ids_are_linked(spark):
+    """Ids that stand twice, each time with a text of its own that is linked with the other id's."""
+    rows = []
+    for k in range(3):
+        base = [f"p{k}w{i}" for i in range(200)]
+        rows += [(2 * k + 1, " ".join(base)), (2 * k + 2, " ".join([*base[:-1], "end"])), (2 * k + 1, f"alone {k} a b c d"), (2 * k + 2, f"single {k} e f g h")]
+    got = J.link_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5} and len(got) == 12
+
+
+def test_keys_meet_whatever_the_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        rng = random.Random(9)
+        rows = sorted({(rng.randrange(12), rng.randrange(40)) for _ in range(200)})
+        got = {tuple(r) for r in J.in_cells(spark.createDataFrame(rows, "key long, node long")).collect()}
+        cells = [{n for k, n in rows if k == key} for key in range(12)]
+        assert got == {(min(c), n) for c in cells if len(c) > 1 for n in c}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_tree_finds_what_a_scan_finds():
     rng = np.random.default_rng(5)
     points = rng.integers(0, 6, (300, J.GROUPS)).astype(np.int16)
