@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,11 +84,12 @@ def duration_ms(value: Column | str, unit: Column | str) -> Column:
 
 
 def elapsed_seconds(text: Column | str) -> Column:
-    """Seconds of ``+1d2h3m4s5ms`` (any parts, in this order); NULL for other text."""
+    """Seconds of parts like ``+1d2h3m4s5ms`` (in any order, repeated ones added up, the sign optional); NULL for other text."""
     text = col(text)
-    part = lambda p: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(text, p, 1), F.lit("")), F.lit("999999999999")).cast("double"), F.lit(0.0))
-    total = part(r"(\d+)d") * 86400 + part(r"(\d+)h") * 3600 + part(r"(\d+)m(?!s)") * 60 + part(r"(\d+)s") + part(r"(\d+)ms") / 1000
-    return F.when(text.rlike(r"^\+(?=\d)(?:\d+d)?(?:\d+h)?(?:\d+m)?(?:\d+s)?(?:\d+ms)?$"), total)
+    units = {"d": 86400.0, "h": 3600.0, "m": 60.0, "s": 1.0, "ms": 0.001}
+    parts = F.regexp_extract_all(text, F.lit(r"(\d+(?:ms|[dhms]))"), 1)
+    seconds = lambda p: F.regexp_extract(p, r"^(\d+)", 1).try_cast("double") * mapped(units, F.regexp_extract(p, r"([a-z]+)$", 1))
+    return F.when(text.rlike(r"^\+?(?:\d+(?:ms|[dhms]))+$"), F.aggregate(parts, F.lit(0.0), lambda total, p: total + seconds(p)))
 
 
 # Names of accesses as they are logged.
@@ -149,14 +152,51 @@ def first_json(line: Column | str) -> Column:
     return F.nullif(F.regexp_extract(col(line), r"(?s)(\{.*\})", 1), F.lit(""))
 
 
+# Domains of metrics by their names: equal to, beginning with, or holding one of these.
+# A beginning may follow ``vd.``. The first line that fits counts.
+METRIC_DOMAINS = [
+    ("scheduling", {"is": ["heartbeat_window"], "begins": ["cycles_"], "holds": ["scheduling"]}),
+    ("rtp_transport", {"is": ["missing_packets", "max_arrival_delay", "telemetry.network_loss", "incident.media_missing"], "begins": ["rtcp.", "packets_", "streak_"]}),
+    ("quality_model", {"is": ["derived.mos_reference", "derived.perceptual_quality"], "begins": ["mos."]}),
+    ("network_probe", {"is": ["network.ping"]}),
+    ("buffer_media", {"holds": ["buffer", "silence", "underrun", "dejitter", "samples_skipped"]}),
+]
+# What a metric says about the direction of the media.
+METRIC_ORIENTATIONS = {
+    "awt_quality": ["derived.perceptual_quality"],
+    "roundtrip": ["rtcp.rtt"],
+    "probe": ["network.ping"],
+    "combined": ["derived.buffer_sum", "derived.dejitter_sum"],
+    "receiver_report": ["rtcp.jitter", "rtcp.loss"],
+    "model": ["derived.mos_reference"],
+    "verified_loss": ["telemetry.network_loss"],
+    "local_packets": ["rtcp.packets_received", "rtcp.packets_received_interval"],
+    "peer_sent": ["rtcp.packets_sent_total", "rtcp.packets_sent_interval"],
+    "peer_lost": ["rtcp.packets_lost_total", "rtcp.packets_lost_interval"],
+    "rtp_receive": ["vd.missing_packets", "vd.max_arrival_delay", "incident.media_missing"],
+    "device": ["derived.silence_delta", "derived.silence_played_delta", "incident.buffer_underrun"],
+}
+
+
 def metric_domain(name: Column | str) -> Column:
-    """The part of the media path that a metric describes, by its name's beginning."""
-    name = F.lower(col(name))
-    rules = [("rtp_", "network"), ("rtcp_", "network"), ("ping", "network"), ("jitter", "network"), ("packet_gap", "network"), ("buffer_", "device"), ("silence", "device"), ("dejitter", "receiver"), ("underrun", "device"), ("codec", "media")]
+    """The part of the media path that a metric describes; processing for other device metrics, unspecified for unknown names."""
+    name = col(name)
+    key = F.regexp_replace(name, r"^vd\.", "")
+    out = F.when(name.isNull(), F.lit(None).cast("string"))
+    for domain, rule in METRIC_DOMAINS:
+        tests = [name.isin(*rule["is"]) | key.isin(*rule["is"])] if "is" in rule else []
+        tests += [key.startswith(x) for x in rule.get("begins", [])] + [name.contains(x) for x in rule.get("holds", [])]
+        out = out.when(reduce(Column.__or__, tests), domain)
+    return out.when(name.startswith("vd."), "processing").otherwise("unspecified")
+
+
+def metric_orientation(name: Column | str) -> Column:
+    """How a metric's direction is to be read; a device's own measure for other device metrics, unconfirmed for unknown names."""
+    name = col(name)
     out = F.when(name.isNull(), F.lit(None).cast("string"))
-    for prefix, domain in rules:
-        out = out.when(name.startswith(prefix), domain)
-    return out.otherwise("unknown")
+    for rule, names in METRIC_ORIENTATIONS.items():
+        out = out.when(name.isin(*names), rule)
+    return out.when(name.startswith("vd."), "device").otherwise("unconfirmed")
 
 
 def orientation(direction: Column | str, role: Column | str) -> Column:
@@ -183,6 +223,8 @@ def register_sql_functions(spark: SparkSession) -> None:
         + 7e-6 * least(greatest(93.2D - 95.0D * loss / (loss + 25.1D), 0), 100)
         * (least(greatest(93.2D - 95.0D * loss / (loss + 25.1D), 0), 100) - 60)
         * (100 - least(greatest(93.2D - 95.0D * loss / (loss + 25.1D), 0), 100)) END""")
+    band = f"floor(lat / (200 / {DEGREE_M}D))"
+    centre = f"greatest(least(({band} + 0.5D) * (200 / {DEGREE_M}D), 89.9D), -89.9D)"
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION grid_cell(lat DOUBLE, lon DOUBLE) RETURNS STRING RETURN
-        concat_ws(':', cast(floor(lat / (200 / {DEGREE_M}D)) AS STRING),
-        cast(floor(lon / ((200 / {DEGREE_M}D) / cos(radians((floor(lat / (200 / {DEGREE_M}D)) + 0.5D) * (200 / {DEGREE_M}D))))) AS STRING))""")
+        CASE WHEN lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 THEN
+        concat_ws(':', cast({band} AS STRING), cast(floor(lon / ((200 / {DEGREE_M}D) / cos(radians({centre})))) AS STRING)) END""")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,22 +43,28 @@ def sip_only_legs(sip: DataFrame, legs: DataFrame) -> DataFrame:
 
 
 def build_perspectives(legs: DataFrame, sip: DataFrame) -> DataFrame:
-    """One row per call and import: window, direction and status, from legs and SIP messages."""
+    """One row per call and import: window, direction and status, from legs and SIP messages.
+
+    Only answers to INVITE connect or fail a call; its end is the last BYE or CANCEL, answers to them too.
+    A leg without a Call-ID is a local call of its own.
+    """
     ok = (F.col("method") == "INVITE") & F.col("response").between(200, 299)
-    failed = (F.col("response") >= 400) & ~F.col("response").isin(401, 407)
+    failed = (F.col("method") == "INVITE") & (F.col("response") >= 400) & ~F.col("response").isin(401, 407)
     first = (F.col("method") == "INVITE") & F.col("response").isNull()
     order = F.struct("ts", "ord")
     said = sip.groupBy("import_id", "call_id").agg(
         F.min("ts").alias("_first"),
         F.min(F.when(ok, F.col("ts"))).alias("_ok"),
-        F.max(F.when(F.col("method").isin("BYE", "CANCEL") & F.col("response").isNull(), F.col("ts"))).alias("_bye"),
+        F.max(F.when(F.col("method").isin("BYE", "CANCEL"), F.col("ts"))).alias("_bye"),
         F.max(F.when(failed, F.col("ts"))).alias("_failed"),
         F.min_by("direction", F.when(first, order)).alias("direction"),
         F.min_by("caller", F.when(first, order)).alias("caller"),
         F.min_by("callee", F.when(first, order)).alias("callee"),
     )
-    one = legs.groupBy("import_id", "call_id").agg(F.min("start").alias("start"), F.min("connected").alias("connected"), F.max("end").alias("end"), F.max("line_id").alias("line_id"), F.max("incomplete").alias("incomplete"))
+    one = legs.where("call_id IS NOT NULL").groupBy("import_id", "call_id").agg(F.min("start").alias("start"), F.min("connected").alias("connected"), F.max("end").alias("end"), F.max("line_id").alias("line_id"), F.max("incomplete").alias("incomplete"))
     rows = one.join(said, ["import_id", "call_id"], "full")
+    local = legs.where("call_id IS NULL").select("import_id", "call_id", "start", "connected", "end", "line_id", "incomplete")
+    rows = rows.unionByName(local, allowMissingColumns=True)
     rows = rows.withColumns({"start": F.least("start", "_first"), "connected": F.least("connected", "_ok")})
     rows = rows.withColumn("end", F.coalesce("end", "_bye", F.when(F.col("connected").isNull(), F.col("_failed"))))
     up = F.col("connected").isNotNull()

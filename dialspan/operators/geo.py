@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import from_micros, grid_cell, lon_arc, micros
 from .intervals import split_at_states
+from .joins import state_at
 from .windows import SECOND
 
 
@@ -28,17 +29,30 @@ def locate_intervals(intervals: DataFrame, positions: DataFrame, key: list[str],
 
 
 def canonical_intervals(rows: DataFrame, value: list[str], context: list[str]) -> DataFrame:
-    """One observation per elementary piece of a signature: copies must agree in ``value``, else the piece is a conflict and goes; a context field with two values is unknown."""
-    once = rows.select("signature", "start", "end", *value, *context).distinct()
-    cuts = once.select("signature", F.explode(F.array("start", "end")).alias("a")).distinct()
-    cuts = cuts.withColumn("b", F.lead("a").over(Window.partitionBy("signature").orderBy("a"))).where("b IS NOT NULL")
-    met = cuts.join(once, "signature").where("start <= a AND end >= b")
+    """One observation per elementary piece of a signature: copies must agree in ``value``, else the piece is a conflict and goes; a context field with two values is unknown.
+
+    The edges of a signature are numbered, and an interval becomes the pieces between its own two numbers:
+    nothing is held against the signature's other intervals.
+    """
+    once = rows.select("signature", "start", "end", *value, *context).distinct().where("start < end")
+    edges = F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(0).alias("side")), F.struct(F.col("end").alias("t"), F.lit(1).alias("side"))))
+    edges = once.select("signature", F.struct(*value, *context, "start", "end").alias("_r"), edges.alias("_e")).select("signature", "_r", "_e.t", "_e.side")
+    edges = edges.withColumn("_i", F.dense_rank().over(Window.partitionBy("signature").orderBy("t")))
+    cuts = edges.groupBy("signature", "_i").agg(F.min("t").alias("a"))
+    cuts = cuts.withColumn("b", F.lead("a").over(Window.partitionBy("signature").orderBy("_i")))
+    spans = edges.groupBy("signature", "_r").agg(F.min_by("_i", "side").alias("_from"), F.max_by("_i", "side").alias("_to"))
+    pieces = spans.withColumn("_i", F.explode(F.sequence("_from", F.col("_to") - 1))).select("signature", "_i", "_r.*").drop("start", "end")
     same = F.lit(True)
     for v in value:
         same = same & F.min(v).eqNullSafe(F.max(v))
     one = [F.when(F.min(c).eqNullSafe(F.max(c)) & (F.count(c) == F.count("*")), F.min(c)).otherwise("unknown").alias(c) for c in context]
-    out = met.groupBy("signature", "a", "b").agg(same.alias("_same"), *[F.min(v).alias(v) for v in value], *one)
-    return out.where("_same").drop("_same").withColumnsRenamed({"a": "start", "b": "end"})
+    out = pieces.groupBy("signature", "_i").agg(same.alias("_same"), *[F.min(v).alias(v) for v in value], *one).where("_same")
+    return out.join(cuts, ["signature", "_i"]).withColumnsRenamed({"a": "start", "b": "end"}).select("signature", "start", "end", *value, *context)
+
+
+def position_at(rows: DataFrame, positions: DataFrame, key: list[str], ts: str = "ts", most_us: int = 120 * SECOND) -> DataFrame:
+    """``rows`` with the place of the last fix at or before their time, if that is uncontested and younger than ``most_us``."""
+    return state_at(rows, fix_stamps(positions, key), key, ["latitude", "longitude"], ts, most_us)
 
 
 def position_cells(positions: DataFrame, metres: float) -> DataFrame:
@@ -112,9 +126,3 @@ def telemetry_places(intervals: DataFrame, fixes: DataFrame, networks: DataFrame
     rows = split_at_states(rows, at, key, ["latitude", "longitude"], most_ms * 1000)
     rows = split_at_states(rows, net, key, ["access"], most_ms * 1000)
     return rows.where("latitude IS NOT NULL").withColumn("access", F.coalesce("access", F.lit("unknown")))
-
-
-def placed_share(rows: DataFrame, known: Column) -> DataFrame:
-    """Seconds and the percentage whose context is known."""
-    s = (micros("end") - micros("start")) / 1e6
-    return rows.agg(F.sum(s).alias("seconds"), (100 * F.sum(F.when(known, s).otherwise(0.0)) / F.sum(s)).alias("known_percent"))

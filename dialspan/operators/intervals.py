@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import from_micros, micros
-from .windows import SECOND, islands
+from .joins import row_hash
+from .windows import SECOND, coalesce_segments, islands
 
 
 def union_intervals(df: DataFrame, key: list[str], start: str = "start", end: str = "end") -> DataFrame:
@@ -76,7 +77,9 @@ def split_at_states(df: DataFrame, states: DataFrame, key: list[str], fields: li
     spans = states.withColumn("_from", micros(ts)).withColumn("_next", micros(F.lead(ts).over(by)))
     spans = spans.withColumn("_to", F.least(F.col("_from") + expiry_us, F.col("_next"))).where("_from < _to")
     spans = spans.select(*key, "_from", "_to", "ok", *fields).withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_from") / width), F.floor((F.col("_to") - 1) / width))))
-    rows = df.withColumn("_row", F.monotonically_increasing_id()).withColumns({"_a": micros(start), "_b": micros(end)})
+    same = row_hash(df.columns)
+    twin = F.row_number().over(Window.partitionBy("_same", start, end).orderBy(start))  # equal rows are interchangeable
+    rows = df.withColumn("_same", same).withColumn("_row", F.xxhash64("_same", twin)).drop("_same").withColumns({"_a": micros(start), "_b": micros(end)})
     pieces = rows.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_a") / width), F.floor((F.col("_b") - 1) / width))))
     low, high = F.greatest("_a", F.col("_bucket") * width), F.least("_b", (F.col("_bucket") + 1) * width)
     pieces = pieces.withColumns({"_low": low, "_high": high})
@@ -92,6 +95,4 @@ def split_at_states(df: DataFrame, states: DataFrame, key: list[str], fields: li
     types = dict(states.dtypes)
     unknown = rest.select(*names, "_row", F.col("_gap._s").alias("_s"), F.col("_gap._e").alias("_e"), *[F.lit(None).cast(types[f]).alias(f) for f in fields])
     joined = known.unionByName(unknown).withColumns({start: from_micros("_s"), end: from_micros("_e")}).drop("_s", "_e")
-    from .windows import coalesce_segments
-
     return coalesce_segments(joined, ["_row", *names], fields, start, end).drop("_row")

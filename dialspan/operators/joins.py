@@ -13,6 +13,11 @@ from ..functions.scalars import lon_arc, micros
 from .windows import SECOND
 
 
+def row_hash(columns: list[str]) -> Column:
+    """A number of a row's values that tells nulls in different columns apart (equal rows have one number)."""
+    return F.xxhash64(*[x for c in columns for x in (F.col(c).isNull(), F.col(c).cast("string"))])
+
+
 def asof_latest(left: DataFrame, right: DataFrame, key: list[str], fields: list[str], ts: str = "ts", ties: list[str] | None = None, strict: bool = False) -> DataFrame:
     """``left`` with ``fields`` and ``seen`` of the latest right row of its key at or before (``strict``: before) its time; of equal times the greatest ``ties``."""
     values = F.struct(F.col(ts).alias("seen"), *[F.col(c).alias(c) for c in fields])
@@ -72,7 +77,7 @@ def nearest_event(spans: DataFrame, events: DataFrame, key: list[str], ts: str =
         pick = (F.last if last else F.first)("_event", ignorenulls=True).over(frame)
         return a.unionByName(b).withColumn("_near", pick).where("_row IS NOT NULL").select("_row", F.col("_near").alias("_before" if last else "_after"))
 
-    spans_id = spans.withColumn("_row", F.xxhash64(*[F.col(c).cast("string") for c in spans.columns]))
+    spans_id = spans.withColumn("_row", row_hash(spans.columns))
     found = spans_id.join(carried(span[1], 1, True).dropDuplicates(["_row"]), "_row").join(carried(span[0], 0, False).dropDuplicates(["_row"]), "_row")
     back = F.when(F.col("_before").isNotNull(), F.greatest(micros(span[0]) - micros("_before"), F.lit(0)))
     ahead = F.when(F.col("_after").isNotNull(), F.greatest(micros("_after") - micros(span[1]), F.lit(0)))

@@ -2,106 +2,138 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import from_micros, haversine, micros
-from .joins import state_at, unique_window
-from .windows import SECOND, coalesce_segments
+from .joins import unique_window
+from .windows import SECOND
 
-#: Runs that one call of the walking function gets.
-RUNS = 1000
 LAYERS = ("device", "stun", "cti", "sip", "media", "app")
 
 
 def connectivity_timeline(events: DataFrame, bounds: DataFrame, key: list[str], ttl_us: int = 30 * SECOND) -> DataFrame:
     """Gap-free segments (key, lane, start, end, state) of six layers and the network lane between the bounds.
 
-    ``events``: key, ts, ord, layer, state; ``bounds``: key, begin, stop. The newest state of a layer
-    holds ``ttl_us``. The network is transient where up and down disagree, else down, up,
-    transient where something is merely uncertain, else unknown.
+    ``events``: key, ts, ord, layer, state and, if wanted, ``reason``, which segments then carry and differ by;
+    ``bounds``: key, begin, stop. Of equal times the greatest ``ord`` counts. The newest state of a layer holds
+    ``ttl_us``. The network is transient where up and down disagree, else down, up, transient where something is
+    merely uncertain, else unknown; its reason lists the layers that say so.
+
+    One shuffle by the key: the states of all layers are carried along its stamps and expiries, and
+    only what changes becomes a row of a lane.
     """
-    stamps = events.groupBy(*key, "layer", "ts").agg(F.max_by("state", "ord").alias("state"))
-    b = bounds.select(*key, micros("begin").alias("_b"), micros("stop").alias("_s"))
-    at = stamps.join(b, key).withColumn("_t", micros("ts")).where((F.col("_t") >= F.col("_b") - ttl_us) & (F.col("_t") < F.col("_s")))
-    by = Window.partitionBy(*key, "layer").orderBy("_t")
-    spans = at.withColumn("_e", F.least(F.col("_t") + ttl_us, F.coalesce(F.lead("_t").over(by), F.col("_t") + ttl_us)))
-    cuts = at.select(*key, "_b", "_s", F.explode(F.array("_t", F.col("_t") + ttl_us)).alias("_c")).where("_c > _b AND _c < _s").select(*key, "_c")
-    cuts = cuts.unionByName(b.select(*key, F.col("_b").alias("_c"))).unionByName(b.select(*key, F.col("_s").alias("_c"))).distinct()
-    pieces = cuts.withColumn("_n", F.lead("_c").over(Window.partitionBy(*key).orderBy("_c"))).where("_n IS NOT NULL")
-    lanes = pieces.withColumn("lane", F.explode(F.array(*[F.lit(x) for x in LAYERS])))
-    spans = spans.select(*key, F.col("layer").alias("lane"), "state", F.col("_t").alias("_from"), F.col("_e").alias("_to"))
-    width = ttl_us
-    spans = spans.withColumn("_k", F.explode(F.sequence(F.floor(F.col("_from") / width), F.floor((F.col("_to") - 1) / width)))).where("_from < _to")
-    met = lanes.withColumn("_k", F.floor(F.col("_c") / width)).join(spans, [*key, "lane", "_k"], "left")
-    hit = (F.col("_from") <= F.col("_c")) & (F.col("_to") > F.col("_c"))
-    full = met.groupBy(*key, "lane", "_c", "_n").agg(F.max(F.when(hit, F.col("state"))).alias("state")).withColumn("state", F.coalesce("state", F.lit("unknown")))
-    is_ = lambda layers, states: F.max(F.when(F.col("lane").isin(*layers) & F.col("state").isin(*states), True).otherwise(False))
-    net = full.groupBy(*key, "_c", "_n").agg(is_(("stun", "cti", "sip", "media"), ("up",)).alias("_u"), is_(("device", "stun"), ("down",)).alias("_d"), is_(("device", "stun"), ("transient", "available")).alias("_q"))
-    state = F.when(F.col("_u") & F.col("_d"), "transient").when(F.col("_d"), "down").when(F.col("_u"), "up").when(F.col("_q"), "transient").otherwise("unknown")
-    rows = full.unionByName(net.select(*key, F.lit("network").alias("lane"), "_c", "_n", state.alias("state")))
-    rows = rows.select(*key, "lane", from_micros("_c").alias("start"), from_micros("_n").alias("end"), "state")
-    return coalesce_segments(rows, [*key, "lane"], ["state"])
+    explained = "reason" in events.columns
+    value = F.struct("state", (F.col("reason") if explained else F.lit(None)).cast("string").alias("reason"))
+    said = events.where(F.col("layer").isin(*LAYERS)).select(*key, micros("ts").alias("_t"), "layer", F.struct("ord", value.alias("v")).alias("_said"))
+    ends = said.select(*key, (F.col("_t") + ttl_us).alias("_t"))
+    edges = bounds.select(*key, micros("begin").alias("_t"), micros("begin").alias("_begin"), micros("stop").alias("_stop"))
+    stamps = said.unionByName(ends, allowMissingColumns=True).unionByName(edges, allowMissingColumns=True).repartition(*key)
+    own = [F.max(F.when(F.col("layer") == x, F.col("_said"))).alias(f"_{x}") for x in LAYERS]
+    stamps = stamps.groupBy(*key, "_t").agg(*own, F.max("_begin").alias("_begin"), F.max("_stop").alias("_stop"))
+    whole, before = Window.partitionBy(*key), Window.partitionBy(*key).orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
+    carried = {f"_{x}": F.last(F.when(F.col(f"_{x}").isNotNull(), F.struct(F.col("_t").alias("at"), F.col(f"_{x}.v").alias("v"))), ignorenulls=True).over(before) for x in LAYERS}
+    stamps = stamps.withColumns(carried | {"_begin": F.max("_begin").over(whole), "_stop": F.max("_stop").over(whole)})
+    stamps = stamps.where("_t >= _begin AND _t < _stop")
+    unknown = F.struct(F.lit("unknown").alias("state"), F.lit(None).cast("string").alias("reason"))
+    live = {f"_{x}": F.coalesce(F.when(F.col(f"_{x}.at") + ttl_us > F.col("_t"), F.col(f"_{x}.v")), unknown) for x in LAYERS}
+    stamps = stamps.withColumns(live).withColumn("_network", network_lane(explained))
+    following = Window.partitionBy(*key).orderBy("_t")
+    lanes = [F.struct(F.lit(x).alias("lane"), F.col(f"_{x}").alias("v"), (~F.lag(f"_{x}").over(following).eqNullSafe(F.col(f"_{x}"))).alias("new")) for x in (*LAYERS, "network")]
+    rows = stamps.select(*key, "_t", "_stop", F.array(*lanes).alias("_l"))
+    rows = rows.select(*key, "_t", "_stop", F.explode(F.filter("_l", lambda x: x["new"])).alias("_l")).select(*key, "_t", "_stop", "_l.lane", "_l.v")
+    until = F.coalesce(F.lead("_t").over(Window.partitionBy(*key, "lane").orderBy("_t")), F.col("_stop"))
+    rows = rows.select(*key, "lane", from_micros("_t").alias("start"), from_micros(until).alias("end"), "v.*")
+    return rows if explained else rows.drop("reason")
+
+
+def network_lane(explained: bool) -> Column:
+    """State and reason of the network from the states of the layers."""
+    says = {
+        "_up": [(x, ("up",)) for x in ("stun", "cti", "sip", "media")],
+        "_down": [(x, ("down",)) for x in ("device", "stun")],
+        "_unsure": [(x, ("transient", "available")) for x in ("device", "stun")],
+    }
+    named = {n: F.array_compact(F.array(*[F.when(F.col(f"_{x}.state").isin(*states), F.lit(x)) for x, states in rules])) for n, rules in says.items()}
+    is_ = {n: F.size(layers) > 0 for n, layers in named.items()}
+    cases = [
+        (is_["_up"] & is_["_down"], "transient", F.concat(named["_up"], named["_down"])),
+        (is_["_down"], "down", named["_down"]),
+        (is_["_up"], "up", named["_up"]),
+        (is_["_unsure"], "transient", named["_unsure"]),
+    ]
+    state, reason = F.lit("unknown"), F.lit(None).cast("string")
+    for holds, name, layers in reversed(cases):
+        state = F.when(holds, name).otherwise(state)
+        reason = F.when(holds, F.array_join(layers, ",")).otherwise(reason)
+    return F.struct(state.alias("state"), (reason if explained else F.lit(None).cast("string")).alias("reason"))
 
 
 def movement_sequences(fixes: DataFrame, key: str = "import_id", gap_us: int = 30 * SECOND, speed: float = 150.0) -> DataFrame:
-    """Fresh fixes in sequences, with ordinal and the reason a sequence began.
+    """Kept fixes in sequences (``part``), with ordinal and, on a sequence's first, the reason it began.
 
     ``fixes``: key, t_us, ok (one unambiguous fix at the time), latitude, longitude, accuracy, elapsed,
-    elapsed_s. A gap in time begins a sequence whatever was kept before it, so that runs without one
-    are the groups that are walked.
+    elapsed_s. A fix that isn't ok is a barrier. A fix that repeats the elapsed text of the one before
+    (within the gap) is a delivery of the same fix: it is left out, and is a barrier, too, if its place
+    differs. Between kept fixes a barrier, an elapsed time running back, a gap or a jump (farther than
+    ``speed`` and both accuracies allow) begins a sequence; the reason is the first of these that holds.
+
+    Sorted windows of one partitioning by key; only the few rows of an island of repeats are folded
+    (an island ends at a gap, so that it is as long as one fix was delivered again).
     """
     by = Window.partitionBy(key).orderBy("t_us")
-    rows = fixes.withColumn("_far", F.coalesce(F.col("t_us") - F.lag("t_us").over(by) > gap_us, F.lit(True)))
-    rows = rows.withColumn("_run", F.sum(F.when(F.col("_far"), 1).otherwise(0)).over(by))
-    schema = f"{key} string, t_us long, latitude double, longitude double, run long, part long, ordinal long, reason string"
-
-    def walk(batch: pd.DataFrame) -> pd.DataFrame:
-        out, last, part, n, why, run = [], None, 0, 0, None, None
-        for f in batch.sort_values("t_us").itertuples(index=False):
-            if f.run != run:
-                run, last, part, why = f.run, None, 0, "time_gap" if f.run > 1 else "first_sample"
-            if not f.ok:
-                last, why = None, "ambiguous_or_invalid"
-                continue
-            if last is not None:
-                same = isinstance(f.elapsed, str) and f.elapsed != "" and f.elapsed == last.elapsed
-                if same:
-                    if (f.latitude, f.longitude) != (last.latitude, last.longitude):
-                        last, why = None, "conflicting_fix"
-                    continue
-                gap = (f.t_us - last.t_us) / 1e6
-                far = _distance(last, f)
-                reach = speed * gap + sum(x for x in (last.accuracy, f.accuracy) if x == x and x is not None)
-                if gap > gap_us / 1e6:
-                    last, why = None, "time_gap"
-                elif gap <= 0 or far > reach:
-                    last, why = None, "implausible_jump"
-                elif f.elapsed_s == f.elapsed_s and last.elapsed_s == last.elapsed_s and f.elapsed_s is not None and last.elapsed_s is not None and f.elapsed_s < last.elapsed_s:
-                    last, why = None, "monotonic_reset"
-            if last is None:
-                part, n, reason = part + 1, 0, why
-            n += 1
-            out.append((getattr(f, key), f.t_us, f.latitude, f.longitude, int(f.run), part, n, reason if n == 1 else None))
-            last = f
-        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-
-    columns = [key, "t_us", "ok", "latitude", "longitude", "accuracy", "elapsed", "elapsed_s"]
-    rows = rows.select(*columns, F.col("_run").alias("run"), F.floor(F.col("_run") / RUNS).alias("_part"))
-    return rows.groupBy(key, "_part").applyInPandas(walk, schema)
-
-
-def _distance(a, b) -> float:  # noqa: ANN001
-    p, q = math.radians(a.latitude), math.radians(b.latitude)
-    h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b.longitude - a.longitude) / 2) ** 2
-    return 2 * 6_371_000.0 * math.asin(math.sqrt(min(1.0, h)))
-
-
-def implausible(lat1: Column, lon1: Column, lat2: Column, lon2: Column, seconds: Column, speed: float = 150.0) -> Column:
-    return haversine(lat1, lon1, lat2, lon2) > speed * seconds
+    text = F.nullif(F.col("elapsed"), F.lit(""))
+    again = F.col("ok") & F.lag("ok").over(by) & text.eqNullSafe(F.lag(text).over(by)) & text.isNotNull() & (F.col("t_us") - F.lag("t_us").over(by) <= gap_us)
+    rows = fixes.withColumn("_island", F.sum(F.when(F.coalesce(again, F.lit(False)), 0).otherwise(1)).over(by))
+    island = Window.partitionBy(key, "_island")
+    first = island.orderBy("t_us").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({
+        "_many": F.count("*").over(island),
+        "_plain": (F.max("t_us").over(island) - F.min("t_us").over(island) <= gap_us) & (F.min("latitude").over(island) == F.max("latitude").over(island)) & (F.min("longitude").over(island) == F.max("longitude").over(island)),
+        "_nth": F.row_number().over(island.orderBy("t_us")),
+    })
+    rows = rows.withColumn("_seen", F.collect_list(F.when(~F.col("_plain"), F.struct("t_us", "latitude", "longitude"))).over(first))
+    mark = (
+        F.when(~F.col("ok"), "ambiguous_or_invalid")
+        .when((F.col("_many") == 1) | (F.col("_nth") == 1), "kept")
+        .when(F.col("_plain"), "left_out")
+        .otherwise(repeat_mark(F.col("_seen"), gap_us))
+    )
+    rows = rows.withColumn("_mark", mark).where("_mark <> 'left_out'")
+    barrier = F.when(F.col("_mark") != "kept", F.struct("t_us", F.col("_mark").alias("why")))
+    rows = rows.withColumn("_barrier", F.last(barrier, ignorenulls=True).over(by)).where("_mark = 'kept'")
+    rows = rows.withColumns({f"_p{c}": F.lag(c).over(by) for c in ("t_us", "latitude", "longitude", "accuracy", "elapsed_s")})
+    gap = F.col("t_us") - F.col("_pt_us")
+    reach = speed * gap / 1e6 + F.coalesce("accuracy", F.lit(0.0)) + F.coalesce("_paccuracy", F.lit(0.0))
+    reason = (
+        F.when(F.col("_barrier").isNotNull() & (F.col("_pt_us").isNull() | (F.col("_barrier.t_us") > F.col("_pt_us"))), F.col("_barrier.why"))
+        .when(F.col("_pt_us").isNull(), "first_sample")
+        .when(F.col("elapsed_s") < F.col("_pelapsed_s"), "monotonic_reset")
+        .when(gap > gap_us, "time_gap")
+        .when((gap <= 0) | (haversine("_platitude", "_plongitude", "latitude", "longitude") > reach), "implausible_jump")
+    )
+    rows = rows.withColumn("reason", reason)
+    rows = rows.withColumn("part", F.sum(F.when(F.col("reason").isNotNull(), 1).otherwise(0)).over(by))
+    ordinal = F.row_number().over(Window.partitionBy(key, "part").orderBy("t_us")).cast("long")
+    return rows.select(F.col(key).cast("string").alias(key), "t_us", "latitude", "longitude", "part", ordinal.alias("ordinal"), "reason")
+
+
+def repeat_mark(seen: Column, gap_us: int) -> Column:
+    """What the last of an island's fixes is, from all of them up to it: kept, left_out, or conflicting_fix.
+
+    The fold carries the last kept fix: one more than the gap later is kept, one at its place is left out,
+    any other ends it, and the next one is kept again.
+    """
+    start = F.struct(F.lit(None).cast("struct<t_us:bigint,latitude:double,longitude:double>").alias("last"), F.lit("kept").alias("mark"))
+
+    def step(state: Column, fix: Column) -> Column:
+        last = state["last"]
+        free = last.isNull() | (fix["t_us"] - last["t_us"] > gap_us)
+        same = (fix["latitude"] == last["latitude"]) & (fix["longitude"] == last["longitude"])
+        nothing = F.lit(None).cast("struct<t_us:bigint,latitude:double,longitude:double>")
+        return F.struct(F.when(free, fix).when(same, last).otherwise(nothing).alias("last"), F.when(free, "kept").when(same, "left_out").otherwise("conflicting_fix").alias("mark"))
+
+    return F.aggregate(seen, start, step, lambda state: state["mark"])
 
 
 def notices_to_calls(notices: DataFrame, windows: DataFrame, signature: list[str], row_id: str) -> DataFrame:
@@ -133,10 +165,3 @@ def matches(fields: dict[str, str]) -> Column:
         if value != "all":
             out = out & (F.coalesce(F.col(name), F.lit("unknown")) == value)
     return out
-
-
-def network_of(rows: DataFrame, states: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
-    """``rows`` with the network that was last declared less than 30 s before; unknown where that is contested."""
-    return state_at(rows, states, key, fields)
-
-

@@ -11,6 +11,8 @@ import math
 import re
 import struct
 from collections.abc import Iterator
+from datetime import datetime
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -19,70 +21,276 @@ from pyspark.sql import functions as F
 DOMAIN = ["source_id", "session_id", "boot_id"]
 ISSUES = "array<string>"
 
-# Fields of each kind of payload. ``!`` is required, ``?`` may be null; num and int
-# have their least and greatest value; ``a|b`` is one of these words.
-STREAM = "call_id!token sip_call_id!?str stream_id!token ssrc!int:0:4294967295 direction!local_receive|local_send"
-PAYLOADS = {
-    "session": "platform!android|ios|windows|macos|linux|other os_version!str app_version!str media_version!str device_model?str clock_uncertainty_ms!?num:0 capabilities!list",
-    "position": "trajectory_id!token fix_id!token fix_utc!?time fix_mono_ms!num:0 latitude!num:-90:90 longitude!num:-180:180 accuracy_m!?num:0 provider!str cached!bool speed_mps!?num:0 speed_accuracy_mps!?num:0 bearing_deg!?num:0:359.999999 bearing_accuracy_deg!?num:0:180 altitude_m?num",
-    "network": "network_id!token scope!media_path|system_default stream_id!?token access!cellular|wifi|ethernet|other|unknown upstream!mobile_direct|tethering|onboard_wifi|fixed|unknown upstream_basis!observed|declared|unknown subscription_id!?token sim_operator!?str serving_operator!?str radio_technology!?str wifi_network_id!?token wifi_ap_id!?token vpn!?bool metered?bool signals!list",
-    "media_interval": "stream!stream network_id!?token config_id!token counter_epoch!token start_mono_ms!num:0 end_mono_ms!num:0 expected_packets!int:0 received_unique_packets!int:0 duplicate_packets?int:0 reordered_packets?int:0 missing_at_deadline_packets?int:0 late_packets?int:0 discarded_late_packets?int:0 discarded_overflow_packets?int:0 missing_sequence_events?int:0 skipped_media_ms?num:0 skipped_silence_ms?num:0 concealed_media_ms?num:0 inserted_media_ms?num:0 fec_recovered_packets?int:0 buffer_current_ms?num:0 buffer_target_ms?num:0 loss_runs_packets?list semantics_id!token complete!bool",
-    "media_config": "stream!stream config_id!token codec!str rtp_clock_hz!int:1 packet_duration_ms!num:0.001 channels!int:1:64 plc!str fec!str redundancy!str dtx!bool jitter_buffer_mode!str jitter_target_ms!?num:0",
-    "rtcp": "stream!stream transport_direction!sent|received packet_hex!hex",
-    "collection": "subsystem!position|network|media|clock|logger status!started|stopped|unavailable|permission_denied|suspended|resumed|clock_change|dropped_events reason!str dropped_events!?int:0",
-    "action": "stream!stream action_id!token phase!requested|applied|failed|reverted reason!str prediction_id!?token old_config_id!token new_config_id!token",
-    "packet": "stream!stream sequence!int:0:65535 rtp_timestamp!int:0:4294967295 size_bytes!int:0 status!sent|received|discarded|played|missing reason!?str deadline_mono_ms!?num:0",
-    "api_request": "request_id!token phase!started|succeeded|timeout|failed start_mono_ms!num:0 end_mono_ms!?num:0 response_plan!?plan reason!?str",
-    "plan_received": "request_id!token plan!plan issued_utc!time expires_utc!time valid_until_mono_ms!num:0 route_id!token confidence!num:0:1 horizon_m!num:0 horizon_ms!num:0 content_sha256!sha document!object fallback_profile_id!token",
-    "plan_state": "plan!plan state!activated|replaced|expired|route_deviation|position_uncertain|fallback|resumed|stale_rejected segment_id!?token profile_id!?token reason!str position_basis!measured|estimated|unavailable position_event_id!?token position_uncertainty_m!?num:0",
-}
-ADDED = {
-    "action": "plan!?plan trigger!api|plan_progress|local_feedback|fallback|manual",
-    "media_interval": "sequence_first?int:0 sequence_last?int:0 received_in_window_packets?int:0",
-}
-NEW_KINDS = ("api_request", "plan_received", "plan_state")
-ENVELOPE = "schema!str type!str event_id!token source_id!token session_id!token boot_id!token seq!int:0 role!app|gw observed_utc!time mono_ms!num:0 validity!valid|invalid invalid_reason!?str payload!object extensions?object"
-PATTERNS = {"token": r"[A-Za-z0-9_.:@/+-]{1,128}", "time": r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d{1,6})?Z", "hex": r"(?:[0-9a-fA-F]{2}){4,16384}", "sha": r"[0-9a-f]{64}", "str": r"(?s).{1,256}"}
-_FIELD = re.compile(r"(\w+)(!?\??)(\S+)")
+Kind = tuple  # (name of a kind of value, its parameters)
+TOKEN, TEXT, TIME, FLAG, ANY_OBJECT = ("pattern", r"[A-Za-z0-9_.:@/+-]{1,128}"), ("text", 256), ("time",), ("flag",), ("object", None)
+HEX_BYTES, SHA256 = ("pattern", r"(?:[0-9a-fA-F]{2}){4,16384}"), ("pattern", r"[0-9a-f]{64}")
+NUMBER, AMOUNT, COUNT = ("number", None, None), ("number", 0, None), ("whole", 0, None)
+
+
+class Field(NamedTuple):
+    """A field of a record: its kind of value, whether it must be there, and whether it may be null."""
+
+    kind: Kind
+    required: bool = True
+    nullable: bool = False
+
+
+def must(*kind: object) -> Field:
+    return Field(kind)
+
 
+def may_be_null(*kind: object) -> Field:
+    """A field that must be there and may be null."""
+    return Field(kind, nullable=True)
 
-def fields(spec: str) -> dict[str, tuple[bool, bool, str]]:
-    return {n: ("!" in mark, "?" in mark, kind) for n, mark, kind in (_FIELD.fullmatch(x).groups() for x in spec.split())}
 
+def optional(*kind: object) -> Field:
+    """A field that may be left out, or be null."""
+    return Field(kind, required=False, nullable=True)
 
-SPECS = {k: fields(v) for k, v in PAYLOADS.items()} | {f"{k}+": fields(f"{PAYLOADS[k]} {v}") for k, v in ADDED.items()} | {"": fields(ENVELOPE), "stream": fields(STREAM), "plan": fields("plan_id!token revision!int:0")}
 
+def one_of(*words: str) -> Kind:
+    return ("word", *words)
 
-def problems(value: object, spec: str, path: str) -> list[str]:
-    """What is wrong with an object of one kind; unknown fields are."""
+
+# The records of the telemetry contract, one entry a field.
+STREAM = {
+    "call_id": must(*TOKEN),
+    "sip_call_id": may_be_null(*TEXT),
+    "stream_id": must(*TOKEN),
+    "ssrc": must("whole", 0, 4294967295),
+    "direction": must(*one_of("local_receive", "local_send")),
+}
+PLAN = {"plan_id": must(*TOKEN), "revision": must(*COUNT)}
+CAPABILITY = {"name": must(*TEXT), "status": must(*one_of("available", "unsupported", "permission_denied", "disabled"))}
+SIGNAL = {"name": must(*TEXT), "value": must(*NUMBER), "unit": must(*one_of("dBm", "dB", "asu", "raw"))}
+SESSION = {
+    "platform": must(*one_of("android", "ios", "windows", "macos", "linux", "other")),
+    "os_version": must(*TEXT),
+    "app_version": must(*TEXT),
+    "media_version": must(*TEXT),
+    "device_model": optional(*TEXT),
+    "clock_uncertainty_ms": may_be_null(*AMOUNT),
+    "capabilities": must("list", 64, ("object", CAPABILITY)),
+}
+POSITION = {
+    "trajectory_id": must(*TOKEN),
+    "fix_id": must(*TOKEN),
+    "fix_utc": may_be_null(*TIME),
+    "fix_mono_ms": must(*AMOUNT),
+    "latitude": must("number", -90, 90),
+    "longitude": must("number", -180, 180),
+    "accuracy_m": may_be_null(*AMOUNT),
+    "provider": must(*TEXT),
+    "cached": must(*FLAG),
+    "speed_mps": may_be_null(*AMOUNT),
+    "speed_accuracy_mps": may_be_null(*AMOUNT),
+    "bearing_deg": may_be_null("number", 0, 359.999999),
+    "bearing_accuracy_deg": may_be_null("number", 0, 180),
+    "altitude_m": optional(*NUMBER),
+}
+NETWORK = {
+    "network_id": must(*TOKEN),
+    "scope": must(*one_of("media_path", "system_default")),
+    "stream_id": may_be_null(*TOKEN),
+    "access": must(*one_of("cellular", "wifi", "ethernet", "other", "unknown")),
+    "upstream": must(*one_of("mobile_direct", "tethering", "onboard_wifi", "fixed", "unknown")),
+    "upstream_basis": must(*one_of("observed", "declared", "unknown")),
+    "subscription_id": may_be_null(*TOKEN),
+    "sim_operator": may_be_null(*TEXT),
+    "serving_operator": may_be_null(*TEXT),
+    "radio_technology": may_be_null(*TEXT),
+    "wifi_network_id": may_be_null(*TOKEN),
+    "wifi_ap_id": may_be_null(*TOKEN),
+    "vpn": may_be_null(*FLAG),
+    "metered": optional(*FLAG),
+    "signals": must("list", 16, ("object", SIGNAL)),
+}
+MEDIA_INTERVAL = {
+    "stream": must("object", STREAM),
+    "network_id": may_be_null(*TOKEN),
+    "config_id": must(*TOKEN),
+    "counter_epoch": must(*TOKEN),
+    "start_mono_ms": must(*AMOUNT),
+    "end_mono_ms": must(*AMOUNT),
+    "expected_packets": must(*COUNT),
+    "received_unique_packets": must(*COUNT),
+    "duplicate_packets": optional(*COUNT),
+    "reordered_packets": optional(*COUNT),
+    "missing_at_deadline_packets": optional(*COUNT),
+    "late_packets": optional(*COUNT),
+    "discarded_late_packets": optional(*COUNT),
+    "discarded_overflow_packets": optional(*COUNT),
+    "missing_sequence_events": optional(*COUNT),
+    "skipped_media_ms": optional(*AMOUNT),
+    "skipped_silence_ms": optional(*AMOUNT),
+    "concealed_media_ms": optional(*AMOUNT),
+    "inserted_media_ms": optional(*AMOUNT),
+    "fec_recovered_packets": optional(*COUNT),
+    "buffer_current_ms": optional(*AMOUNT),
+    "buffer_target_ms": optional(*AMOUNT),
+    "loss_runs_packets": optional("list", 4096, ("whole", 1, None)),
+    "semantics_id": must(*TOKEN),
+    "complete": must(*FLAG),
+}
+MEDIA_CONFIG = {
+    "stream": must("object", STREAM),
+    "config_id": must(*TOKEN),
+    "codec": must(*TEXT),
+    "rtp_clock_hz": must("whole", 1, None),
+    "packet_duration_ms": must("number", 0.001, None),
+    "channels": must("whole", 1, 64),
+    "plc": must(*TEXT),
+    "fec": must(*TEXT),
+    "redundancy": must(*TEXT),
+    "dtx": must(*FLAG),
+    "jitter_buffer_mode": must(*TEXT),
+    "jitter_target_ms": may_be_null(*AMOUNT),
+}
+RTCP = {"stream": must("object", STREAM), "transport_direction": must(*one_of("sent", "received")), "packet_hex": must(*HEX_BYTES)}
+COLLECTION = {
+    "subsystem": must(*one_of("position", "network", "media", "clock", "logger")),
+    "status": must(*one_of("started", "stopped", "unavailable", "permission_denied", "suspended", "resumed", "clock_change", "dropped_events")),
+    "reason": must(*TEXT),
+    "dropped_events": optional(*COUNT),
+}
+ACTION = {
+    "stream": must("object", STREAM),
+    "action_id": must(*TOKEN),
+    "phase": must(*one_of("requested", "applied", "failed", "reverted")),
+    "reason": must(*TEXT),
+    "prediction_id": may_be_null(*TOKEN),
+    "old_config_id": must(*TOKEN),
+    "new_config_id": must(*TOKEN),
+}
+PACKET = {
+    "stream": must("object", STREAM),
+    "sequence": must("whole", 0, 65535),
+    "rtp_timestamp": must("whole", 0, 4294967295),
+    "size_bytes": must(*COUNT),
+    "status": must(*one_of("sent", "received", "discarded", "played", "missing")),
+    "reason": may_be_null(*TEXT),
+    "deadline_mono_ms": may_be_null(*AMOUNT),
+}
+API_REQUEST = {
+    "request_id": must(*TOKEN),
+    "phase": must(*one_of("started", "succeeded", "timeout", "failed")),
+    "start_mono_ms": must(*AMOUNT),
+    "end_mono_ms": may_be_null(*AMOUNT),
+    "response_plan": may_be_null("object", PLAN),
+    "reason": may_be_null(*TEXT),
+}
+PLAN_RECEIVED = {
+    "request_id": must(*TOKEN),
+    "plan": must("object", PLAN),
+    "issued_utc": must(*TIME),
+    "expires_utc": must(*TIME),
+    "valid_until_mono_ms": must(*AMOUNT),
+    "route_id": must(*TOKEN),
+    "confidence": must("number", 0, 1),
+    "horizon_m": must(*AMOUNT),
+    "horizon_ms": must(*AMOUNT),
+    "content_sha256": must(*SHA256),
+    "document": must(*ANY_OBJECT),
+    "fallback_profile_id": must(*TOKEN),
+}
+PLAN_STATE = {
+    "plan": must("object", PLAN),
+    "state": must(*one_of("activated", "replaced", "expired", "route_deviation", "position_uncertain", "fallback", "resumed", "stale_rejected")),
+    "segment_id": may_be_null(*TOKEN),
+    "profile_id": may_be_null(*TOKEN),
+    "reason": must(*TEXT),
+    "position_basis": must(*one_of("measured", "estimated", "unavailable")),
+    "position_event_id": may_be_null(*TOKEN),
+    "position_uncertainty_m": may_be_null(*AMOUNT),
+}
+ENVELOPE = {
+    "schema": must(*TEXT),
+    "type": must(*TEXT),
+    "event_id": must(*TOKEN),
+    "source_id": must(*TOKEN),
+    "session_id": must(*TOKEN),
+    "boot_id": must(*TOKEN),
+    "seq": must(*COUNT),
+    "role": must(*one_of("app", "gw")),
+    "observed_utc": must(*TIME),
+    "mono_ms": must(*AMOUNT),
+    "validity": must(*one_of("valid", "invalid")),
+    "invalid_reason": may_be_null(*TEXT),
+    "payload": must(*ANY_OBJECT),
+    "extensions": optional(*ANY_OBJECT),
+}
+PAYLOADS = {
+    "session": SESSION, "position": POSITION, "network": NETWORK, "media_interval": MEDIA_INTERVAL, "media_config": MEDIA_CONFIG,
+    "rtcp": RTCP, "collection": COLLECTION, "action": ACTION, "packet": PACKET,
+}
+#: Kinds and fields that version 1.1 adds.
+NEW_PAYLOADS = {"api_request": API_REQUEST, "plan_received": PLAN_RECEIVED, "plan_state": PLAN_STATE}
+NEW_FIELDS = {
+    "action": {"plan": may_be_null("object", PLAN), "trigger": must(*one_of("api", "plan_progress", "local_feedback", "fallback", "manual"))},
+    "media_interval": {"sequence_first": optional(*COUNT), "sequence_last": optional(*COUNT), "received_in_window_packets": optional(*COUNT)},
+}
+
+
+def payload_fields(kind: str, newer: bool) -> dict[str, Field] | None:
+    """The fields of a kind of payload in a version; None for an unknown kind."""
+    if kind in PAYLOADS:
+        return PAYLOADS[kind] | (NEW_FIELDS.get(kind, {}) if newer else {})
+    return NEW_PAYLOADS.get(kind) if newer else None
+
+
+def problems(value: object, known: dict[str, Field], path: str) -> list[str]:
+    """What is wrong with an object; unknown fields are."""
     if not isinstance(value, dict):
         return [f"{path}: not an object"]
-    known = SPECS[spec]
     out = [f"{path}.{n}: unknown" for n in value if n not in known]
-    for name, (required, nullable, kind) in known.items():
+    for name, field in known.items():
         at = f"{path}.{name}"
         if name not in value:
-            out += [f"{at}: missing"] if required else []
+            out += [f"{at}: missing"] if field.required else []
         elif value[name] is None:
-            out += [] if nullable or not required else [f"{at}: null"]
-        elif kind in ("stream", "plan"):
-            out += problems(value[name], kind, at)
+            out += [] if field.nullable else [f"{at}: null"]
         else:
-            out += [] if fits(value[name], kind) else [f"{at}: invalid"]
+            out += misfits(value[name], field.kind, at)
     return out
 
 
-def fits(x: object, kind: str) -> bool:
-    base, *limits = kind.split(":")
-    if base in ("num", "int"):
-        if isinstance(x, bool) or not isinstance(x, int if base == "int" else (int, float)) or not math.isfinite(x):
-            return False
-        return x >= float(limits[0]) and (len(limits) < 2 or x <= float(limits[1])) if limits else True
-    if base in ("bool", "list", "object"):
-        return isinstance(x, {"bool": bool, "list": list, "object": dict}[base])
-    if not isinstance(x, str):
+def misfits(x: object, kind: Kind, at: str) -> list[str]:
+    """What is wrong with a value of a kind, down to the members of lists and objects."""
+    name, *rest = kind
+    if name == "object" and rest[0] is not None:
+        return problems(x, rest[0], at)
+    if name == "list" and isinstance(x, list) and len(x) <= rest[0]:
+        return [issue for i, member in enumerate(x) for issue in misfits(member, rest[1], f"{at}[{i}]")]
+    return [] if CHECKS[name](x, *rest) else [f"{at}: invalid"]
+
+
+def within(x: object, types: type | tuple[type, ...], least: float | None, most: float | None) -> bool:
+    number = isinstance(x, types) and not isinstance(x, bool) and math.isfinite(x)
+    return number and (least is None or x >= least) and (most is None or x <= most)
+
+
+def is_time(x: object) -> bool:
+    """A time of the calendar in UTC, to the microsecond at most."""
+    if not isinstance(x, str) or not re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d{1,6})?Z", x):
+        return False
+    try:
+        return datetime.fromisoformat(x) is not None
+    except ValueError:
         return False
-    return re.fullmatch(PATTERNS[base], x) is not None if base in PATTERNS else x in base.split("|")
+
+
+CHECKS = {
+    "number": lambda x, least, most: within(x, (int, float), least, most),
+    "whole": lambda x, least, most: within(x, int, least, most),
+    "text": lambda x, most: isinstance(x, str) and 1 <= len(x) <= most,
+    "pattern": lambda x, pattern: isinstance(x, str) and re.fullmatch(pattern, x) is not None,
+    "word": lambda x, *words: isinstance(x, str) and x in words,
+    "flag": lambda x: isinstance(x, bool),
+    "object": lambda x, _: isinstance(x, dict),
+    "list": lambda x, *_: False,  # no list, or too long a one
+    "time": is_time,
+}
 
 
 def line_issues(raw: str) -> list[str]:
@@ -91,14 +299,14 @@ def line_issues(raw: str) -> list[str]:
         body = json.loads(raw)
     except ValueError:
         return ["$: not JSON"]
-    out = problems(body, "", "$")
+    out = problems(body, ENVELOPE, "$")
     if not isinstance(body, dict) or not isinstance(body.get("payload"), dict):
         return out
-    kind, version, payload = body.get("type"), str(body.get("schema")), body["payload"]
-    newer = version.endswith("/1.1")
-    if kind not in PAYLOADS or (kind in NEW_KINDS and not newer):
+    kind, payload = body.get("type"), body["payload"]
+    known = payload_fields(kind, str(body.get("schema")).endswith("/1.1")) if isinstance(kind, str) else None
+    if known is None:
         return [*out, "$.type: unknown"]
-    out += problems(payload, f"{kind}+" if newer and kind in ADDED else kind, "$.payload")
+    out += problems(payload, known, "$.payload")
     if (body.get("validity") == "invalid") != (body.get("invalid_reason") is not None):
         out.append("$.invalid_reason: disagrees with validity")
     if kind == "media_interval" and not out:
@@ -121,33 +329,45 @@ def validate_telemetry(lines: DataFrame, raw: str = "raw") -> DataFrame:
     return lines.drop("issues").mapInArrow(run, f"{schema}, issues {ISSUES}")
 
 
+class Malformed(ValueError):
+    """A packet that breaks the rules of RTCP; the text names the rule."""
+
+
+#: RFC 3550: the header of a packet, and a report block as (source, cumulative loss, highest sequence number).
+RTCP_HEADER, REPORT_BLOCK = struct.Struct("!BBH"), struct.Struct("!Ix3sI12x")
+#: Bytes before the report blocks of sender and receiver reports, the reporter's own source in the first word.
+REPORT_HEAD = {200: 24, 201: 4}
+
+
+def split_compound(data: bytes) -> list[tuple[int, int, bytes]]:
+    """(type, count, body) of the packets of a compound one; only the last may be padded."""
+    packets, rest = [], data
+    while rest:
+        if len(rest) < RTCP_HEADER.size:
+            raise Malformed("rtcp_truncated")
+        flags, kind, words = RTCP_HEADER.unpack_from(rest)
+        body, following = rest[RTCP_HEADER.size : RTCP_HEADER.size + 4 * words], rest[RTCP_HEADER.size + 4 * words :]
+        if flags >> 6 != 2 or len(body) < 4 * words:
+            raise Malformed("rtcp_framing")
+        if flags & 0x20:
+            if following or not body or not 0 < body[-1] <= len(body):
+                raise Malformed("rtcp_padding")
+            body = body[: len(body) - body[-1]]
+        packets.append((kind, flags & 0x1F, body))
+        rest = following
+    return packets
+
+
 def report_blocks(data: bytes) -> tuple[list[tuple[int, int, int, int]], str | None]:
-    """(reporter, ssrc, lost, highest) of the report blocks of a compound packet, or the error of its framing."""
-    out, at = [], 0
-    while at < len(data):
-        if len(data) - at < 4:
-            return [], "rtcp_truncated"
-        head, kind, words = struct.unpack_from("!BBH", data, at)
-        size = 4 * (words + 1)
-        if head >> 6 != 2 or at + size > len(data):
-            return [], "rtcp_framing"
-        packet = data[at : at + size]
-        if head & 0x20:
-            pad = packet[-1]
-            if at + size != len(data) or not 0 < pad <= size - 4:
-                return [], "rtcp_padding"
-            packet = packet[:-pad]
-        if kind in (200, 201):
-            base = {200: 28, 201: 8}[kind]
-            if len(packet) < base + 24 * (head & 31):
-                return [], "rtcp_report_truncated"
-            reporter = int.from_bytes(packet[4:8], "big")
-            for i in range(head & 31):
-                ssrc, mixed, highest = struct.unpack_from("!III", packet, base + 24 * i)
-                lost = mixed & 0xFFFFFF
-                out.append((reporter, ssrc, lost - (lost >> 23 << 24), highest))
-        at += size
-    return out, None
+    """(reporter, ssrc, lost, highest) of the report blocks of a compound packet, or what is wrong with it."""
+    try:
+        reports = [(REPORT_HEAD[kind], count, body) for kind, count, body in split_compound(data) if kind in REPORT_HEAD]
+        if any(len(body) < head + count * REPORT_BLOCK.size for head, count, body in reports):
+            raise Malformed("rtcp_report_truncated")
+    except Malformed as wrong:
+        return [], str(wrong)
+    blocks = [(int.from_bytes(body[:4], "big"), *block) for head, count, body in reports for block in REPORT_BLOCK.iter_unpack(body[head : head + count * REPORT_BLOCK.size])]
+    return [(reporter, ssrc, int.from_bytes(lost, "big", signed=True), highest) for reporter, ssrc, lost, highest in blocks], None
 
 
 def decode_rtcp(packets: DataFrame, column: str = "packet") -> DataFrame:
@@ -196,10 +416,10 @@ def media_intervals(windows: DataFrame, configs: DataFrame, gaps: DataFrame, sem
     """
     key = [*DOMAIN, "stream_id"]
     one = configs.groupBy(*key, "config_id").agg(F.countDistinct("body").alias("_bodies"), F.min("mono_ms").alias("_since"))
-    rows = windows.withColumn("_id", F.xxhash64(*[F.col(c).cast("string") for c in windows.columns])).join(one, [*key, "config_id"], "left")
-    inside = lambda marks, k: rows.select("_id", *k, "start_ms", "end_ms").join(marks.select(*k, F.col("mono_ms").alias("_m")), k).where("_m > start_ms AND _m < end_ms").select("_id").distinct().withColumn("_cut", F.lit(True))
-    cut = inside(configs, key).unionByName(inside(gaps, DOMAIN)).distinct()
-    rows = rows.join(cut, "_id", "left")
+    rows = windows.join(one, [*key, "config_id"], "left")
+    for marks, by, name in ((configs, key, "_c"), (gaps, DOMAIN, "_g")):
+        rows = next_mark(rows, marks, by, name)
+    rows = rows.withColumn("_cut", (F.col("_c") < F.col("end_ms")) | (F.coalesce(F.col("_g") < F.col("end_ms"), F.lit(False))))
     long = F.col("end_ms") - F.col("start_ms") > 30_000
     issues = [
         F.when(F.coalesce(F.col("_bodies") != 1, F.lit(True)) | (F.col("_since") > F.col("start_ms")), "config_reference_unresolved"),
@@ -211,7 +431,75 @@ def media_intervals(windows: DataFrame, configs: DataFrame, gaps: DataFrame, sem
     ]
     rows = rows.withColumn("issues", F.array_compact(F.array(*issues)))
     loss = 100 * (F.col("expected") - F.col("received")) / F.col("expected")
-    return rows.withColumn("loss", F.when(F.size("issues") == 0, loss)).drop("_id", "_bodies", "_since", "_cut")
+    return rows.withColumn("loss", F.when(F.size("issues") == 0, loss)).drop("_c", "_g", "_bodies", "_since", "_cut")
+
+
+def next_mark(windows: DataFrame, marks: DataFrame, key: list[str], name: str) -> DataFrame:
+    """``windows`` with ``name``: the first mono_ms of a mark of the key after the start, by one sort of both."""
+    both = windows.withColumn("_at", F.col("start_ms").cast("double")).unionByName(marks.select(*key, F.col("mono_ms").cast("double").alias("_at"), F.lit(True).alias("_mark")), allowMissingColumns=True)
+    after = F.min(F.when(F.col("_mark"), F.col("_at"))).over(Window.partitionBy(*key).orderBy("_at", F.coalesce("_mark", F.lit(False)).desc()).rowsBetween(1, Window.unboundedFollowing))
+    return both.withColumn(name, after).where("_mark IS NULL").drop("_mark", "_at")
+
+
+STREAM_SQL = "stream: struct<stream_id: string, ssrc: bigint, direction: string, call_id: string>"
+
+
+def payload_of(records: DataFrame, kind: str, shape: str) -> DataFrame:
+    """The records of a kind: domain, event_id, mono_ms, the raw payload and the fields of ``shape``."""
+    rows = records.where(F.col("type") == kind).withColumn("_p", F.from_json("payload", f"struct<{shape}>"))
+    return rows.select(*DOMAIN, "event_id", "mono_ms", "payload", "_p.*")
+
+
+def media_records(records: DataFrame) -> DataFrame:
+    shape = f"{STREAM_SQL}, config_id: string, start_mono_ms: double, end_mono_ms: double, expected_packets: bigint, received_unique_packets: bigint, received_in_window_packets: bigint, complete: boolean, semantics_id: string"
+    return payload_of(records, "media_interval", shape).select(*DOMAIN, "event_id", "stream.stream_id", "stream.direction", "config_id", F.col("start_mono_ms").alias("start_ms"), F.col("end_mono_ms").alias("end_ms"), F.col("expected_packets").alias("expected"), F.coalesce("received_in_window_packets", "received_unique_packets").alias("received"), "complete", "semantics_id")
+
+
+def config_records(records: DataFrame) -> DataFrame:
+    return payload_of(records, "media_config", f"{STREAM_SQL}, config_id: string").select(*DOMAIN, "stream.stream_id", "config_id", "mono_ms", F.col("payload").alias("body"))
+
+
+def gap_records(records: DataFrame) -> DataFrame:
+    """Times at which the collection of media or clocks, or the log itself, was interrupted."""
+    rows = payload_of(records, "collection", "subsystem: string, status: string")
+    return rows.where(F.col("subsystem").isin("media", "clock", "logger") & ~F.col("status").isin("started", "resumed")).select(*DOMAIN, "mono_ms")
+
+
+def rtcp_records(records: DataFrame) -> DataFrame:
+    """The one block of each packet about its own stream; a packet with none, several or a broken frame isn't ok."""
+    rows = payload_of(records, "rtcp", f"{STREAM_SQL}, transport_direction: string, packet_hex: string")
+    rows = decode_rtcp(rows.select(*DOMAIN, "stream.stream_id", "stream.ssrc", "transport_direction", "mono_ms", F.unhex("packet_hex").alias("packet")))
+    own = F.filter("blocks", lambda b: b["ssrc"] == F.col("ssrc"))
+    one = F.when(F.size(own) == 1, F.get(own, F.lit(0)))
+    return rows.select(*DOMAIN, "stream_id", "transport_direction", "mono_ms", one["reporter"].alias("reporter"), one["highest"].alias("highest"), one["lost"].alias("lost"), (F.col("rtcp_issue").isNull() & (F.size(own) == 1)).alias("ok"))
+
+
+def fix_records(records: DataFrame) -> DataFrame:
+    """One row a time of fixes: ok if they agree."""
+    rows = payload_of(records, "position", "fix_mono_ms: double, latitude: double, longitude: double")
+    same = (F.min("latitude") == F.max("latitude")) & (F.min("longitude") == F.max("longitude"))
+    return rows.groupBy(*DOMAIN, F.col("fix_mono_ms").alias("mono_ms")).agg(same.alias("ok"), F.min("latitude").alias("latitude"), F.min("longitude").alias("longitude"))
+
+
+def network_records(records: DataFrame) -> DataFrame:
+    """One row a time of the accesses of the media's path: ok if they agree."""
+    rows = payload_of(records, "network", "scope: string, access: string").where("scope = 'media_path'")
+    return rows.groupBy(*DOMAIN, "mono_ms").agg((F.min("access") == F.max("access")).alias("ok"), F.min("access").alias("access"))
+
+
+PLAN_SQL = "plan: struct<plan_id: string, revision: bigint>"
+
+
+def plan_records(records: DataFrame) -> DataFrame:
+    rows = payload_of(records, "plan_received", f"{PLAN_SQL}, valid_until_mono_ms: double, content_sha256: string")
+    return rows.select(*DOMAIN, "plan.plan_id", "plan.revision", "mono_ms", F.col("valid_until_mono_ms").alias("valid_until_ms"), F.col("content_sha256").alias("body"))
+
+
+def plan_references(records: DataFrame) -> DataFrame:
+    """Plans that actions and states of plans refer to; ``state`` is NULL for an action."""
+    states = payload_of(records, "plan_state", f"{PLAN_SQL}, state: string")
+    actions = payload_of(records, "action", PLAN_SQL).withColumn("state", F.lit(None).cast("string"))
+    return states.unionByName(actions).where("plan IS NOT NULL").select(*DOMAIN, "event_id", "plan.plan_id", "plan.revision", "state", "mono_ms")
 
 
 def rtcp_intervals(reports: DataFrame, key: list[str]) -> DataFrame:
@@ -260,5 +548,7 @@ def plan_audit(actions: DataFrame, plans: DataFrame) -> DataFrame:
 
 def telemetry_status(records: DataFrame, intervals: DataFrame) -> DataFrame:
     """Records, conflicts, records with issues, and intervals."""
-    counts = records.agg(F.count("*").alias("records"), F.count_if("conflict").alias("conflicts"), F.count_if(F.size("issues") > 0).alias("with_issues"))
-    return counts.crossJoin(intervals.agg(F.count("*").alias("intervals")))  # one row each
+    said = records.select(F.lit(1).alias("r"), F.col("conflict").cast("int").alias("c"), (F.size("issues") > 0).cast("int").alias("w"), F.lit(0).alias("i"))
+    both = said.unionByName(intervals.select(*[F.lit(0).alias(c) for c in "rcw"], F.lit(1).alias("i")))
+    names = {"r": "records", "c": "conflicts", "w": "with_issues", "i": "intervals"}
+    return both.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(name) for c, name in names.items()])

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import from_micros, micros, mos_score, series_key
 from ..operators import calls as C
 from ..operators import extract as X
 from ..operators import geo as G
 from ..operators import incidents as N
+from ..operators import joins as J
 from ..operators import network as K
 from ..operators import telemetry as T
 from ..operators import windows as W
 from ..sources import archives as A
+from ..sources.staging import staged
 from . import listings as L
 from . import reports as R
 
@@ -23,33 +26,62 @@ def build_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return tables_of(files)
 
 
+def lifecycle_of(records: DataFrame) -> DataFrame:
+    """What engine records say of the legs of a line: added, connected, ended, and the summary with its Call-ID."""
+    text = X.first_line()
+    event = F.when(text.contains("added to the call list"), "added").when(text.rlike("status changed to 1"), "connected").when(text.rlike("removed from (?:the )?list|call terminated"), "ended").when(text.contains("Info about call finished on line"), "summary")
+    line = F.coalesce("line_id", X.group(text, r"on line\s+(\d+)").cast("int"))
+    call_id = F.get_json_object(F.regexp_extract("text", r"(?s)(\{.*\})", 1), "$.callInfo.call-id")
+    return records.where(F.col("ts").isNotNull() & event.isNotNull()).select("import_id", line.alias("line_id"), "ts", F.col("line_no").alias("ord"), event.alias("event"), call_id.alias("call_id"))
+
+
 def tables_of(files: DataFrame) -> dict[str, DataFrame]:
+    """All tables of files (import_id, name, parser, text, warning).
+
+    Events carry the Call-ID that they name and the perspective that owns them; what is extracted
+    from an event carries both on. Observations that an import repeats count once, perspectives
+    that the same producer brought before are marked, and the sequence of imports is that of
+    their first event. Records, perspectives and owned events are written on the way, because
+    everything after them reads them again.
+    """
     good = files.where("warning IS NULL").select("import_id", "name", "parser", "text")
     records = X.flag_rotation_duplicates(X.parse_level_line(X.split_records(good)))
-    events = records.withColumn("event_id", F.xxhash64("import_id", "name", "line_no"))
-    live = events.where("NOT duplicate")
-    sip = X.decode_sip(live).withColumn("ord", F.col("line_no"))
-    text = X.first_line()
-    event = F.when(text.contains("added to the call list"), "added").when(text.rlike("status changed to 1"), "connected").when(text.rlike("removed from (?:the )?list|call terminated"), "ended").when(text.contains("Info about call finished on line"), "summary")
-    life = live.where(F.col("ts").isNotNull() & event.isNotNull()).select("import_id", F.coalesce("line_id", X.group(text, r"on line\s+(\d+)").cast("int")).alias("line_id"), "ts", F.col("line_no").alias("ord"), event.alias("event"), F.get_json_object(F.regexp_extract("text", r"(?s)(\{.*\})", 1), "$.callInfo.call-id").alias("call_id"))
-    legs = C.reconstruct_legs(life)
-    loose = C.sip_only_legs(sip, legs).select("import_id", "call_id", "start")
-    every = legs.unionByName(loose, allowMissingColumns=True)
-    perspectives = C.build_perspectives(every.where("call_id IS NOT NULL"), sip).withColumn("perspective_id", F.xxhash64("import_id", "call_id"))
-    metrics = X.extract_rtcp(live).unionByName(X.extract_flow_stats(live), allowMissingColumns=True).unionByName(X.extract_ping(live), allowMissingColumns=True)
+    records = staged(records.withColumn("event_id", F.xxhash64("import_id", "name", "line_no")))
+    live = records.where("NOT duplicate")
+    sip = staged(X.decode_sip(live).withColumn("ord", F.col("line_no")))
+    legs = staged(C.reconstruct_legs(lifecycle_of(live)))
+    every = legs.unionByName(C.sip_only_legs(sip, legs).select("import_id", "call_id", "start"), allowMissingColumns=True)
+    perspectives = C.build_perspectives(every, sip).withColumn("perspective_id", F.xxhash64("import_id", F.coalesce("call_id", F.concat_ws(":", "line_id", "start"))))
+    order = live.where("ts IS NOT NULL").groupBy("import_id").agg(F.struct(F.min("ts"), "import_id").alias("import_seq"))
+    producers = staged(X.producer_identity(X.identity_markers(good, live)))
+    perspectives = staged(C.mark_duplicates(perspectives.join(order, "import_id", "left"), producers.select("import_id", "status", "producer")))
+    owned = staged(C.attribute_events(live.where("ts IS NOT NULL").withColumn("call_id", X.call_id_of("text")), perspectives).withColumnRenamed("owner", "perspective_id"))
+    made = [X.extract_rtcp(owned), X.extract_flow_stats(owned), X.extract_ping(owned), X.extract_device_metrics(owned).drop("offset", "device"), X.extract_missing_packets(owned).drop("offset", "device", "current_sn")]
+    metrics = made[0]
+    for more in made[1:]:
+        metrics = metrics.unionByName(more, allowMissingColumns=True)
+    signature = ["import_id", "ts", "metric", "direction", "flow", "ssrc", "statistic", "value"]
     return {
         "files": A.file_coverage(records),
-        "events": events,
-        "metrics": metrics,
-        "periodic": X.extract_periodic(live),
+        "profiles": X.source_profile(good, live),
+        "producers": producers,
+        "events": owned,
+        "metrics": C.dedup_metrics(metrics, signature, ["name", "line_no"]),
+        "periodic": X.extract_periodic(owned),
+        "periodic_states": X.extract_periodic_states(owned),
         "perspectives": perspectives,
         "calls": C.build_calls(perspectives),
-        "positions": X.extract_positions(live),
-        "networks": X.extract_network_obs(live),
-        "connectivity": X.extract_connectivity(live),
-        "transients": X.extract_transients(live),
-        "switches": X.extract_network_switches(live),
-        "signals": X.extract_incident_signals(live),
+        "identities": X.identity_candidates(sip),
+        "uuids": X.extract_call_uuid(sip),
+        "outcomes": X.extract_leg_outcome(sip),
+        "versions": X.extract_app_versions(live),
+        "positions": X.extract_positions(owned),
+        "config_positions": X.extract_config_positions(live),
+        "networks": X.extract_network_obs(owned),
+        "connectivity": X.extract_connectivity(owned),
+        "transients": X.extract_transients(owned),
+        "switches": X.extract_network_switches(owned),
+        "signals": X.extract_incident_signals(owned),
     }
 
 
@@ -65,15 +97,30 @@ def mos_report(losses: DataFrame, perspectives: DataFrame, networks: DataFrame,
     }
 
 
-def incident_report(signals: DataFrame, bounds: DataFrame, perspectives: DataFrame, key: list[str], width_us: int, mode: str = "reported_end") -> dict[str, DataFrame]:
-    """Episodes, their windows and sums of the calls."""
+def mos_of_tables(tables: dict[str, DataFrame], threshold: float = 3.0) -> dict[str, DataFrame]:
+    """The report over the tables of archives: losses that a perspective owns."""
+    losses = tables["metrics"].where("metric = 'rtcp.loss' AND perspective_id IS NOT NULL")
+    networks = tables["networks"].select("import_id", "ts", "access").withColumn("valid", F.lit(True))
+    return mos_report(losses, tables["perspectives"], networks, threshold)
+
+
+def incident_report(signals: DataFrame, bounds: DataFrame, perspectives: DataFrame, key: list[str], width_us: int, mode: str = "reported_end", samples: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Episodes, their windows, sums of the calls and, with the ``samples`` of readers, where their absence can be told."""
     placed = N.place_incidents(N.reconstruct_incidents(signals, key), mode)
-    return {"episodes": placed, "windows": N.incident_windows(placed, bounds, key, width_us), "calls": N.incident_call_summary(placed, perspectives, key)}
+    out = {"episodes": placed, "windows": N.incident_windows(placed, bounds, key, width_us), "calls": N.incident_call_summary(placed, perspectives, key)}
+    return out if samples is None else out | {"coverage": N.incident_coverage(perspectives, placed, samples)}
 
 
-def transient_report(samples: DataFrame, notices: DataFrame, series: list[str], key: list[str], types: list[str], tolerance_us: int) -> dict[str, DataFrame]:
+def transient_report(samples: DataFrame, notices: DataFrame, series: list[str], key: list[str], types: list[str], tolerance_us: int, perspectives: DataFrame | None = None, creations: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Counter intervals and how their increases meet notices; with ``perspectives`` the edges of their calls are notices, too."""
     counters = W.counter_intervals(samples, series, ["ord"])
-    return {"counters": counters, "summary": L.transient_summary(counters, notices, types, series, key, tolerance_us)}
+    out = {"counters": counters}
+    if perspectives is not None:
+        notices = L.with_call_edges(notices, perspectives)
+        out["coverage"] = L.transient_coverage(perspectives, notices)
+    if creations is not None:
+        out["initial"] = L.initial_observations(counters, creations, key)
+    return out | {"summary": L.transient_summary(counters, notices, types, series, key, tolerance_us), "inventory": L.transient_inventory(notices)}
 
 
 def geo_report(intervals: DataFrame, positions: DataFrame, metres: float, context: list[str]) -> dict[str, DataFrame]:
@@ -83,9 +130,12 @@ def geo_report(intervals: DataFrame, positions: DataFrame, metres: float, contex
     return {"intervals": rows, "cells": R.cell_summary(rows), "networks": R.network_breakdown(rows, context), "profile": R.temporal_profile(rows, ["cell"], "mos")}
 
 
-def pq_map(episodes: DataFrame, calls: DataFrame, series: list[str], fixes: DataFrame, metres: float) -> DataFrame:
+def pq_map(episodes: DataFrame, calls: DataFrame, series: list[str], fixes: DataFrame, metres: float) -> dict[str, DataFrame]:
+    """Continuity per cell, direct and estimated, and the routes of the calls with their seconds' scores."""
     pq = N.pq_windows(episodes, calls, series)
-    return G.pq_cells_estimated(G.route_samples(fixes, pq), G.pq_cells_direct(fixes.where("ok"), pq, metres), metres)
+    cells = G.pq_cells_estimated(G.route_samples(fixes, pq), G.pq_cells_direct(fixes.where("ok"), pq, metres), metres)
+    cached = fixes if "cached" in fixes.columns else fixes.withColumn("cached", F.lit(False))
+    return {"cells": cells, "route": G.route_points(cached, pq, calls, metres)}
 
 
 def connectivity_report(records: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -95,21 +145,75 @@ def connectivity_report(records: DataFrame, bounds: DataFrame) -> DataFrame:
 
 def switch_report(records: DataFrame, windows: DataFrame, positions: DataFrame) -> DataFrame:
     """Switch requests with their call, the transition that is declared near them, and the place between fixes."""
-    from ..operators.joins import bracket_interpolate
-
     asked = X.extract_network_switches(records).withColumn("request_id", F.xxhash64("import_id", "name", "line_no"))
     states = X.extract_network_obs(records).select("import_id", "ts", F.col("access").alias("state"))
     seen = K.nearby_transition(asked, states, ["import_id"])
     called = K.notices_to_calls(asked, windows, ["request_id"], "request_id").select("request_id", "perspective_id", "call_id")
     fixes = G.fix_stamps(positions, ["import_id"])
-    return bracket_interpolate(seen, fixes, ["import_id"], ["latitude", "longitude"]).join(called, "request_id", "left")
+    return J.bracket_interpolate(seen, fixes, ["import_id"], ["latitude", "longitude"]).join(called, "request_id", "left")
 
 
-def telemetry_job(lines: DataFrame, order: list[str]) -> dict[str, DataFrame]:
-    """Validated, canonical records with the guards of their clock domains."""
+def compare_ab(a: DataFrame, b: DataFrame, offset_us: int, limit: float, signals: DataFrame | None = None, versions: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Two perspectives' samples (metric, unit, ts, ord, value, valid) on one aligned clock.
+
+    peaks: of each side and metric. counters: increases between neighbouring samples of each side.
+    together: the sum of both, where both are known. With ``signals`` (side, phase, t_us,
+    duration_ms) their incidents, with ``versions`` (side, ts, version) each sample's version.
+    """
+    both = L.on_one_clock(a, b, offset_us)
+    out = {
+        "peaks": L.peaks(both, limit),
+        "counters": W.counter_deltas(both, ["side", "metric"], ["ord"]).select("side", "metric", "previous_ts", "ts", "delta"),
+        "together": J.series_sum_interpolated(*[both.where(F.col("valid") & (F.col("side") == s)).groupBy("metric", "ts").agg(F.max("value").alias("value")) for s in "ab"], ["metric"]),
+    }
+    if signals is not None:
+        moved = signals.withColumn("t_us", F.col("t_us") + F.when(F.col("side") == "b", offset_us).otherwise(0))
+        out["incidents"] = N.reconstruct_incidents(moved, ["side"])
+    if versions is not None:
+        moved = L.shifted(versions, F.when(F.col("side") == "b", offset_us).otherwise(0))
+        out["versions"] = J.asof_latest(both, moved, ["side"], ["version"]).drop("seen")
+    return out
+
+
+def telemetry_job(lines: DataFrame, order: list[str], semantics: tuple[str, ...] = ("rtp-sequence-window/1",)) -> dict[str, DataFrame]:
+    """Validated, canonical records with the guards of their clock domains, and what follows from the usable ones.
+
+    intervals: loss of media windows and of consecutive receiver reports, windows before reports
+    where they overlap; refused: those that give none, with their issues; places: intervals at
+    fixes with their access; plans: references to plans with their issues.
+    """
     checked = T.validate_telemetry(lines)
     good = checked.where(F.size("issues") == 0).drop("issues")
     canonical = T.telemetry_canonical(good, order)
-    return {"invalid": checked.where(F.size("issues") > 0), "records": T.clock_guards(canonical.where("NOT conflict")), "conflicts": canonical.where("conflict")}
+    records = T.clock_guards(canonical.where("NOT conflict"))
+    usable = records.where((F.col("validity") == "valid") & (F.size(F.array_except("issues", F.array(F.lit("sequence_gap")))) == 0))
+    windows = T.media_intervals(T.media_records(usable), T.config_records(usable), T.gap_records(usable), list(semantics))
+    reports = T.rtcp_intervals(T.rtcp_records(usable), [*T.DOMAIN, "stream_id", "transport_direction"])
+    every = windows.select(*T.DOMAIN, "stream_id", F.lit("local_receive").alias("direction"), F.lit("media_window").alias("method"), "start_ms", "end_ms", "loss", "issues")
+    way = F.when(F.col("transport_direction") == "sent", "local_receive").otherwise("local_send")
+    every = every.unionByName(reports.select(*T.DOMAIN, "stream_id", way.alias("direction"), F.lit("rtcp").alias("method"), "start_ms", "end_ms", "loss", F.array_compact(F.array("issue")).alias("issues")))
+    scored = every.where("loss IS NOT NULL").drop("issues")
+    key = [*T.DOMAIN, "stream_id", "direction"]
+    kept = scored.join(T.suppress_overlaps(scored.select(*key, "method", "start_ms", "end_ms"), key), [*key, "method", "start_ms", "end_ms"], "left_semi")
+    fixes, networks = T.fix_records(usable), T.network_records(usable)
+    return {
+        "invalid": checked.where(F.size("issues") > 0),
+        "records": records,
+        "conflicts": canonical.where("conflict"),
+        "intervals": kept.withColumn("series", series_key(*key)),
+        "refused": every.where("loss IS NULL"),
+        "places": G.telemetry_places(kept, fixes, networks, T.DOMAIN),
+        "plans": T.plan_audit(T.plan_references(usable), T.plan_records(usable)),
+    }
+
 
+def telemetry_mos(records: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Telemetry intervals as scored ones on the wall clock beside those of logs: domain, series, start, end, loss and mos.
 
+    The wall clock of a domain is the least difference of its records' observed and monotonic times.
+    """
+    observed = micros(F.to_timestamp("observed_utc").cast("timestamp_ntz"))
+    zero = records.groupBy(*T.DOMAIN).agg(F.min(observed - F.round(F.col("mono_ms") * 1000).cast("long")).alias("zero_us"))
+    at = lambda ms: from_micros(F.col("zero_us") + F.round(F.col(ms) * 1000).cast("long"))
+    rows = intervals.join(zero, T.DOMAIN)
+    return rows.select(*T.DOMAIN, "series", at("start_ms").alias("start"), at("end_ms").alias("end"), "loss", mos_score("loss").alias("mos"))

@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import micros, mos_score, orientation, series_key, unit_label
+from ..functions.scalars import from_micros, mapped, micros, mos_score, series_key, unit_label
 from ..operators.intervals import clip, hold_intervals, overlaps_within, split_at_states
-from ..operators.joins import asof_latest, state_stamps, within_tolerance_join
+from ..operators.joins import asof_latest, row_hash, state_stamps, within_tolerance_join
 from ..operators.windows import SECOND
 from .reports import seconds
 
@@ -56,16 +56,29 @@ def perspective_listing(perspectives: DataFrame, versions: DataFrame, profiles:
     return rows.withColumn("role", F.coalesce("role", F.lit("unknown")))
 
 
-def peer_reception(intervals: DataFrame) -> DataFrame:
-    """Intervals as upstream or downstream of their own side: what it receives, and what its peer says it received, else its own sending."""
-    return intervals.withColumns({"way": orientation("direction", "role"), "basis": F.when(F.col("direction") == "incoming", "local_receive").otherwise("peer_report")}).where("way IS NOT NULL")
+def peer_reception(intervals: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Both ways of each local perspective, as it receives them and as its peer does.
+
+    ``pairs``: perspective_id, peer_id (NULL for none), role (app or gw). What the local side receives is
+    downstream. Upstream is what the peer receives (``peer_local``), and only without a peer what the
+    own reports say of it (``remote_rtcp``): a peer's gaps aren't filled from there. A gateway sees the
+    ways the other way round.
+    """
+    own = intervals.join(pairs, "perspective_id")
+    received = own.where("direction = 'incoming'").withColumns({"way": F.lit("downstream"), "basis": F.lit("local")})
+    reported = own.where("direction = 'outgoing' AND peer_id IS NULL").withColumns({"way": F.lit("upstream"), "basis": F.lit("remote_rtcp")})
+    theirs = pairs.where("peer_id IS NOT NULL").withColumnRenamed("perspective_id", "_local").withColumn("perspective_id", F.col("peer_id"))
+    theirs = intervals.where("direction = 'incoming'").join(theirs, "perspective_id").withColumn("perspective_id", F.col("_local")).drop("_local").withColumns({"way": F.lit("upstream"), "basis": F.lit("peer_local")})
+    rows = received.unionByName(reported).unionByName(theirs)
+    swapped = F.when(F.col("way") == "upstream", "downstream").otherwise("upstream")
+    return rows.withColumn("way", F.when(F.col("role") == "gw", swapped).otherwise(F.col("way"))).drop("peer_id", "role")
 
 
 def metric_catalog(metrics: DataFrame) -> DataFrame:
     """The dictionary with the units that were seen; unknown names are kept."""
     known = metrics.sparkSession.createDataFrame(METRICS, "metric string, unit string, meaning string")
     seen = metrics.groupBy("metric").agg(F.array_sort(F.collect_set("unit")).alias("seen_units"), F.count("*").alias("samples"))
-    out = F.broadcast(known).join(seen, "metric", "full")
+    out = known.join(seen, "metric", "full")
     return out.withColumns({"known": F.col("meaning").isNotNull(), "label": unit_label("unit"), "samples": F.coalesce("samples", F.lit(0))})
 
 
@@ -86,7 +99,7 @@ def call_listing(calls: DataFrame, perspectives: DataFrame, metrics: DataFrame,
 
 def mos_intervals(losses: DataFrame, perspectives: DataFrame, networks: DataFrame, start: Column | None = None, end: Column | None = None) -> DataFrame:
     """Scored holds of loss samples per perspective and series, clipped to the scope, cut by network."""
-    rows = losses.join(perspectives.select("perspective_id", "import_id", F.coalesce("connected", "start").alias("begin"), F.col("end").alias("stop")), "perspective_id")
+    rows = losses.drop("import_id").join(perspectives.select("perspective_id", "import_id", F.coalesce("connected", "start").alias("begin"), F.col("end").alias("stop")), "perspective_id")
     key = ["import_id", "perspective_id", "direction", "flow", "ssrc"]
     ok = F.col("valid") & (F.col("unit") == "%") & mos_score("value").isNotNull()
     held = hold_intervals(rows, key, valid=ok, begin="begin", stop="stop").withColumnRenamed("value", "loss").withColumn("mos", mos_score("loss"))
@@ -117,7 +130,7 @@ def transient_summary(counters: DataFrame, notices: DataFrame, types: list[str],
 
     Every interval is flagged once per type; a busy perspective multiplies no rows.
     """
-    ok = counters.where("status = 'ok'").select(*series, F.col("previous_ts").alias("start"), F.col("ts").alias("end"), "delta").withColumn("_i", F.xxhash64(*series, "start", "end"))
+    ok = counters.where("status = 'ok'").select(*series, F.col("previous_ts").alias("start"), F.col("ts").alias("end"), "delta").withColumn("_i", row_hash([*series, "start", "end"]))
     met = within_tolerance_join(notices.select(*key, "ts", "type"), ok, key, tolerance_us).select("_i", "type").distinct().withColumn("_near", F.lit(True))
     rows = ok.withColumn("type", F.explode(F.array(*[F.lit(t) for t in types]))).join(met, ["_i", "type"], "left")
     near, up = F.col("_near").isNotNull(), F.col("delta") > 0
@@ -148,7 +161,7 @@ def transient_inventory(notices: DataFrame) -> DataFrame:
 
 def mobility_summary(movement: DataFrame, networks: DataFrame) -> DataFrame:
     """Sequences and samples of an import, and its distinct operators."""
-    m = movement.groupBy("import_id").agg(F.countDistinct("run", "part").alias("sequences"), F.count("*").alias("samples"))
+    m = movement.groupBy("import_id").agg(F.countDistinct("part").alias("sequences"), F.count("*").alias("samples"))
     operators = networks.select("import_id", F.col("sim_operator").alias("o")).union(networks.select("import_id", "serving_operator")).where("o IS NOT NULL").distinct()
     return m.join(operators.groupBy("import_id").agg(F.count("*").alias("operators")), "import_id", "left").fillna(0)
 
@@ -162,15 +175,80 @@ def tag_lifecycle(samples: DataFrame, creations: DataFrame, ts: str = "ts") -> D
     return out
 
 
-def compare_ab(a: DataFrame, b: DataFrame, offset_us: int, limit: float) -> DataFrame:
-    """The peaks of two perspectives' series on one aligned clock, with whether they pass a limit."""
-    from ..functions.scalars import from_micros
+def shifted(df: DataFrame, offset_us: Column, ts: str = "ts") -> DataFrame:
+    """``df`` with its times moved."""
+    return df.withColumn(ts, from_micros(micros(ts) + offset_us))
+
 
-    both = a.withColumn("side", F.lit("a")).unionByName(b.withColumn("side", F.lit("b")).withColumn("ts", from_micros(micros("ts") + offset_us)))
+def on_one_clock(a: DataFrame, b: DataFrame, offset_us: int) -> DataFrame:
+    """The rows of both sides, b's moved by the offset, with their ``side``."""
+    return a.withColumn("side", F.lit("a")).unionByName(shifted(b, F.lit(offset_us)).withColumn("side", F.lit("b")))
+
+
+def peaks(both: DataFrame, limit: float) -> DataFrame:
+    """The greatest valid value of each side and metric (of equal ones the earliest), and whether it passes a limit."""
     best = F.struct("value", -micros("ts"))
     return both.where("valid").groupBy("side", "metric", "unit").agg(F.max("value").alias("peak"), F.max_by("ts", best).alias("peak_ts"), F.count("*").alias("samples")).withColumn("over", F.col("peak") > limit)
 
 
-def latest_attempt(attempts: DataFrame) -> DataFrame:
-    by = Window.partitionBy("import_id", "target").orderBy(F.col("ts").desc())
-    return attempts.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
+def worst_cells(cells: DataFrame, n: int, value: str = "mean", least_seconds: float = 0.0) -> DataFrame:
+    """The ``n`` cells with the lowest mean that were observed for at least ``least_seconds``; of equal ones the longer observed."""
+    return cells.where(F.col("seconds") >= least_seconds).orderBy(F.col(value), F.col("seconds").desc(), "cell").limit(n)
+
+
+def metric_summary(metrics: DataFrame, key: list[str]) -> DataFrame:
+    """Valid samples with their extremes and mean, and the number of invalid ones, per key."""
+    ok = F.when(F.col("valid"), F.col("value"))
+    return metrics.groupBy(*key).agg(F.count(ok).alias("samples"), F.min(ok).alias("low"), F.avg(ok).alias("mean"), F.max(ok).alias("high"), F.count_if(~F.col("valid")).alias("invalid"))
+
+
+def metric_inventory(metrics: DataFrame, key: list[str], of: str) -> DataFrame:
+    """Samples and distinct ``of`` per key."""
+    return metrics.groupBy(*key).agg(F.count("*").alias("samples"), F.countDistinct(of).alias("sources"))
+
+
+def search_events(events: DataFrame, text: str | None = None, equal: dict[str, object] | None = None, start: Column | None = None, end: Column | None = None, least_severity: int | None = None) -> DataFrame:
+    """Events whose text holds ``text`` (letters of either case), whose columns equal the given values, inside [start, end), of at least a severity.
+
+    ``equal`` takes any of the columns (import_id, name, parser, line_id, call_id, level and so on); None fits nulls.
+    """
+    rows = events
+    if text is not None:
+        rows = rows.where(F.contains(F.lower("text"), F.lit(text.lower())))
+    for name, value in (equal or {}).items():
+        rows = rows.where(F.col(name).eqNullSafe(F.lit(value)))
+    if start is not None:
+        rows = rows.where(F.col("ts") >= start)
+    if end is not None:
+        rows = rows.where(F.col("ts") < end)
+    if least_severity is not None:
+        rows = rows.where(severity("level") >= least_severity)
+    return rows
+
+
+def severity(level: Column | str) -> Column:
+    """0 for debug up to 5 for fatal; NULL for an unknown level."""
+    levels = {"DEBUG": 0, "INFO": 1, "NOTICE": 2, "WARN": 3, "WARNING": 3, "ERROR": 4, "FATAL": 5}
+    return mapped(levels, F.upper(F.col(level) if isinstance(level, str) else level))
+
+
+def search_calls(calls: DataFrame, text: str, columns: list[str]) -> DataFrame:
+    """Calls any of whose columns holds ``text`` (letters of either case; no wildcards)."""
+    hit = reduce(Column.__or__, [F.contains(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(text.lower())) for c in columns])
+    return calls.where(hit)
+
+
+def with_and_without(left: DataFrame, right: DataFrame, key: list[str], column: str = "has") -> DataFrame:
+    """``left`` with whether ``right`` has its key: a semi and an anti join, nothing is multiplied."""
+    keys = right.select(*key)
+    return left.join(keys, key, "left_semi").withColumn(column, F.lit(True)).unionByName(left.join(keys, key, "left_anti").withColumn(column, F.lit(False)))
+
+
+def union_sources(tables: dict[str, DataFrame], columns: list[str]) -> DataFrame:
+    """The rows of several tables with the name of their table."""
+    return reduce(DataFrame.unionByName, [d.select(*columns).withColumn("source", F.lit(n)) for n, d in tables.items()])
+
+
+def missing_ids(asked: DataFrame, known: DataFrame, column: str) -> DataFrame:
+    """The ids that were asked for and aren't there."""
+    return asked.select(column).distinct().join(known.select(column), column, "left_anti")

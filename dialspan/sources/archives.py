@@ -7,7 +7,9 @@ sizes or counts; what can't be read is a row with a warning, not an error of the
 from __future__ import annotations
 
 import io
+import stat
 import zipfile
+import zlib
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
@@ -38,13 +40,13 @@ def members(content: bytes) -> Iterator[tuple[str, int, str | None, str | None]]
     for info in archive.infolist():
         if info.is_dir():
             continue
-        why = "unsafe path" if unsafe(info.filename) else "duplicate name" if info.filename in seen else "encrypted" if info.flag_bits & 1 else None
+        why = "unsafe path" if unsafe(info.filename) else "duplicate name" if info.filename in seen else "encrypted" if info.flag_bits & 1 else "symbolic link" if stat.S_ISLNK(info.external_attr >> 16) else None
         seen.add(info.filename)
         raw = b""
         if why is None:
             try:
                 raw = archive.read(info)
-            except (zipfile.BadZipFile, NotImplementedError, EOFError):
+            except (zipfile.BadZipFile, zlib.error, NotImplementedError, EOFError, OSError):
                 why = "unreadable"
             if b"\0" in raw[:4096]:
                 why = "not text"

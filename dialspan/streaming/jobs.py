@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import hashlib
+from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -15,15 +17,23 @@ from ..sources.archives import unpack
 TTL_MS = 30_000
 
 
-def stream_ingest(spark: SparkSession, path: str, target: str, checkpoint: str, known: Callable[[], DataFrame] | None = None) -> StreamingQuery:
-    """Appends the members of new archives to a Parquet table; an archive whose bytes are there is a no-op."""
+def stream_ingest(spark: SparkSession, path: str, target: str, checkpoint: str) -> StreamingQuery:
+    """Adds the members of new archives to a Parquet table, by the load that brought them.
+
+    A batch that runs again overwrites its own load, and archives whose bytes another load brought are left out: repeats are no-ops.
+    """
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.zip").load(path)
     rows = files.select(F.sha2("content", 256).alias("import_id"), F.col("path").alias("archive"), "content")
+    owner = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
-    def add(batch: DataFrame, _: int) -> None:
-        if known is not None:
-            batch = batch.join(known().select("import_id").distinct(), "import_id", "left_anti")
-        unpack(batch).write.mode("append").partitionBy("import_id").parquet(target)
+    def add(batch: DataFrame, number: int) -> None:
+        load = f"{owner}-{number}"
+        try:
+            known = batch.sparkSession.read.option("basePath", target).parquet(f"{target}/load=*").where(F.col("load") != load)
+            batch = batch.join(known.select("import_id").distinct(), "import_id", "left_anti")
+        except AnalysisException:
+            pass  # nothing was loaded yet
+        unpack(batch).write.mode("overwrite").parquet(f"{target}/load={load}")
 
     return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -33,10 +43,18 @@ def telemetry_stream(records: DataFrame, delay: str = "10 minutes") -> DataFrame
     return records.withWatermark("observed", delay).dropDuplicatesWithinWatermark(["source_id", "event_id"])
 
 
-def stream_bad_windows(intervals: DataFrame, key: list[str], threshold: float, width: str = "1 minute", delay: str = "1 minute") -> DataFrame:
-    """Covered and bad seconds per tumbling window of (key, ts, seconds, mos); late rows beyond the watermark are lost."""
+def stream_bad_windows(intervals: DataFrame, key: list[str], threshold: float, width_s: int = 60, delay: str = "1 minute") -> DataFrame:
+    """Covered and bad seconds per tumbling window of (key, ts, seconds, mos); an interval is cut at the windows' edges.
+
+    Rows later than the watermark are lost; ``delay`` has to cover the length of an interval, too.
+    """
+    start = F.unix_micros("ts")
+    end, width = start + F.round(F.col("seconds") * 1e6).cast("long"), width_s * 1_000_000
+    pieces = intervals.where("seconds > 0").select(*key, "mos", start.alias("_a"), end.alias("_b"), F.explode(F.sequence(F.floor(start / width), F.floor((end - 1) / width))).alias("_k"))
+    low, high = F.greatest("_a", F.col("_k") * width), F.least("_b", (F.col("_k") + 1) * width)
+    pieces = pieces.select(*key, "mos", F.timestamp_micros(low).alias("ts"), ((high - low) / 1e6).alias("seconds"))
     bad = F.sum(F.when(F.col("mos") < threshold, F.col("seconds")).otherwise(0.0))
-    return intervals.withWatermark("ts", delay).groupBy(F.window("ts", width), *key).agg(F.sum("seconds").alias("covered"), bad.alias("bad")).select("window.start", "window.end", *key, "covered", "bad")
+    return pieces.withWatermark("ts", delay).groupBy(F.window("ts", f"{width_s} seconds"), *key).agg(F.sum("seconds").alias("covered"), bad.alias("bad")).select("window.start", "window.end", *key, "covered", "bad")
 
 
 def stream_state_ttl(events: DataFrame, key: str, delay: str = "10 seconds", ttl_ms: int = TTL_MS) -> DataFrame:

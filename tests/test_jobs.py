@@ -19,7 +19,7 @@ from .test_state import at, times
 def test_scalars(spark):
     row = spark.range(1).select(
         S.mos_score(F.lit(0.0)).alias("zero"), S.mos_score(F.lit(101.0)).alias("over"), S.mos_score(F.lit(float("nan"))).alias("nan"),
-        S.elapsed_seconds(F.lit("+1d2h3m4s5ms")).alias("e"), S.elapsed_seconds(F.lit("1h")).alias("bad"), S.duration_ms(F.lit(3), F.lit("usecs")).alias("us"),
+        S.elapsed_seconds(F.lit("+1d2h3m4s5ms")).alias("e"), S.elapsed_seconds(F.lit("1h2x")).alias("bad"), S.elapsed_seconds(F.lit("2s1h")).alias("turned"), S.duration_ms(F.lit(3), F.lit("usecs")).alias("us"),
         S.lon_arc(F.lit(179.0), F.lit(-179.0)).alias("arc"), S.metric_valid(F.lit(1.5), F.lit("packets")).alias("v"), S.csv_safe(F.lit("=1")).alias("csv"),
         S.grid_cell(F.lit(45.5), F.lit(9.25), 200).alias("cell"),
     ).first()
@@ -93,12 +93,6 @@ def test_from_archive_to_tables(spark, tmp_path):
     call = tables["perspectives"].first()
     assert (call.call_id, call.status, call.direction, call.line_id) == ("c1", "completed", "outgoing", 1)
     assert tables["calls"].first().call_key == "sip:c1" and tables["files"].count() == 3
-    from dialspan.operators.joins import unique_window
-
-    windows = tables["perspectives"].select("import_id", "start", "end", "perspective_id")
-    metrics = tables["metrics"].withColumn("row", F.xxhash64("name", "line_no", "metric", "direction"))
-    owned = unique_window(metrics, windows, ["import_id"], ["perspective_id"], "row").where("metric = 'rtcp.loss'").drop("import_id")
-    nets = tables["networks"].select("import_id", "ts", "access").withColumn("valid", F.lit(True))
-    report = Z.mos_report(owned, tables["perspectives"].withColumn("connected", F.col("start")), nets)
+    report = Z.mos_of_tables(tables)
     got = report["series"].first()
     assert (got.covered, got.bad) == (15.0, 10.0) and report["episodes"].count() == 1

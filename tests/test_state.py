@@ -91,6 +91,10 @@ def test_connectivity_and_movement(spark):
     fixes = spark.createDataFrame([fix(0, 45.0), fix(5, 45.001), fix(10, 46.0), fix(15, 46.0001, False), fix(20, 46.0001), fix(90, 46.0002)], "import_id string, t_us long, ok boolean, latitude double, longitude double, accuracy double, elapsed string, elapsed_s double")
     got = [(r.ordinal, r.reason) for r in K.movement_sequences(fixes).orderBy("t_us").collect()]
     assert got == [(1, "first_sample"), (2, None), (1, "implausible_jump"), (1, "ambiguous_or_invalid"), (1, "time_gap")]
+    same = lambda t, lat, text: ("j", t * SEC, True, lat, 9.0, 5.0, text, None)
+    fixes = spark.createDataFrame([same(0, 45.0, "+5s"), same(5, 45.0, "+5s"), same(10, 45.1, "+5s"), same(15, 45.0, "+5s"), same(100, 45.0, "+5s"), fix(0, 45.0), fix(5, 45.0, False), fix(100, 45.0)], "import_id string, t_us long, ok boolean, latitude double, longitude double, accuracy double, elapsed string, elapsed_s double")
+    got = [(r.import_id, r.t_us // SEC, r.reason) for r in K.movement_sequences(fixes).orderBy("import_id", "t_us").collect()]
+    assert got == [("i", 0, "first_sample"), ("i", 100, "ambiguous_or_invalid"), ("j", 0, "first_sample"), ("j", 15, "conflicting_fix"), ("j", 100, "time_gap")]
     requests = times(spark, [("i", 1, at(10)), ("i", 2, at(50))], "k string, request_id long, ts string")
     states = times(spark, [("i", at(9), "wifi"), ("i", at(11), "lte"), ("i", at(49), "lte")], "k string, ts string, state string")
     got = {r.request_id: (r.from_state, r.to_state) for r in K.nearby_transition(requests, states, ["k"]).collect()}
@@ -107,7 +111,7 @@ def test_telemetry(spark):
     rows = spark.createDataFrame([(n, x) for n, x in enumerate(lines)], "n long, raw string")
     got = {r.n: r.issues for r in T.validate_telemetry(rows).collect()}
     assert got[0] == [] and got[1] == ["$: not JSON"] and got[2] == ["$.extra: unknown"] and got[3] == ["$.role: invalid"]
-    assert len(got[4]) == 1 and got[5] == ["$.type: unknown"] and len(got[6]) == 3
+    assert len(got[4]) == 1 and got[5] == ["$.type: unknown"] and len(got[6]) == 2
     packet = struct.pack("!BBHI", 0x81, 201, 7, 99) + struct.pack("!IIIIII", 7, (3 << 24) | 0xFFFFFB, 200, 0, 0, 0)
     df = spark.createDataFrame([(1, bytearray(packet)), (2, bytearray(packet[:-4])), (3, bytearray(b"\x81"))], "n long, packet binary")
     got = {r.n: (r.blocks, r.rtcp_issue) for r in T.decode_rtcp(df).collect()}
