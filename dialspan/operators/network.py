@@ -137,8 +137,17 @@ def repeat_mark(seen: Column, gap_us: int) -> Column:
 
 
 def notices_to_calls(notices: DataFrame, windows: DataFrame, signature: list[str], row_id: str) -> DataFrame:
-    """Notices with the only active window of their import; copies of one text and time are one row with all proofs counted."""
-    rows = unique_window(notices, windows, ["import_id"], ["perspective_id", "call_id"], row_id, grace_us=0)
+    """Notices with their own perspective where they have one (``perspective_id``), else the only active window of their import.
+
+    Copies of one signature are one row with all proofs counted; what no or several windows claim has no call.
+    """
+    if "perspective_id" in notices.columns:
+        calls = windows.select("perspective_id", "call_id").dropDuplicates(["perspective_id"])
+        own = notices.where("perspective_id IS NOT NULL").join(calls, "perspective_id", "left")
+        rest = unique_window(notices.where("perspective_id IS NULL").drop("perspective_id"), windows, ["import_id"], ["perspective_id", "call_id"], row_id, grace_us=0)
+        rows = own.unionByName(rest)
+    else:
+        rows = unique_window(notices, windows, ["import_id"], ["perspective_id", "call_id"], row_id, grace_us=0)
     return rows.groupBy(*signature, "perspective_id", "call_id").agg(F.count("*").alias("proofs"), F.min(row_id).alias("first_proof"))
 
 

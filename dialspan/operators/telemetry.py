@@ -394,7 +394,7 @@ def telemetry_canonical(records: DataFrame, order: list[str]) -> DataFrame:
 def clock_guards(records: DataFrame) -> DataFrame:
     """``records`` with ``issues`` of their clock domain: repeated numbers, time running back, drift over a second, two roles; gaps are only noted."""
     w = Window.partitionBy(*DOMAIN)
-    seq = w.orderBy("seq")
+    seq = w.orderBy("seq", "mono_ms")
     wall = F.unix_micros(F.to_timestamp("observed_utc")) / 1000
     rows = records.withColumn("_d", wall - F.col("mono_ms"))
     rows = rows.withColumns({

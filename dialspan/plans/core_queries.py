@@ -1,7 +1,8 @@
 """Queries of the generic operators over the given tables, with DuckDB SQL for the same rows.
 
-``events`` stands in for metric samples: a series is an event type, floor(value) a counter,
-value % 100 a loss; values whose floor is a multiple of 17 count as invalid.
+``events`` stands in for metric samples: a series is an event type of a user, floor(value) a counter,
+value % 100 a loss; values whose floor is a multiple of 17 count as invalid. A user has some events
+a day, so that gaps and holds are days here.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from ..operators import joins as J
 from ..operators import windows as W
 
 HOUR, MINUTE = 3_600_000_000, 60_000_000
+GAP, HOLD = 72 * HOUR, 36 * HOUR
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,20 +28,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
     whole = F.floor("value").cast("double")
-    return e.select(F.col("event_type").alias("series"), "user_id", "ts", F.col("event_id").alias("ord"), whole.alias("value"), (whole % 17 != 0).alias("valid"), (F.col("value") % 100).alias("loss"))
+    return e.select(F.concat_ws(":", "event_type", "user_id").alias("series"), "user_id", "ts", F.col("event_id").alias("ord"), whole.alias("value"), (whole % 17 != 0).alias("valid"), (F.col("value") % 100).alias("loss"))
 
 
-SAMPLES = "s AS (SELECT event_type AS series, user_id, ts, event_id AS ord, floor(value) AS value, floor(value) % 17 <> 0 AS valid, value % 100 AS loss FROM events)"
+SAMPLES = "s AS (SELECT event_type || ':' || user_id AS series, user_id, ts, event_id AS ord, floor(value) AS value, floor(value) % 17 <> 0 AS valid, value % 100 AS loss FROM events)"
 MICROS = "epoch_us({})"
 W1 = f"""{SAMPLES},
 l AS (SELECT *, lag(ts) OVER w AS pts, lag(value) OVER w AS pv, lag(valid) OVER w AS pok, lag(many) OVER w AS pm
       FROM (SELECT *, count(*) OVER (PARTITION BY series, ts) AS many FROM s) WINDOW w AS (PARTITION BY series ORDER BY ts, ord)),
 c AS (SELECT *, CASE WHEN pts IS NULL THEN 'initial' WHEN NOT valid OR NOT pok THEN 'invalid' WHEN many > 1 OR pm > 1 OR ts = pts THEN 'conflict'
-             WHEN value < pv THEN 'reset' WHEN epoch_us(ts) - epoch_us(pts) > {HOUR} THEN 'gap' ELSE 'ok' END AS status FROM l)"""
+             WHEN value < pv THEN 'reset' WHEN epoch_us(ts) - epoch_us(pts) > {GAP} THEN 'gap' ELSE 'ok' END AS status FROM l)"""
 HELD = f"""{SAMPLES},
 g AS (SELECT series, ts, bool_and(valid) AND min(loss) = max(loss) AS good, max(loss) AS loss FROM s GROUP BY series, ts),
 n AS (SELECT *, lead(ts) OVER (PARTITION BY series ORDER BY ts) AS nxt FROM g),
-h AS (SELECT series, ts AS a, least(coalesce(nxt, ts + INTERVAL 30 MINUTE), ts + INTERVAL 30 MINUTE) AS b, loss FROM n WHERE good),
+h AS (SELECT series, ts AS a, least(coalesce(nxt, ts + INTERVAL 36 HOUR), ts + INTERVAL 36 HOUR) AS b, loss FROM n WHERE good),
 m AS (SELECT *, greatest(least(93.2 - 95.0 * loss / (loss + 25.1), 100), 0) AS r FROM h WHERE a < b),
 v AS (SELECT series, a, b, loss, 1 + 0.035 * r + 7e-6 * r * (r - 60) * (100 - r) AS mos FROM m)"""
 SPANS = "sp AS (SELECT l_suppkey AS k, datediff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS a, datediff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) + CAST(l_quantity AS BIGINT) AS b FROM lineitem)"
@@ -50,7 +52,7 @@ u AS (SELECT k, min(a) AS a, max(b) AS b FROM y GROUP BY k, isl)"""
 
 def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = samples(spark, sf_dir)
-    held = I.hold_intervals(s, ["series"], value="loss", valid=F.col("valid"), hold_us=30 * MINUTE)
+    held = I.hold_intervals(s, ["series"], value="loss", valid=F.col("valid"), hold_us=HOLD)
     return held.withColumnRenamed("value", "loss").withColumn("mos", S.mos_score("loss"))
 
 
@@ -60,18 +62,18 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def w1_counter_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = W.counter_intervals(samples(spark, sf_dir), ["series"], ["ord"], gap_us=HOUR)
+    out = W.counter_intervals(samples(spark, sf_dir), ["series"], ["ord"], gap_us=GAP)
     return out.select("series", "ord", "status", "delta")
 
 
 def w2_counter_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = W.counter_deltas(samples(spark, sf_dir), ["series"], ["ord"], gap_us=HOUR)
+    out = W.counter_deltas(samples(spark, sf_dir), ["series"], ["ord"], gap_us=GAP)
     return out.groupBy("series").agg(F.count("*").alias("pairs"), F.sum("delta").alias("total"))
 
 
 def w3_located_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = samples(spark, sf_dir).withColumn("hour", F.hour("ts"))
-    out = W.located_deltas(s, ["series"], ["hour"], gap_us=HOUR)
+    out = W.located_deltas(s, ["series"], ["hour"], gap_us=GAP)
     return out.select("series", "ts", "hour", "delta")
 
 
@@ -188,10 +190,10 @@ def j8_bracket_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def j12_semi_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customers = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
-    active = customers.join(orders, customers["c_custkey"] == orders["o_custkey"], "left_semi")
-    idle = customers.join(orders, customers["c_custkey"] == orders["o_custkey"], "left_anti")
-    count = lambda d, what: d.groupBy("c_nationkey").agg(F.count("*").alias("customers")).withColumn("kind", F.lit(what))
-    return count(active, "active").unionByName(count(idle, "idle"))
+    from .listings import with_and_without
+
+    told = with_and_without(customers.withColumn("key", F.col("c_custkey")), orders.select(F.col("o_custkey").alias("key")), ["key"], "active")
+    return told.groupBy("c_nationkey", F.when(F.col("active"), "active").otherwise("idle").alias("kind")).agg(F.count("*").alias("customers"))
 
 
 def c4_unique_window(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,21 +204,24 @@ def c4_unique_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a1_metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = samples(spark, sf_dir)
-    ok = F.when(F.col("valid"), F.col("value"))
-    return s.groupBy("series", "user_id").agg(F.count(ok).alias("samples"), F.min(ok).alias("low"), F.round(F.avg(ok), 6).alias("mean"), F.max(ok).alias("high"), F.count_if(~F.col("valid")).alias("invalid"))
+    from .listings import metric_summary
+
+    return metric_summary(samples(spark, sf_dir), ["series", "user_id"]).withColumn("mean", F.round("mean", 6))
 
 
 def a2_metric_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples(spark, sf_dir).groupBy("series", "valid").agg(F.count("*").alias("samples"), F.countDistinct("user_id").alias("users"))
+    from .listings import metric_inventory
+
+    return metric_inventory(samples(spark, sf_dir).withColumn("kind", F.substring_index("series", ":", 1)), ["kind", "valid"], "user_id")
 
 
 def a8_receiver_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .reports import receiver_ranking
+
     s = samples(spark, sf_dir)
     held = I.hold_intervals(s, ["user_id", "series"], value="loss", valid=F.col("valid"), hold_us=30 * MINUTE)
-    held = held.withColumn("mos", S.mos_score("value")).withColumn("s", (S.micros("end") - S.micros("start")) / 1e6)
-    bad = F.sum(F.when(F.col("mos") < 3, F.col("s")).otherwise(0.0))
-    return held.groupBy("user_id").agg(F.countDistinct("series").alias("calls"), F.round(F.sum("s"), 3).alias("covered"), F.round(100 * bad / F.nullif(F.sum("s"), F.lit(0.0)), 4).alias("bad_percent"))
+    out = receiver_ranking(held.withColumn("mos", S.mos_score("value")), ["user_id"], "series")
+    return out.select("user_id", "calls", F.round("covered", 3).alias("covered"), F.round("bad_percent", 4).alias("bad_percent"))
 
 
 def a15_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,7 +250,7 @@ def t2_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t3_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = W.counter_intervals(samples(spark, sf_dir), ["series"], ["ord"], gap_us=HOUR)
+    s = W.counter_intervals(samples(spark, sf_dir), ["series"], ["ord"], gap_us=GAP)
     best = F.struct("value", -F.col("ord"))
     return s.groupBy("series").agg(F.max(F.when(F.col("valid"), F.col("value"))).alias("peak"), F.max_by("ord", F.when(F.col("valid"), best)).alias("evidence"), F.count_if(F.col("status") == "reset").alias("resets"))
 
@@ -266,8 +271,11 @@ def u2_distinct_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def u3_missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers, and twice their numbers, that no order has."""
+    from .listings import missing_ids
+
     c, o = read(spark, sf_dir, "customer"), read(spark, sf_dir, "orders")
-    return c.select(F.col("c_custkey").alias("id")).join(o.select(F.col("o_custkey").alias("id")), "id", "left_anti")
+    return missing_ids(c.select(F.explode(F.array("c_custkey", F.col("c_custkey") * 2)).alias("id")), o.select(F.col("o_custkey").alias("id")), "id")
 
 
 def f1_mos_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,7 +311,7 @@ ORACLE: dict[str, str] = {
         g AS (SELECT series, ts, hour(ts) AS hour, bool_and(valid) AND min(value) = max(value) AS good, min(value) AS v FROM s GROUP BY series, ts),
         r AS (SELECT *, sum(CASE WHEN good THEN 0 ELSE 1 END) OVER (PARTITION BY series ORDER BY ts) AS run FROM g),
         p AS (SELECT *, lag(ts) OVER w AS pts, lag(v) OVER w AS pv, lag(hour) OVER w AS ph FROM r WHERE good WINDOW w AS (PARTITION BY series, run ORDER BY ts))
-        SELECT series, ts, CAST(hour AS INT) AS hour, v - pv AS delta FROM p WHERE epoch_us(ts) - epoch_us(pts) BETWEEN 1 AND {HOUR} AND v >= pv AND hour = ph""",
+        SELECT series, ts, CAST(hour AS INT) AS hour, v - pv AS delta FROM p WHERE epoch_us(ts) - epoch_us(pts) BETWEEN 1 AND {GAP} AND v >= pv AND hour = ph""",
     "w4_bad_episodes": f"""WITH {HELD}, q AS (SELECT *, lag(b) OVER (PARTITION BY series ORDER BY a, b) AS pb FROM v WHERE mos < 3),
         i AS (SELECT *, sum(CASE WHEN pb IS NOT DISTINCT FROM a THEN 0 ELSE 1 END) OVER (PARTITION BY series ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS isl FROM q),
         e AS (SELECT series, min(a) AS start, max(b) AS "end", count(*) AS intervals FROM i GROUP BY series, isl)
@@ -358,7 +366,7 @@ ORACLE: dict[str, str] = {
         m AS (SELECT e.event_id, count(*) AS n, min(window_id) AS window_id FROM events e JOIN w ON e.user_id = w.user_id AND epoch_us(e.ts) BETWEEN a AND b WHERE e.event_type <> 'purchase' GROUP BY e.event_id)
         SELECT e.event_id, m.window_id FROM events e LEFT JOIN m ON e.event_id = m.event_id AND m.n = 1 WHERE e.event_type <> 'purchase'""",
     "a1_metric_summary": f"WITH {SAMPLES} SELECT series, user_id, count(*) FILTER (WHERE valid) AS samples, min(value) FILTER (WHERE valid) AS low, round(avg(value) FILTER (WHERE valid), 6) AS mean, max(value) FILTER (WHERE valid) AS high, count(*) FILTER (WHERE NOT valid) AS invalid FROM s GROUP BY series, user_id",
-    "a2_metric_inventory": f"WITH {SAMPLES} SELECT series, valid, count(*) AS samples, count(DISTINCT user_id) AS users FROM s GROUP BY series, valid",
+    "a2_metric_inventory": f"WITH {SAMPLES} SELECT split_part(series, ':', 1) AS kind, valid, count(*) AS samples, count(DISTINCT user_id) AS sources FROM s GROUP BY ALL",
     "a8_receiver_ranking": f"""WITH {SAMPLES}, g AS (SELECT user_id, series, ts, bool_and(valid) AND min(loss) = max(loss) AS good, max(loss) AS loss FROM s GROUP BY user_id, series, ts),
         n AS (SELECT *, lead(epoch_us(ts)) OVER (PARTITION BY user_id, series ORDER BY ts) AS nxt FROM g),
         h AS (SELECT user_id, series, (least(coalesce(nxt, epoch_us(ts) + {30 * MINUTE}), epoch_us(ts) + {30 * MINUTE}) - epoch_us(ts)) / 1e6 AS s, greatest(least(93.2 - 95.0 * loss / (loss + 25.1), 100), 0) AS r FROM n WHERE good),
@@ -382,7 +390,7 @@ ORACLE: dict[str, str] = {
     "t4_first_per_key": "SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id, arg_min(value, (ts, event_id)) AS value FROM events WHERE event_type = 'error' GROUP BY user_id",
     "u1_union_sources": "SELECT nation, count(*) AS parties, count(balance) AS with_balance FROM (SELECT c_nationkey AS nation, c_acctbal AS balance FROM customer UNION ALL SELECT s_nationkey, NULL FROM supplier) GROUP BY nation",
     "u2_distinct_union": "SELECT c_nationkey AS nation FROM customer UNION SELECT s_nationkey FROM supplier",
-    "u3_missing_ids": "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "u3_missing_ids": "(SELECT c_custkey AS id FROM customer UNION SELECT c_custkey * 2 FROM customer) EXCEPT SELECT o_custkey FROM orders",
     "f1_mos_score": f"""WITH {SAMPLES}, m AS (SELECT ord, value - 50 AS l FROM s), r AS (SELECT *, greatest(least(93.2 - 95.0 * l / (l + 25.1), 100), 0) AS r FROM m)
         SELECT ord, CASE WHEN l BETWEEN 0 AND 100 THEN round(1 + 0.035 * r + 7e-6 * r * (r - 60) * (100 - r), 6) END AS mos FROM r""",
     "f14_calendar": "SELECT CAST(date_trunc('week', ts) AS DATE) AS week, CAST(isodow(ts) - 1 AS INT) AS weekday, CAST((isodow(ts) - 1) * 24 + hour(ts) AS INT) AS week_hour, count(*) AS events FROM events GROUP BY ALL",

@@ -182,16 +182,17 @@ def telemetry_job(lines: DataFrame, order: list[str], semantics: tuple[str, ...]
     where they overlap; refused: those that give none, with their issues; places: intervals at
     fixes with their access; plans: references to plans with their issues.
     """
-    checked = T.validate_telemetry(lines)
+    checked = staged(T.validate_telemetry(lines))
     good = checked.where(F.size("issues") == 0).drop("issues")
     canonical = T.telemetry_canonical(good, order)
-    records = T.clock_guards(canonical.where("NOT conflict"))
+    records = staged(T.clock_guards(canonical.where("NOT conflict")))
     usable = records.where((F.col("validity") == "valid") & (F.size(F.array_except("issues", F.array(F.lit("sequence_gap")))) == 0))
     windows = T.media_intervals(T.media_records(usable), T.config_records(usable), T.gap_records(usable), list(semantics))
     reports = T.rtcp_intervals(T.rtcp_records(usable), [*T.DOMAIN, "stream_id", "transport_direction"])
     every = windows.select(*T.DOMAIN, "stream_id", F.lit("local_receive").alias("direction"), F.lit("media_window").alias("method"), "start_ms", "end_ms", "loss", "issues")
     way = F.when(F.col("transport_direction") == "sent", "local_receive").otherwise("local_send")
     every = every.unionByName(reports.select(*T.DOMAIN, "stream_id", way.alias("direction"), F.lit("rtcp").alias("method"), "start_ms", "end_ms", "loss", F.array_compact(F.array("issue")).alias("issues")))
+    every = staged(every)
     scored = every.where("loss IS NOT NULL").drop("issues")
     key = [*T.DOMAIN, "stream_id", "direction"]
     kept = scored.join(T.suppress_overlaps(scored.select(*key, "method", "start_ms", "end_ms"), key), [*key, "method", "start_ms", "end_ms"], "left_semi")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import from_micros, mapped, micros, mos_score, series_key, unit_label
 from ..operators.intervals import clip, hold_intervals, overlaps_within, split_at_states
 from ..operators.joins import asof_latest, row_hash, state_stamps, within_tolerance_join
+from ..operators.network import notices_to_calls
 from ..operators.windows import SECOND
 from .reports import seconds
 
@@ -115,14 +116,15 @@ def overlap_errors(intervals: DataFrame) -> DataFrame:
 
 
 def mos_call_summary(intervals: DataFrame, perspectives: DataFrame) -> DataFrame:
-    """Per call and direction, from the newest perspective that isn't a duplicate: mean, extremes and coverage; several streams or another role than the app's have none, with the reason."""
+    """Per call and direction, from the newest perspective that isn't a duplicate: mean, extremes (with their events, if intervals have an ``event_id``) and coverage; several streams or another role than the app's have none, with the reason."""
     newest = perspectives.where("duplicate_of IS NULL").groupBy("call_key").agg(F.max_by(F.struct("perspective_id", "role", F.coalesce("connected", "start").alias("a"), F.col("end").alias("b")), F.struct("import_seq", "perspective_id")).alias("p"))
     rows = newest.select("call_key", "p.*").join(intervals, "perspective_id", "left")
     s = seconds()
-    out = rows.groupBy("call_key", "direction").agg(F.first("role").alias("role"), F.countDistinct("flow", "ssrc").alias("streams"), (F.sum(F.col("mos") * s) / F.sum(s)).alias("mean"), F.min("mos").alias("low"), F.max("mos").alias("high"), F.sum(s).alias("covered"), F.first(seconds("a", "b")).alias("window"))
+    ids = [F.min_by("event_id", F.struct("mos", "event_id")).alias("low_id"), F.max_by("event_id", F.struct("mos", -F.col("event_id"))).alias("high_id")] if "event_id" in rows.columns else []
+    out = rows.groupBy("call_key", "direction").agg(F.first("role").alias("role"), F.countDistinct("flow", "ssrc").alias("streams"), (F.sum(F.col("mos") * s) / F.sum(s)).alias("mean"), F.min("mos").alias("low"), F.max("mos").alias("high"), F.sum(s).alias("covered"), F.first(seconds("a", "b")).alias("window"), *ids)
     reason = F.when(F.coalesce("role", F.lit("app")) != "app", "declared_role").when(F.col("streams") > 1, "several_streams").when(F.col("streams") == 0, "no_intervals")
     out = out.withColumns({"reason": reason, "coverage": 100 * F.col("covered") / F.nullif("window", F.lit(0.0))})
-    return out.withColumns({c: F.when(F.col("reason").isNull(), F.col(c)) for c in ("mean", "low", "high")}).drop("window", "role")
+    return out.withColumns({c: F.when(F.col("reason").isNull(), F.col(c)) for c in ("mean", "low", "high", "low_id", "high_id") if c in out.columns}).drop("window", "role")
 
 
 def transient_summary(counters: DataFrame, notices: DataFrame, types: list[str], series: list[str], key: list[str], tolerance_us: int) -> DataFrame:
@@ -151,7 +153,15 @@ def initial_observations(counters: DataFrame, creations: DataFrame, key: list[st
 def with_call_edges(notices: DataFrame, perspectives: DataFrame) -> DataFrame:
     """Notices and the synthetic ones of a call's connection and end."""
     edges = perspectives.select("perspective_id", "import_id", F.explode(F.array(F.struct(F.col("connected").alias("ts"), F.lit("call_connected").alias("type")), F.struct(F.col("end").alias("ts"), F.lit("call_ended").alias("type")))).alias("e"))
-    return notices.unionByName(edges.select("perspective_id", "import_id", "e.*").where("ts IS NOT NULL"), allowMissingColumns=True)
+    edges = edges.select("perspective_id", "import_id", "e.*").where("ts IS NOT NULL")
+    return notices.unionByName(edges, allowMissingColumns=True)
+
+
+def transients_to_calls(notices: DataFrame, perspectives: DataFrame, signature: list[str], row_id: str) -> DataFrame:
+    """Notices with their calls (copies are one row), and the synthetic ones of the calls' edges, which no proof stands for."""
+    placed = notices_to_calls(notices, perspectives, signature, row_id)
+    edges = with_call_edges(perspectives.limit(0).select("perspective_id", "import_id"), perspectives).withColumn("proofs", F.lit(0).cast("long"))
+    return placed.unionByName(edges, allowMissingColumns=True)
 
 
 def transient_inventory(notices: DataFrame) -> DataFrame:
