@@ -43,7 +43,7 @@ from .arrowtext import shingle_sets, slices
 from .shared import components, cut
 
 #: Coordinates of a tree's points, rows of a leaf, and rows of a group that one task compares.
-GROUPS, LEAF, BLOCK = 64, 16, 4096
+GROUPS, LEAF, BLOCK = 64, 16, 2048
 #: Shingles per coordinate of a stored point, whose coordinates grow with the set (powers of two).
 PER_GROUP = 8
 #: Counters of a task, and from which count on a shingle is common; the most common ones that are ordered by their counts.
@@ -51,7 +51,7 @@ COUNTERS, COMMON, ORDERED = 1 << 22, 32, 1 << 16
 #: Bytes of a table that may be broadcast; a larger one is joined by shuffles.
 MOST_BROADCAST = 16 << 20
 #: Shingles of a block of sets; rows and shingles that one call of the Python side is to get.
-BLOCK_SHINGLES, POINT_ROWS, CALL_SHINGLES = 500_000, 6000, 1_000_000
+BLOCK_SHINGLES, POINT_ROWS, CALL_SHINGLES = 200_000, 2000, 400_000
 SMALL = 24
 SET = ["n", "sum_a", "sum_b"]
 
@@ -447,7 +447,7 @@ def dealt(sets: DataFrame, rows: DataFrame, total: int):  # noqa: ANN201
 
 def with_component(known: DataFrame, groups: DataFrame) -> DataFrame:
     """``known`` with the component of its set; sets that many rows have are joined apart, by a broadcast if their table is small."""
-    many = F.col("members") > BLOCK // 16
+    many = F.col("members") > BLOCK // 8
     hot = small(cut(groups.where(many).select("component", *SET)))
     few = groups.where(~many).select("component", *SET)
     return known.join(hot, SET).unionByName(known.join(hot, SET, "left_anti").join(few, SET))

@@ -13,11 +13,13 @@ format can't meet. Card numbers and IBANs that pass their check keep passing it.
 What a bijection can't exclude is checked over the whole corpus: a surrogate that two
 entities have, or that is itself an entity of the corpus, is drawn again with the next
 attempt number. What later attempts draw from grows with the attempt (names and e-mails get
-keyed syllables and letters), so that any number of entities is settled. Only entities are grouped (hot ones are pre-aggregated); texts are not
-shuffled, but for those with redrawn entities, whose table Spark broadcasts if it is small and
-joins otherwise.
+keyed syllables and letters), so that any number of entities is settled. Only entities are
+grouped (hot ones are pre-aggregated); texts are not shuffled, unless the table of redrawn
+entities by text is too large for Spark to broadcast.
 
-Null texts stay null and have no entities; other columns are kept.
+Null texts stay null and have no entities. Ids are never read, so that null and repeated ids
+make no difference; repeated rows are all returned, with equal texts. Other columns are kept,
+whatever their names; only n_replaced is overwritten. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from functools import cache
 from itertools import count
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import slices
@@ -399,18 +401,28 @@ def replaced(text: str, key: bytes, redrawn: dict[tuple[str, str], int], same: d
     return "".join([*out, text[at:]]), len(found)
 
 
+#: Two hashes of a text, by which what was found in it is found again: equal texts have equal entities.
+DIGEST = ["hash_a", "hash_b"]
+
+
+def digest(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias(DIGEST[0]), F.xxhash64(text, F.lit(1)).alias(DIGEST[1])]
+
+
 def entities(docs: DataFrame) -> DataFrame:
-    """doc_id, kind and entity: each document's entities once."""
+    """hash_a, hash_b, kind and entity: each text's entities once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                rows += [(doc, *x) for x in sorted({p for m in mentions(text.as_py() or "") for p in parts(*m[2:])})]
+            for a, b, text in zip(*(batch.column(c).to_pylist() for c in DIGEST), batch.column("text"), strict=True):
+                rows += [(a, b, *x) for x in sorted({p for m in mentions(text.as_py() or "") for p in parts(*m[2:])})]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "kind", "entity"])
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[*DIGEST, "kind", "entity"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, kind string, entity string")
+    text = F.col("text").cast("string")
+    return docs.where("text is not null").select(*digest(text), text.alias("text")).mapInArrow(run, "hash_a long, hash_b long, kind string, entity string").distinct()
 
 
 def drawn(table: DataFrame, key: bytes) -> DataFrame:
@@ -452,6 +464,13 @@ def same_given(found: DataFrame) -> DataFrame:
     return one.select(F.concat(F.lit("n "), "name").alias("entity"), F.concat(F.col("g")[0], F.lit(" "), "name").alias("target"))
 
 
+def free(names: list[str], name: str) -> str:
+    """A column's name that none of the others has."""
+    while name.lower() in {n.lower() for n in names}:
+        name += "_"
+    return name
+
+
 def anonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """``docs`` with surrogates in text, and n_replaced (mentions)."""
     found = cut(entities(docs))
@@ -459,17 +478,20 @@ def anonymise(docs: DataFrame, key: bytes) -> DataFrame:
     found = cut(found.where("kind <> 'given'").withColumn("target", F.col("entity")).unionByName(given.withColumn("target", F.coalesce("target", "entity"))))
     redrawn = attempts(found.select("kind", F.col("target").alias("entity")), key).withColumnRenamed("entity", "target")
     special = found.join(redrawn, ["kind", "target"], "left").where("attempt is not null or target <> entity")
-    special = special.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "entity", "target", F.coalesce("attempt", F.lit(0)).alias("attempt"))).alias("_redrawn"))
+    drawn_again = F.collect_list(F.struct("kind", "entity", "target", F.coalesce("attempt", F.lit(0)).alias("attempt")))  # of one text
     docs = docs.drop("n_replaced")
     names = docs.columns
-    rows = docs.withColumn("_id", F.col("doc_id").cast("long")).join(cut(special).withColumnRenamed("doc_id", "_id"), "_id", "left").select(*names, "_redrawn")
+    own = [free(names, x) for x in (*DIGEST, "redrawn")]
+    special = cut(special.groupBy(*DIGEST).agg(drawn_again.alias("redrawn"))).toDF(*own)
+    keyed = docs.withColumns(dict(zip(own, digest(F.col("text").cast("string")), strict=False)))
+    rows = keyed.join(special, own[:2], "left").select(*names, own[2])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 out = []
-                for text, special in zip(part.column("text").to_pylist(), part.column("_redrawn").to_pylist(), strict=True):
+                for text, special in zip(part.column("text").to_pylist(), part.column(own[2]).to_pylist(), strict=True):
                     redrawn = {(x["kind"], x["target"]): x["attempt"] for x in special or ()}
                     same = {(x["kind"], x["entity"]): x["target"] for x in special or ()}
                     out.append((None, 0) if text is None else replaced(text, key, redrawn, same))

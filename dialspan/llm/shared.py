@@ -20,8 +20,12 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); a local one only where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """The folder that all executors share (``spark.checkpoint.dir``); one of this machine only where Spark is one process and none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.conf.get("spark.master", "")
+    if folder is None and master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir isn't set: the executors need a folder that they share")
+    return folder or _own_folder()
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from dialspan.llm import pii as A
 
 KEY = b"key of the tests"
@@ -79,3 +81,44 @@ def test_names_are_coreferent(spark):
     assert rest == [petrov, "и", ivan, petrov] and not {ivan, petrov} & {"Иван", "Петров"}
     assert out[5].endswith("of the day. The rest.") and "Young people agreed" in out[5] and "Mr. Young" not in out[5]
     assert len({out[i].split()[1] for i, _ in rows[5:]}) == len({out[i].split()[2] for i, _ in rows[5:]}) == 200
+
+
+def brute(texts):
+    """Every text with its surrogates: entities and draws of the whole corpus in plain Python."""
+    found = {p for t in texts if t for m in A.mentions(t) for p in A.parts(*m[2:])}
+    genders = {}
+    for kind, entity in found:
+        if kind == "given":
+            genders.setdefault(entity[2:], set()).add(entity[0])
+    same = {("given", f"n {n}"): f"{min(g)} {n}" for n, g in genders.items() if sorted(g) in (["m", "n"], ["f", "n"])}
+    every = {(k, same.get((k, e), e)) for k, e in found}
+    attempt = dict.fromkeys(every, 0)
+    rounds = 0
+    while True:
+        rounds += 1
+        made = {}
+        for k, e in every:
+            made.setdefault((k, A.surrogate(k, e, KEY, attempt[k, e])), []).append((attempt[k, e], e))
+        again = [(k, e) for (k, m), sharing in made.items() for _, e in sharing if (k, m) in every or (len(sharing) > 1 and e != min(sharing)[1])]
+        if not again:
+            return [None if t is None else A.replaced(t, KEY, attempt, same)[0] for t in texts]
+        attempt |= dict.fromkeys(again, rounds)
+
+
+def test_replacements_by_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    names = spark.createDataFrame([(10_000 + i, f"{t} {a} {b}. Then {b}, and {a}; mail {a}@{b}.org") for i, (t, a, b) in enumerate((("Mr.", "Dr.", "Ms.")[i % 3], f"Q{chr(97 + i % 7)}o", f"W{chr(97 + i // 26)}{chr(97 + i % 26)}") for i in range(90))], "doc_id long, text string")
+    rows = docs.unionByName(names).collect()
+    got = {r.doc_id: r.text for r in A.anonymise(docs.unionByName(names), KEY).collect()}
+    want = dict(zip((r.doc_id for r in rows), brute([r.text for r in rows]), strict=True))
+    assert got == want and sum(want[r.doc_id] != r.text for r in rows) > 100
+
+
+def test_null_ids_and_clashing_columns(spark):
+    """Surrogates are drawn again whatever the ids; columns may have the names of the operator's own."""
+    rows = [(None, f"Mr. Q{chr(97 + a)}{chr(97 + b)}", "x", "y", 7) for a in range(12) for b in range(12)]
+    df = spark.createDataFrame([*rows, *rows[:5], (None, None, "x", "y", 7), (5, "", "x", "y", 7)], "doc_id long, text string, redrawn string, hash_a string, _ID long")
+    out = A.anonymise(df, KEY).collect()
+    assert len({r.text for r in out if r.text}) == 144 and len(out) == 151 and all((r.redrawn, r.hash_a, r["_ID"]) == ("x", "y", 7) for r in out)
+    repeated = A.anonymise(df.withColumn("doc_id", F.lit(1)), KEY).collect()
+    assert sorted(r.text or "" for r in repeated) == sorted(r.text or "" for r in out)
