@@ -367,7 +367,12 @@ class Picture:
             if kind == 0xFE:
                 self.units = struct.unpack(">Q", body)[0]
             elif kind == 0xC2:
-                _, self.height, self.width, _ = struct.unpack(">BHHB", body[:6])
+                _, self.height, self.width, parts = struct.unpack(">BHHB", body[:6])
+                if [body[7 + 3 * i] for i in range(parts)] != [0x22, 0x11, 0x11]:
+                    raise ValueError("only three components with chroma of half the width and height are read")
+            elif kind == 0xDB:
+                if set(body[1:65]) != {1} or len(body) % 65 or any(body[i] >> 4 for i in range(0, len(body), 65)):
+                    raise ValueError("only quantisers of one are read")
             elif kind == 0xC4:
                 while body:
                     counts = list(body[1:17])

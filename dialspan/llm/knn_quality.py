@@ -106,16 +106,17 @@ class Model:
     def score(self, table: np.ndarray) -> np.ndarray:
         """The share of label 1 among the nearest, by similarity to the power ``SHARPNESS``.
 
-        0 for a text without features; one half where there is no labelled neighbour.
+        0 for a text without features; one half where there is no labelled neighbour. All
+        neighbours that are as near as the last of the nearest vote, too.
         """
         if not len(self.labels):
             return np.where(table.any(axis=1), 0.5, 0.0)
         near = self.latent(table) @ self.vectors.T
         k = min(NEIGHBOURS, near.shape[1])
-        at = np.argpartition(near, -k, axis=1)[:, -k:]
-        weight = np.maximum(np.take_along_axis(near, at, axis=1), 0).astype(np.float64) ** SHARPNESS
-        total = weight.sum(axis=1)
-        vote = np.where(total > 0, (weight * self.labels[at]).sum(axis=1) / np.maximum(total, 1e-300), 0.5)
+        row, at = np.nonzero(near >= np.partition(near, -k, axis=1)[:, -k :][:, :1])
+        weight = np.maximum(near[row, at], 0).astype(np.float64) ** SHARPNESS
+        total = np.bincount(row, weight, minlength=len(near))
+        vote = np.where(total > 0, np.bincount(row, weight * self.labels[at], minlength=len(near)) / np.maximum(total, 1e-300), 0.5)
         return np.where(table.any(axis=1), np.clip(vote, 0, 1), 0.0)
 
 

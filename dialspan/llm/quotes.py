@@ -9,6 +9,11 @@ a line that all messages have nor a conversation that holds a third of them mult
 Threads follow the reply links by pointer doubling, in as many rounds as the logarithm of
 the longest chain.
 
+A passage is a line: what a message quotes may begin and end anywhere in the original, so that
+runs of lines needn't be runs there. Lines are split and normalised once, written as hashes
+(a few bytes each), and read as own and as quoted ones. Joins have one row on their right
+for each key, so that a hot key makes long tasks, which Spark splits, but no more rows.
+
 A null text is empty. A message with a null conversation or turn replies to nothing. Rows
 with the same conversation and turn are one message in links; each is returned.
 """
@@ -27,17 +32,19 @@ ATTRIBUTION = r"(?i)^(?:on|am|le|el) .{1,200} (?:wrote|schrieb|écrit|escribió)
 
 
 def level(line: Column) -> Column:
-    return F.length(F.regexp_replace(F.regexp_extract(line, PREFIX, 0), "[^>]", ""))
+    """How many ``>`` a line begins with; lines without any aren't searched."""
+    return F.when(line.contains(">"), F.length(F.regexp_replace(F.regexp_extract(line, PREFIX, 0), "[^>]", ""))).otherwise(0)
 
 
 def normalised(line: Column) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_replace(line, PREFIX, ""), r"[^\p{L}\p{N}]+", ""))
+    bare = F.when(line.contains(">"), F.regexp_replace(line, PREFIX, "")).otherwise(line)
+    return F.lower(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", ""))
 
 
 def own_text(text: Column) -> Column:
     """The text without quoted lines and without lines that announce a quote."""
     lines = F.split(F.coalesce(text, F.lit("")), r"\r?\n")
-    kept = F.filter(lines, lambda x: (level(x) == 0) & ~x.rlike(ATTRIBUTION))
+    kept = F.filter(lines, lambda x: (level(x) == 0) & ~(x.contains(":") & x.rlike(ATTRIBUTION)))
     return F.trim(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
 
 
@@ -45,7 +52,7 @@ def reply_links(messages: DataFrame, conversation: list[str]) -> DataFrame:
     """conversation, turn, reply_to (a turn) and matched (lines) of the messages that quote an earlier one."""
     lines = messages.select(*conversation, "turn", F.explode(F.split(F.coalesce("text", F.lit("")), r"\r?\n")).alias("line"))
     lines = lines.select(*conversation, "turn", level(F.col("line")).alias("level"), normalised(F.col("line")).alias("words"))
-    lines = lines.where("words <> ''").select(*conversation, "turn", "level", F.xxhash64("words", F.length("words")).alias("hash"))
+    lines = cut(lines.where("words <> ''").select(*conversation, "turn", "level", F.xxhash64("words", F.length("words")).alias("hash")))
     first = lines.where("level = 0").groupBy(*conversation, "hash").agg(F.min("turn").alias("origin"))
     quoted = lines.where("level > 0").distinct()
     votes = quoted.join(first, [*conversation, "hash"]).where("origin < turn")

@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -44,18 +45,23 @@ def with_revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     return rows.join(revisits, ["page_id", "digest"], "left")
 
 
-def header(page_id: int | None, url: str | None, digest: str, size: int, refers_to: int | None) -> bytes:
-    name = "" if page_id is None else page_id
+def record_urn(page_id: int | None, digest: str) -> str:
+    """A record's id: its page and its payload's digest, so that pages whose ids repeat have records of their own, and a revisit can name the record it refers to."""
+    return f"<urn:page:{'' if page_id is None else page_id}:{digest}>"
+
+
+def header(page_id: int | None, url: str | None, digest: str, size: int, refers_to: int | None, date: str) -> bytes:
     target = "".join(c for c in url or "" if c not in "\r\n")
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{name}>", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {size}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_urn(page_id, digest)}", f"WARC-Date: {date}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {size}"]
     if refers_to is not None:
-        lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        lines += [f"WARC-Refers-To: {record_urn(refers_to, digest)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     lines += [f"Content-Length: {size if refers_to is None else 0}", "", ""]
     return "\r\n".join(lines).encode()
 
 
-def chunk_rows(rows: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """The chunk rows of ``with_revisits`` rows."""
+def chunk_rows(rows: DataFrame, chunk_bytes: int = CHUNK_BYTES, date: str | None = None) -> DataFrame:
+    """The chunk rows of ``with_revisits`` rows; ``date`` (ISO 8601, UTC) is that of all records, else the time of the call."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archive, n = TaskContext.get().partitionId(), 0
@@ -65,7 +71,7 @@ def chunk_rows(rows: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
             ids, urls, digests, refers = (batch.column(c).to_pylist() for c in ("page_id", "url", "digest", "refers_to"))
             for i, payload in enumerate(batch.column("payload")):
                 body = memoryview(payload.as_buffer() or b"")
-                head = header(ids[i], urls[i], digests[i], len(body), refers[i])
+                head = header(ids[i], urls[i], digests[i], len(body), refers[i], date)
                 stored = body if refers[i] is None else body[:0]
                 running, record, at, no = hashlib.sha1(), f"{archive:08d}-{n:010d}", 0, 0
                 n += 1
@@ -129,7 +135,8 @@ class Record:
     def result(self) -> tuple:
         if self.fields is None or self.seen != self.size or self.tail != b"\r\n\r\n":
             raise ValueError("a record ends too early")
-        number = lambda name: int(self.fields[name][len("<urn:page:") : -1]) if len(self.fields.get(name, "")) > len("<urn:page:>") else None
+        page = lambda name: self.fields.get(name, "::").split(":")[2]
+        number = lambda name: int(page(name)) if page(name) else None
         kind, digest = self.fields["WARC-Type"], self.fields["WARC-Payload-Digest"].removeprefix("sha1:")
         if kind == "response" and self.sha.hexdigest() != digest:
             raise ValueError(f"payload differs from its digest: {self.fields['WARC-Record-ID']}")
