@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import overlap_per_window, union_length
+from .intervals import overlap_per_window, union_intervals, union_length
 from .windows import SECOND
 
 
@@ -105,28 +105,50 @@ def incident_coverage(perspectives: DataFrame, episodes: DataFrame, samples: Dat
     return out.withColumn("evaluable", F.col("line_id").isNotNull() & ((F.col("episodes") > 0) | (F.col("reader_samples") > 0)))
 
 
-def pq_windows(episodes: DataFrame, calls: DataFrame, series: list[str], blanks: DataFrame | None = None, width_us: int = SECOND) -> DataFrame:
-    """Continuity of every clock second of a call: 100 minus the percentage that episodes occupy.
+def pq_runs(episodes: DataFrame, calls: DataFrame, series: list[str], width_us: int = SECOND) -> DataFrame:
+    """Continuity of every clock bin of a call as runs of equal bins: perspective_id, series, first_bin, last_bin, pq, begin_us and stop_us.
 
     ``calls``: perspective_id, begin_us, stop_us. ``episodes`` have perspective_id, ``series`` and,
     optionally, active_until_us (the next creation of their device). An open episode lasts until
     the call ends; one with an unknown start isn't placed. A call without series is one assumed
-    series at 100. ``blanks`` (perspective_id, start, end in microseconds) blank the seconds they touch.
+    series at 100. Bins that an episode fills, and those between episodes, are one row a run, so
+    that rows grow with the episodes and not with the length of the calls.
     """
+    key = ["perspective_id", *series]
     until = F.col("active_until_us") if "active_until_us" in episodes.columns else F.lit(None).cast("long")
     rows = episodes.join(calls, "perspective_id").where("start_basis <> 'unknown'")
     b = F.least(F.coalesce("end_us", "stop_us"), F.coalesce(until, F.col("stop_us")), F.col("stop_us"))
     by_duration = (F.col("start_basis") != "observed") & (F.col("status") == "closed") & (F.col("duration_ms") >= 0)
     a = F.when(by_duration, b - F.round(F.col("duration_ms") * 1000).cast("long")).otherwise(F.col("start_us"))
-    spans = rows.select("perspective_id", *series, F.greatest(a, F.col("begin_us")).alias("start"), b.alias("end"))
-    busy = overlap_per_window(spans, ["perspective_id", *series], width_us)
-    known = episodes.select("perspective_id", *series).distinct()
-    spine = calls.where("begin_us < stop_us").join(known, "perspective_id", "left")
-    spine = spine.withColumns({c: F.coalesce(c, F.lit("assumed")) for c in series})
-    spine = spine.withColumn("bin", F.explode(F.sequence(F.floor(F.col("begin_us") / width_us), F.floor((F.col("stop_us") - 1) / width_us))))
+    merged = union_intervals(rows.select(*key, F.greatest(a, F.col("begin_us")).alias("start"), b.alias("end")), key)
+    first, last = F.floor(F.col("start") / width_us), F.floor((F.col("end") - 1) / width_us)
+    piece = lambda x, y, us: F.struct(x.alias("first_bin"), y.alias("last_bin"), us.cast("long").alias("covered"))
+    head, tail = (first + 1) * width_us - F.col("start"), F.col("end") - last * width_us
+    filled = F.when(last - first > 1, piece(first + 1, last - 1, F.lit(None)))
+    parts = F.when(first == last, F.array(piece(first, first, F.col("end") - F.col("start")))).otherwise(F.array_compact(F.array(piece(first, first, head), filled, piece(last, last, tail))))
+    busy = merged.select(*key, F.explode(parts).alias("_p")).select(*key, "_p.*").groupBy(*key, "first_bin", "last_bin").agg(F.sum("covered").alias("covered"))
+    known = episodes.select(*key).distinct()
+    spine = calls.where("begin_us < stop_us").join(known, "perspective_id", "left").withColumns({c: F.coalesce(c, F.lit("assumed")) for c in series})
+    over = F.floor((F.col("stop_us") - 1) / width_us) + 1
+    ends = spine.select(*key, "begin_us", "stop_us", over.alias("first_bin"), over.alias("last_bin"), F.lit(True).alias("_over"))
+    every = busy.join(spine.select(*key, "begin_us", "stop_us"), key).unionByName(ends, allowMissingColumns=True)
+    before = F.coalesce(F.lag("last_bin").over(Window.partitionBy(*key).orderBy("first_bin")), F.floor(F.col("begin_us") / width_us) - 1)
+    length = F.least((F.col("first_bin") + 1) * width_us, "stop_us") - F.greatest(F.col("first_bin") * width_us, "begin_us")
+    run = lambda x, y, pq: F.struct(x.alias("first_bin"), y.alias("last_bin"), pq.cast("double").alias("pq"))
+    gap = F.when(F.col("first_bin") > F.col("_before") + 1, run(F.col("_before") + 1, F.col("first_bin") - 1, F.lit(100)))
+    own = F.when(F.col("_over").isNull(), run(F.col("first_bin"), F.col("last_bin"), F.when(F.col("covered").isNull(), F.lit(0.0)).otherwise(100 - 100 * F.col("covered") / length)))
+    every = every.withColumn("_before", before).withColumn("_r", F.explode(F.array_compact(F.array(gap, own))))
+    return every.select(*key, "begin_us", "stop_us", "_r.*")
+
+
+def pq_windows(episodes: DataFrame, calls: DataFrame, series: list[str], blanks: DataFrame | None = None, width_us: int = SECOND) -> DataFrame:
+    """Every clock bin (a second) of a call with its continuity: 100 minus the percentage that episodes occupy.
+
+    The runs of ``pq_runs``, bin by bin. ``blanks`` (perspective_id, start, end in microseconds) blank the bins they touch.
+    """
+    rows = pq_runs(episodes, calls, series, width_us).withColumn("bin", F.explode(F.sequence("first_bin", "last_bin")))
     low, high = F.greatest(F.col("bin") * width_us, "begin_us"), F.least((F.col("bin") + 1) * width_us, "stop_us")
-    out = spine.select("perspective_id", *series, "bin", low.alias("start_us"), high.alias("end_us")).join(busy, ["perspective_id", *series, "bin"], "left")
-    out = out.withColumn("pq", 100 - 100 * F.coalesce("covered", F.lit(0)) / (F.col("end_us") - F.col("start_us"))).drop("covered")
+    out = rows.select("perspective_id", *series, "bin", low.alias("start_us"), high.alias("end_us"), "pq")
     if blanks is not None:
         gone = overlap_per_window(blanks, ["perspective_id"], width_us).select("perspective_id", "bin")
         out = out.join(gone, ["perspective_id", "bin"], "left_anti")

@@ -381,7 +381,8 @@ ORACLE: dict[str, str] = {
     "a20_temporal_profile": f"""WITH {HELD}, z AS (SELECT mos, a, b, unnest(generate_series(date_trunc('hour', a), b - INTERVAL 1 MICROSECOND, INTERVAL 1 HOUR)) AS h FROM v),
         c AS (SELECT mos, h, (epoch_us(least(b, h + INTERVAL 1 HOUR)) - epoch_us(greatest(a, h))) / 1e6 AS s, CAST(h AS DATE) AS day FROM z),
         k AS (SELECT mos, s, day, unnest([{{'kind': 'day', 'bin': CAST(CAST(h AS DATE) AS VARCHAR)}}, {{'kind': 'hour', 'bin': lpad(CAST(hour(h) AS VARCHAR), 2, '0')}}, {{'kind': 'weekday', 'bin': CAST(isodow(h) - 1 AS VARCHAR)}},
-              {{'kind': 'week_hour', 'bin': lpad(CAST((isodow(h) - 1) * 24 + hour(h) AS VARCHAR), 3, '0')}}, {{'kind': 'month', 'bin': lpad(CAST(month(h) AS VARCHAR), 2, '0')}}]) AS x FROM c WHERE s > 0),
+              {{'kind': 'week_hour', 'bin': lpad(CAST((isodow(h) - 1) * 24 + hour(h) AS VARCHAR), 3, '0')}}, {{'kind': 'month', 'bin': lpad(CAST(month(h) AS VARCHAR), 2, '0')}},
+              {{'kind': 'history_week', 'bin': CAST(CAST(date_trunc('week', h) AS DATE) AS VARCHAR)}}, {{'kind': 'history_month', 'bin': strftime(h, '%Y-%m')}}, {{'kind': 'history_year', 'bin': CAST(year(h) AS VARCHAR)}}]) AS x FROM c WHERE s > 0),
         d AS (SELECT x.kind AS kind, x.bin AS bin, day, sum(s) AS s, sum(mos * s) AS w FROM k GROUP BY ALL)
         SELECT kind, bin, round(sum(s), 3) AS seconds, round(sum(w) / sum(s), 5) AS mean, round(avg(w / s), 5) AS day_mean, count(*) AS days FROM d GROUP BY kind, bin""",
     "t1_latest": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50",

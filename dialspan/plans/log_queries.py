@@ -134,8 +134,8 @@ def i11_pq_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     signals = e.select(F.col("user_id").alias("perspective_id"), F.lit("o").alias("observer"), F.when(F.col("event_type") == "error", "start").otherwise("end").alias("phase"), S.micros("ts").alias("t_us"), F.lit(None).cast("double").alias("duration_ms"))
     episodes = N.reconstruct_incidents(signals, ["perspective_id", "observer"])
     calls = e.groupBy(F.col("user_id").alias("perspective_id")).agg(S.micros(F.min("ts")).alias("begin_us"), (S.micros(F.max("ts")) + 1).alias("stop_us"))
-    out = N.pq_windows(episodes, calls, ["observer"], width_us=MINUTE)
-    return out.groupBy("perspective_id").agg(F.count("*").alias("minutes"), F.round(F.avg("pq"), 6).alias("pq"))
+    out = N.pq_runs(episodes, calls, ["observer"], width_us=MINUTE).withColumn("n", F.col("last_bin") - F.col("first_bin") + 1)
+    return out.groupBy("perspective_id").agg(F.sum("n").alias("minutes"), F.round(F.sum(F.col("pq") * F.col("n")) / F.sum("n"), 6).alias("pq"))
 
 
 def i12_connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,6 +282,17 @@ ORACLE: dict[str, str] = {
     "x26_validate": "SELECT event_id, CAST((event_id * 7 > 65535)::INT + (floor(value) < 0)::INT AS INT) AS issues FROM events",
     "x27_decode_rtcp": "SELECT user_id AS reporter, count(*) AS blocks, CAST(sum(event_id % 1000) AS BIGINT) AS lost, max(event_id) AS highest FROM events GROUP BY user_id",
     "r2_canonical": """SELECT event_type AS source_id, CAST(user_id AS VARCHAR) AS event_id, arg_min(CAST(CAST(floor(value) AS BIGINT) AS VARCHAR), event_id) AS raw, count(*) AS copies, count(DISTINCT floor(value)) > 1 AS conflict FROM events GROUP BY event_type, user_id""",
+    "i11_pq_windows": """WITH s AS (SELECT DISTINCT user_id, epoch_us(ts) AS t, event_type = 'error' AS s FROM events WHERE event_type IN ('error', 'purchase')),
+        bo AS (SELECT user_id, min(t) AS a, max(t) + 1 AS z FROM s GROUP BY user_id),
+        l AS (SELECT *, lag(s) OVER w AS ps, lag(t) OVER w AS pt, lead(s) OVER w AS ns FROM s WINDOW w AS (PARTITION BY user_id ORDER BY t, s DESC)),
+        ep AS (SELECT user_id, pt AS a, t AS b FROM l WHERE NOT s AND ps UNION ALL SELECT user_id, t, z FROM l JOIN bo USING (user_id) WHERE s AND (ns IS NULL OR ns)),
+        x AS (SELECT *, max(b) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ep WHERE a < b),
+        y AS (SELECT *, sum(CASE WHEN reach IS NULL OR reach < a THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS i FROM x),
+        m AS (SELECT user_id, min(a) AS a, max(b) AS b FROM y GROUP BY user_id, i),
+        c AS (SELECT m.user_id, bin, least(m.b, (bin + 1) * 60000000) - greatest(m.a, bin * 60000000) AS us, least((bin + 1) * 60000000, z) - greatest(bin * 60000000, bo.a) AS len
+              FROM (SELECT *, unnest(generate_series(a // 60000000, (b - 1) // 60000000)) AS bin FROM m) m JOIN bo USING (user_id)),
+        n AS (SELECT user_id, sum(us / len) AS lost FROM c GROUP BY user_id)
+        SELECT user_id AS perspective_id, (z - 1) // 60000000 - a // 60000000 + 1 AS minutes, round(100 - 100 * coalesce(lost, 0) / ((z - 1) // 60000000 - a // 60000000 + 1), 6) AS pq FROM bo LEFT JOIN n USING (user_id)""",
     "i8_incidents": """WITH e AS (SELECT DISTINCT user_id, ts, event_type = 'error' AS s FROM events WHERE event_type IN ('error', 'purchase')),
         l AS (SELECT *, lag(s) OVER w AS ps, lag(ts) OVER w AS pt, lead(s) OVER w AS ns FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, s DESC))
         SELECT 'closed' AS status, CASE WHEN ps THEN 'observed' ELSE 'unknown' END AS start_basis, count(*) AS episodes, round(sum(CASE WHEN ps THEN (epoch_us(ts) - epoch_us(pt)) / 1000 END), 3) AS duration_ms FROM l WHERE NOT s GROUP BY ALL

@@ -44,7 +44,7 @@ def network_breakdown(df: DataFrame, fields: list[str], value: str = "mos", thre
 def temporal_profile(df: DataFrame, key: list[str], value: str = "value") -> DataFrame:
     """Per calendar bin: seconds, weighted mean, the mean of the days' means, days; intervals are cut at hours.
 
-    A piece feeds five kinds of bins; sums per (bin, day) come first, so that the second
+    A piece feeds eight kinds of bins (weeks, months and years of the history among them); sums per (bin, day) come first, so that the second
     aggregation sees a row a day.
     """
     end = F.timestamp_add("MICROSECOND", F.lit(-1), F.col("end"))
@@ -53,7 +53,7 @@ def temporal_profile(df: DataFrame, key: list[str], value: str = "value") -> Dat
     low, high = F.greatest("start", "_h"), F.least("end", F.timestamp_add("HOUR", F.lit(1), F.col("_h")))
     rows = rows.withColumn("_s", (micros(high) - micros(low)) / 1e6).where("_s > 0")
     k = calendar_keys("_h")
-    bins = {"day": k["day"].cast("string"), "hour": F.lpad(k["hour"].cast("string"), 2, "0"), "weekday": k["weekday"].cast("string"), "week_hour": F.lpad(k["week_hour"].cast("string"), 3, "0"), "month": F.lpad(k["month"].cast("string"), 2, "0")}
+    bins = {"day": k["day"].cast("string"), "hour": F.lpad(k["hour"].cast("string"), 2, "0"), "weekday": k["weekday"].cast("string"), "week_hour": F.lpad(k["week_hour"].cast("string"), 3, "0"), "month": F.lpad(k["month"].cast("string"), 2, "0"), "history_week": k["week"].cast("string"), "history_month": F.date_format("_h", "yyyy-MM"), "history_year": k["year"].cast("string")}
     rows = rows.withColumn("_bin", F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), c.alias("bin")) for n, c in bins.items()])))
     daily = rows.groupBy(*key, F.col("_bin.kind").alias("kind"), F.col("_bin.bin").alias("bin"), k["day"].alias("_day")).agg(F.sum("_s").alias("_s"), F.sum(F.col(value) * F.col("_s")).alias("_w"))
     return daily.groupBy(*key, "kind", "bin").agg(F.sum("_s").alias("seconds"), (F.sum("_w") / F.sum("_s")).alias("mean"), F.avg(F.col("_w") / F.col("_s")).alias("day_mean"), F.count("*").alias("days"))
