@@ -18,14 +18,16 @@ def reconstruct_legs(lifecycle: DataFrame) -> DataFrame:
     """Legs of (import_id, line_id, ts, ord, event, call_id) rows; event is added, connected, ended or summary.
 
     ``added`` opens a leg, what follows on the line belongs to it until its summary; a leg that
-    another one opens upon without an end is incomplete.
+    another one opens upon without an end is incomplete. A summary with a Call-ID that closes no
+    leg is a leg of its own, without a start (that of its SIP messages counts) and without a number.
     """
     line = Window.partitionBy("import_id", "line_id").orderBy("ts", "ord")
-    rows = lifecycle.withColumn("leg", F.sum(F.when(F.col("event") == "added", 1).otherwise(0)).over(line)).where("leg > 0")
+    rows = lifecycle.withColumn("leg", F.sum(F.when(F.col("event") == "added", 1).otherwise(0)).over(line))
     own = Window.partitionBy("import_id", "line_id", "leg").orderBy("ts", "ord").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_over", F.max(F.when(F.col("event") == "summary", 1)).over(own)).where("_over IS NULL")
+    rows = rows.withColumn("_over", (F.col("leg") == 0) | F.coalesce(F.max(F.when(F.col("event") == "summary", True)).over(own), F.lit(False)))
+    lone = rows.where("_over AND event = 'summary' AND call_id IS NOT NULL").select("import_id", "line_id", F.col("ts").alias("end"), "call_id", F.lit(False).alias("incomplete"))
     at = lambda *events: F.when(F.col("event").isin(*events), F.col("ts"))
-    legs = rows.groupBy("import_id", "line_id", "leg").agg(
+    legs = rows.where("NOT _over").groupBy("import_id", "line_id", "leg").agg(
         F.min("ts").alias("start"),
         F.min(at("connected")).alias("connected"),
         F.max(at("ended", "summary")).alias("end"),
@@ -33,7 +35,8 @@ def reconstruct_legs(lifecycle: DataFrame) -> DataFrame:
     )
     following = F.lead("start").over(Window.partitionBy("import_id", "line_id").orderBy("leg"))
     legs = legs.withColumn("_next", following)
-    return legs.withColumns({"incomplete": F.col("end").isNull() & F.col("_next").isNotNull(), "end": F.coalesce("end", "_next")}).drop("_next")
+    legs = legs.withColumns({"incomplete": F.col("end").isNull() & F.col("_next").isNotNull(), "end": F.coalesce("end", "_next")}).drop("_next")
+    return legs.unionByName(lone, allowMissingColumns=True)
 
 
 def sip_only_legs(sip: DataFrame, legs: DataFrame) -> DataFrame:
@@ -137,11 +140,19 @@ def skip_known_calls(new: DataFrame, known: DataFrame) -> DataFrame:
     return new.join(held, ["producer", "call_id"], "left_anti")
 
 
-def bound_open_windows(windows: DataFrame, evidence: DataFrame, key: list[str]) -> DataFrame:
-    """Windows without an end are over after their own last evidence."""
+def bound_open_windows(windows: DataFrame, evidence: DataFrame, key: list[str], terminations: DataFrame | None = None) -> DataFrame:
+    """Windows without an end are over after their own last evidence, or at the first of ``terminations`` (key, ts) since their start."""
     last = evidence.groupBy(*key).agg(F.max("ts").alias("_last"))
-    rows = windows.join(last, key, "left").withColumn("end_basis", F.when(F.col("end").isNotNull(), "observed_termination").when(F.col("_last").isNotNull(), "last_call_evidence"))
-    return rows.withColumn("end", F.coalesce("end", F.timestamp_add("MICROSECOND", F.lit(1), F.col("_last")))).drop("_last")
+    rows = windows.join(last, key, "left")
+    if terminations is None:
+        rows = rows.withColumn("_cut", F.lit(None).cast("timestamp_ntz"))
+    else:
+        both = rows.withColumn("_at", F.col("start")).unionByName(terminations.select(*key, F.col("ts").alias("_at"), F.lit(True).alias("_over")), allowMissingColumns=True)
+        ahead = Window.partitionBy(*key).orderBy("_at", F.coalesce("_over", F.lit(False))).rowsBetween(0, Window.unboundedFollowing)
+        rows = both.withColumn("_cut", F.min(F.when(F.col("_over"), F.col("_at"))).over(ahead)).where("_over IS NULL").drop("_at", "_over")
+    basis = F.when(F.col("end").isNotNull(), "observed_termination").when(F.col("_cut").isNotNull(), "terminate_event").when(F.col("_last").isNotNull(), "last_call_evidence")
+    rows = rows.withColumn("end_basis", basis)
+    return rows.withColumn("end", F.coalesce("end", "_cut", F.timestamp_add("MICROSECOND", F.lit(1), F.col("_last")))).drop("_last", "_cut")
 
 
 def assign_manual_windows(rows: DataFrame, windows: DataFrame, row_id: str) -> DataFrame:
@@ -161,20 +172,25 @@ def pair_attempts(records: DataFrame, most_us: int = SECOND) -> DataFrame:
     return rows.select("import_id", "name", "line_no", "ts", "paired", F.when(F.col("paired"), F.col("_ptarget")).otherwise(F.col("target")).alias("target"))
 
 
-def conversation_groups(uuids: DataFrame, perspectives: DataFrame, manual: DataFrame | None = None, spread_us: int = 86_400 * SECOND) -> DataFrame:
-    """Groups of calls: those that share a UUID, then calls with several perspectives, then given ones.
+def conversation_groups(uuids: DataFrame, perspectives: DataFrame, manual: DataFrame | None = None, sessions: DataFrame | None = None, spread_us: int = 86_400 * SECOND) -> DataFrame:
+    """Groups of calls, a row a member (group, basis, call_id, start, review): those that share a UUID, then calls with several perspectives, then given ones and sessions.
 
-    ``review`` marks a call with several UUIDs or a group spread over more than ``spread_us``.
+    ``uuids``: uuid, call_id, start. ``manual``: conversation, call_id. ``sessions``: session, call_id.
+    ``start`` is that of the group's first call; ``review`` marks a group that has a call with several
+    UUIDs or is spread over more than ``spread_us``. No group is gathered into one row.
     """
-    several = uuids.groupBy("call_id").agg(F.countDistinct("uuid").alias("_n"))
-    by_uuid = uuids.join(several, "call_id").groupBy("uuid").agg(F.array_sort(F.collect_set("call_id")).alias("calls"), F.min("start").alias("start"), F.max("start").alias("last"), F.max(F.col("_n") > 1).alias("_twice"))
+    several = uuids.groupBy("call_id").agg(F.count_distinct("uuid").alias("_n"))
+    by_uuid = uuids.join(several, "call_id").groupBy("uuid").agg(F.min("start").alias("start"), F.max("start").alias("last"), F.max(F.col("_n") > 1).alias("_twice"))
     wide = micros("last") - micros("start") > spread_us
-    shared = by_uuid.select(F.concat(F.lit("uuid:"), "uuid").alias("group"), F.lit("shared_uuid").alias("basis"), "calls", "start", (F.col("_twice") | wide).alias("review"))
+    named = lambda prefix, c, basis: [F.concat(F.lit(prefix), F.col(c).cast("string")).alias("group"), F.lit(basis).alias("basis"), "call_id"]
+    shared = uuids.select("uuid", "call_id").distinct().join(by_uuid, "uuid").select(*named("uuid:", "uuid", "shared_uuid"), "start", (F.col("_twice") | wide).alias("review"))
     rest = perspectives.join(uuids.select("call_id"), "call_id", "left_anti").where("call_id IS NOT NULL").groupBy("call_id").agg(F.count("*").alias("_n"), F.min("start").alias("start")).where("_n > 1")
-    out = shared.unionByName(rest.select(F.concat(F.lit("call:"), "call_id").alias("group"), F.lit("several_perspectives").alias("basis"), F.array("call_id").alias("calls"), "start", F.lit(False).alias("review")))
+    out = shared.unionByName(rest.select(*named("call:", "call_id", "several_perspectives"), "start", F.lit(False).alias("review")))
+    none = [F.lit(None).cast("timestamp_ntz").alias("start"), F.lit(False).alias("review")]
     if manual is not None:
-        given = manual.groupBy("conversation").agg(F.array_sort(F.collect_set("call_id")).alias("calls"))
-        out = out.unionByName(given.select(F.concat(F.lit("manual:"), F.col("conversation").cast("string")).alias("group"), F.lit("manual").alias("basis"), "calls", F.lit(None).cast("timestamp_ntz").alias("start"), F.lit(False).alias("review")))
+        out = out.unionByName(manual.select(*named("manual:", "conversation", "manual"), *none).distinct())
+    if sessions is not None:
+        out = out.unionByName(sessions.select(*named("session:", "session", "session"), *none).distinct())
     return out
 
 

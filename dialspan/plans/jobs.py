@@ -139,18 +139,22 @@ def pq_map(episodes: DataFrame, calls: DataFrame, series: list[str], fixes: Data
 
 
 def connectivity_report(records: DataFrame, bounds: DataFrame) -> DataFrame:
+    """The lanes of every import between its bounds, from what its records prove."""
     events = X.extract_connectivity(records).withColumn("ord", F.col("line_no"))
     return K.connectivity_timeline(events, bounds, ["import_id"])
 
 
-def switch_report(records: DataFrame, windows: DataFrame, positions: DataFrame) -> DataFrame:
-    """Switch requests with their call, the transition that is declared near them, and the place between fixes."""
+def switch_report(records: DataFrame, windows: DataFrame, positions: DataFrame, context: dict[str, str] | None = None) -> DataFrame:
+    """Switch requests with their call, the transition that is declared near them, and the place between fixes.
+
+    ``context`` keeps those whose columns fit, from_state or to_state for example.
+    """
     asked = X.extract_network_switches(records).withColumn("request_id", F.xxhash64("import_id", "name", "line_no"))
     states = X.extract_network_obs(records).select("import_id", "ts", F.col("access").alias("state"))
     seen = K.nearby_transition(asked, states, ["import_id"])
     called = K.notices_to_calls(asked, windows, ["request_id"], "request_id").select("request_id", "perspective_id", "call_id")
     fixes = G.fix_stamps(positions, ["import_id"])
-    return J.bracket_interpolate(seen, fixes, ["import_id"], ["latitude", "longitude"]).join(called, "request_id", "left")
+    return J.bracket_interpolate(seen, fixes, ["import_id"], ["latitude", "longitude"]).join(called, "request_id", "left").where(K.matches(context or {}))
 
 
 def compare_ab(a: DataFrame, b: DataFrame, offset_us: int, limit: float, signals: DataFrame | None = None, versions: DataFrame | None = None) -> dict[str, DataFrame]:

@@ -184,7 +184,7 @@ def c16_conversation_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     uuids = o.select(F.concat(F.lit("u"), F.col("o_custkey")).alias("uuid"), F.col("o_orderkey").cast("string").alias("call_id"), F.col("o_orderdate").cast("timestamp_ntz").alias("start"))
     p = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("x"), F.col("l_orderkey")).alias("call_id"), F.col("l_shipdate").cast("timestamp_ntz").alias("start"))
     out = C.conversation_groups(uuids, p)
-    return out.groupBy("basis", "review").agg(F.count("*").alias("groups"), F.sum(F.size("calls")).alias("calls"))
+    return out.groupBy("basis", "review").agg(F.count_distinct("group").alias("groups"), F.count("*").alias("calls"))
 
 
 def c18_import_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

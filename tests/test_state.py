@@ -73,6 +73,16 @@ def test_calls(spark):
     p = {r.call_id: r for r in C.build_perspectives(legs.where("call_id IS NOT NULL"), sip).collect()}
     assert (p["c1"].status, p["c1"].direction) == ("completed", "outgoing") and (p["c2"].status, str(p["c2"].end)[-2:]) == ("failed", "04")
     assert [r.call_id for r in C.sip_only_legs(sip, legs).collect()] == ["c2"]
+    lone = C.reconstruct_legs(times(spark, [("i", 1, at(5), 1, "summary", "c9"), ("i", 1, at(6), 2, "added", None), ("i", 1, at(7), 3, "summary", "c8"), ("i", 1, at(8), 4, "summary", "c7")], "import_id string, line_id int, ts string, ord long, event string, call_id string"))
+    assert {(r.call_id, r.start is None, r.leg) for r in lone.collect()} == {("c9", True, None), ("c8", False, 1), ("c7", True, None)}
+    refer = times(spark, [("i", "c5", at(0), 1, "INVITE", None, "outgoing", "a", "b"), ("i", "c5", at(1), 2, "INVITE", 200, "incoming", "a", "b"), ("i", "c5", at(3), 3, "REFER", 503, "incoming", "a", "b")], "import_id string, call_id string, ts string, ord long, method string, response int, direction string, caller string, callee string")
+    one = C.build_perspectives(C.sip_only_legs(refer, lone).withColumns({c: F.lit(None).cast(t) for c, t in (("connected", "timestamp_ntz"), ("end", "timestamp_ntz"), ("line_id", "int"), ("incomplete", "boolean"))}), refer).first()
+    assert one.status == "connected / partial" and one.end is None
+    open_ = times(spark, [("k", at(0), None), ("k", at(10), None), ("k", at(20), at(21))], "k string, start string, end string")
+    bounded = C.bound_open_windows(open_, times(spark, [("k", at(30))], "k string, ts string"), ["k"], times(spark, [("k", at(5))], "k string, ts string")).orderBy("start").collect()
+    assert [(r.end.second, r.end_basis) for r in bounded] == [(5, "terminate_event"), (30, "last_call_evidence"), (21, "observed_termination")]
+    members = C.conversation_groups(times(spark, [("u", "a", at(0)), ("u", "b", at(1)), ("w", "b", at(1))], "uuid string, call_id string, start string"), times(spark, [("z", at(0)), ("z", at(1)), ("a", at(0))], "call_id string, start string"), sessions=spark.createDataFrame([(7, "a")], "session long, call_id string"))
+    assert {(r.group, r.call_id, r.review) for r in members.collect()} == {("uuid:u", "a", True), ("uuid:u", "b", True), ("uuid:w", "b", True), ("call:z", "z", False), ("session:7", "a", False)}
     many = spark.createDataFrame([("a", 1, "x"), ("a", 1, "y"), ("b", 2, "x")], "import_id string, import_seq long, call_id string")
     assert {tuple(r)[2:] for r in C.import_counts(many).collect()} == {(2, 2, 0), (1, 0, 1)}
     producers = spark.createDataFrame([("a", "resolved", "P"), ("b", "resolved", "P")], "import_id string, status string, producer string")
