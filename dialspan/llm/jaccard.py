@@ -305,7 +305,7 @@ def candidate_units(nodes: DataFrame, percent: int) -> DataFrame:
     found = rows.groupBy("bucket").applyInArrow(run, "first long, root long, node long")
     large = cells.join(known.where(F.col("many") > BLOCK), "first").select("first", F.col("first").alias("root"), "node")
     found = cut(found.unionByName(large).select(F.xxhash64("first", "root").alias("unit"), "node"))
-    sums = [F.sum(F.shiftright(F.xxhash64("node", F.lit(k)), 24)) for k in (1, 2)]
+    sums = [F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(20,0)")) for k in (1, 2)]  # of as many nodes as there may be
     once = found.groupBy("unit").agg(F.count("*").alias("m"), sums[0].alias("a"), sums[1].alias("b")).groupBy("m", "a", "b").agg(F.min("unit").alias("unit"))
     return found.join(small(cut(once.select("unit"))), "unit")
 
