@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import jaccard, knn_quality, media, minhash, packing, pieces, pii, quotes, urlfilter, warc
-from .shared import table
+from .shared import cut, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -76,7 +76,7 @@ def op9_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The messages as they are, and with quotes of the turns before, whose links are to be found again."""
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     both = given.withColumn("quoting", F.lit(False)).unionByName(quotes.with_quotes(given).withColumn("quoting", F.lit(True)))
-    return quotes.ordered(both, ["quoting", "conv_id"])
+    return quotes.ordered(cut(both), ["quoting", "conv_id"])  # written once, read for the links and for the texts
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
