@@ -9,4 +9,4 @@ from pyspark.sql import DataFrame, SparkSession
 from .plans import analysis_queries, core_queries, log_queries, record_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = core_queries.QUERIES | log_queries.QUERIES | record_queries.QUERIES | analysis_queries.QUERIES
-ORACLE_SQL: dict[str, str] = core_queries.ORACLE | log_queries.ORACLE | record_queries.ORACLE | analysis_queries.ORACLE
+ORACLE_SQL: dict[str, str] = core_queries.ORACLE | log_queries.ORACLE | record_queries.ORACLE | analysis_queries.ORACLE | analysis_queries.MORE_ORACLES

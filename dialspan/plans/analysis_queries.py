@@ -771,3 +771,17 @@ ORACLE["z10_switch_job"] = f"""WITH e AS (SELECT user_id AS u, event_id, event_t
         SELECT e.event_id, CASE WHEN n = 1 THEN x END AS from_state, CASE WHEN n = 1 THEN y END AS to_state, pid AS perspective_id FROM e JOIN c USING (event_id) LEFT JOIN k USING (event_id) LEFT JOIN w USING (event_id) WHERE e.r"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: globals()[name] for name in ORACLE}
+
+#: SQL of queries of other modules, made of the same parts.
+MORE_ORACLES: dict[str, str] = {
+    "c8_dedup_within_gap": f"WITH k AS ({ORACLE['c8_kept_rows'].replace(str(24 * HOUR), str(2 * HOUR))}) SELECT user_id, count(*) AS kept FROM k GROUP BY user_id",
+    "i10_incident_windows": f"""WITH {PLAIN}, {BOUNDS}, w AS ({ORACLE['i10_daily_windows']}), o AS (SELECT user_id, sum(b - a) AS us FROM ep WHERE status = 'closed' AND basis <> 'unknown' GROUP BY user_id)
+        SELECT user_id, count(*) AS bins, count(*) FILTER (WHERE known) AS known, round(coalesce(any_value(us), 0) / 1000, 3) AS occupied_ms FROM w LEFT JOIN o USING (user_id) GROUP BY user_id""",
+    "i12_connectivity": f"WITH s AS ({ORACLE['i12_lanes']}) SELECT lane, state, count(*) AS segments, round(sum((epoch_us(\"end\") - epoch_us(start)) / 1e6), 3) AS seconds FROM s GROUP BY lane, state",
+    "i16_clock_guards": """WITH d AS (SELECT user_id AS u, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_id * 1.0::DOUBLE AS m, epoch_us(ts) / 1000 AS wall FROM events),
+        g AS (SELECT u, m < lag(m) OVER (PARTITION BY u ORDER BY seq) AS back, wall - m AS dr FROM d), h AS (SELECT bool_or(back) OVER (PARTITION BY u) AS b, max(dr) OVER (PARTITION BY u) - min(dr) OVER (PARTITION BY u) > 1000 AS far FROM g)
+        SELECT 'monotonic_decrease' AS issue, count(*) AS records FROM h WHERE b HAVING count(*) > 0 UNION ALL SELECT 'clock_drift', count(*) FROM h WHERE far HAVING count(*) > 0""",
+    "w6_movement": f"""WITH k AS (SELECT user_id, epoch_us(ts) AS t, 45 + value / 10000 AS lat, lag(epoch_us(ts)) OVER w AS pt, lag(45 + value / 10000) OVER w AS plat FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+        r AS (SELECT CASE WHEN pt IS NULL THEN 'first_sample' WHEN t - pt > {12 * HOUR} THEN 'time_gap' WHEN t <= pt OR 2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(lat - plat) / 2), 2)))) > 150.0 * (t - pt) / 1e6 + 10 THEN 'implausible_jump' END AS reason FROM k)
+        SELECT reason, count(*) AS samples FROM r GROUP BY reason""",
+}
