@@ -54,16 +54,15 @@ def brute_by_rows(texts, size, percent):
 
 
 def test_components_by_brute_force(spark, monkeypatch):
-    for seed, (block, shingles_, common) in enumerate([(1024, 500_000, 32), (1024, 400, 2), (3, 400, 2)]):
+    for seed, (block, shingles_, common, size, percent) in enumerate([(1024, 500_000, 32, 4, 85), (1024, 400, 2, 5, 80), (3, 400, 2, 4, 85)]):
         monkeypatch.setattr(J, "BLOCK", block)
         monkeypatch.setattr(J, "BLOCK_SHINGLES", shingles_)
         monkeypatch.setattr(J, "COMMON", common)
         monkeypatch.setattr(J, "SMALL", 4)
         texts = corpus(seed)
         df = spark.createDataFrame(texts, "doc_id long, text string")
-        for size, percent in ((4, 85), (5, 80)):
-            got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.link_components(df, size, percent).collect()}
-            assert got == brute(texts, size, percent)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.link_components(df, size, percent).collect()}
+        assert got == brute(texts, size, percent)
 
 
 def test_repeated_ids_by_brute_force(spark):
