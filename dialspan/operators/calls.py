@@ -148,7 +148,7 @@ def bound_open_windows(windows: DataFrame, evidence: DataFrame, key: list[str],
         rows = rows.withColumn("_cut", F.lit(None).cast("timestamp_ntz"))
     else:
         both = rows.withColumn("_at", F.col("start")).unionByName(terminations.select(*key, F.col("ts").alias("_at"), F.lit(True).alias("_over")), allowMissingColumns=True)
-        ahead = Window.partitionBy(*key).orderBy("_at", F.coalesce("_over", F.lit(False))).rowsBetween(0, Window.unboundedFollowing)
+        ahead = Window.partitionBy(*key).orderBy(F.desc("_at"), F.coalesce("_over", F.lit(False)).desc()).rowsBetween(Window.unboundedPreceding, 0)
         rows = both.withColumn("_cut", F.min(F.when(F.col("_over"), F.col("_at"))).over(ahead)).where("_over IS NULL").drop("_at", "_over")
     basis = F.when(F.col("end").isNotNull(), "observed_termination").when(F.col("_cut").isNotNull(), "terminate_event").when(F.col("_last").isNotNull(), "last_call_evidence")
     rows = rows.withColumn("end_basis", basis)

@@ -72,9 +72,8 @@ def nearest_event(spans: DataFrame, events: DataFrame, key: list[str], ts: str =
     def carried(at: str, side: int, last: bool) -> DataFrame:
         a = spans_id.select(*key, F.col(at).alias("_ts"), F.lit(side).alias("_side"), "_row", F.lit(None).cast("timestamp_ntz").alias("_event"))
         b = events.select(*key, F.col(ts).alias("_ts"), F.lit(1 - side).alias("_side"), F.lit(None).cast("long").alias("_row"), F.col(ts).alias("_event"))
-        by = Window.partitionBy(*key).orderBy("_ts", "_side")
-        frame = by.rowsBetween(Window.unboundedPreceding, 0) if last else by.rowsBetween(0, Window.unboundedFollowing)
-        pick = (F.last if last else F.first)("_event", ignorenulls=True).over(frame)
+        by = ["_ts", "_side"] if last else [F.desc("_ts"), F.desc("_side")]  # a running value in either order
+        pick = F.last("_event", ignorenulls=True).over(Window.partitionBy(*key).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))
         return a.unionByName(b).withColumn("_near", pick).where("_row IS NOT NULL").select("_row", F.col("_near").alias("_before" if last else "_after"))
 
     spans_id = spans.withColumn("_row", row_hash(spans.columns))
@@ -96,7 +95,7 @@ def bracket_interpolate(points: DataFrame, samples: DataFrame, key: list[str], f
     both = a.unionByName(samples.select(*key, F.col(ts).alias("_ts"), value.alias("_sample")), allowMissingColumns=True)
     by = Window.partitionBy(*key).orderBy("_ts")
     back = F.last("_sample", ignorenulls=True).over(by.rangeBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("_sample", ignorenulls=True).over(by.rangeBetween(0, Window.unboundedFollowing))
+    ahead = F.last("_sample", ignorenulls=True).over(Window.partitionBy(*key).orderBy(F.desc("_ts")).rangeBetween(Window.unboundedPreceding, 0))
     both = both.withColumns({"_b": back, "_a": ahead}).where("_point IS NOT NULL")
     t, low, high = micros("_ts"), micros("_b.at"), micros("_a.at")
     usable = F.col("_b.ok") & F.col("_a.ok") & (high - low <= most_us)

@@ -437,7 +437,7 @@ def media_intervals(windows: DataFrame, configs: DataFrame, gaps: DataFrame, sem
 def next_mark(windows: DataFrame, marks: DataFrame, key: list[str], name: str) -> DataFrame:
     """``windows`` with ``name``: the first mono_ms of a mark of the key after the start, by one sort of both."""
     both = windows.withColumn("_at", F.col("start_ms").cast("double")).unionByName(marks.select(*key, F.col("mono_ms").cast("double").alias("_at"), F.lit(True).alias("_mark")), allowMissingColumns=True)
-    after = F.min(F.when(F.col("_mark"), F.col("_at"))).over(Window.partitionBy(*key).orderBy("_at", F.coalesce("_mark", F.lit(False)).desc()).rowsBetween(1, Window.unboundedFollowing))
+    after = F.min(F.when(F.col("_mark"), F.col("_at"))).over(Window.partitionBy(*key).orderBy(F.desc("_at"), F.coalesce("_mark", F.lit(False))).rowsBetween(Window.unboundedPreceding, -1))
     return both.withColumn(name, after).where("_mark IS NULL").drop("_mark", "_at")
 
 
@@ -531,9 +531,10 @@ def suppress_overlaps(intervals: DataFrame, key: list[str]) -> DataFrame:
     windows, reports = alone.where("method = 'media_window'"), alone.where("method <> 'media_window'")
     both = windows.select(*key, "start_ms", "end_ms", F.lit(0).alias("_s")).unionByName(reports.select(*key, "start_ms", "end_ms", F.lit(1).alias("_s")))
     order = Window.partitionBy(*key).orderBy("start_ms", "_s")
+    back = Window.partitionBy(*key).orderBy(F.desc("start_ms"), F.desc("_s"))  # looking ahead is looking back in the other order
     w = F.when(F.col("_s") == 0, F.col("end_ms"))
     nxt = F.when(F.col("_s") == 0, F.col("start_ms"))
-    both = both.withColumns({"_r": F.max(w).over(order.rowsBetween(Window.unboundedPreceding, -1)), "_n": F.min(nxt).over(order.rowsBetween(1, Window.unboundedFollowing))})
+    both = both.withColumns({"_r": F.max(w).over(order.rowsBetween(Window.unboundedPreceding, -1)), "_n": F.min(nxt).over(back.rowsBetween(Window.unboundedPreceding, -1))})
     lost = both.where("_s = 1 AND (_r > start_ms OR _n < end_ms)").select(*key, "start_ms", "end_ms")
     return windows.unionByName(reports.join(lost, [*key, "start_ms", "end_ms"], "left_anti"))
 
