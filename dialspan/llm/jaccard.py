@@ -32,7 +32,7 @@ no links. Further columns, whatever their names, are neither read nor returned.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -105,7 +105,7 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
     """(hashes, ascending; their places in the order of counts) of the ``ORDERED`` most common shingles, counted by task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, found = np.zeros(COUNTERS, np.int32), np.zeros(0, np.uint64)
+        counters, found = np.zeros(COUNTERS, np.int64), np.zeros(0, np.uint64)
         for batch in batches:
             for part in slices(batch, "text"):
                 h, o = shingle_sets(part.column("text"), words)
@@ -114,8 +114,11 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
                 own[one] = True
                 h = h[np.repeat(own, np.diff(o))]
                 place = (h % np.uint64(COUNTERS)).astype(np.int64)
-                counters += np.bincount(place, minlength=COUNTERS).astype(np.int32)
+                counters += np.bincount(place, minlength=COUNTERS)
                 found = np.union1d(found, h[counters[place] >= COMMON])
+                if len(found) > 4 * ORDERED:  # the memory stays fixed; what is left out is only not known as common
+                    many = counters[(found % np.uint64(COUNTERS)).astype(np.int64)]
+                    found = np.sort(found[np.argsort(-many, kind="stable")[: 2 * ORDERED]])
         yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counters[(found % np.uint64(COUNTERS)).astype(np.int64)], pa.int64())], names=["h", "c"])
 
     counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
@@ -304,7 +307,12 @@ def candidate_units(nodes: DataFrame, percent: int) -> DataFrame:
 
     found = rows.groupBy("bucket").applyInArrow(run, "first long, root long, node long")
     large = cells.join(known.where(F.col("many") > BLOCK), "first").select("first", F.col("first").alias("root"), "node")
-    found = cut(found.unionByName(large).select(F.xxhash64("first", "root").alias("unit"), "node"))
+    return distinct_units(found.unionByName(large))
+
+
+def distinct_units(found: DataFrame) -> DataFrame:
+    """(unit, node) of what ``found`` (first, root, node) brings together, equal units once."""
+    found = cut(found.select(F.xxhash64("first", "root").alias("unit"), "node"))
     sums = [F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(20,0)")) for k in (1, 2)]  # of as many nodes as there may be
     once = found.groupBy("unit").agg(F.count("*").alias("m"), sums[0].alias("a"), sums[1].alias("b")).groupBy("m", "a", "b").agg(F.min("unit").alias("unit"))
     return found.join(small(cut(once.select("unit"))), "unit")
@@ -458,13 +466,22 @@ def link_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     Two documents are linked if 100 * shared shingles >= percent * all shingles of both.
     """
-    sketch = cut(sketches(docs, words, percent))
+    return linked(docs, sketches(docs, words, percent), candidate_units, words, percent)
+
+
+def linked(docs: DataFrame, sketch: DataFrame, units_of: Callable[[DataFrame, int], DataFrame], words: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of ``sketch`` (doc_id, the columns of ``SET`` and what ``units_of`` reads).
+
+    ``units_of`` gives the (unit, node) of all pairs of nodes that may be linked.
+    """
+    sketch = cut(sketch)
     known = sketch.where("n > 0 and doc_id is not null")
-    groups = known.groupBy(*SET).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("members"), F.first("point").alias("point"), F.first("keys").alias("keys"))
+    more = [F.first(c).alias(c) for c in sketch.columns if c not in ("doc_id", *SET)]
+    groups = known.groupBy(*SET).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("members"), *more)
     nodes = cut(groups.withColumn("node", F.monotonically_increasing_id()))  # numbers of the written table
     ids = known.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(F.struct(*SET)).alias("x"), F.max(F.struct(*SET)).alias("y")).where("rows > 1")
     again = cut(ids.select("doc_id", (F.col("x") != F.col("y")).alias("differ")))
-    links = cut(verified_links(docs, nodes, again, candidate_units(nodes, percent), words, percent))
+    links = cut(verified_links(docs, nodes, again, units_of(nodes, percent), words, percent))
     ends = [nodes.select(F.col("node").alias(end), F.col("doc_id").alias(name)) for end, name in (("a", "x"), ("b", "y"))]
     edges = links.join(ends[0], "a").join(ends[1], "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     texts = known.join(again.where("differ"), "doc_id", "left_semi").select("doc_id", *SET).distinct()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, knn_quality, media, minhash, packing, pieces, pii, quotes, urlfilter, warc
+from . import bm_ranks, jaccard, knn_quality, media, minhash, packing, pieces, pii, quotes, signature_join, urlfilter, warc, whitening
 from .shared import cut, table
 
 
@@ -79,6 +79,18 @@ def op9_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.ordered(cut(both), ["quoting", "conv_id"])  # written once, read for the links and for the texts
 
 
+def op11_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_join.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm_ranks.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_media": op2_media,
@@ -90,6 +102,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_quotes": op9_quotes,
     "op10_pieces": op10_pieces,
+    "op11_signature_join": op11_signature_join,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_whitening": op13_whitening,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
@@ -116,4 +131,24 @@ ORACLE_SQL: dict[str, str] = {
         fit AS (SELECT page_id, arg_max(h || f, length(h || f)) AS rule, arg_max(r.verdict, length(h || f)) AS verdict
                 FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, f) GROUP BY page_id)
         SELECT p.page_id, host, path, rule, coalesce(fit.verdict, 'allow') AS verdict FROM p LEFT JOIN fit USING (page_id)""",
+    "op11_signature_join": """
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        i AS (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 1, 1))) AS i FROM w WHERE len(w) > 0),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 1], ' ') AS sh FROM i),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+        l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+        e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        r(d, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.c FROM r JOIN e ON r.d = e.x)
+        SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.c) AS component_id, d.doc_id = min(r.c) AS kept FROM documents d JOIN r ON r.d = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "op12_ranked_search": """
+        WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+        q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        qn AS (SELECT item_id, term, count(*) AS times FROM q GROUP BY ALL),
+        g AS (SELECT count(DISTINCT doc_id) AS N, count(*) AS L FROM t),
+        d AS (SELECT doc_id, 75 + (25 * count(*) * (SELECT N FROM g)) // (SELECT L FROM g) AS m FROM t GROUP BY doc_id),
+        f AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM qn) GROUP BY ALL),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * (SELECT N FROM g) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM f GROUP BY term),
+        s AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM f JOIN qn USING (term) JOIN w USING (term) JOIN d USING (doc_id) GROUP BY ALL)
+        SELECT item_id, CAST(row_number() OVER o AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER o <= 20""",
 }
