@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import micros
-from .joins import unique_window
+from .joins import only_open_window, open_windows, row_hash, unique_window
 from .windows import SECOND
 
 #: Runs that one call of a walking function gets.
@@ -20,7 +20,9 @@ def reconstruct_legs(lifecycle: DataFrame) -> DataFrame:
     ``added`` opens a leg, what follows on the line belongs to it until its summary; a leg that
     another one opens upon without an end is incomplete. A summary with a Call-ID that closes no
     leg is a leg of its own, without a start (that of its SIP messages counts) and without a number.
+    A summary without a Call-ID says nothing.
     """
+    lifecycle = lifecycle.where("event <> 'summary' OR call_id IS NOT NULL")
     line = Window.partitionBy("import_id", "line_id").orderBy("ts", "ord")
     rows = lifecycle.withColumn("leg", F.sum(F.when(F.col("event") == "added", 1).otherwise(0)).over(line))
     own = Window.partitionBy("import_id", "line_id", "leg").orderBy("ts", "ord").rowsBetween(Window.unboundedPreceding, -1)
@@ -45,6 +47,28 @@ def sip_only_legs(sip: DataFrame, legs: DataFrame) -> DataFrame:
     return ids.join(legs.where("call_id IS NOT NULL").select("import_id", "call_id"), ["import_id", "call_id"], "left_anti")
 
 
+def callinfo_legs(said: DataFrame, legs: DataFrame) -> DataFrame:
+    """Local legs from (import_id, line_id, ts, ord, event) rows of call information files, event is connected or terminated, where ``legs`` don't cover them.
+
+    A connection opens a leg unless a leg of its line is open then (one without an end is open for
+    good) or one of these legs is; the line's next termination ends it.
+    """
+    said = said.where("line_id IS NOT NULL AND ts IS NOT NULL").withColumn("_id", row_hash(["import_id", "line_id", "ts", "ord", "event"]))
+    known = legs.where("line_id IS NOT NULL AND start IS NOT NULL").select("import_id", "line_id", "start", "end", F.lit(0).cast("long").alias("mark"))
+    covered = open_windows(said.where("event = 'connected'"), known, ["import_id", "line_id"], "_id").where("open > 0").select("_id")
+    rows = said.join(covered, "_id", "left_anti").drop("_id")
+    by = Window.partitionBy("import_id", "line_id").orderBy("ts", "ord")
+    over = F.col("event") == "terminated"
+    rows = rows.withColumn("_run", F.sum(F.when(over, 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("_run", F.coalesce("_run", F.lit(0)))
+    runs = rows.groupBy("import_id", "line_id", "_run").agg(F.collect_set(F.when(~over, F.col("ts"))).alias("_at"), F.max(F.when(over, F.col("ts"))).alias("end"))
+    last = F.lag("end").over(Window.partitionBy("import_id", "line_id").orderBy("_run"))
+    led = F.coalesce(F.lag(F.size("_at")).over(Window.partitionBy("import_id", "line_id").orderBy("_run")) > 0, F.lit(False))
+    runs = runs.withColumns({"_last": last, "_led": led})  # at the moment of its end a leg still covers its line
+    start = F.array_min(F.filter("_at", lambda t: ~F.col("_led") | (t > F.col("_last"))))
+    return runs.withColumn("start", start).where("start IS NOT NULL").select("import_id", "line_id", "start", F.col("start").alias("connected"), "end", F.lit(None).cast("string").alias("call_id"), F.lit(False).alias("incomplete"))
+
+
 def build_perspectives(legs: DataFrame, sip: DataFrame) -> DataFrame:
     """One row per call and import: window, direction and status, from legs and SIP messages.
 
@@ -66,7 +90,9 @@ def build_perspectives(legs: DataFrame, sip: DataFrame) -> DataFrame:
     )
     one = legs.where("call_id IS NOT NULL").groupBy("import_id", "call_id").agg(F.min("start").alias("start"), F.min("connected").alias("connected"), F.max("end").alias("end"), F.max("line_id").alias("line_id"), F.max("incomplete").alias("incomplete"))
     rows = one.join(said, ["import_id", "call_id"], "full")
-    local = legs.where("call_id IS NULL").select("import_id", "call_id", "start", "connected", "end", "line_id", "incomplete")
+    if "leg" not in legs.columns:
+        legs = legs.withColumn("leg", F.lit(None).cast("long"))
+    local = legs.where("call_id IS NULL").select("import_id", "call_id", "start", "connected", "end", "line_id", "incomplete", F.col("leg").cast("long").alias("leg"))
     rows = rows.unionByName(local, allowMissingColumns=True)
     rows = rows.withColumns({"start": F.least("start", "_first"), "connected": F.least("connected", "_ok")})
     rows = rows.withColumn("end", F.coalesce("end", "_bye", F.when(F.col("connected").isNull(), F.col("_failed"))))
@@ -75,18 +101,53 @@ def build_perspectives(legs: DataFrame, sip: DataFrame) -> DataFrame:
     return rows.withColumn("status", status).drop("_first", "_ok", "_bye", "_failed", "incomplete")
 
 
+def call_key(perspectives: DataFrame) -> Column:
+    """A Call-ID's key, or that of a local call: its import, line, start and the number of its leg."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("import_id", "line_id", "leg") if c in perspectives.columns]
+    return F.coalesce(F.concat(F.lit("sip:"), "call_id"), F.concat_ws(":", F.lit("local"), *parts, F.date_format("start", "yyyyMMddHHmmssSSSSSS")))
+
+
 def build_calls(perspectives: DataFrame) -> DataFrame:
-    key = F.coalesce(F.concat(F.lit("sip:"), "call_id"), F.concat_ws(":", F.lit("local"), "import_id", F.date_format("start", "yyyyMMddHHmmssSSSSSS")))
-    return perspectives.withColumn("call_key", key).groupBy("call_key").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("connected").alias("connected"), F.count("*").alias("perspectives"))
+    return perspectives.withColumn("call_key", call_key(perspectives)).groupBy("call_key").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("connected").alias("connected"), F.count("*").alias("perspectives"))
 
 
 def attribute_events(events: DataFrame, perspectives: DataFrame, row_id: str = "event_id", grace_us: int = 250_000) -> DataFrame:
-    """``events`` with ``owner``: the perspective of their Call-ID, else the only window of their line that holds them."""
+    """``events`` with ``owner``: the perspective of their Call-ID, else the only one whose window is open on their line then.
+
+    Perspectives without an end stay open, so that they own what nothing else claims, and what they and
+    another one claim belongs to none. Rows of call information files without a line (where
+    ``events`` has ``parser``) go to the only ended window of their import that holds them.
+    """
     by_id = perspectives.where("call_id IS NOT NULL").select("import_id", "call_id", F.col("perspective_id").alias("_exact"))
     rows = events.join(by_id, ["import_id", "call_id"], "left")
-    windows = perspectives.where("line_id IS NOT NULL AND start IS NOT NULL AND end IS NOT NULL").select("import_id", "line_id", "start", "end", F.col("perspective_id").alias("_by_line"))
-    rows = unique_window(rows, windows, ["import_id", "line_id"], ["_by_line"], row_id, grace_us=grace_us)
-    return rows.withColumn("owner", F.coalesce("_exact", "_by_line")).drop("_exact", "_by_line")
+    rows = only_open_window(rows, perspectives.withColumnRenamed("perspective_id", "_by_line"), ["import_id", "line_id"], ["_by_line"], row_id, grace_us=grace_us)
+    owners = ["_exact", "_by_line"]
+    if "parser" in events.columns:
+        loose = rows.where("parser = 'callinfo' AND line_id IS NULL").select("import_id", row_id, "ts")
+        ended = perspectives.where("end IS NOT NULL").withColumnRenamed("perspective_id", "_anywhere")
+        found = only_open_window(loose, ended, ["import_id"], ["_anywhere"], row_id, grace_us=0).where("_anywhere IS NOT NULL")
+        rows = rows.join(found.select(row_id, "_anywhere"), row_id, "left")
+        owners.append("_anywhere")
+    return rows.withColumn("owner", F.coalesce(*owners)).drop(*owners)
+
+
+def drop_known_events(owned: DataFrame, skipped: DataFrame) -> DataFrame:
+    """``owned`` events (owner, text, line_id) without those of ``skipped`` perspectives (perspective_id, line_id).
+
+    A block that speaks of devices of other lines, too, stays, without an owner.
+    """
+    known = skipped.select(F.col("perspective_id").alias("owner"), F.col("line_id").alias("_line"), F.lit(True).alias("_known"))
+    lines = F.array_distinct(F.regexp_extract_all("text", F.lit(r"Device name:[^\n]*?\bLine (\d+)"), 1))
+    own = (F.size(lines) == 0) | F.coalesce((F.size(lines) == 1) & (F.get(lines, F.lit(0)).cast("int") == F.col("_line")), F.lit(False))
+    rows = owned.join(known, "owner", "left").where(F.col("_known").isNull() | ~own)
+    return rows.withColumn("owner", F.when(F.col("_known").isNull(), F.col("owner"))).drop("_known", "_line").select(*owned.columns)
+
+
+def drop_known_rows(rows: DataFrame, skipped: DataFrame, kept: DataFrame, row_id: str, grace_us: int = 250_000) -> DataFrame:
+    """``rows`` (import_id, line_id, ts) without those that stand in a window of a skipped call of their line and in none of a kept one."""
+    key = ["import_id", "line_id"]
+    held = lambda w: open_windows(rows, w.select(*key, "start", "end", F.lit(0).cast("long").alias("mark")), key, row_id, grace_us=grace_us).where("open > 0").select(row_id)
+    return rows.join(held(skipped).join(held(kept), row_id, "left_anti"), row_id, "left_anti")
 
 
 def dedup_metrics(metrics: DataFrame, signature: list[str], order: list[str]) -> DataFrame:

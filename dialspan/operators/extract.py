@@ -290,7 +290,7 @@ PERIODIC_SENTENCES = [
 ]
 #: Names and counts of the phases of a running cycle, as many of the one as of the other.
 CYCLES, PHASES = r"Running cycles.*? -\s*([^:]*?)\s*-\s*:\s*(.*?)[.]?\s*$", 5
-ALIVE = r"VD\s+(\d+)\s+\(.*?\)\s+is alive and kicking"
+ALIVE = r"VD\s+(\d+)\s+\((.*?)\)\s+is alive and kicking"
 WHOLE_UNITS = ("count", "packets", "samples", "bytes", "chunks")
 
 
@@ -306,10 +306,13 @@ def periodic_lines(records: DataFrame) -> DataFrame:
         "output_device": F.coalesce(F.last(F.when(F.col("connected") == 0, named), ignorenulls=True).over(over), F.lit("")),
         "input_device": F.coalesce(F.last(F.when(connects | ((F.col("connected") == 0) & named.isNotNull()), F.lit("")).when(F.col("connected") == 1, named), ignorenulls=True).over(over), F.lit("")),
         "observer": F.coalesce(F.get(F.regexp_extract_all("header", F.lit(r"\[([^]]+)\]"), 1), 1), F.lit("")),
+        "beating": F.when(F.col("alive"), F.trim(F.regexp_extract("header", ALIVE, 2))),
     })
-    lines = lines.withColumn("device", F.when((F.col("connected") == 1), F.col("input_device")).otherwise(F.col("output_device")))
-    scope = F.when(F.col("device").rlike(r"NA[RW]T\d+ of Line \d+"), F.col("device")).when(F.col("input_device") == "Default Audio Input", F.col("output_device"))
-    return lines.withColumns({"line_id": group(scope, r"of Line (\d+)").cast("int"), "flow": F.coalesce(group(scope, r"NA[RW]T(\d+) of"), F.lit("?"))})
+    # a heartbeat's device is in scope until a block names one
+    lines = lines.withColumn("device", F.when(F.col("connected") == 1, F.col("input_device")).when(F.col("output_device") == "", F.coalesce("beating", F.lit(""))).otherwise(F.col("output_device"))).drop("beating")
+    reader = F.when(F.col("input_device") == "Default Audio Input", F.col("output_device"))  # the default input is read by a writer of a line
+    part = lambda n: F.coalesce(group(F.col("device"), r"NA[RW]T(\d+) of Line (\d+)", n), group(reader, r"NAWT(\d+) of Line (\d+)", n))
+    return lines.withColumns({"line_id": part(2).cast("int"), "flow": F.coalesce(part(1), F.lit("?"))})
 
 
 def extract_periodic(records: DataFrame) -> DataFrame:
@@ -618,8 +621,8 @@ def source_profile(files: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def call_id_of(text: str = "text") -> Column:
-    """The Call-ID that a SIP message names."""
-    return F.when(F.col(text).contains("SIP message:"), group(F.col(text), CALL_ID))
+    """The Call-ID that a record names on a line of its own, whatever the record is."""
+    return group(F.col(text), CALL_ID)
 
 
 def identity_markers(files: DataFrame, records: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import from_micros, grid_cell, lon_arc, micros
 from .intervals import split_at_states
-from .joins import state_at
+from .joins import row_hash, state_at, within_tolerance_join
 from .windows import SECOND
 
 
@@ -21,11 +21,34 @@ def fix_stamps(positions: DataFrame, key: list[str]) -> DataFrame:
     return positions.groupBy(*key, "ts").agg((F.min(F.coalesce("valid", F.lit(False))) & same).alias("ok"), F.min("latitude").alias("latitude"), F.min("longitude").alias("longitude"), F.max("accuracy").alias("accuracy"))
 
 
-def locate_intervals(intervals: DataFrame, positions: DataFrame, key: list[str], most_us: int = 120 * SECOND) -> DataFrame:
-    """Pieces of intervals while a fix holds (until the next stamp or ``most_us``), with its place and a lineage signature."""
-    pieces = split_at_states(intervals, fix_stamps(positions, key).drop("accuracy"), key, ["latitude", "longitude"], most_us)
-    parts = [F.col(c).cast("string") for c in intervals.columns if c not in ("start", "end")]
-    return pieces.where("latitude IS NOT NULL").withColumn("signature", F.sha2(F.concat_ws("\u001f", *parts), 256))
+#: What makes two scored intervals the same observation, whichever archive brought them.
+LINEAGE = ["call_key", "text", "direction", "flow", "ssrc", "report_ts", "loss"]
+
+
+def lineage(intervals: DataFrame, columns: list[str] | None = None) -> Column:
+    """A number of the evidence behind an interval: equal in all copies of it, with nulls told apart.
+
+    ``columns``: those that name the evidence; by default the ones of ``LINEAGE`` that are there, or
+    all but the edges if none is.
+    """
+    found = columns or [c for c in LINEAGE if c in intervals.columns] or [c for c in intervals.columns if c not in ("start", "end")]
+    return row_hash(found)
+
+
+def locate_intervals(intervals: DataFrame, positions: DataFrame, key: list[str], most_us: int = 120 * SECOND, evidence: list[str] | None = None) -> DataFrame:
+    """Pieces of intervals while a fix holds (until the next stamp or ``most_us``), with its place and the ``signature`` of their evidence."""
+    signed = intervals.withColumn("signature", lineage(intervals, evidence))
+    pieces = split_at_states(signed, fix_stamps(positions, key).drop("accuracy"), key, ["latitude", "longitude"], most_us)
+    return pieces.where("latitude IS NOT NULL")
+
+
+def declared_positions(positions: DataFrame, intervals: DataFrame, call: str, most_us: int = 120 * SECOND) -> DataFrame:
+    """The fixes that count for a call (import_id, call) where declared places do: its own declared ones and all fresh ones from ``most_us`` before it to its end."""
+    spans = intervals.groupBy("import_id", call).agg(F.min("start").alias("_start"), F.max("end").alias("_end"))
+    fresh = within_tolerance_join(positions.where("kind = 'fresh'").drop(call), spans, ["import_id"], most_us, span=("_start", "_end"))
+    own = positions.where("kind = 'sip_local'")
+    columns = ["import_id", call, "ts", "latitude", "longitude", "accuracy", "valid"]
+    return fresh.select(*columns).unionByName(own.select(*columns))
 
 
 def canonical_intervals(rows: DataFrame, value: list[str], context: list[str]) -> DataFrame:

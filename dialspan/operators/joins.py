@@ -132,3 +132,37 @@ def unique_window(rows: DataFrame, windows: DataFrame, key: list[str], fields: l
     found = found.where((t >= micros(span[0])) & (t <= micros(span[1]) + grace_us))
     one = found.groupBy(row_id).agg(F.count("*").alias("_n"), *[F.first(f).alias(f) for f in fields]).where("_n = 1").drop("_n")
     return rows.drop(*fields).join(one, row_id, "left")
+
+
+def open_windows(rows: DataFrame, windows: DataFrame, key: list[str], row_id: str, ts: str = "ts", span: tuple[str, str] = ("start", "end"), grace_us: int = 0, width_us: int = 86_400 * SECOND) -> DataFrame:
+    """(row_id, open, mark): how many windows (with a number ``mark``) of its key are open at a row's time, and the exclusive or of their marks.
+
+    A window is open from its start to its end, both inclusive, with grace; without an end it stays
+    open. Starts, rows and ends are swept in the order of time. The sweep is cut into days: the sums of
+    earlier days are carried into a day as one row, so that a window without an end isn't spread over
+    time and a key with a long history isn't one task. Rows without a key or a time see no window.
+    """
+    known = lambda df, *more: df.dropna(subset=[*key, *more])
+    start, end = micros(span[0]), micros(span[1]) + grace_us
+    edge = lambda t, side, n: F.struct(t.alias("t"), F.lit(side).alias("side"), F.lit(n).alias("n"))
+    edges = known(windows, span[0]).where(F.col(span[1]).isNull() | (end >= start))
+    edges = edges.withColumn("_e", F.explode(F.array(edge(start, 0, 1), edge(end, 2, -1)))).where("_e.t IS NOT NULL").select(*key, "_e.*", "mark")
+    points = known(rows, ts).select(*key, micros(ts).alias("t"), F.lit(1).alias("side"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("mark"), F.col(row_id).alias("_row"))
+    both = points.unionByName(edges, allowMissingColumns=True).withColumn("_day", F.floor(F.col("t") / width_us))
+    days = both.groupBy(*key, "_day").agg(F.sum("n").alias("n"), F.bit_xor("mark").alias("mark"))
+    before = Window.partitionBy(*key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    carried = days.select(*key, "_day", F.lit(None).cast("long").alias("t"), F.lit(-1).alias("side"), F.sum("n").over(before).cast("int").alias("n"), F.bit_xor("mark").over(before).alias("mark")).where("n > 0")
+    swept = both.unionByName(carried, allowMissingColumns=True)
+    order = Window.partitionBy(*key, "_day").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)  # what is carried has no t and so comes first
+    swept = swept.select("_row", "side", F.sum("n").over(order).alias("open"), F.bit_xor("mark").over(order).alias("mark"))
+    return swept.where("side = 1").select(F.col("_row").alias(row_id), "open", "mark")
+
+
+def only_open_window(rows: DataFrame, windows: DataFrame, key: list[str], fields: list[str], row_id: str, ts: str = "ts", span: tuple[str, str] = ("start", "end"), grace_us: int = 250_000) -> DataFrame:
+    """``rows`` (with a ``row_id`` each) with ``fields`` of the only window of their key that is open at their time; windows without an end stay open.
+
+    No window, or several, give NULLs: what two may claim belongs to none.
+    """
+    marked = windows.select(*key, *fields, *span).withColumn("mark", row_hash([*key, *fields, *span]))
+    found = open_windows(rows, marked, key, row_id, ts, span, grace_us).where("open = 1").select(row_id, "mark")
+    return rows.drop(*fields).join(found.join(marked.select("mark", *fields).distinct(), "mark").drop("mark"), row_id, "left")

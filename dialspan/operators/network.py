@@ -152,19 +152,30 @@ def notices_to_calls(notices: DataFrame, windows: DataFrame, signature: list[str
 
 
 def nearby_transition(requests: DataFrame, states: DataFrame, key: list[str], near_us: int = 3 * SECOND, alone_us: int = 6 * SECOND) -> DataFrame:
-    """from and to of a switch request: exactly two different states within ``near_us`` after equal neighbours are one, and no other request within ``alone_us``."""
+    """from and to of a switch request: exactly two different states within ``near_us`` after equal neighbours are one, and no request at another time within ``alone_us``.
+
+    A time at which several states are declared, or one that is unknown, says that nothing is known: the
+    request has no transition. Requests that name both states (``previous`` and ``next``) keep them.
+    """
     t = micros("ts")
-    others = requests.select(*key, t.alias("_o"), F.floor(t / alone_us).alias("_k"))
+    others = requests.select(*key, t.alias("_o")).distinct().withColumn("_k", F.floor(F.col("_o") / alone_us))
     rows = requests.withColumn("_t", t).withColumn("_k", F.explode(F.sequence(F.floor((t - alone_us) / alone_us), F.floor((t + alone_us) / alone_us))))
     count = rows.join(others, [*key, "_k"]).where(F.abs(F.col("_o") - F.col("_t")) <= alone_us).groupBy(*key, "request_id").agg(F.count("*").alias("_n"))
-    s = states.select(*key, micros("ts").alias("_s"), "state").withColumn("_k", F.floor(F.col("_s") / near_us))
+    clear = (F.min("state") == F.max("state")) & (F.count("state") == F.count("*")) & (F.min("state") != "unknown")
+    s = states.groupBy(*key, micros("ts").alias("_s")).agg(F.coalesce(clear, F.lit(False)).alias("_clear"), F.min("state").alias("state")).withColumn("_k", F.floor(F.col("_s") / near_us))
     rows = requests.withColumn("_t", t).withColumn("_k", F.explode(F.sequence(F.floor((t - near_us) / near_us), F.floor((t + near_us) / near_us))))
-    seen = rows.join(s, [*key, "_k"]).where(F.abs(F.col("_s") - F.col("_t")) <= near_us).groupBy(*key, "request_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("_s", "state"))), lambda x: x["state"]).alias("_l"))
-    run = F.filter(F.col("_l"), lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(F.col("_l"), i - 1)))
-    seen = seen.withColumn("_r", run).where(F.size("_r") == 2)
-    out = requests.join(count, [*key, "request_id"], "left").join(seen, [*key, "request_id"], "left")
+    near = rows.join(s, [*key, "_k"]).where(F.abs(F.col("_s") - F.col("_t")) <= near_us)
+    by = Window.partitionBy(*key, "request_id").orderBy("_s")
+    turns = near.withColumn("_turn", ~F.lag("state").over(by).eqNullSafe(F.col("state")))
+    when = F.when(F.col("_turn"), F.col("_s"))
+    seen = turns.groupBy(*key, "request_id").agg(F.min("_clear").alias("_clear"), F.count_if("_turn").alias("_turns"), F.min_by("state", when).alias("_from"), F.max_by("state", when).alias("_to"))
+    out = requests.join(count, [*key, "request_id"], "left").join(seen.where("_clear AND _turns = 2"), [*key, "request_id"], "left")
     ok = F.col("_n") == 1
-    return out.withColumns({"from_state": F.when(ok, F.get("_r", F.lit(0))), "to_state": F.when(ok, F.get("_r", F.lit(1)))}).drop("_n", "_l", "_r")
+    made = {"from_state": F.when(ok, F.col("_from")), "to_state": F.when(ok, F.col("_to"))}
+    if "previous" in requests.columns and "next" in requests.columns:
+        named = F.col("previous").isNotNull() & F.col("next").isNotNull()
+        made = {c: F.when(named, F.col(own)).otherwise(made[c]) for c, own in (("from_state", "previous"), ("to_state", "next"))}
+    return out.withColumns(made).drop("_n", "_clear", "_turns", "_from", "_to")
 
 
 def matches(fields: dict[str, str]) -> Column:

@@ -27,15 +27,22 @@ def build_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def lifecycle_of(records: DataFrame) -> DataFrame:
-    """What engine records say of the legs of a line: added, connected, ended, and the summary with its Call-ID."""
-    text = X.first_line()
-    event = F.when(text.contains("added to the call list"), "added").when(text.rlike("status changed to 1"), "connected").when(text.rlike("removed from (?:the )?list|call terminated"), "ended").when(text.contains("Info about call finished on line"), "summary")
-    line = F.coalesce("line_id", X.group(text, r"on line\s+(\d+)").cast("int"))
-    call_id = F.get_json_object(F.regexp_extract("text", r"(?s)(\{.*\})", 1), "$.callInfo.call-id")
-    return records.where(F.col("ts").isNotNull() & event.isNotNull()).select("import_id", line.alias("line_id"), "ts", F.col("line_no").alias("ord"), event.alias("event"), call_id.alias("call_id"))
+    """What engine logs say of the legs of a line: added, connected, ended, and the summary with its Call-ID."""
+    text = F.col("text")
+    event = F.when(text.contains("added to the call list"), "added").when(text.contains("status changed to 1"), "connected").when(text.contains("removed from list") | text.contains("call terminated"), "ended").when(text.contains("Info about call finished on line"), "summary")
+    line = F.coalesce("line_id", X.group(X.first_line(), r"on line\s+(\d+)").cast("int"))
+    call_id = F.nullif(F.get_json_object(F.regexp_extract("text", r"(?s)(\{.*\})", 1), "$.callInfo.call-id"), F.lit(""))
+    rows = records.where("parser = 'kpe' AND ts IS NOT NULL").where(event.isNotNull())
+    return rows.select("import_id", line.alias("line_id"), "ts", F.col("line_no").alias("ord"), event.alias("event"), call_id.alias("call_id")).where("line_id IS NOT NULL")
 
 
-def tables_of(files: DataFrame) -> dict[str, DataFrame]:
+def callinfo_of(records: DataFrame) -> DataFrame:
+    """Connections and terminations of lines that call information files name."""
+    event = F.when(F.col("text").contains("connected line id:"), "connected").when(F.col("text").contains("terminated line id:"), "terminated")
+    return records.where("parser = 'callinfo' AND ts IS NOT NULL AND line_id IS NOT NULL").where(event.isNotNull()).select("import_id", "line_id", "ts", F.col("line_no").alias("ord"), event.alias("event"))
+
+
+def tables_of(files: DataFrame, held: DataFrame | None = None) -> dict[str, DataFrame]:
     """All tables of files (import_id, name, parser, text, warning).
 
     Events carry the Call-ID that they name and the perspective that owns them; what is extracted
@@ -43,23 +50,38 @@ def tables_of(files: DataFrame) -> dict[str, DataFrame]:
     that the same producer brought before are marked, and the sequence of imports is that of
     their first event. Records, perspectives and owned events are written on the way, because
     everything after them reads them again.
+
+    ``held`` (producer, call_id): calls that tables of earlier archives have. What the same
+    producer brings of them again is left out, with the rows that are theirs alone.
     """
     good = files.where("warning IS NULL").select("import_id", "name", "parser", "text")
     records = X.flag_rotation_duplicates(X.parse_level_line(X.split_records(good)))
     records = staged(records.withColumn("event_id", F.xxhash64("import_id", "name", "line_no")))
     live = records.where("NOT duplicate")
     sip = staged(X.decode_sip(live).withColumn("ord", F.col("line_no")))
-    legs = staged(C.reconstruct_legs(lifecycle_of(live)))
+    legs = C.reconstruct_legs(lifecycle_of(live))
+    legs = staged(legs.unionByName(C.callinfo_legs(callinfo_of(live), legs), allowMissingColumns=True))
     every = legs.unionByName(C.sip_only_legs(sip, legs).select("import_id", "call_id", "start"), allowMissingColumns=True)
-    perspectives = C.build_perspectives(every, sip).withColumn("perspective_id", F.xxhash64("import_id", F.coalesce("call_id", F.concat_ws(":", "line_id", "start"))))
+    perspectives = C.build_perspectives(every, sip)
+    perspectives = perspectives.withColumn("perspective_id", J.row_hash(["import_id", "call_id", *[c for c in ("line_id", "leg", "start")]])).withColumn("call_key", C.call_key(perspectives))
     order = live.where("ts IS NOT NULL").groupBy("import_id").agg(F.struct(F.min("ts"), "import_id").alias("import_seq"))
     producers = staged(X.producer_identity(X.identity_markers(good, live)))
     perspectives = staged(C.mark_duplicates(perspectives.join(order, "import_id", "left"), producers.select("import_id", "status", "producer")))
-    owned = staged(C.attribute_events(live.where("ts IS NOT NULL").withColumn("call_id", X.call_id_of("text")), perspectives).withColumnRenamed("owner", "perspective_id"))
+    dated = live.where("ts IS NOT NULL").withColumn("call_id", X.call_id_of("text"))
+    owned = C.attribute_events(dated, perspectives)
+    if held is not None:
+        every, perspectives = perspectives, staged(C.skip_known_calls(perspectives, held))
+        skipped = staged(every.join(perspectives.select("perspective_id"), "perspective_id", "left_anti"))
+        owned = C.drop_known_events(staged(owned), skipped)
+    owned = staged(owned.withColumnRenamed("owner", "perspective_id"))
     made = [X.extract_rtcp(owned), X.extract_flow_stats(owned), X.extract_ping(owned), X.extract_device_metrics(owned).drop("offset", "device"), X.extract_missing_packets(owned).drop("offset", "device", "current_sn")]
     metrics = made[0]
     for more in made[1:]:
         metrics = metrics.unionByName(more, allowMissingColumns=True)
+    periodic, states = X.extract_periodic(owned), X.extract_periodic_states(owned)
+    if held is not None:  # of blocks that stay, the values of known calls' lines go
+        numbered = lambda df: staged(df.withColumn("_n", F.monotonically_increasing_id()))
+        metrics, periodic, states = (C.drop_known_rows(numbered(df), skipped, perspectives, "_n").drop("_n") for df in (metrics, periodic, states))
     signature = ["import_id", "ts", "metric", "direction", "flow", "ssrc", "statistic", "value"]
     return {
         "files": A.file_coverage(records),
@@ -67,8 +89,8 @@ def tables_of(files: DataFrame) -> dict[str, DataFrame]:
         "producers": producers,
         "events": owned,
         "metrics": C.dedup_metrics(metrics, signature, ["name", "line_no"]),
-        "periodic": X.extract_periodic(owned),
-        "periodic_states": X.extract_periodic_states(owned),
+        "periodic": periodic,
+        "periodic_states": states,
         "perspectives": perspectives,
         "calls": C.build_calls(perspectives),
         "identities": X.identity_candidates(sip),
@@ -123,11 +145,28 @@ def transient_report(samples: DataFrame, notices: DataFrame, series: list[str],
     return out | {"summary": L.transient_summary(counters, notices, types, series, key, tolerance_us), "inventory": L.transient_inventory(notices)}
 
 
-def geo_report(intervals: DataFrame, positions: DataFrame, metres: float, context: list[str]) -> dict[str, DataFrame]:
-    """Located intervals without copies, and their cells, networks and calendar."""
-    rows = G.canonical_intervals(G.locate_intervals(intervals, positions, ["import_id"]), ["latitude", "longitude", "mos"], context)
+def geo_report(intervals: DataFrame, positions: DataFrame, metres: float, context: list[str], evidence: list[str] | None = None) -> dict[str, DataFrame]:
+    """Located intervals without copies, and their cells, networks and calendar.
+
+    Copies of one observation, in whichever imports, have one signature (``evidence``, see
+    ``geo.lineage``) and count once; where they contradict each other in place or score they don't
+    count. Intervals of a call (``call_id``) at positions with a ``kind`` are located twice: at fresh fixes,
+    and at fresh and the call's declared ones (``quality`` fresh and declared).
+    """
+    if "kind" in positions.columns and "call_id" in intervals.columns:
+        sets = {"fresh": (positions.where("kind = 'fresh'").drop("call_id"), ["import_id"]), "declared": (G.declared_positions(positions, intervals, "call_id"), ["import_id", "call_id"])}
+    else:
+        sets = {"all": (positions, ["import_id"])}
+    found = None
+    for quality, (fixes, key) in sets.items():
+        located = G.locate_intervals(intervals, fixes, key, evidence=evidence).withColumn("quality", F.lit(quality))
+        found = located if found is None else found.unionByName(located)
+    apart = found.withColumn("signature", F.struct("quality", "signature"))  # a set of fixes contradicts itself alone
+    rows = G.canonical_intervals(apart, ["latitude", "longitude", "mos"], context).withColumns({"quality": F.col("signature.quality"), "signature": F.col("signature.signature")})
     rows = rows.withColumn("cell", G.grid_cell("latitude", "longitude", metres))
-    return {"intervals": rows, "cells": R.cell_summary(rows), "networks": R.network_breakdown(rows, context), "profile": R.temporal_profile(rows, ["cell"], "mos")}
+    by_cell = R.cell_summary(rows.withColumn("_c", F.struct("quality", "cell")), "_c")
+    cells = by_cell.select("_c.quality", "_c.cell", *[c for c in by_cell.columns if c != "_c"])
+    return {"intervals": rows, "cells": cells, "networks": R.network_breakdown(rows, ["quality", *context]), "profile": R.temporal_profile(rows, ["quality", "cell"], "mos")}
 
 
 def pq_map(episodes: DataFrame, calls: DataFrame, series: list[str], fixes: DataFrame, metres: float) -> dict[str, DataFrame]:
@@ -149,12 +188,16 @@ def switch_report(records: DataFrame, windows: DataFrame, positions: DataFrame,
 
     ``context`` keeps those whose columns fit, from_state or to_state for example.
     """
-    asked = X.extract_network_switches(records).withColumn("request_id", F.xxhash64("import_id", "name", "line_no"))
+    text = records.select("import_id", "name", "line_no", X.first_line().alias("text"))
+    asked = X.extract_network_switches(records).join(text, ["import_id", "name", "line_no"]).withColumn("request_id", F.xxhash64("import_id", "name", "line_no"))
+    rest = [c for c in asked.columns if c not in ("import_id", "ts", "text")]
+    once = asked.groupBy("import_id", "ts", "text").agg(F.min_by(F.struct(*rest), F.struct("name", "line_no")).alias("_r"), F.count("*").alias("proofs"))
+    once = once.select("import_id", "ts", "text", "_r.*", "proofs")  # copies of one request are one, with all proofs counted
     states = X.extract_network_obs(records).select("import_id", "ts", F.col("access").alias("state"))
-    seen = K.nearby_transition(asked, states, ["import_id"])
-    called = K.notices_to_calls(asked, windows, ["request_id"], "request_id").select("request_id", "perspective_id", "call_id")
+    seen = K.nearby_transition(once, states, ["import_id"])
+    called = K.notices_to_calls(once, windows, ["request_id"], "request_id").select("request_id", "perspective_id", "call_id")
     fixes = G.fix_stamps(positions, ["import_id"])
-    return J.bracket_interpolate(seen, fixes, ["import_id"], ["latitude", "longitude"]).join(called, "request_id", "left").where(K.matches(context or {}))
+    return J.bracket_interpolate(seen.drop("perspective_id", "call_id"), fixes, ["import_id"], ["latitude", "longitude"]).join(called, "request_id", "left").where(K.matches(context or {}))
 
 
 def compare_ab(a: DataFrame, b: DataFrame, offset_us: int, limit: float, signals: DataFrame | None = None, versions: DataFrame | None = None) -> dict[str, DataFrame]:
