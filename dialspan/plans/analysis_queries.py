@@ -448,24 +448,19 @@ def r3_bad_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r4_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """States of users that ended before the watermark, by the next one or after six hours."""
+    """States of users that ended up to the watermark, by the next one or after six hours."""
     plan = lambda e: streams.stream_state_ttl(e.select(F.col("user_id").cast("string").alias("user"), "ts", F.col("event_type").alias("state")), "user", "10 seconds", 6 * HOUR // 1000)
     out = _streamed(spark, sf_dir, plan)
     at = lambda c: S.from_micros(F.unix_micros(c)).alias(c)
-    return out.select("user", at("start"), at("end"), "state", "ended_by").where(S.micros("end") <= _until(spark, sf_dir))
+    return out.select("user", at("start"), at("end"), "state", "ended_by")
 
 
 def r5_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Episodes from an error to the next purchase of a user that ended before the watermark."""
+    """Episodes from an error to the next purchase of a user without another error between, up to the watermark."""
     plan = lambda e: streams.stream_incidents(e.where("event_type IN ('error', 'purchase')").select(F.col("user_id").cast("string").alias("user"), "ts", F.when(F.col("event_type") == "error", "start").otherwise("end").alias("phase")), "user")
     out = _streamed(spark, sf_dir, plan)
     at = lambda c: S.from_micros(F.unix_micros(c)).alias(c)
-    return out.select("user", at("start"), at("end")).where(S.micros("end") <= _until(spark, sf_dir, "error", "purchase"))
-
-
-def _until(spark: SparkSession, sf_dir: str, *types: str) -> int:
-    """The hour before the last: what ends later may or may not have been emitted with the last watermark."""
-    return events(spark, sf_dir, *types).agg(S.micros(F.max("ts"))).first()[0] - HOUR
+    return out.select("user", at("start"), at("end"))
 
 
 # --- jobs ---------------------------------------------------------------------------------
@@ -737,10 +732,10 @@ ORACLE: dict[str, str] = {
         SELECT event_type, {as_time(f"k * {HOUR}")} AS start, round(sum(least(b, (k + 1) * {HOUR}) - greatest(a, k * {HOUR})) / 1e6, 3) AS covered, round(coalesce(sum(least(b, (k + 1) * {HOUR}) - greatest(a, k * {HOUR})) FILTER (WHERE mos < 3), 0) / 1e6, 3) AS bad
         FROM p, l WHERE (k + 1) * {HOUR} <= mark // 1000 * 1000 GROUP BY event_type, k""",
     "r4_states": f"""WITH e AS (SELECT user_id, epoch_us(ts) AS t, event_type, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events), x AS (SELECT *, least(t + {6 * HOUR}, coalesce(n, t + {6 * HOUR})) AS z FROM e)
-        SELECT CAST(user_id AS VARCHAR) AS "user", {as_time("t")} AS start, {as_time("z")} AS "end", event_type AS state, CASE WHEN z = t + {6 * HOUR} THEN 'expiry' ELSE 'next' END AS ended_by FROM x WHERE z <= (SELECT max(epoch_us(ts)) - {HOUR} FROM events)""",
+        SELECT CAST(user_id AS VARCHAR) AS "user", {as_time("t")} AS start, {as_time("z")} AS "end", event_type AS state, CASE WHEN z = t + {6 * HOUR} THEN 'expiry' ELSE 'next' END AS ended_by FROM x WHERE z <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 10000000 FROM events)""",
     "r5_incidents": f"""WITH e AS (SELECT user_id, epoch_us(ts) AS t, event_type = 'error' AS s FROM events WHERE event_type IN ('error', 'purchase')),
-        g AS (SELECT *, count(*) FILTER (WHERE NOT s) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS k FROM e), m AS (SELECT user_id, k, min(t) FILTER (WHERE s) AS a, max(t) FILTER (WHERE NOT s) AS b FROM g GROUP BY user_id, k)
-        SELECT CAST(user_id AS VARCHAR) AS "user", {as_time("a")} AS start, {as_time("b")} AS "end" FROM m WHERE a IS NOT NULL AND b IS NOT NULL AND b <= (SELECT max(t) - {HOUR} FROM e)""",
+        g AS (SELECT *, lag(s) OVER w AS ps, lag(t) OVER w AS pt FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, NOT s))
+        SELECT CAST(user_id AS VARCHAR) AS "user", {as_time("pt")} AS start, {as_time("t")} AS "end" FROM g WHERE NOT s AND ps AND t <= (SELECT max(t) // 1000 * 1000 - 10000000 FROM e)""",
     "z2_mos_job": f"""WITH {SQUEEZED}, n AS (SELECT *, lead(t) OVER (PARTITION BY user_id, event_id % 2 ORDER BY t) AS nt, max(t) OVER (PARTITION BY user_id) AS stop, round(value % 100, 2) AS l FROM q),
         h AS (SELECT user_id, least(t + 30000000, coalesce(nt, t + 30000000), stop) - t AS us, greatest(least(93.2 - 95.0 * l / (l + 25.1), 100), 0) AS r FROM n), v AS (SELECT *, 1 + 0.035 * r + 7e-6 * r * (r - 60) * (100 - r) AS mos FROM h WHERE us > 0)
         SELECT user_id AS perspective_id, round(sum(us) / 1e6, 3) AS covered, round(coalesce(sum(us) FILTER (WHERE mos < 3), 0) / 1e6, 3) AS bad FROM v GROUP BY user_id""",

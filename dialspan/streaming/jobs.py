@@ -5,16 +5,24 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.telemetry import telemetry_canonical
 from ..sources.archives import unpack
+from .processors import EPISODE_SQL, EpisodeProcessor, StateProcessor
 
 TTL_MS = 30_000
+#: State lives in RocksDB: stateful processors need it.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def there(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path that fits ``pattern`` exists; what can't be looked at is an error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(path)
+    return found is not None and len(found) > 0
 
 
 def stream_ingest(spark: SparkSession, path: str, target: str, checkpoint: str) -> StreamingQuery:
@@ -28,11 +36,9 @@ def stream_ingest(spark: SparkSession, path: str, target: str, checkpoint: str)
 
     def add(batch: DataFrame, number: int) -> None:
         load = f"{owner}-{number}"
-        try:
+        if there(batch.sparkSession, f"{target}/load=*"):
             known = batch.sparkSession.read.option("basePath", target).parquet(f"{target}/load=*").where(F.col("load") != load)
             batch = batch.join(known.select("import_id").distinct(), "import_id", "left_anti")
-        except AnalysisException:
-            pass  # nothing was loaded yet
         unpack(batch).write.mode("overwrite").parquet(f"{target}/load={load}")
 
     return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -43,6 +49,43 @@ def telemetry_stream(records: DataFrame, delay: str = "10 minutes") -> DataFrame
     return records.withWatermark("observed", delay).dropDuplicatesWithinWatermark(["source_id", "event_id"])
 
 
+#: Parts of the keys of a canonical table; a batch reads the evidence of the parts that it touches.
+BUCKETS = 64
+
+
+def stream_canonical(records: DataFrame, target: str, checkpoint: str, order: list[str]) -> StreamingQuery:
+    """Merges telemetry records into canonical ones below ``target`` as they come: evidence, all copies by batch, and canonical, the keys that a batch touched by batch.
+
+    The first body of a key by ``order`` is kept and different bodies are a conflict, as in
+    ``telemetry_canonical``; ``order`` has to tell copies apart whatever batch brings them. Only
+    keys that a batch touches are worked out again, from all their copies. A batch that runs again
+    overwrites its own parts, so that a repeat changes nothing.
+    """
+    key = ["source_id", "event_id"]
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        own = f"{target}/evidence/batch={number}"
+        batch.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int")).write.mode("overwrite").partitionBy("bucket").parquet(own)
+        if not there(spark, f"{own}/bucket=*"):
+            return
+        new = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in batch.schema.fields)}, bucket int").parquet(own)
+        buckets = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most ``BUCKETS``
+        every = spark.read.schema(new.schema.add("batch", "long")).option("basePath", f"{target}/evidence").parquet(f"{target}/evidence")
+        every = every.where(F.col("bucket").isin(buckets) & (F.col("batch") <= number))
+        touched = every.join(new.select(*key).distinct(), key, "left_semi").drop("bucket", "batch")
+        telemetry_canonical(touched, order).write.mode("overwrite").parquet(f"{target}/canonical/batch={number}")
+
+    return records.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_canonical(spark: SparkSession, target: str) -> DataFrame:
+    """The canonical records that ``stream_canonical`` has made: of each key the newest version."""
+    rows = spark.read.option("basePath", f"{target}/canonical").parquet(f"{target}/canonical/batch=*")
+    newest = Window.partitionBy("source_id", "event_id").orderBy(F.desc("batch"))
+    return rows.withColumn("_v", F.row_number().over(newest)).where("_v = 1").drop("_v", "batch")
+
+
 def stream_bad_windows(intervals: DataFrame, key: list[str], threshold: float, width_s: int = 60, delay: str = "1 minute") -> DataFrame:
     """Covered and bad seconds per tumbling window of (key, ts, seconds, mos); an interval is cut at the windows' edges.
 
@@ -60,59 +103,29 @@ def stream_bad_windows(intervals: DataFrame, key: list[str], threshold: float, w
 def stream_state_ttl(events: DataFrame, key: str, delay: str = "10 seconds", ttl_ms: int = TTL_MS) -> DataFrame:
     """States of a layer with their end: the next state's time, or ``ttl_ms`` after the last one, by event-time timers.
 
-    ``events``: key, ts (timestamp), state.
+    ``events``: key, ts (timestamp), state. A state is emitted once the watermark has reached its end, and a
+    key without states that wait for theirs has no state in the store.
+    """
+    events.sparkSession.conf.set(*STORE)
+    out = f"`{key}` string, start timestamp, end timestamp, state string, ended_by string"
+    rows = events.select(key, "ts", "state").withWatermark("ts", delay)
+    return rows.groupBy(key).transformWithStateInPandas(StateProcessor(key, ttl_ms), out, "append", "EventTime")
+
+
+def stream_episodes(signals: DataFrame, key: str, delay: str = "10 seconds", ttl_ms: int = 86_400_000) -> DataFrame:
+    """Episodes of (key, ts, phase, duration_ms) signals as ``reconstruct_incidents`` makes them: with start, missing, ongoing and end.
+
+    An episode is emitted when the watermark has reached its end, and as an open one when it has reached
+    another start, or ``ttl_ms`` after its last signal; then the episode is over whatever follows. A
+    key without an episode has no state in the store.
     """
-    out = f"{key} string, start timestamp, end timestamp, state string, ended_by string"
-
-    def walk(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = [tuple(x) for x in state.get[0]] if state.exists else []
-        rows = []
-        if not state.hasTimedOut:
-            held += [(int(t.value // 1000), s) for b in batches for t, s in zip(b["ts"], b["state"], strict=True)]
-        held = sorted(set(held))
-        ready = state.getCurrentWatermarkMs() * 1000
-        while held:
-            t, s = held[0]
-            nxt = held[1][0] if len(held) > 1 else None
-            end = t + ttl_ms * 1000 if nxt is None or nxt > t + ttl_ms * 1000 else nxt
-            if end > ready:
-                break
-            rows.append((keys[0], pd.Timestamp(t, unit="us"), pd.Timestamp(end, unit="us"), s, "expiry" if end == t + ttl_ms * 1000 else "next"))
-            held.pop(0)
-        if held:
-            state.update(([list(x) for x in held],))
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, held[0][0] // 1000 + ttl_ms))
-        else:
-            state.remove()
-        yield pd.DataFrame(rows, columns=[key, "start", "end", "state", "ended_by"])
-
-    grouped = events.withWatermark("ts", delay).groupBy(key)
-    return grouped.applyInPandasWithState(walk, out, "held array<struct<t: bigint, s: string>>", "append", GroupStateTimeout.EventTimeTimeout)
+    signals.sparkSession.conf.set(*STORE)
+    rows = signals.select(key, "ts", "phase", F.col("duration_ms").cast("double").alias("duration_ms")).withWatermark("ts", delay)
+    return rows.groupBy(key).transformWithStateInPandas(EpisodeProcessor(key, ttl_ms), f"`{key}` string, {EPISODE_SQL}", "append", "EventTime")
 
 
 def stream_incidents(signals: DataFrame, key: str, delay: str = "10 seconds") -> DataFrame:
-    """Episodes of start and end signals (key, ts, phase), each emitted with its end; an open one stays in the state."""
-    out = f"{key} string, start timestamp, end timestamp"
-
-    def walk(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        began, held = state.get if state.exists else (None, [])
-        held = [tuple(x) for x in held]
-        if not state.hasTimedOut:
-            held += [(int(t.value // 1000), p) for b in batches for t, p in zip(b["ts"], b["phase"], strict=True)]
-        ready = state.getCurrentWatermarkMs() * 1000
-        held = sorted(set(held), key=lambda x: (x[0], x[1] != "start"))
-        rows = []
-        while held and held[0][0] <= ready:
-            t, phase = held.pop(0)
-            if phase == "start":
-                began = t if began is None else began
-            elif began is not None:
-                rows.append((keys[0], pd.Timestamp(began, unit="us"), pd.Timestamp(t, unit="us")))
-                began = None
-        state.update((began, [list(x) for x in held]))
-        if held:
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, held[0][0] // 1000 + 1))
-        yield pd.DataFrame(rows, columns=[key, "start", "end"])
-
-    grouped = signals.withWatermark("ts", delay).groupBy(key)
-    return grouped.applyInPandasWithState(walk, out, "began bigint, held array<struct<t: bigint, p: string>>", "append", GroupStateTimeout.EventTimeTimeout)
+    """Spans from a start (key, ts, phase) to the end that follows it: closed episodes with an observed start."""
+    made = stream_episodes(signals.withColumn("duration_ms", F.lit(None).cast("double")), key, delay, ttl_ms=10_000 * 86_400_000)
+    at = [F.timestamp_micros(F.col(f"{c}_us")).alias(c) for c in ("start", "end")]
+    return made.where("status = 'closed' AND start_basis = 'observed'").select(key, *at)
