@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,28 +81,23 @@ def movement_sequences(fixes: DataFrame, key: str = "import_id", gap_us: int = 3
     differs. Between kept fixes a barrier, an elapsed time running back, a gap or a jump (farther than
     ``speed`` and both accuracies allow) begins a sequence; the reason is the first of these that holds.
 
-    Sorted windows of one partitioning by key; only the few rows of an island of repeats are folded
-    (an island ends at a gap, so that it is as long as one fix was delivered again).
+    Sorted windows of one partitioning by key; islands of repeats that span more than the gap or
+    change their place are scanned once in the order of time, with one fix carried along.
     """
     by = Window.partitionBy(key).orderBy("t_us")
     text = F.nullif(F.col("elapsed"), F.lit(""))
     again = F.col("ok") & F.lag("ok").over(by) & text.eqNullSafe(F.lag(text).over(by)) & text.isNotNull() & (F.col("t_us") - F.lag("t_us").over(by) <= gap_us)
     rows = fixes.withColumn("_island", F.sum(F.when(F.coalesce(again, F.lit(False)), 0).otherwise(1)).over(by))
     island = Window.partitionBy(key, "_island")
-    first = island.orderBy("t_us").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({
         "_many": F.count("*").over(island),
         "_plain": (F.max("t_us").over(island) - F.min("t_us").over(island) <= gap_us) & (F.min("latitude").over(island) == F.max("latitude").over(island)) & (F.min("longitude").over(island) == F.max("longitude").over(island)),
         "_nth": F.row_number().over(island.orderBy("t_us")),
     })
-    rows = rows.withColumn("_seen", F.collect_list(F.when(~F.col("_plain"), F.struct("t_us", "latitude", "longitude"))).over(first))
-    mark = (
-        F.when(~F.col("ok"), "ambiguous_or_invalid")
-        .when((F.col("_many") == 1) | (F.col("_nth") == 1), "kept")
-        .when(F.col("_plain"), "left_out")
-        .otherwise(repeat_mark(F.col("_seen"), gap_us))
-    )
-    rows = rows.withColumn("_mark", mark).where("_mark <> 'left_out'")
+    mixed = F.col("ok") & ~F.col("_plain") & (F.col("_many") > 1)
+    mark = F.when(~F.col("ok"), "ambiguous_or_invalid").when((F.col("_many") == 1) | (F.col("_nth") == 1), "kept").otherwise("left_out")
+    rows = rows.withColumn("_mixed", F.coalesce(mixed, F.lit(False)))
+    rows = rows.where("NOT _mixed").withColumn("_mark", mark).unionByName(repeat_marks(rows.where("_mixed"), key, gap_us)).drop("_mixed").where("_mark <> 'left_out'")
     barrier = F.when(F.col("_mark") != "kept", F.struct("t_us", F.col("_mark").alias("why")))
     rows = rows.withColumn("_barrier", F.last(barrier, ignorenulls=True).over(by)).where("_mark = 'kept'")
     rows = rows.withColumns({f"_p{c}": F.lag(c).over(by) for c in ("t_us", "latitude", "longitude", "accuracy", "elapsed_s")})
@@ -118,22 +116,34 @@ def movement_sequences(fixes: DataFrame, key: str = "import_id", gap_us: int = 3
     return rows.select(F.col(key).cast("string").alias(key), "t_us", "latitude", "longitude", "part", ordinal.alias("ordinal"), "reason")
 
 
-def repeat_mark(seen: Column, gap_us: int) -> Column:
-    """What the last of an island's fixes is, from all of them up to it: kept, left_out, or conflicting_fix.
+def repeat_marks(rows: DataFrame, key: str, gap_us: int) -> DataFrame:
+    """``rows`` of islands of repeats with ``_mark``: kept, left_out or conflicting_fix.
 
-    The fold carries the last kept fix: one more than the gap later is kept, one at its place is left out,
-    any other ends it, and the next one is kept again.
+    One scan of each island (key, ``_island``) by time: a fix later than the gap after the last kept one is kept,
+    one at its place is left out, any other ends it, and the next one is kept again. Partitions are
+    sorted, and a batch goes on where the last one stopped, so that an island of any length
+    needs the memory of a batch.
     """
-    start = F.struct(F.lit(None).cast("struct<t_us:bigint,latitude:double,longitude:double>").alias("last"), F.lit("kept").alias("mark"))
-
-    def step(state: Column, fix: Column) -> Column:
-        last = state["last"]
-        free = last.isNull() | (fix["t_us"] - last["t_us"] > gap_us)
-        same = (fix["latitude"] == last["latitude"]) & (fix["longitude"] == last["longitude"])
-        nothing = F.lit(None).cast("struct<t_us:bigint,latitude:double,longitude:double>")
-        return F.struct(F.when(free, fix).when(same, last).otherwise(nothing).alias("last"), F.when(free, "kept").when(same, "left_out").otherwise("conflicting_fix").alias("mark"))
-
-    return F.aggregate(seen, start, step, lambda state: state["mark"])
+    names, types = rows.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        island, last = None, None
+        for batch in batches:
+            marks = []
+            for own, t, *place in zip(zip(*(batch.column(c).to_pylist() for c in (key, "_island")), strict=True), *(batch.column(c).to_pylist() for c in ("t_us", "latitude", "longitude")), strict=True):
+                if own != island:
+                    island, last = own, None
+                if last is None or t - last[0] > gap_us:
+                    last = (t, place)
+                    marks.append("kept")
+                elif place == last[1]:
+                    marks.append("left_out")
+                else:
+                    last = None
+                    marks.append("conflicting_fix")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.string())], names=[*names, "_mark"])
+
+    return rows.repartition(key, "_island").sortWithinPartitions(key, "_island", "t_us").mapInArrow(run, f"{types}, _mark string")
 
 
 def notices_to_calls(notices: DataFrame, windows: DataFrame, signature: list[str], row_id: str) -> DataFrame:

@@ -451,8 +451,8 @@ def payload_of(records: DataFrame, kind: str, shape: str) -> DataFrame:
 
 
 def media_records(records: DataFrame) -> DataFrame:
-    shape = f"{STREAM_SQL}, config_id: string, start_mono_ms: double, end_mono_ms: double, expected_packets: bigint, received_unique_packets: bigint, received_in_window_packets: bigint, complete: boolean, semantics_id: string"
-    return payload_of(records, "media_interval", shape).select(*DOMAIN, "event_id", "stream.stream_id", "stream.direction", "config_id", F.col("start_mono_ms").alias("start_ms"), F.col("end_mono_ms").alias("end_ms"), F.col("expected_packets").alias("expected"), F.coalesce("received_in_window_packets", "received_unique_packets").alias("received"), "complete", "semantics_id")
+    shape = f"{STREAM_SQL}, config_id: string, counter_epoch: string, sequence_first: bigint, sequence_last: bigint, start_mono_ms: double, end_mono_ms: double, expected_packets: bigint, received_unique_packets: bigint, received_in_window_packets: bigint, complete: boolean, semantics_id: string"
+    return payload_of(records, "media_interval", shape).select(*DOMAIN, "event_id", "stream.stream_id", "stream.direction", "config_id", F.col("start_mono_ms").alias("start_ms"), F.col("end_mono_ms").alias("end_ms"), F.col("expected_packets").alias("expected"), F.coalesce("received_in_window_packets", "received_unique_packets").alias("received"), "complete", "semantics_id", "counter_epoch", "sequence_first", "sequence_last")
 
 
 def config_records(records: DataFrame) -> DataFrame:
@@ -529,7 +529,8 @@ def suppress_overlaps(intervals: DataFrame, key: list[str]) -> DataFrame:
     ahead = F.lead("start_ms").over(by)
     alone = intervals.withColumns({"_r": reach, "_n": ahead}).where((F.col("_r").isNull() | (F.col("_r") <= F.col("start_ms"))) & (F.col("_n").isNull() | (F.col("_n") >= F.col("end_ms")))).drop("_r", "_n")
     windows, reports = alone.where("method = 'media_window'"), alone.where("method <> 'media_window'")
-    both = windows.select(*key, "start_ms", "end_ms", F.lit(0).alias("_s")).unionByName(reports.select(*key, "start_ms", "end_ms", F.lit(1).alias("_s")))
+    every = intervals.where("method = 'media_window'")  # windows that go beat reports, too
+    both = every.select(*key, "start_ms", "end_ms", F.lit(0).alias("_s")).unionByName(reports.select(*key, "start_ms", "end_ms", F.lit(1).alias("_s")))
     order = Window.partitionBy(*key).orderBy("start_ms", "_s")
     back = Window.partitionBy(*key).orderBy(F.desc("start_ms"), F.desc("_s"))  # looking ahead is looking back in the other order
     w = F.when(F.col("_s") == 0, F.col("end_ms"))
@@ -539,6 +540,109 @@ def suppress_overlaps(intervals: DataFrame, key: list[str]) -> DataFrame:
     return windows.unionByName(reports.join(lost, [*key, "start_ms", "end_ms"], "left_anti"))
 
 
+def reused_sequences(windows: DataFrame, key: list[str], modulus: int | None = None) -> DataFrame:
+    """``windows`` (key, start_ms, sequence_first, sequence_last) with ``reused``: a window begins at or before the last number of the one before it; both of them are.
+
+    ``key`` names the stream and the epoch of its counter. Numbers go on without end, or with
+    ``modulus`` begin again: then a step of more than half the space goes the other way round, and a
+    window whose last number is less than its first goes over the edge. Windows
+    without numbers reuse nothing and stand between no others.
+    """
+    numbered = F.col("sequence_first").isNotNull() & F.col("sequence_last").isNotNull()
+    rows = windows.withColumn("_numbered", numbered)
+    by = Window.partitionBy(*key, "_numbered").orderBy("start_ms", "sequence_first", "sequence_last")
+    first, last = F.col("sequence_first"), F.col("sequence_last")
+    if modulus:
+        step = first - F.lag(first).over(by)
+        wrapped = F.when(step < -(modulus // 2), 1).when(step > modulus // 2, -1).otherwise(0)
+        rows = rows.withColumn("_wrapped", wrapped).withColumn("_cycle", F.sum("_wrapped").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("_wrapped")
+        first, last = first + F.col("_cycle") * modulus, last + (F.col("_cycle") + (last < first).cast("long")) * modulus
+    rows = rows.withColumns({"_first": first, "_last": last})
+    back = F.coalesce(F.col("_first") <= F.lag("_last").over(by), F.lit(False)) | F.coalesce(F.lead("_first").over(by) <= F.col("_last"), F.lit(False))
+    return rows.withColumn("reused", F.col("_numbered") & back).drop("_numbered", "_first", "_last", *(["_cycle"] if modulus else []))
+
+
+#: Kinds of references: what has to be declared by then, and the issue where it isn't.
+REFERENCES = {"request": "request_reference_unresolved", "plan": "plan_reference_unresolved", "position": "position_reference_unresolved", "config": "config_reference_unresolved"}
+
+
+def audit_references(references: DataFrame, declarations: DataFrame) -> DataFrame:
+    """(domain, event_id, issues) of every event that refers to something: requests, plans, positions and configurations, checked in one pass over time.
+
+    ``references``: domain, event_id, kind, ref (what is named), mono_ms, activates. ``declarations``:
+    domain, kind, ref, mono_ms, usable, body, until_ms. A request, plan or position has to have been
+    declared by a usable record at that time or before. Of a configuration the newest
+    declaration counts, which has to be a single usable one, and all declarations of one name
+    have to agree. A plan that is activated must not have ended (``until_ms``) in all its declarations.
+    """
+    key = [*DOMAIN, "kind", "ref"]
+    stamps = declarations.groupBy(*key, "mono_ms").agg(F.count("*").alias("_n"), F.count_if("usable").alias("_usable"), F.max(F.when(F.col("usable"), F.col("until_ms"))).alias("_until"), F.min("body").alias("_low"), F.max("body").alias("_high"))
+    both = references.withColumn("_side", F.lit(1)).unionByName(stamps.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    so_far = Window.partitionBy(*key).orderBy("mono_ms", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.partitionBy(*key)
+    newest = F.last(F.when(F.col("_side") == 0, F.struct("_n", "_usable")), ignorenulls=True).over(so_far)
+    both = both.withColumns({
+        "_known": F.coalesce(F.sum("_usable").over(so_far), F.lit(0)),
+        "_ends": F.max("_until").over(so_far),
+        "_newest": newest,
+        "_agree": F.coalesce(F.min("_low").over(every) == F.max("_high").over(every), F.lit(True)),
+    }).where("_side = 1")
+    single = F.coalesce((F.col("_newest._n") == 1) & (F.col("_newest._usable") == 1), F.lit(False)) & F.col("_agree")
+    found = F.when(F.col("kind") == "config", single).otherwise(F.col("_known") > 0)
+    names = F.create_map(*[F.lit(x) for pair in REFERENCES.items() for x in pair])
+    ended = F.col("activates") & found & (F.col("_ends") <= F.col("mono_ms"))
+    issue = F.when(~found, names[F.col("kind")]).when(F.coalesce(ended, F.lit(False)), "expired_plan_activation")
+    return both.groupBy(*DOMAIN, "event_id").agg(F.sort_array(F.collect_set(issue)).alias("issues"))
+
+
+def plan_key(plan: str = "plan") -> Column:
+    return F.concat_ws(":", F.col(f"{plan}.plan_id"), F.col(f"{plan}.revision").cast("string"))
+
+
+def stream_key(stream: str = "stream") -> Column:
+    return F.to_json(F.struct(*[F.col(f"{stream}.{c}") for c in ("call_id", "sip_call_id", "stream_id", "ssrc", "direction")]), {"ignoreNullFields": "false"})
+
+
+def declared(records: DataFrame) -> DataFrame:
+    """What records declare that others may refer to: started requests, plans, positions (by their event) and configurations (by stream and name)."""
+    names = [*DOMAIN, "mono_ms", "usable"]
+    none = F.lit(None)
+    kept = records.select(*names, "type", "event_id", "payload")
+
+    def of(kind: str, shape: str, name: str, ref: Column, body: Column = none, until: Column = none, only: str = "true") -> DataFrame:
+        rows = kept.where(F.col("type") == kind).select(*names, "event_id", "payload", F.from_json("payload", f"struct<{shape}>").alias("_p")).select(*names, "event_id", "payload", "_p.*")
+        return rows.where(only).select(*names, F.lit(name).alias("kind"), ref.alias("ref"), body.cast("string").alias("body"), until.cast("double").alias("until_ms"))
+
+    wide = STREAM_SQL.replace("call_id: string>", "call_id: string, sip_call_id: string>")
+    return (
+        of("api_request", "request_id: string, phase: string", "request", F.col("request_id"), only="phase = 'started'")
+        .unionByName(of("plan_received", f"{PLAN_SQL}, valid_until_mono_ms: double", "plan", plan_key(), until=F.col("valid_until_mono_ms")))
+        .unionByName(of("position", "latitude: double", "position", F.col("event_id")))
+        .unionByName(of("media_config", f"{wide}, config_id: string", "config", F.concat_ws("|", stream_key(), "config_id"), body=F.col("payload")))
+    )
+
+
+def referring(records: DataFrame) -> DataFrame:
+    """What records refer to: plans their requests, states and actions their plans, states their measured positions, actions their two configurations."""
+    names = [*DOMAIN, "event_id", "mono_ms"]
+    wide = STREAM_SQL.replace("call_id: string>", "call_id: string, sip_call_id: string>")
+    shapes = {
+        "plan_received": "request_id: string",
+        "plan_state": f"{PLAN_SQL}, state: string, position_basis: string, position_event_id: string",
+        "action": f"{PLAN_SQL}, {wide}, old_config_id: string, new_config_id: string",
+    }
+    rows = {k: records.where(F.col("type") == k).select(*names, F.from_json("payload", f"struct<{v}>").alias("_p")).select(*names, "_p.*") for k, v in shapes.items()}
+    made = lambda df, kind, ref, activates=F.lit(False): df.select(*names, F.lit(kind).alias("kind"), ref.alias("ref"), activates.alias("activates"))
+    state, action = rows["plan_state"], rows["action"]
+    return (
+        made(rows["plan_received"], "request", F.col("request_id"))
+        .unionByName(made(state.where("plan IS NOT NULL"), "plan", plan_key(), F.col("state").isin("activated", "resumed")))
+        .unionByName(made(action.where("plan IS NOT NULL"), "plan", plan_key()))
+        .unionByName(made(state.where("position_basis = 'measured'"), "position", F.coalesce("position_event_id", F.lit(""))))
+        .unionByName(made(action.withColumn("_id", F.explode(F.array("old_config_id", "new_config_id"))), "config", F.concat_ws("|", stream_key(), F.coalesce("_id", F.lit("")))))
+    )
+
+
 def plan_audit(actions: DataFrame, plans: DataFrame) -> DataFrame:
     """Plan references (domain, plan_id, revision, mono_ms) with issues: unknown then, contradicting bodies, expired."""
     known = plans.groupBy(*DOMAIN, "plan_id", "revision").agg(F.min("mono_ms").alias("_since"), F.max("valid_until_ms").alias("_until"), F.countDistinct("body").alias("_bodies"))

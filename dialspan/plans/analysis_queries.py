@@ -656,7 +656,7 @@ ORACLE: dict[str, str] = {
         SELECT event_id, issues, CASE WHEN issues = '' THEN 100.0::DOUBLE END AS loss FROM i""",
     "i14_suppressed": f"""WITH d AS (SELECT user_id AS u, CASE WHEN event_id % 2 = 0 THEN 'media_window' ELSE 'rtcp' END AS method, CAST(floor((epoch_us(ts) - {BASE_US}) / 1e6) AS BIGINT) AS a, event_id FROM events),
         x AS (SELECT * FROM d WHERE NOT EXISTS (SELECT 1 FROM d o WHERE o.u = d.u AND o.method = d.method AND o.event_id <> d.event_id AND o.a < d.a + 20000 AND o.a + 20000 > d.a))
-        SELECT CAST(u AS VARCHAR) AS source_id, method, a AS start_ms, a + 20000 AS end_ms FROM x WHERE method = 'media_window' OR NOT EXISTS (SELECT 1 FROM x o WHERE o.u = x.u AND o.method = 'media_window' AND o.a < x.a + 20000 AND o.a + 20000 > x.a)""",
+        SELECT CAST(u AS VARCHAR) AS source_id, method, a AS start_ms, a + 20000 AS end_ms FROM x WHERE method = 'media_window' OR NOT EXISTS (SELECT 1 FROM d o WHERE o.u = x.u AND o.method = 'media_window' AND o.a < x.a + 20000 AND o.a + 20000 > x.a)""",
     "i15_places": f"""WITH d AS (SELECT user_id AS u, event_type, event_id, CAST(round(round((epoch_us(ts) - {BASE_US}) / 1e6, 3) * 1000) AS BIGINT) AS t FROM events),
         f AS (SELECT u, t, event_id, least(t + 30000000, coalesce(lead(t) OVER (PARTITION BY u ORDER BY t), t + 30000000)) AS z FROM d WHERE event_type = 'view'),
         n AS (SELECT u, t, event_id % 6 > 0 AS ok, CASE WHEN event_id % 2 = 0 THEN 'wifi' ELSE 'cellular' END AS access, least(t + 30000000, coalesce(lead(t) OVER (PARTITION BY u ORDER BY t), t + 30000000)) AS z FROM d WHERE event_type = 'error'),

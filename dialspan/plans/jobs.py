@@ -226,15 +226,20 @@ def telemetry_job(lines: DataFrame, order: list[str], semantics: tuple[str, ...]
     """Validated, canonical records with the guards of their clock domains, and what follows from the usable ones.
 
     intervals: loss of media windows and of consecutive receiver reports, windows before reports
-    where they overlap; refused: those that give none, with their issues; places: intervals at
-    fixes with their access; plans: references to plans with their issues.
+    where they overlap; refused: those that give none, with their issues; reused: windows whose sequence numbers
+    another one uses, too (neither counts); places: intervals at fixes with their access; plans:
+    references to plans with their issues; references: of every event that refers to a request, plan, position or
+    configuration, what isn't declared then.
     """
     checked = staged(T.validate_telemetry(lines))
     good = checked.where(F.size("issues") == 0).drop("issues")
     canonical = T.telemetry_canonical(good, order)
     records = staged(T.clock_guards(canonical.where("NOT conflict")))
-    usable = records.where((F.col("validity") == "valid") & (F.size(F.array_except("issues", F.array(F.lit("sequence_gap")))) == 0))
+    fit = (F.col("validity") == "valid") & (F.size(F.array_except("issues", F.array(F.lit("sequence_gap")))) == 0)
+    usable = records.where(fit)
     windows = T.media_intervals(T.media_records(usable), T.config_records(usable), T.gap_records(usable), list(semantics))
+    again = T.reused_sequences(windows.where("loss IS NOT NULL"), [*T.DOMAIN, "stream_id", "counter_epoch"]).where("reused").select(*T.DOMAIN, "stream_id", "start_ms", "end_ms")
+    again = staged(again.withColumns({"direction": F.lit("local_receive"), "method": F.lit("media_window")}).distinct())
     reports = T.rtcp_intervals(T.rtcp_records(usable), [*T.DOMAIN, "stream_id", "transport_direction"])
     every = windows.select(*T.DOMAIN, "stream_id", F.lit("local_receive").alias("direction"), F.lit("media_window").alias("method"), "start_ms", "end_ms", "loss", "issues")
     way = F.when(F.col("transport_direction") == "sent", "local_receive").otherwise("local_send")
@@ -242,7 +247,8 @@ def telemetry_job(lines: DataFrame, order: list[str], semantics: tuple[str, ...]
     every = staged(every)
     scored = every.where("loss IS NOT NULL").drop("issues")
     key = [*T.DOMAIN, "stream_id", "direction"]
-    kept = scored.join(T.suppress_overlaps(scored.select(*key, "method", "start_ms", "end_ms"), key), [*key, "method", "start_ms", "end_ms"], "left_semi")
+    once = [*key, "method", "start_ms", "end_ms"]
+    kept = scored.join(T.suppress_overlaps(scored.select(*once), key), once, "left_semi").join(again, once, "left_anti")
     fixes, networks = T.fix_records(usable), T.network_records(usable)
     return {
         "invalid": checked.where(F.size("issues") > 0),
@@ -251,7 +257,9 @@ def telemetry_job(lines: DataFrame, order: list[str], semantics: tuple[str, ...]
         "intervals": kept.withColumn("series", series_key(*key)),
         "refused": every.where("loss IS NULL"),
         "places": G.telemetry_places(kept, fixes, networks, T.DOMAIN),
+        "reused": scored.join(again, once, "left_semi"),
         "plans": T.plan_audit(T.plan_references(usable), T.plan_records(usable)),
+        "references": T.audit_references(T.referring(records), T.declared(records.withColumn("usable", fit))),
     }
 
 
