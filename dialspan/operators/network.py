@@ -18,16 +18,18 @@ LAYERS = ("device", "stun", "cti", "sip", "media", "app")
 def connectivity_timeline(events: DataFrame, bounds: DataFrame, key: list[str], ttl_us: int = 30 * SECOND) -> DataFrame:
     """Gap-free segments (key, lane, start, end, state) of six layers and the network lane between the bounds.
 
-    ``events``: key, ts, ord, layer, state and, if wanted, ``reason``, which segments then carry and differ by;
-    ``bounds``: key, begin, stop. Of equal times the greatest ``ord`` counts. The newest state of a layer holds
+    ``events``: key, ts, ord, layer, state and, if wanted, ``reason`` and ``evidence_id``, which segments then carry
+    and differ by (``evidence``: the ids of the one record behind a layer's state, of at most one a layer
+    behind the network's); ``bounds``: key, begin, stop. Of equal times the greatest ``ord`` counts. The newest state of a layer holds
     ``ttl_us``. The network is transient where up and down disagree, else down, up, transient where something is
     merely uncertain, else unknown; its reason lists the layers that say so.
 
     One shuffle by the key: the states of all layers are carried along its stamps and expiries, and
     only what changes becomes a row of a lane.
     """
-    explained = "reason" in events.columns
-    value = F.struct("state", (F.col("reason") if explained else F.lit(None)).cast("string").alias("reason"))
+    explained, proven = "reason" in events.columns, "evidence_id" in events.columns
+    proof = F.array("evidence_id") if proven else F.array().cast("array<string>")
+    value = F.struct("state", (F.col("reason") if explained else F.lit(None)).cast("string").alias("reason"), proof.alias("evidence"))
     said = events.where(F.col("layer").isin(*LAYERS)).select(*key, micros("ts").alias("_t"), "layer", F.struct("ord", value.alias("v")).alias("_said"))
     ends = said.select(*key, (F.col("_t") + ttl_us).alias("_t"))
     edges = bounds.select(*key, micros("begin").alias("_t"), micros("begin").alias("_begin"), micros("stop").alias("_stop"))
@@ -38,20 +40,21 @@ def connectivity_timeline(events: DataFrame, bounds: DataFrame, key: list[str],
     carried = {f"_{x}": F.last(F.when(F.col(f"_{x}").isNotNull(), F.struct(F.col("_t").alias("at"), F.col(f"_{x}.v").alias("v"))), ignorenulls=True).over(before) for x in LAYERS}
     stamps = stamps.withColumns(carried | {"_begin": F.max("_begin").over(whole), "_stop": F.max("_stop").over(whole)})
     stamps = stamps.where("_t >= _begin AND _t < _stop")
-    unknown = F.struct(F.lit("unknown").alias("state"), F.lit(None).cast("string").alias("reason"))
+    kind = f"array<{dict(events.dtypes)['evidence_id']}>" if proven else "array<string>"
+    unknown = F.struct(F.lit("unknown").alias("state"), F.lit(None).cast("string").alias("reason"), F.array().cast(kind).alias("evidence"))
     live = {f"_{x}": F.coalesce(F.when(F.col(f"_{x}.at") + ttl_us > F.col("_t"), F.col(f"_{x}.v")), unknown) for x in LAYERS}
-    stamps = stamps.withColumns(live).withColumn("_network", network_lane(explained))
+    stamps = stamps.withColumns(live).withColumn("_network", network_lane(explained, kind))
     following = Window.partitionBy(*key).orderBy("_t")
     lanes = [F.struct(F.lit(x).alias("lane"), F.col(f"_{x}").alias("v"), (~F.lag(f"_{x}").over(following).eqNullSafe(F.col(f"_{x}"))).alias("new")) for x in (*LAYERS, "network")]
     rows = stamps.select(*key, "_t", "_stop", F.array(*lanes).alias("_l"))
     rows = rows.select(*key, "_t", "_stop", F.explode(F.filter("_l", lambda x: x["new"])).alias("_l")).select(*key, "_t", "_stop", "_l.lane", "_l.v")
     until = F.coalesce(F.lead("_t").over(Window.partitionBy(*key, "lane").orderBy("_t")), F.col("_stop"))
     rows = rows.select(*key, "lane", from_micros("_t").alias("start"), from_micros(until).alias("end"), "v.*")
-    return rows if explained else rows.drop("reason")
+    return rows.drop(*([] if explained else ["reason"]), *([] if proven else ["evidence"]))
 
 
-def network_lane(explained: bool) -> Column:
-    """State and reason of the network from the states of the layers."""
+def network_lane(explained: bool, kind: str) -> Column:
+    """State, reason and evidence of the network from the states of the layers."""
     says = {
         "_up": [(x, ("up",)) for x in ("stun", "cti", "sip", "media")],
         "_down": [(x, ("down",)) for x in ("device", "stun")],
@@ -65,11 +68,13 @@ def network_lane(explained: bool) -> Column:
         (is_["_up"], "up", named["_up"]),
         (is_["_unsure"], "transient", named["_unsure"]),
     ]
-    state, reason = F.lit("unknown"), F.lit(None).cast("string")
+    state, reason, evidence = F.lit("unknown"), F.lit(None).cast("string"), F.array().cast(kind)
     for holds, name, layers in reversed(cases):
         state = F.when(holds, name).otherwise(state)
         reason = F.when(holds, F.array_join(layers, ",")).otherwise(reason)
-    return F.struct(state.alias("state"), (reason if explained else F.lit(None).cast("string")).alias("reason"))
+        proofs = F.concat(*[F.when(F.array_contains(layers, x), F.col(f"_{x}.evidence")).otherwise(F.array().cast(kind)) for x in LAYERS])
+        evidence = F.when(holds, F.sort_array(proofs)).otherwise(evidence)
+    return F.struct(state.alias("state"), (reason if explained else F.lit(None).cast("string")).alias("reason"), evidence.alias("evidence"))
 
 
 def movement_sequences(fixes: DataFrame, key: str = "import_id", gap_us: int = 30 * SECOND, speed: float = 150.0) -> DataFrame:

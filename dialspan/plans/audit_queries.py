@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import network as K
 from ..operators import telemetry as T
+from . import jobs as Z
 from . import reports as R
-from .analysis_queries import events
+from .analysis_queries import as_time, events
+from .core_queries import HOUR
 
 NAMES = ["request", "plan", "position", "config"]
 
@@ -61,6 +64,28 @@ def a20_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("measure", "place", "kind", "bin", *[F.round(c, 6).alias(c) for c in ("seconds", "mean", "day_mean", "total", "rate", "low", "high")], "days", "calls", "sources", "limited")
 
 
+def i12_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of the lanes of every user with the records behind them, by which neighbours differ, too."""
+    e = events(spark, sf_dir)
+    layer = F.element_at(F.array(*[F.lit(x) for x in ("stun", "cti", "sip", "device", "app")]), (F.col("event_id") % 5).cast("int") + 1)
+    said = e.select("user_id", "ts", F.col("event_id").alias("ord"), F.col("event_id").alias("evidence_id"), layer.alias("layer"), F.when(F.col("value") < 60, "up").otherwise("down").alias("state"))
+    bounds = e.groupBy("user_id").agg(F.min("ts").alias("begin"), F.max("ts").alias("stop"))
+    out = K.connectivity_timeline(said, bounds, ["user_id"], 6 * HOUR)
+    return out.select("user_id", "lane", "start", "end", "state", F.array_join(F.col("evidence").cast("array<string>"), ",").alias("evidence"))
+
+
+def z3_creations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Episodes of users' devices, which clicks create anew: what began before a creation isn't closed after it."""
+    e = events(spark, sf_dir)
+    named = [F.col("user_id").alias("import_id"), F.col("user_id").alias("perspective_id"), F.lit("NART0 of Line 1").alias("device")]
+    signals = e.where("event_type IN ('error', 'purchase')").select(*named, F.lit("AWT").alias("observer"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"), F.when(F.col("event_type") == "error", "start").otherwise("end").alias("phase"), F.lit(None).cast("double").alias("duration_ms"))
+    creations = e.where("event_type = 'click'").select("user_id", "event_id", "ts").select(F.col("user_id").alias("import_id"), F.when(F.col("event_id") % 2 == 0, "Default Audio Output").otherwise("NART0 of Line 1").alias("device"), "ts", "event_id")
+    none = signals.limit(0)
+    bounds = none.select("import_id", "perspective_id", *[F.lit(0).cast("long").alias(c) for c in ("anchor_us", "begin_us", "stop_us")])
+    out = Z.incident_report(signals, bounds, none.select("perspective_id"), ["import_id", "perspective_id"], 1_000_000, creations=creations)["episodes"]
+    return out.select(F.col("import_id").alias("user_id"), "output_device_created", "input_device_created", "start_us", "end_us", "status", "signals")
+
+
 KIND = "CASE ({n}) % 4 WHEN 0 THEN 'request' WHEN 1 THEN 'plan' WHEN 2 THEN 'position' ELSE 'config' END"
 SEQUENCES = """e AS (SELECT event_id, user_id AS u, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) * 997 - CASE WHEN event_id % 17 = 0 THEN 1500 ELSE 0 END AS n FROM events)"""
 AGAIN = "coalesce(n <= lag(n + 900) OVER w, false) OR coalesce(lead(n) OVER w <= n + 900, false)"
@@ -72,6 +97,24 @@ ORACLE: dict[str, str] = {
               FROM r LEFT JOIN d ON d.s = r.s AND d.kind = r.kind AND d.ref = r.ref GROUP BY r.event_id, r.m),
         i AS (SELECT event_id, CASE WHEN NOT CASE WHEN kind = 'config' THEN coalesce(last, false) AND bodies <= 1 ELSE known > 0 END THEN kind || '_reference_unresolved' WHEN act AND ends <= ts THEN 'expired_plan_activation' END AS issue FROM x)
         SELECT event_id, coalesce(string_agg(DISTINCT issue, ',' ORDER BY issue), '') AS issues FROM i GROUP BY event_id""",
+    "i12_evidence": f"""WITH v AS (SELECT user_id AS u, epoch_us(ts) AS t, event_id, CASE event_id % 5 WHEN 0 THEN 'stun' WHEN 1 THEN 'cti' WHEN 2 THEN 'sip' WHEN 3 THEN 'device' ELSE 'app' END AS layer, CASE WHEN value < 60 THEN 'up' ELSE 'down' END AS state FROM events),
+        b AS (SELECT u, min(t) AS a, max(t) AS z FROM v GROUP BY u), c AS (SELECT DISTINCT v.u, x.t FROM (SELECT u, t FROM v UNION SELECT u, t + {6 * HOUR} FROM v) x JOIN v USING (u) JOIN b ON b.u = x.u WHERE x.t >= a AND x.t < z),
+        lay AS (SELECT unnest(['stun', 'cti', 'sip', 'device', 'app', 'media']) AS layer), cl AS (SELECT c.*, layer FROM c, lay),
+        f AS (SELECT cl.u, cl.t, cl.layer, CASE WHEN cl.t < v.t + {6 * HOUR} THEN v.state ELSE 'unknown' END AS state, CASE WHEN cl.t < v.t + {6 * HOUR} THEN v.event_id END AS ev FROM cl ASOF LEFT JOIN v ON cl.u = v.u AND cl.layer = v.layer AND cl.t >= v.t),
+        g AS (SELECT *, layer IN ('stun', 'cti', 'sip', 'media') AND state = 'up' AS p, layer IN ('device', 'stun') AND state = 'down' AS m FROM f),
+        n AS (SELECT u, t, coalesce(bool_or(p), false) AS up, coalesce(bool_or(m), false) AS dn, string_agg(ev, ',' ORDER BY ev) FILTER (WHERE m) AS evm, string_agg(ev, ',' ORDER BY ev) FILTER (WHERE p) AS evp, string_agg(ev, ',' ORDER BY ev) FILTER (WHERE p OR m) AS evb FROM g GROUP BY u, t),
+        al AS (SELECT u, t, layer, coalesce(state, 'unknown') AS state, coalesce(CAST(ev AS VARCHAR), '') AS ev FROM f UNION ALL
+               SELECT u, t, 'network', CASE WHEN up AND dn THEN 'transient' WHEN dn THEN 'down' WHEN up THEN 'up' ELSE 'unknown' END, CASE WHEN up AND dn THEN evb WHEN dn THEN evm WHEN up THEN evp ELSE '' END FROM n),
+        ch AS (SELECT *, lag(state) OVER w IS DISTINCT FROM state OR lag(ev) OVER w IS DISTINCT FROM ev AS new FROM al WINDOW w AS (PARTITION BY u, layer ORDER BY t)),
+        se AS (SELECT u, layer, t, state, ev, lead(t) OVER (PARTITION BY u, layer ORDER BY t) AS nt FROM ch WHERE new)
+        SELECT se.u AS user_id, layer AS lane, {as_time("t")} AS start, {as_time("coalesce(nt, z)")} AS "end", state, ev AS evidence FROM se JOIN b ON b.u = se.u""",
+    "z3_creations": """WITH k AS (SELECT user_id AS u, ts, event_id, event_id % 2 = 0 AS o FROM events WHERE event_type = 'click'),
+        s0 AS (SELECT DISTINCT user_id AS u, ts, event_type = 'error' AS s FROM events WHERE event_type IN ('error', 'purchase')),
+        s1 AS (SELECT s0.*, k.event_id AS oc FROM s0 ASOF LEFT JOIN (SELECT * FROM k WHERE o) k ON k.u = s0.u AND s0.ts >= k.ts),
+        s2 AS (SELECT s1.*, k.event_id AS ic FROM s1 ASOF LEFT JOIN (SELECT * FROM k WHERE NOT o) k ON k.u = s1.u AND s1.ts >= k.ts),
+        l AS (SELECT *, epoch_us(ts) AS t, lag(s) OVER w AS ps, lag(epoch_us(ts)) OVER w AS pt, lead(s) OVER w AS ns FROM s2 WINDOW w AS (PARTITION BY u, oc, ic ORDER BY ts, NOT s))
+        SELECT u AS user_id, oc AS output_device_created, ic AS input_device_created, CASE WHEN ps THEN pt ELSE t END AS start_us, t AS end_us, 'closed' AS status, CASE WHEN ps THEN 2 ELSE 1 END AS signals FROM l WHERE NOT s
+        UNION ALL SELECT u, oc, ic, t, NULL, 'open', 1 FROM l WHERE s AND (ns IS NULL OR ns)""",
     "i14_reused": f"WITH {SEQUENCES} SELECT event_id, {AGAIN} AS reused FROM e WINDOW w AS (PARTITION BY u ORDER BY ts)",
     "i14_extended": f"WITH {SEQUENCES}, k AS (SELECT event_id, {AGAIN} AS reused FROM e WHERE event_id % 13 > 0 WINDOW w AS (PARTITION BY u ORDER BY ts)) SELECT e.event_id, coalesce(reused, false) AS reused FROM e LEFT JOIN k USING (event_id)",
     "a20_calendar": """WITH h AS (SELECT 'mean' AS measure, user_id % 3 AS place, user_id AS call, event_id % 4 AS source, value, ts AS a, ts + INTERVAL 90 MINUTE AS b FROM events WHERE event_type = 'purchase' AND user_id % 10 > 0

@@ -126,9 +126,24 @@ def mos_of_tables(tables: dict[str, DataFrame], threshold: float = 3.0) -> dict[
     return mos_report(losses, tables["perspectives"], networks, threshold)
 
 
-def incident_report(signals: DataFrame, bounds: DataFrame, perspectives: DataFrame, key: list[str], width_us: int, mode: str = "reported_end", samples: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Episodes, their windows, sums of the calls and, with the ``samples`` of readers, where their absence can be told."""
-    placed = N.place_incidents(N.reconstruct_incidents(signals, key), mode)
+def with_lifecycles(signals: DataFrame, creations: DataFrame) -> DataFrame:
+    """``signals`` (import_id, t_us, observer, device) with the latest creation (import_id, device, ts, event_id) of the device that is observed and of the one that is read."""
+    name = F.regexp_replace("observer", r"^AWT - ", "")
+    rows = signals.withColumns({"ts": from_micros("t_us"), "output_device": F.when(name == "AWT", "Default Audio Output").otherwise(name), "input_device": F.col("device")})
+    return L.tag_lifecycle(rows, creations).drop("ts", "output_device", "input_device")
+
+
+def incident_report(signals: DataFrame, bounds: DataFrame, perspectives: DataFrame, key: list[str], width_us: int, mode: str = "reported_end", samples: DataFrame | None = None, creations: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Episodes, their windows, sums of the calls and, with the ``samples`` of readers, where their absence can be told.
+
+    With ``creations`` of devices an episode belongs to the devices as they were then: one that is created again closes none.
+    """
+    if creations is None:
+        episodes = N.reconstruct_incidents(signals, key)
+    else:
+        made = ["output_device_created", "input_device_created"]
+        episodes = N.reconstruct_incidents(with_lifecycles(signals, creations), [*key, *made])
+    placed = N.place_incidents(episodes, mode)
     out = {"episodes": placed, "windows": N.incident_windows(placed, bounds, key, width_us), "calls": N.incident_call_summary(placed, perspectives, key)}
     return out if samples is None else out | {"coverage": N.incident_coverage(perspectives, placed, samples)}
 
@@ -183,6 +198,12 @@ def connectivity_report(records: DataFrame, bounds: DataFrame) -> DataFrame:
     return K.connectivity_timeline(events, bounds, ["import_id"])
 
 
+def connectivity_job(records: DataFrame, bounds: DataFrame, windows: DataFrame, positions: DataFrame) -> dict[str, DataFrame]:
+    """Lanes whose segments name the records behind them (``event_id``), and the switch requests of the same imports."""
+    events = X.extract_connectivity(records).withColumns({"ord": F.col("line_no"), "evidence_id": F.col("event_id")})
+    return {"lanes": K.connectivity_timeline(events, bounds, ["import_id"]), "switches": switch_report(records, windows, positions)}
+
+
 def switch_report(records: DataFrame, windows: DataFrame, positions: DataFrame, context: dict[str, str] | None = None) -> DataFrame:
     """Switch requests with their call, the transition that is declared near them, and the place between fixes.
 
