@@ -1,8 +1,9 @@
 """Surrogates for personal data: keyed, of the same type, script, gender and format, distinct and coreferent.
 
 Detected are e-mail addresses, phone and card numbers, IPv4 addresses, social security
-numbers, IBANs, long hexadecimal secrets, names after a form of address, and the same names
-elsewhere in the document. Given names (of a gender) and family names are entities of their own,
+numbers, IBANs, long hexadecimal secrets, values that are assigned to a key, token, secret or password and
+look drawn (letters and digits), names after a form of address (also in capitals) or an
+introduction ('my name is', 'signed by'), and the same names elsewhere in the document. Given names (of a gender) and family names are entities of their own,
 so that 'Mr. John Smith', 'Dr. Smith', 'John Smith' and 'Smith' agree. A mention's
 canonical form (lower case, digits only) is the entity; its surrogate depends on the key and
 the entity alone, and the mention's case and punctuation are kept, so that an entity has one
@@ -73,6 +74,8 @@ LAST = {
 }
 
 _TITLES = {t: g for g, names in ADDRESS.items() for t in names.split()}
+#: Last words of introductions, with what stands before them.
+INTRODUCTIONS = {"is": "[Mm]y name ", "by": "[Ss]igned "}
 _GIVEN_GENDER = {n: g for (_, g), names in GIVEN.items() for n in names.split()}
 #: Characters of an IBAN by country.
 IBAN_LENGTHS = {
@@ -85,23 +88,25 @@ IBAN_LENGTHS = {
     for c in countries.split()
 }
 _JUNK = r"[^\w\n]{0,7}"
+_CAPITALS = r"[A-ZÀ-ÖØ-ÞА-ЯЁ]{2,}(?:-[A-ZÀ-ÖØ-ÞА-ЯЁ]{2,})?"
 _NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+(?:-[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+)?"
 #: Kinds of entities; the first that matches at a place counts.
 PATTERNS = {
     "email": r"(?<![\w.+-])[\w+-](?:[\w.+-]{0,62}[\w+-])?@[\w-]{1,63}(?:\.[\w-]{1,63})+",
     "iban": r"(?<![\w])[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?(?![\w])",
+    "credential": r"(?:[Kk]ey|KEY|[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Pp]asswd|pwd|PWD)[\"']?\s{0,2}[=:]\s{0,2}[\"']?([\w+/.~-]{12,128})",
     "secret": r"(?<![\w])(?=[a-fA-F]*\d)[0-9a-fA-F]{32,}(?![\w])",
     "phone": rf"(?<![\w])(?:\+\d{{1,3}}{_JUNK}\(?\d{{2,4}}\)?{_JUNK}\d{{3,4}}[-. ]?\d{{3,4}}(?:[-. ]?\d{{2,4}}(?![\d.]))?|\(\d{{3}}\){_JUNK}\d{{3}}[-. ]\d{{4}}|\d{{3}}[-.]\d{{3}}[-.]\d{{4}})(?!\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)",
     "card": r"(?<![\w.-])(?:\d{13,19}|\d{4}(?: \d{4}){2} \d{1,7}|\d{4}(?:-\d{4}){2}-\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w]|[.-]\d)",
-    "name": rf"(?<!\w)(?:{'|'.join(sorted(_TITLES, key=len, reverse=True))})\.? {_NAME}(?: {_NAME})?",
+    "name": rf"(?<!\w)(?:{'|'.join(sorted(_TITLES, key=len, reverse=True))})\.? {_NAME}(?: {_NAME})?|(?<!\w)(?:{'|'.join(t.upper() for t in sorted(_TITLES, key=len, reverse=True))})\.? {_CAPITALS}(?: {_CAPITALS})?(?!\w)|(?:{'|'.join(f'(?<={before}){word}' for word, before in INTRODUCTIONS.items())}) {_NAME}(?: {_NAME})?",
 }
 _FIND = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS.items()))
 _WORD = re.compile(rf"(?<!\w){_NAME}(?!\w)")
 _ONE = {kind: re.compile(p) for kind, p in PATTERNS.items()}
 #: Whatever _FIND matches holds a match of this.
-_MAYBE = re.compile(rf"@|\d[\d.]|[0-9a-fA-F]{{32}}|(?<!\w)(?:{'|'.join(_TITLES)})\.? ")
+_MAYBE = re.compile(rf"@|\d[\d.]|[0-9a-fA-F]{{32}}|[=:]\s{{0,2}}[\"']?[\w+/.~-]{{12}}|(?<!\w)(?:{'|'.join([*_TITLES, *(t.upper() for t in _TITLES)])})\.? |{'|'.join(f'{before}{word} ' for word, before in INTRODUCTIONS.items())}")
 
 
 def luhn(digits: str) -> int:
@@ -133,6 +138,12 @@ def like(c: str, digit: str) -> str:
     return digit if c.isascii() or not digit.isdecimal() else chr(ord(c) - unicodedata.decimal(c) + int(digit))
 
 
+def title_gender(title: str) -> str:
+    """The gender of a form of address, in capitals or not; introductions tell none."""
+    title = title.rstrip(".")
+    return _TITLES.get(title) or _TITLES.get(title.capitalize(), "n")
+
+
 def canonical(kind: str, mention: str) -> str | None:
     """The entity that a mention names, or None where it isn't one after all."""
     if kind in ("phone", "ssn", "card"):
@@ -145,13 +156,18 @@ def canonical(kind: str, mention: str) -> str | None:
         return iban if 15 <= len(iban) <= 34 and iban_rest(iban) == 1 else None
     if kind == "name":
         title, *names = mention.split(" ")
-        gender = _TITLES[title.rstrip(".")]
+        gender = title_gender(title)
+        names = ["-".join(p.capitalize() for p in n.split("-")) if n.isupper() else n for n in names]
         if gender == "n" and len(names) > 1:
             gender = _GIVEN_GENDER.get(names[0], "n")
         return f"{gender} {' '.join(names)}"
     if kind == "ip":
         octets = mention.split(".")
         return ".".join(str(int(x)) for x in octets) if all(int(x) < 256 and (len(x) < 3 or int(x) > 99) for x in octets) else None
+    if kind == "credential":
+        if _ONE["secret"].fullmatch(mention):
+            return low(mention)
+        return mention if len(set(mention)) > 6 and re.search("[0-9]", mention) and re.search("[A-Za-z]", mention) else None
     return low(mention)
 
 
@@ -175,7 +191,7 @@ def with_untitled(text: str, found: list[tuple[int, int, str, str]]) -> list[tup
     that the text also has as a word in lower case doesn't count where it stands alone.
     """
     genders, families = {}, {}
-    titled = lambda start: _TITLES[text[start : text.index(" ", start)].rstrip(".")]
+    titled = lambda start: title_gender(text[start : text.index(" ", start)])
     for start, _, kind, entity in found:
         gender, *names = entity.split(" ") if kind == "name" else ("",)
         if len(names) > 1:
@@ -231,7 +247,10 @@ def accepted(text: str, start: int) -> tuple[int, int, str, str] | None:
     """The mention that begins at a place: the first kind that has a valid one there, at its longest valid end."""
     for kind, pattern in _ONE.items():
         m = pattern.match(text, start)
-        if m:
+        if m and kind == "credential":
+            if (entity := canonical(kind, m[1])) is not None:  # the value alone; a hexadecimal one is the same entity wherever it stands
+                return m.start(1), m.end(1), "secret" if _ONE["secret"].fullmatch(m[1]) else kind, entity
+        elif m:
             for end in ends(kind, text, start, m.end()):
                 if (entity := canonical(kind, text[start:end])) is not None:
                     return start, end, kind, entity
@@ -377,6 +396,8 @@ def dressed(kind: str, mention: str, made: str) -> str:
         return "".join(c if c == " " else next(letters) if not c.isdecimal() else like(c, next(letters)) for c in mention)
     if kind in ("name", "given"):
         names = made.split(" ")[1:]
+        if mention.isupper():
+            names = [n.upper() for n in names]
         return " ".join([*mention.split(" ")[: -len(names)], *names])
     if kind == "ip":
         return "".join(like(mention[0], c) for c in made)
