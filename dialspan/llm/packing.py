@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrowtext import slices, words_of
 from .shared import cut
@@ -248,9 +249,15 @@ def pack(pieces: DataFrame, length: int = LENGTH, unit: int = UNIT) -> DataFrame
     Every piece is placed once. Equal rows are pieces of their own. Ranks are counted within
     (class, salt) groups of bounded size, so that a class with a third of all pieces is many
     groups. Lengths over ``length`` or under 1 are an error of the caller. An empty table
-    gives an empty one. Columns beyond doc_id, start and length are kept.
+    gives an empty one. Columns beyond doc_id, start and length are kept, whatever their
+    names; only sequence_id and offset are overwritten. Pieces are ranked by all their columns
+    of plain types, so that a task that runs again gives the same ranks.
     """
     spark = pieces.sparkSession
+    others = [f for f in pieces.schema.fields if f.name not in ("doc_id", "start", "length", "sequence_id", "offset")]
+    plain = [F.col(f"_kept.`{f.name}`") for f in others if not isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType, T.VariantType))]
+    pieces = pieces.select("doc_id", "start", "length", F.struct(*[F.col(f"`{f.name}`") for f in others] or [F.lit(None).alias("none")]).alias("_kept"))
+    order = ["doc_id", "start", "length", *plain]
     pieces = cut(pieces.withColumn("_class", F.ceil(F.col("length") / unit).cast("int")))
     counts = {r[0]: r[1] for r in pieces.groupBy("_class").count().collect()}  # at most length / unit rows
     demand = np.zeros(length // unit + 1, np.int64)
@@ -260,14 +267,14 @@ def pack(pieces: DataFrame, length: int = LENGTH, unit: int = UNIT) -> DataFrame
     table = spark.createDataFrame(plan or [(0, 0, 0, 1, 0, 0)], "_class int, _from long, _to long, _many long, _base long, _slot long")
     group = max(256, -(-int(demand.sum()) // GROUPS))
     salts = F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, -(-n // group))]) if counts else F.create_map(F.lit(0), F.lit(1))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.greatest(F.try_element_at(salts, F.col("_class")), F.lit(1))))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order), F.greatest(F.try_element_at(salts, F.col("_class")), F.lit(1))))
     sums = Window.partitionBy("_class").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     before = salted.groupBy("_class", "_salt").count().select("_class", "_salt", F.coalesce(F.sum("count").over(sums), F.lit(0)).alias("_before"))
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("_class", "_salt").orderBy("doc_id", "start")) - 1)
+    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("_class", "_salt").orderBy(*order)) - 1)
     ranked = ranked.join(F.broadcast(before), ["_class", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
     nth = F.col("_rank") - F.col("_from")
     placed = ranked.join(F.broadcast(table), (ranked["_class"] == table["_class"]) & F.col("_rank").between(F.col("_from"), F.col("_to") - 1)).drop("_class")
     placed = placed.withColumn("sequence_id", F.col("_base") + F.floor(nth / F.col("_many"))).withColumn("_slot", F.col("_slot") + nth % F.col("_many"))
     inside = Window.partitionBy("sequence_id").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)))
-    return placed.drop("_salt", "_rank", "_before", "_from", "_to", "_many", "_base", "_slot")
+    return placed.select("doc_id", "start", "length", *[F.col(f"_kept.`{f.name}`") for f in others], "sequence_id", "offset")

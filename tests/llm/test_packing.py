@@ -69,3 +69,24 @@ def test_hot_class(spark):
     rows = P.pack(pieces).toPandas()
     assert rows.groupby("sequence_id").length.sum().max() <= 4096 and len(rows) == 3000
     assert rows.sequence_id.nunique() == 750
+
+
+def test_clashing_columns_and_ids(spark):
+    """Rows that share an id and a start, with columns of the operator's own names: each is placed once, the same way each time."""
+    rows = [(k % 3, 0, 100 + k % 40, k, f"c{k}", -1, [k]) for k in range(400)] + [(None, 0, 64, 7, None, -1, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, start long, length long, _rank long, _class string, sequence_id long, more array<int>")
+    placed = P.pack(df.repartition(5))
+    assert placed.columns == ["doc_id", "start", "length", "_rank", "_class", "more", "sequence_id", "offset"]
+    got = placed.collect()
+    assert sorted((r["_rank"], r["_class"] or "") for r in got) == sorted((r[3], r[4] or "") for r in rows) and all(r.sequence_id >= 0 for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans in by.values():
+        at = 0
+        for offset, n in sorted(spans):
+            assert offset == at
+            at += n
+        assert at <= 4096
+    again = {(r["_rank"], r["_class"]): (r.sequence_id, r.offset) for r in P.pack(df.repartition(2)).collect() if r.doc_id is not None}
+    assert again == {(r["_rank"], r["_class"]): (r.sequence_id, r.offset) for r in got if r.doc_id is not None}
