@@ -137,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     known = known.groupBy("doc_id").agg(F.min("quality").alias("label"))
     chosen = [known.where(F.col("label") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2) for x in (0, 1)]
     few = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most ``most`` ids
-    texts = docs.select("doc_id", "text").join(few, "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", "text").join(few, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # of several texts under one id the least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
