@@ -80,7 +80,7 @@ def mapped(values: dict, key: Column) -> Column:
 
 def duration_ms(value: Column | str, unit: Column | str) -> Column:
     """Milliseconds; NULL for an unknown unit."""
-    return col(value).cast("double") * mapped(DURATION_UNITS, F.lower(F.trim(col(unit))))
+    return col(value).try_cast("double") * mapped(DURATION_UNITS, F.lower(F.trim(col(unit))))
 
 
 def elapsed_seconds(text: Column | str) -> Column:

@@ -14,15 +14,15 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import duration_ms, metric_valid
 from ..sources.archives import base_name
+from . import messages as M
+from .messages import parse_timestamp
 
-# Forms of times and numbers in the logs, and the words for levels.
-DATE, CLOCK = r"\d{4}(?:-\d\d){2}", r"\d\d(?::\d\d){2}"
-STAMP = rf"^\[?({DATE} {CLOCK}(?:[.]\d+)?)"
-COMPACT_STAMP = r"^\w+\s*[|]\s*(\d{8}-\d{6}[.]\d+)"
-NUMBER = r"[-+]?(?:\d+[.]?\d*|[.]\d+)(?:[eE][-+]?\d+)?"
+#: A run of characters that a number has; a cast decides.
+NUMBER = r"[-+]?[.\d]+(?:[eE][-+]?\d+)?"
+# The words for levels.
 LEVELS = ("DEBUG", "INFO", "NOTICE", "WARN", "WARNING", "ERROR", "FATAL")
-#: What stands for a value in a sentence: digits, a number, a word in capitals, true or false, text to keep, text to skip.
-HOLES = {"{d}": r"(\d+)", "{n}": f"({NUMBER})", "{W}": "([A-Z_]+)", "{b}": "((?i:true|false))", "{*}": "(.*?)", "{..}": ".*?"}
+#: What stands for a value in a sentence: digits, a number, a word in capitals, a unit, true or false, text to keep; digits and text to skip.
+HOLES = {"{d}": r"(\d+)", "{n}": f"({NUMBER})", "{W}": "([A-Z_]+)", "{u}": "([A-Za-z]+)", "{b}": "((?i:true|false))", "{*}": "(.*?)", "{#}": r"\d+", "{..}": ".*?"}
 
 
 def literal(text: str) -> str:
@@ -31,7 +31,7 @@ def literal(text: str) -> str:
 
 def sentence(text: str) -> str:
     """The pattern of a log's sentence: its words as they are, and its holes, with any space around those."""
-    parts = re.split(r" ?(\{(?:[dnWb*]|\.\.)\}) ?", text)
+    parts = re.split(r" ?(\{(?:[dnWub*#]|\.\.)\}) ?", text)
     return "".join(literal(x) if i % 2 == 0 else rf"\s*{HOLES[x]}\s*" for i, x in enumerate(parts))
 
 
@@ -40,15 +40,6 @@ def group(text: Column, pattern: str, n: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, n), F.lit(""))
 
 
-def parse_timestamp(line: Column | str) -> Column:
-    """The time at a line's beginning, without zone; NULL for none."""
-    line = F.col(line) if isinstance(line, str) else line
-    plain = F.try_to_timestamp(group(line, STAMP)).cast("timestamp_ntz")
-    c = group(line, COMPACT_STAMP)
-    made = F.concat(F.substring(c, 1, 4), F.lit("-"), F.substring(c, 5, 2), F.lit("-"), F.substring(c, 7, 2), F.lit(" "), F.substring(c, 10, 2), F.lit(":"), F.substring(c, 12, 2), F.lit(":"), F.substring(c, 14, 99))
-    return F.coalesce(plain, F.try_to_timestamp(made).cast("timestamp_ntz"))
-
-
 def split_records(files: DataFrame, start: Column | None = None) -> DataFrame:
     """Records of files (import_id, name, text): a line with a time begins one, other lines continue it.
 
@@ -81,9 +72,7 @@ def parse_level_line(df: DataFrame) -> DataFrame:
 
 def android_timestamp(df: DataFrame) -> DataFrame:
     """A stamp with milliseconds after a colon is the time; ``time_basis`` says which one it was."""
-    m = group(F.col("text"), r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}):\d{3}\s")
-    ms = group(F.col("text"), r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}:(\d{3})\s")
-    at = F.try_to_timestamp(F.concat(m, F.lit("."), ms)).cast("timestamp_ntz")
+    at = M.millisecond_stamp(F.col("text"))
     return df.withColumns({"time_basis": F.when(at.isNotNull(), "log_android_milliseconds").otherwise("event_timestamp"), "ts": F.coalesce(at, "ts")})
 
 
@@ -95,54 +84,34 @@ def flag_rotation_duplicates(records: DataFrame) -> DataFrame:
 
 # --- SIP ---------------------------------------------------------------------------------
 
-#: RFC 3261: the line that a message begins with.
-REQUEST_LINE, STATUS_LINE = r"[A-Z]+ sips?:[^\n]+ SIP/2[.]0", r"SIP/2[.]0 \d{3}[^\n]*"
-SIP_FIRST = rf"(?m)^\s*({STATUS_LINE}|{REQUEST_LINE})\s*$"
-
-
-CALL_ID = r"(?im)^\s*(?:Call-ID|i):\s*(\S+)"
-UUID, NIL_UUID = r"^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$", "00000000-0000-0000-0000-000000000000"
-
-
-def sip_header(name: str) -> Column:
-    return F.trim(F.regexp_extract("text", rf"(?im)^\s*(?:{name}):\s*([^\n]+)", 1))
-
-
-def identity(value: Column) -> Column:
-    return F.coalesce(group(value, r"sips?:([^>;\s]+)"), value)
-
 
 def decode_sip(records: DataFrame) -> DataFrame:
     """SIP messages of records: call_id, method, response, title, caller, callee, direction."""
-    rows = records.where(F.col("text").contains("SIP message:"))
-    first = group(F.col("text"), SIP_FIRST)
-    rows = rows.withColumns({"call_id": group(F.col("text"), CALL_ID), "method": F.upper(group(F.col("text"), r"(?im)^\s*CSeq:\s*\d+\s+(\w+)")), "title": first})
+    rows = M.with_headers(records.where(F.col("text").contains("SIP message:")))
+    rows = rows.withColumns({"call_id": M.word(M.header("call-id", "i")), "method": F.upper(M.word(M.header("cseq"), 1)), "title": F.col("_title")})
     rows = rows.where("call_id IS NOT NULL AND method IS NOT NULL AND title IS NOT NULL")
-    return rows.withColumns({
-        "response": group(F.col("title"), r"^SIP/2.0 (\d{3})").cast("int"),
-        "caller": identity(sip_header("From")),
-        "callee": identity(sip_header("To")),
+    rows = rows.withColumns({
+        "response": M.response_code(F.col("title")),
+        "caller": M.identity(F.coalesce(M.header("from"), F.lit(""))),
+        "callee": M.identity(F.coalesce(M.header("to"), F.lit(""))),
         "direction": F.when(F.col("text").contains("INCOMING SIP"), "incoming").otherwise("outgoing"),
     })
-
-
-def header_section(text: Column | str = "text") -> Column:
-    """The header lines of a SIP message, never its body."""
-    text = F.col(text) if isinstance(text, str) else text
-    return F.regexp_extract(text, rf"(?s)(?:^|\n)\s*(?:{STATUS_LINE}|{REQUEST_LINE})[^\n]*\n(.*?)(?:\n\s*(?:\n|$)|$)", 1)
+    return rows.drop("_title", "_headers")
 
 
 def extract_call_uuid(sip: DataFrame) -> DataFrame:
     """UUIDs (not nil) of initial INVITE requests."""
-    value = F.lower(group(header_section(), r"(?im)^X-Call-UUID:\s*\{?([0-9a-f-]{36})\}?\s*$"))
-    rows = sip.where((F.col("method") == "INVITE") & F.col("response").isNull()).withColumn("uuid", value)
-    return rows.where(F.col("uuid").rlike(UUID) & (F.col("uuid") != NIL_UUID))
+    rows = M.with_headers(sip.where((F.col("method") == "INVITE") & F.col("response").isNull()))
+    rows = rows.withColumn("uuid", F.lower(F.btrim(M.header("x-call-uuid"), F.lit("{}"))))
+    return rows.where(M.is_uuid(F.col("uuid"))).drop("_title", "_headers")
 
 
 def extract_leg_outcome(sip: DataFrame) -> DataFrame:
-    """CANCEL requests that say the call was completed elsewhere."""
-    reason = group(header_section(), r"(?im)^Reason:\s*(.*)$")
-    return sip.where((F.col("method") == "CANCEL") & F.col("response").isNull() & reason.rlike(r"(?i)\bcause\s*=\s*200\b") & reason.rlike(r"(?i)\bCall completed elsewhere\b")).withColumn("outcome", F.lit("answered_elsewhere"))
+    """CANCEL requests that say the call was completed elsewhere (RFC 3326: cause 200)."""
+    rows = M.with_headers(sip.where((F.col("method") == "CANCEL") & F.col("response").isNull()))
+    reason = M.header("reason")
+    elsewhere = F.array_contains(M.parameters(reason), "cause=200") & F.lower(reason).contains("call completed elsewhere")
+    return rows.where(elsewhere).drop("_title", "_headers").withColumn("outcome", F.lit("answered_elsewhere"))
 
 
 # --- metrics -----------------------------------------------------------------------------
@@ -165,7 +134,7 @@ RTCP_FIELDS = [
 
 def with_fields(rows: DataFrame, values: list[tuple[Column, dict[str, str]]], name: str = "value") -> DataFrame:
     """A row for each value that is there, with the constants that belong to it."""
-    made = [F.struct(v.cast("double").alias(name), *[F.lit(x).alias(k) for k, x in consts.items()]) for v, consts in values]
+    made = [F.struct(v.try_cast("double").alias(name), *[F.lit(x).alias(k) for k, x in consts.items()]) for v, consts in values]
     out = rows.withColumn("_f", F.explode(F.filter(F.array(*made), lambda f: f[name].isNotNull() & ~F.isnan(f[name]) & (F.abs(f[name]) != float("inf")))))
     return out.select(*[c for c in rows.columns], "_f.*")
 
@@ -179,9 +148,13 @@ def extract_rtcp(records: DataFrame) -> DataFrame:
     return out.withColumns({"flow": F.coalesce(group(F.col("text"), r"FLOW\s+(\d+)"), F.lit("?")), "ssrc": F.coalesce(group(F.col("text"), r"SSRC of this source:\s*(\w+)"), F.lit("")), "valid": metric_valid("value", "unit")}).drop("text")
 
 
+# The answer to a probe.
+PING = sentence("received {d} bytes {..}time={n} ms")
+
+
 def extract_ping(records: DataFrame) -> DataFrame:
-    value = group(F.col("text"), r"received \d+ bytes .*?time=([\d.]+) ms").cast("double")
-    rows = records.where((F.col("parser") == "callinfo") & F.col("text").contains("time=")).withColumn("value", value).where("value IS NOT NULL")
+    value = group(F.col("text"), PING, 2).try_cast("double")
+    rows = records.where((F.col("parser") == "callinfo") & F.col("text").contains("time=")).withColumn("value", value).where("value >= 0")
     return rows.drop("text").withColumns({"metric": F.lit("network.ping"), "unit": F.lit("ms"), "direction": F.lit("roundtrip"), "flow": F.lit("probe"), "ssrc": F.lit(""), "statistic": F.lit("sample"), "valid": F.lit(True)})
 
 
@@ -322,7 +295,7 @@ def extract_periodic(records: DataFrame) -> DataFrame:
     fields = spark.createDataFrame([(label.lower(), f"vd.{m}", u, k) for label, m, u, k in PERIODIC_FIELDS], "label string, metric string, raw_unit string, sample_kind string")
     body = F.expr("substring(line, instr(line, ':') + 1)")
     rows = lines.withColumn("label", F.lower(F.trim(F.substring_index("line", ":", 1)))).join(F.broadcast(fields), "label").drop("label")
-    rows = rows.withColumn("raw_value", group(body, rf"^\s*({NUMBER})(?![\w]|\.\d)").cast("double")).where("raw_value IS NOT NULL AND abs(raw_value) <> double('Infinity')")
+    rows = rows.withColumn("raw_value", group(body, rf"^\s*({NUMBER})(?![\w]|\.\d)").try_cast("double")).where("raw_value IS NOT NULL AND abs(raw_value) <> double('Infinity')")
     unlabelled = F.col("metric").startswith("vd.media_") & ~body.rlike(rf"^\s*{NUMBER}\s+ms\b")
     rows = rows.withColumn("raw_unit", F.when(unlabelled, "raw").otherwise(F.col("raw_unit")))
     said = [(group(F.col("line"), f"(?i){sentence(text)}"), {"metric": f"vd.{m}", "raw_unit": u, "sample_kind": k}) for text, m, u, k in PERIODIC_SENTENCES]
@@ -331,7 +304,7 @@ def extract_periodic(records: DataFrame) -> DataFrame:
     whole = (F.size(names) == PHASES) & (F.size(counts) == PHASES) & F.forall(counts, lambda c: F.trim(c).rlike(rf"^{NUMBER}$"))
     cycles = lines.where(F.col("line").contains("Running cycles")).where(whole).withColumn("_z", F.explode(F.arrays_zip(names.alias("phase"), counts.alias("count"))))
     kind = F.when(F.col("alive"), "reported statistic").otherwise("counter")
-    cycles = cycles.withColumns({"metric": F.concat(F.lit("vd.cycles_"), slug(F.col("_z.phase"))), "raw_unit": F.lit("count"), "sample_kind": kind, "raw_value": F.trim("_z.count").cast("double")}).drop("_z")
+    cycles = cycles.withColumns({"metric": F.concat(F.lit("vd.cycles_"), slug(F.col("_z.phase"))), "raw_unit": F.lit("count"), "sample_kind": kind, "raw_value": F.trim("_z.count").try_cast("double")}).drop("_z")
     rows = rows.unionByName(cycles)
     way = F.when(F.col("device").startswith("NAWT") | F.col("output_device").startswith("NAWT"), "outgoing").when(F.col("device").startswith("NART"), "incoming").otherwise("unknown")
     micro = F.col("raw_unit") == "us"
@@ -415,9 +388,6 @@ def extract_missing_packets(records: DataFrame) -> DataFrame:
 
 # --- positions and networks --------------------------------------------------------------
 
-FIX = r"Location\[\w+\s+(-?[\d.]+),\s*(-?[\d.]+)"
-
-
 def valid_position(lat: Column, lon: Column, accuracy: Column | None = None) -> Column:
     ok = lat.between(-90, 90) & lon.between(-180, 180)
     return F.coalesce(ok & (accuracy.isNull() | (accuracy >= 0)) if accuracy is not None else ok, F.lit(False))
@@ -426,14 +396,17 @@ def valid_position(lat: Column, lon: Column, accuracy: Column | None = None) ->
 def extract_positions(records: DataFrame) -> DataFrame:
     """Fixes of location lines (fresh or cached) and X-Location headers of SIP messages (never of bodies)."""
     dated = android_timestamp(records.where("ts IS NOT NULL"))
-    lines = exploded_lines(dated.where(F.col("text").contains("Location[")))
-    number = lambda p, n=1: group(F.col("line"), p, n)
-    fixes = lines.withColumns({"latitude": number(FIX, 1).try_cast("double"), "longitude": number(FIX, 2).try_cast("double"), "accuracy": number(r"\bhAcc=([-\d.]+)").try_cast("double"), "elapsed": number(r"\bet=([^\s\]]+)"), "kind": F.when(F.col("line").contains("New location received:"), "fresh").otherwise("cached")})
-    fixes = fixes.where("latitude IS NOT NULL AND longitude IS NOT NULL").drop("line", "header")
-    geo = r"(?im)^X-Location:\s*geo:(-?[\d.]+),(-?[\d.]+)(?:;|\s|$)"
-    sip = dated.where(F.col("text").contains("SIP message:")).withColumn("_h", header_section())
-    sip = sip.withColumns({"latitude": group(F.col("_h"), geo, 1).try_cast("double"), "longitude": group(F.col("_h"), geo, 2).try_cast("double"), "accuracy": F.lit(None).cast("double"), "elapsed": F.lit(None).cast("string"), "kind": F.when(F.col("text").contains("OUTGOING SIP message:"), "sip_local").otherwise("sip_remote"), "offset": F.lit(0)})
-    sip = sip.where("latitude IS NOT NULL AND longitude IS NOT NULL").drop("_h", "text")
+    lines = exploded_lines(dated.where(F.col("text").contains("Location["))).where(F.col("line").contains("Location["))
+    # the provider, latitude, longitude, and settings like et=
+    lines = M.bind(lines, "_f", F.split(M.behind(F.col("line"), "Location["), r"[\s,\]]+"))
+    setting = lambda name: F.nullif(M.behind(F.get(F.filter("_f", lambda x: x.startswith(name)), F.lit(0)), name), F.lit(""))
+    place = lambda n: M.finite(F.get("_f", F.lit(n)))
+    fixes = lines.withColumns({"latitude": place(1), "longitude": place(2), "accuracy": M.finite(setting("hAcc=")), "elapsed": setting("et="), "kind": F.when(F.col("line").contains("New location received:"), "fresh").otherwise("cached")})
+    fixes = fixes.where("latitude IS NOT NULL AND longitude IS NOT NULL").drop("line", "header", "_f")
+    sip = M.with_headers(dated.where(F.col("text").contains("SIP message:")))
+    sip = M.bind(sip, "_g", M.geo_uri(M.word(M.header("x-location"))))
+    sip = sip.withColumns({"latitude": F.col("_g.latitude"), "longitude": F.col("_g.longitude"), "accuracy": F.lit(None).cast("double"), "elapsed": F.lit(None).cast("string"), "kind": F.when(F.col("text").contains("OUTGOING SIP message:"), "sip_local").otherwise("sip_remote"), "offset": F.lit(0)})
+    sip = sip.where("latitude IS NOT NULL AND longitude IS NOT NULL").drop("_title", "_headers", "_g", "text")
     return fixes.unionByName(sip, allowMissingColumns=True).withColumn("valid", valid_position(F.col("latitude"), F.col("longitude"), F.col("accuracy")))
 
 
@@ -443,12 +416,14 @@ EXTRA_HEADERS = "Adding extra headers to sip messages:"
 
 def extract_config_positions(records: DataFrame) -> DataFrame:
     """Positions of configured extra headers, each place once a record."""
-    marker = r"(?s)\A\[[^\]\n]+\] \[(?:KPE)?CORE\] \[INFO\] " + literal(EXTRA_HEADERS) + r"\s*(\{.*\})"
+    rows = M.bind(records.where(F.col("text").contains(EXTRA_HEADERS)), "_m", M.tagged(F.col("text")))
+    rows = rows.where(F.col("_m.tag").isin("KPECORE", "CORE") & (F.col("_m.level") == "INFO") & F.col("_m.message").startswith(EXTRA_HEADERS))
+    body = F.ltrim(M.tail(F.col("_m.message"), len(EXTRA_HEADERS)))
     shape = "struct<extraHeaders:array<struct<headerName:string,values:array<struct<headerVal:string>>>>>"
-    rows = records.where(F.col("text").contains(EXTRA_HEADERS)).withColumn("_b", F.from_json(group(F.col("text"), marker), shape))
+    rows = M.bind(rows.where(body.startswith("{")), "_b", F.from_json(body, shape)).drop("_m")
     rows = rows.withColumn("_h", F.explode("_b.extraHeaders")).where("lower(_h.headerName) = 'x-location'").withColumn("_v", F.explode("_h.values.headerVal"))
-    geo = r"^geo:([+-]?[\d.eE+-]+),([+-]?[\d.eE+-]+)(?:;[^\r\n]*)?$"
-    rows = rows.withColumns({"latitude": group(F.col("_v"), geo, 1).try_cast("double"), "longitude": group(F.col("_v"), geo, 2).try_cast("double")}).where("latitude IS NOT NULL AND longitude IS NOT NULL")
+    rows = M.bind(rows, "_g", M.geo_uri(F.col("_v"))).withColumns({"latitude": F.col("_g.latitude"), "longitude": F.col("_g.longitude")})
+    rows = rows.drop("_g").where("latitude IS NOT NULL AND longitude IS NOT NULL")
     rows = rows.drop("_b", "_h", "_v", "text").dropDuplicates(["import_id", "name", "line_no", "latitude", "longitude"])
     return rows.withColumns({"kind": F.lit("config"), "valid": valid_position(F.col("latitude"), F.col("longitude"))})
 
@@ -497,14 +472,14 @@ def extract_connectivity(records: DataFrame) -> DataFrame:
         if layer == "device":
             rules.insert(1, (base.rlike(APP_FILES) & F.col("text").contains("No network route"), said("down", "no_route")))
         if layer == "sip":
-            code, method = group(F.col("text"), r"(?m)^\s*SIP/2\.0 (\d{3}) "), group(F.col("text"), r"(?im)^\s*CSeq:\s*\d+\s+(\w+)")
+            code, method = M.response_code(F.col("_title")).cast("string"), M.word(M.header("cseq"), 1)
             answer = base.startswith("sip_debug") & h.contains("INCOMING SIP message:") & code.isNotNull() & method.isNotNull()
             rules.insert(0, (answer, said("up", F.concat(F.lit("answer_"), code, F.lit("_"), F.lower(method)))))
         value = F.when(F.lit(False), said("", ""))
         for holds, what in rules:
             value = value.when(holds, what)
         found.append(F.struct(F.lit(layer).alias("layer"), value["state"].alias("state"), value["reason"].alias("reason")))
-    rows = records.where("ts IS NOT NULL").withColumn("_s", F.explode(F.filter(F.array(*found), lambda s: s["state"].isNotNull())))
+    rows = M.with_headers(records.where("ts IS NOT NULL")).withColumn("_s", F.explode(F.filter(F.array(*found), lambda s: s["state"].isNotNull())))
     return rows.select(*[c for c in records.columns if c != "text"], "_s.*")
 
 
@@ -518,7 +493,7 @@ TRANSIENTS = [
     ("audio_session_start", "AudioState[startAudioSession]", None, "session_operation"),
     ("audio_session_stop", "AudioState[stopAudioSession]", None, "session_operation"),
     ("speakerphone_set", "Set isSpeakerphoneActive [{b}]", "state", "set_operation"),
-    ("mute_set", "Setting audio input {..} mute status to {b}", "state", "set_operation"),
+    ("mute_set", "Setting audio input {#} mute status to {b}", "state", "set_operation"),
     ("hold_request", "On hold request sent, waiting for response...", None, "request_not_completion"),
     ("resume_request", "Blocking resume call on line {d}", None, "request_not_completion"),
     ("hold_change_accepted", "VDK reported that on-hold change request on line {d} has been ACCEPTED", None, "direction_unknown"),
@@ -551,43 +526,51 @@ def extract_transients(records: DataFrame) -> DataFrame:
     changed = h.rlike(SSID) & ~(F.regexp_extract(h, SSID, 1).eqNullSafe(F.regexp_extract(h, SSID, 3)) & F.regexp_extract(h, SSID, 2).eqNullSafe(F.regexp_extract(h, SSID, 4)))
     plain = lambda kind, detail: F.struct(F.lit(kind).alias("type"), F.lit(None).cast("string").alias("next_state"), F.lit(detail).alias("detail"))
     found.append(F.when(changed, plain("network_configuration_change", "ssid_or_ip_changed_not_interface_proof")))
-    request = F.trim(F.regexp_extract("text", SIP_FIRST, 1)).startswith("INVITE ")
-    found.append(F.when(request & header_section().rlike(r"(?im)^\s*(?:To|t):[^\n]*;tag=[^;\s]+"), plain("sip_reinvite", "in_dialog_request")))
-    rows = android_timestamp(records.where("ts IS NOT NULL")).withColumn("_t", F.explode(F.filter(F.array(*found), lambda t: t.isNotNull())))
+    again = F.exists(M.parameters(M.header("to", "t")), lambda x: x.startswith("tag=") & (x != "tag="))
+    found.append(F.when(F.col("_title").startswith("INVITE ") & again, plain("sip_reinvite", "in_dialog_request")))
+    rows = M.with_headers(android_timestamp(records.where("ts IS NOT NULL"))).withColumn("_t", F.explode(F.filter(F.array(*found), lambda t: t.isNotNull())))
     return rows.select(*[c for c in records.columns if c != "text"], "time_basis", "_t.*", F.sha2("text", 256).alias("text_hash"))
 
 
-SWITCH = r"^\[[^\]\n]+\]\s+\[KPECORE\]\s+\[(?:INFO|DEBUG|WARNING)\]\s+KPE was requested to handle a switchNetworkEvent(?:\s+from ([A-Za-z+ -]+) to ([A-Za-z+ -]+))?\s*\.?$"
+# The request to switch, who makes it, and the letters of a state's name.
+SWITCH, SWITCH_TAG, SWITCH_LEVELS = "KPE was requested to handle a switchNetworkEvent", "KPECORE", ("INFO", "DEBUG", "WARNING")
+STATE_NAME = "^[A-Za-z+ -]+$"
 # States that a switch may name.
 SWITCH_STATES = ("wifi", "cellular", "ethernet", "edge", "lte", "gprs", "umts", "hspa", "hspap", "nr", "nrnsa", "unknown")
 
 
 def extract_network_switches(records: DataFrame) -> DataFrame:
     """Requests to switch the network: the marker is the whole message, not a part of another text."""
-    h = first_line()
-    state = lambda n: F.regexp_replace(F.lower(F.trim(F.regexp_extract(h, SWITCH, n))), "wi-fi", "wifi")
+    rows = M.bind(records.where(base_name("name").startswith("kpelog") & F.col("text").contains("switchNetworkEvent")), "_m", M.tagged(first_line()))
+    rows = rows.where((F.col("_m.tag") == SWITCH_TAG) & F.col("_m.level").isin(*SWITCH_LEVELS) & F.col("_m.message").startswith(SWITCH))
+    rest = F.btrim(M.tail(F.col("_m.message"), len(SWITCH)), F.lit(" ."))
+    rows = M.bind(rows, "_p", F.struct(rest.alias("rest"), F.when(rest.startswith("from "), F.split(M.tail(rest, 5), " to ")).alias("pair")))
+    pair = F.col("_p.pair")
+    fits = (F.col("_p.rest") == "") | F.coalesce((F.size(pair) == 2) & F.forall(pair, lambda x: x.rlike(STATE_NAME)), F.lit(False))
+    state = lambda n: F.replace(F.lower(F.trim(F.get(pair, F.lit(n - 1)))), F.lit("wi-fi"), F.lit("wifi"))
     known = lambda c: F.when(c.isin(*SWITCH_STATES), c)
-    rows = records.where(base_name("name").startswith("kpelog") & F.col("text").contains("switchNetworkEvent") & h.rlike(SWITCH))
-    rows = rows.withColumns({"previous": known(state(1)), "next": known(state(2))})
+    rows = rows.where(fits).withColumns({"previous": known(state(1)), "next": known(state(2))}).drop("_m", "_p")
     return rows.withColumn("transition_basis", F.when(F.col("previous").isNotNull() & F.col("next").isNotNull(), "explicit_fields").otherwise("not_reported")).drop("text")
 
 
-UNIT = r"(microseconds|usecs|msecs|milliseconds|ms|seconds|secs|sec|s)\b"
-DECIMAL = r"(\d+(?:\.\d+)?)"
+# What a watcher of a flow says, and what an underrun's notice says of its time.
+FLOW_REPORT, FLOW_SILENT = sentence("Line {d} reported that flow {d}"), sentence("has not received RTP media for more than {n}{u}")
+FLOW_BACK = ("has re-started receiving rtp media", "has started receiving rtp media again")
+EVENT_LASTS = [sentence("Event was {n}{u}"), sentence("Event is currently {n}{u}")]
 
 
 def extract_incident_signals(records: DataFrame) -> DataFrame:
     """Begin, continuation and end of audio underruns and of missing media, with the reported duration."""
     h = first_line()
     rows = records.where("ts IS NOT NULL").where(F.lower(h).contains("buffer underrun") | h.rlike(r"(?i)reported that flow\s+\d+"))
-    media = r"(?i)Line\s+(\d+)\s+reported that flow\s+(\d+)\s+(.*)"
-    rest = F.regexp_extract(h, media, 3)
-    missing = rf"(?i)has not received RTP media for more than\s+{DECIMAL}\s*{UNIT}"
-    back = r"(?i)has (?:re-started receiving RTP media|started receiving RTP media again)"
-    event = rf"(?i)Event (?:was|is currently)\s+{DECIMAL}\s*{UNIT}"
+    media, missing = f"(?i){FLOW_REPORT}", f"(?i){FLOW_SILENT}"
+    reported, low = h.rlike(media), F.lower(h)
+    silent = F.when(reported, duration_ms(group(h, missing, 1), group(h, missing, 2)))
+    lasts = F.coalesce(*[duration_ms(group(h, f"(?i){x}", 1), group(h, f"(?i){x}", 2)) for x in EVENT_LASTS])
     under = F.when(h.contains("Buffer underrun occurred"), "start").when(h.contains("Buffer underrun event terminated"), "end").when(h.contains("Still in buffer underrun"), "ongoing")
-    of_media = F.when(rest.rlike(missing), "missing").when(rest.rlike(back), "end")
-    source = F.trim(F.regexp_extract(h, r"(?i)input device\s+(.*?)\s*\.(?:\s|$)", 1))
+    of_media = F.when(silent.isNotNull(), "missing").when(reported & (low.contains(FLOW_BACK[0]) | low.contains(FLOW_BACK[1])), "end")
+    named = F.split(h, "(?i)input device ", 2)
+    source = F.coalesce(F.trim(F.get(F.split(F.get(named, F.lit(1)), r"[.](?:\s|$)", 2), F.lit(0))), F.lit(""))
     headers = F.regexp_extract_all(h, F.lit(r"\[([^\]]+)\]"), 1)
     rows = rows.withColumns({
         "kind": F.when(of_media.isNotNull(), "media_missing").when(under.isNotNull() & (source != ""), "buffer_underrun"),
@@ -595,7 +578,7 @@ def extract_incident_signals(records: DataFrame) -> DataFrame:
         "flow": F.when(of_media.isNotNull(), F.regexp_extract(h, media, 2)).otherwise(""),
         "device": F.when(of_media.isNotNull(), F.concat(F.lit("Line "), F.regexp_extract(h, media, 1))).otherwise(source),
         "observer": F.when(of_media.isNotNull(), F.concat(F.lit("RTP flow "), F.regexp_extract(h, media, 2))).otherwise(F.coalesce(F.get(headers, 1), F.lit("unknown"))),
-        "duration_ms": F.when(of_media == "missing", duration_ms(group(rest, missing, 1), F.lower(group(rest, missing, 2)))).when(of_media.isNull(), duration_ms(group(h, event, 1), F.lower(group(h, event, 2)))),
+        "duration_ms": F.when(of_media == "missing", silent).when(of_media.isNull(), lasts),
     })
     line = F.coalesce(group(F.col("observer"), r"(?i)of Line (\d+)"), group(F.col("device"), r"(?i)Line (\d+)")).cast("int")
     return rows.where("kind IS NOT NULL").withColumn("line_id", line).drop("text")
@@ -612,8 +595,9 @@ def source_profile(files: DataFrame, records: DataFrame) -> DataFrame:
     names = files.groupBy("import_id").agg(F.bool_or(base_name("name").startswith("kpe-android")).alias("_a"), F.bool_or(base_name("name") == "ios_hwwrapper.log").alias("_i"))
     platform = F.when(F.col("_a"), "android").when(F.col("_i"), "ios").otherwise("unknown")
     lines = exploded_lines(records.where(base_name("name") == "info.log"))
-    pattern = r"(?i)^\s*(DEVICE MODEL|OS VERSION|APP VERSION)\s*:\s*(.{1,120})\s*$"
-    lines = lines.withColumns({"_k": F.upper(group(F.col("line"), pattern, 1)), "_v": F.trim(group(F.col("line"), pattern, 2))}).where("_k IS NOT NULL")
+    key, value = F.upper(F.btrim(F.substring_index("line", ":", 1))), F.btrim(M.behind(F.col("line"), ":"))
+    known = key.isin("DEVICE MODEL", "OS VERSION", "APP VERSION") & F.length(value).between(1, 120)
+    lines = lines.withColumns({"_k": F.when(known, key), "_v": value}).where("_k IS NOT NULL")
     order = F.struct("line_no", "offset")
     pick = lambda k: F.max_by(F.when(F.col("_k") == k, F.col("_v")), F.when(F.col("_k") == k, order))
     info = lines.groupBy("import_id").agg(pick("DEVICE MODEL").alias("model"), pick("OS VERSION").alias("os_version"), pick("APP VERSION").alias("app_version"))
@@ -622,7 +606,11 @@ def source_profile(files: DataFrame, records: DataFrame) -> DataFrame:
 
 def call_id_of(text: str = "text") -> Column:
     """The Call-ID that a record names on a line of its own, whatever the record is."""
-    return group(F.col(text), CALL_ID)
+    return F.when(F.lower(text).contains("call-id"), M.word(M.header_of(M.trimmed_lines(F.col(text)), "call-id")))
+
+
+# The authentication at the CTI server.
+AUTH, AUTH_TAGS = "Sending auth to CTIServer", "[CTILIB] [INFO]"
 
 
 def identity_markers(files: DataFrame, records: DataFrame) -> DataFrame:
@@ -636,17 +624,21 @@ def identity_markers(files: DataFrame, records: DataFrame) -> DataFrame:
     platform = F.when(base == "ios_hwwrapper.log", "ios").when(base.startswith("kpe-android"), "android")
     out = files.select("import_id", none.alias("instance"), none.alias("device"), none.alias("os"), platform.alias("platform"), F.lit(False).alias("malformed")).where("platform IS NOT NULL").distinct()
 
-    asked = F.regexp_extract("text", SIP_FIRST, 1).startswith("REGISTER ")
-    sent = records.where(base.startswith("sip_debug") & F.col("text").contains("OUTGOING SIP message:") & ~F.col("text").contains("INCOMING SIP") & asked)
-    contacts = sent.withColumn("_c", F.explode(F.filter(F.split(header_section(), "\n"), lambda x: x.rlike(r"(?i)^\s*Contact\s*:") & x.contains("+sip.instance"))))
-    uuids = F.regexp_extract_all("_c", F.lit(r'(?i)\+sip\.instance\s*=\s*"<urn:uu?id:([0-9a-f-]{36})>"'), 1)
-    value = F.lower(F.get(uuids, F.lit(0)))
-    good = (F.size(uuids) == 1) & value.rlike(UUID) & (value != NIL_UUID)
+    sent = M.with_headers(records.where(base.startswith("sip_debug") & F.col("text").contains("OUTGOING SIP message:") & ~F.col("text").contains("INCOMING SIP")))
+    contacts = sent.where(F.col("_title").startswith("REGISTER ")).withColumn("_c", F.explode(F.filter("_headers", lambda x: M.is_header(x, ("contact",)) & x.contains("+sip.instance"))))
+    instances = F.filter(M.parameters(F.col("_c")), lambda x: x.startswith("+sip.instance="))
+    urn = F.btrim(M.behind(F.get(instances, F.lit(0)), "="), F.lit('"<>'))
+    value = F.when(urn.startswith("urn:uuid:") | urn.startswith("urn:uid:"), F.substring_index(urn, ":", -1))
+    good = (F.size(instances) == 1) & M.is_uuid(value)
     out = out.unionByName(contacts.select("import_id", F.when(good, value).alias("instance"), none.alias("device"), none.alias("os"), none.alias("platform"), (~F.coalesce(good, F.lit(False))).alias("malformed")))
 
-    lines = exploded_lines(records.where(base.startswith("ctilib") & F.col("text").contains("Sending auth to CTIServer")))
-    auth = r"\[CTILIB\]\s+\[INFO\]\s+Sending auth to CTIServer - username: .*? - OS: (ios|android)\b.*? - device ID: (\S{1,200}) - pre-shared key:"
-    told = lines.select("import_id", none.alias("instance"), group(F.col("line"), auth, 2).alias("device"), group(F.col("line"), auth, 1).alias("os"), none.alias("platform"), F.lit(False).alias("malformed"))
+    lines = exploded_lines(records.where(base.startswith("ctilib") & F.col("text").contains(AUTH))).where(F.col("line").contains(AUTH))
+    head = F.rtrim(F.substring_index("line", AUTH, 1))
+    items = F.split(M.behind(F.col("line"), AUTH), " - ")
+    item = lambda name: M.word(F.ltrim(M.behind(F.get(F.filter(items, lambda x: x.startswith(name)), F.lit(0)), name)))
+    os, device = F.get(F.split(item("OS:"), r"\W"), F.lit(0)), item("device ID:")
+    whole = head.endswith(AUTH_TAGS) & os.isin("ios", "android") & F.exists(items, lambda x: x.startswith("pre-shared key:")) & F.length(device).between(1, 200)
+    told = lines.where(whole).select("import_id", none.alias("instance"), device.alias("device"), os.alias("os"), none.alias("platform"), F.lit(False).alias("malformed"))
     return out.unionByName(told.where("device IS NOT NULL"))
 
 

@@ -26,11 +26,21 @@ def build_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return tables_of(files)
 
 
+# What engine logs say of the legs of a line.
+LEG_SENTENCES = [
+    ("added", "added to the call list"),
+    ("connected", "status changed to 1"),
+    ("ended", "removed from list"),
+    ("ended", "call terminated"),
+    ("summary", "Info about call finished on line"),
+]
+
+
 def lifecycle_of(records: DataFrame) -> DataFrame:
     """What engine logs say of the legs of a line: added, connected, ended, and the summary with its Call-ID."""
     text = F.col("text")
-    event = F.when(text.contains("added to the call list"), "added").when(text.contains("status changed to 1"), "connected").when(text.contains("removed from list") | text.contains("call terminated"), "ended").when(text.contains("Info about call finished on line"), "summary")
-    line = F.coalesce("line_id", X.group(X.first_line(), r"on line\s+(\d+)").cast("int"))
+    event = F.coalesce(*[F.when(text.contains(said), event) for event, said in LEG_SENTENCES])
+    line = F.coalesce("line_id", X.group(X.first_line(), X.sentence("on line {d}")).cast("int"))
     call_id = F.nullif(F.get_json_object(F.regexp_extract("text", r"(?s)(\{.*\})", 1), "$.callInfo.call-id"), F.lit(""))
     rows = records.where("parser = 'kpe' AND ts IS NOT NULL").where(event.isNotNull())
     return rows.select("import_id", line.alias("line_id"), "ts", F.col("line_no").alias("ord"), event.alias("event"), call_id.alias("call_id")).where("line_id IS NOT NULL")
