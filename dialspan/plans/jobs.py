@@ -11,6 +11,7 @@ from ..operators import extract as X
 from ..operators import geo as G
 from ..operators import incidents as N
 from ..operators import joins as J
+from ..operators import marks as M
 from ..operators import network as K
 from ..operators import telemetry as T
 from ..operators import windows as W
@@ -58,7 +59,7 @@ def tables_of(files: DataFrame, held: DataFrame | None = None) -> dict[str, Data
     Events carry the Call-ID that they name and the perspective that owns them; what is extracted
     from an event carries both on. Observations that an import repeats count once, perspectives
     that the same producer brought before are marked, and the sequence of imports is that of
-    their first event. Records, perspectives and owned events are written on the way, because
+    their first event. Records and owned events are laid out by what extractors have to read (``marks``). Records, perspectives and owned events are written on the way, because
     everything after them reads them again.
 
     ``held`` (producer, call_id): calls that tables of earlier archives have. What the same
@@ -66,16 +67,17 @@ def tables_of(files: DataFrame, held: DataFrame | None = None) -> dict[str, Data
     """
     good = files.where("warning IS NULL").select("import_id", "name", "parser", "text")
     records = X.flag_rotation_duplicates(X.parse_level_line(X.split_records(good)))
-    records = staged(records.withColumn("event_id", F.xxhash64("import_id", "name", "line_no")))
+    records = staged(M.with_marks(records.withColumn("event_id", F.xxhash64("import_id", "name", "line_no"))), by="marks")
     live = records.where("NOT duplicate")
-    sip = staged(X.decode_sip(live).withColumn("ord", F.col("line_no")))
-    legs = C.reconstruct_legs(lifecycle_of(live))
-    legs = staged(legs.unionByName(C.callinfo_legs(callinfo_of(live), legs), allowMissingColumns=True))
+    sip = staged(X.decode_sip(M.marked(live, "sip")).withColumn("ord", F.col("line_no")))
+    of_legs = M.marked(live, "legs")
+    legs = C.reconstruct_legs(lifecycle_of(of_legs))
+    legs = staged(legs.unionByName(C.callinfo_legs(callinfo_of(of_legs), legs), allowMissingColumns=True))
     every = legs.unionByName(C.sip_only_legs(sip, legs).select("import_id", "call_id", "start"), allowMissingColumns=True)
     perspectives = C.build_perspectives(every, sip)
     perspectives = perspectives.withColumn("perspective_id", J.row_hash(["import_id", "call_id", *[c for c in ("line_id", "leg", "start")]])).withColumn("call_key", C.call_key(perspectives))
     order = live.where("ts IS NOT NULL").groupBy("import_id").agg(F.struct(F.min("ts"), "import_id").alias("import_seq"))
-    producers = staged(X.producer_identity(X.identity_markers(good, live)))
+    producers = staged(X.producer_identity(X.identity_markers(good, M.marked(live, "producers"))))
     perspectives = staged(C.mark_duplicates(perspectives.join(order, "import_id", "left"), producers.select("import_id", "status", "producer")))
     dated = live.where("ts IS NOT NULL").withColumn("call_id", X.call_id_of("text"))
     owned = C.attribute_events(dated, perspectives)
@@ -83,21 +85,22 @@ def tables_of(files: DataFrame, held: DataFrame | None = None) -> dict[str, Data
         every, perspectives = perspectives, staged(C.skip_known_calls(perspectives, held))
         skipped = staged(every.join(perspectives.select("perspective_id"), "perspective_id", "left_anti"))
         owned = C.drop_known_events(staged(owned), skipped)
-    owned = staged(owned.withColumnRenamed("owner", "perspective_id"))
-    made = [X.extract_rtcp(owned), X.extract_flow_stats(owned), X.extract_ping(owned), X.extract_device_metrics(owned).drop("offset", "device"), X.extract_missing_packets(owned).drop("offset", "device", "current_sn")]
+    owned = staged(owned.withColumnRenamed("owner", "perspective_id"), by="marks")
+    of = lambda *names: M.marked(owned, *names)
+    made = [X.extract_rtcp(of("rtcp")), X.extract_flow_stats(of("flow_stats")), X.extract_ping(of("ping")), X.extract_device_metrics(of("devices", "rtcp")).drop("offset", "device"), X.extract_missing_packets(of("gaps")).drop("offset", "device", "current_sn")]
     metrics = made[0]
     for more in made[1:]:
         metrics = metrics.unionByName(more, allowMissingColumns=True)
-    periodic, states = X.extract_periodic(owned), X.extract_periodic_states(owned)
+    periodic, states = X.extract_periodic(of("devices")), X.extract_periodic_states(of("devices", "rtcp"))
     if held is not None:  # of blocks that stay, the values of known calls' lines go
         numbered = lambda df: staged(df.withColumn("_n", F.monotonically_increasing_id()))
         metrics, periodic, states = (C.drop_known_rows(numbered(df), skipped, perspectives, "_n").drop("_n") for df in (metrics, periodic, states))
     signature = ["import_id", "ts", "metric", "direction", "flow", "ssrc", "statistic", "value"]
     return {
         "files": A.file_coverage(records),
-        "profiles": X.source_profile(good, live),
+        "profiles": X.source_profile(good, M.marked(live, "info")),
         "producers": producers,
-        "events": owned,
+        "events": owned.drop("marks"),
         "metrics": C.dedup_metrics(metrics, signature, ["name", "line_no"]),
         "periodic": periodic,
         "periodic_states": states,
@@ -106,14 +109,14 @@ def tables_of(files: DataFrame, held: DataFrame | None = None) -> dict[str, Data
         "identities": X.identity_candidates(sip),
         "uuids": X.extract_call_uuid(sip),
         "outcomes": X.extract_leg_outcome(sip),
-        "versions": X.extract_app_versions(live),
-        "positions": X.extract_positions(owned),
-        "config_positions": X.extract_config_positions(live),
-        "networks": X.extract_network_obs(owned),
-        "connectivity": X.extract_connectivity(owned),
-        "transients": X.extract_transients(owned),
-        "switches": X.extract_network_switches(owned),
-        "signals": X.extract_incident_signals(owned),
+        "versions": X.extract_app_versions(M.marked(live, "versions")),
+        "positions": X.extract_positions(of("positions")),
+        "config_positions": X.extract_config_positions(M.marked(live, "config_positions")),
+        "networks": X.extract_network_obs(of("networks")),
+        "connectivity": X.extract_connectivity(of("connectivity")),
+        "transients": X.extract_transients(of("transients")),
+        "switches": X.extract_network_switches(of("switches")),
+        "signals": X.extract_incident_signals(of("signals")),
     }
 
 

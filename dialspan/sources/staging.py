@@ -26,8 +26,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str = "staged") -> DataFrame:
-    """``df`` written as Parquet and read back: its lineage ends there, and what uses it twice doesn't work it out twice."""
+def staged(df: DataFrame, name: str = "staged", by: str | None = None) -> DataFrame:
+    """``df`` written as Parquet and read back: its lineage ends there, and what uses it twice doesn't work it out twice.
+
+    ``by`` names a column of few values that the table is laid out by: who asks for some of them reads no
+    others. Rows of a value stand in few files, those of a frequent one in several.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if by is None:
+        df.write.parquet(path)
+    else:
+        df.hint("rebalance", by).write.partitionBy(by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
