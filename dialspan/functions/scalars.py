@@ -199,6 +199,52 @@ def metric_orientation(name: Column | str) -> Column:
     return out.when(name.startswith("vd."), "device").otherwise("unconfirmed")
 
 
+# Who receives what a rule of orientation measures.
+MEASURED_SIDE = {
+    "awt_quality": "local", "local_packets": "local", "rtp_receive": "local", "peer_sent": "local", "peer_lost": "peer",
+    "roundtrip": "both", "probe": "both", "combined": "both", "unconfirmed": "none",
+    "receiver_report": "reported", "model": "reported", "verified_loss": "reported", "device": "device",
+}
+# Categories of what the local side and the peer receive, and of what is sent, by role.
+SIDE_CATEGORIES = {
+    "app": {"local": "downstream", "peer": "upstream", "sent": "upstream"},
+    "gw": {"local": "upstream", "peer": "downstream", "sent": "downstream"},
+}
+SIDE_UNDECLARED = {"local": "local", "peer": "peer", "sent": "transmit"}
+
+
+def network_device(name: Column, kind: str) -> Column:
+    """Whether a device is the network's reader (NART) or writer (NAWT), of a line or not; never NULL."""
+    return F.coalesce(name.rlike(rf"(?i)^{kind}(?:\d+ of Line \d+)?\z"), F.lit(False))
+
+
+def metric_context(name: Column | str, direction: Column | str, role: Column | str, device: Column | str | None = None, output_device: Column | str | None = None, input_device: Column | str | None = None) -> Column:
+    """What a metric measures as the app sees it: a struct of category, basis and rule; NULL for a metric without a name.
+
+    Categories: downstream and upstream for an app or a gateway (``gw``); local, peer and transmit for
+    another or no role; bidirectional; processing for devices of both ways or of none known; unknown where
+    neither the metric nor its direction says. The way of a device's measure is that of the network
+    reader or writer that it belongs to, and its reported direction only where it names no device.
+    """
+    name, direction, role = col(name), col(direction), col(role)
+    given = [F.nullif(col(d), F.lit("")) if d is not None else F.lit(None).cast("string") for d in (device, output_device, input_device)]
+    rule = metric_orientation(name)
+    measured = F.coalesce(given[0], given[2])
+    reads, writes = network_device(measured, "NART"), network_device(measured, "NAWT") | network_device(given[1], "NAWT")
+    named = F.coalesce(*given).isNotNull()
+    side = mapped(MEASURED_SIDE, rule)
+    of_device = F.when(reads & writes, "processing").when(reads, "local").when(writes, "sent").when(named, "processing").when(direction == "incoming", "local").when(direction == "outgoing", "sent").otherwise("processing")
+    reported = F.when(direction == "incoming", "local").when(direction == "outgoing", "peer").otherwise("none")
+    way = F.when(side == "device", of_device).when(side == "reported", reported).otherwise(side)
+    category = F.when(way == "both", "bidirectional").when(way == "none", "unknown").when(way == "processing", "processing")
+    for declared, names in SIDE_CATEGORIES.items():
+        category = category.when(role == declared, mapped(names, way))
+    # a peer's own count of what it sent is no reception of anyone whose role isn't known
+    category = category.when(rule == "peer_sent", "peer").otherwise(mapped(SIDE_UNDECLARED, way))
+    basis = F.when(side != "device", "metric_field").when(named, "device_context").otherwise("reported_direction")
+    return F.when(name.isNotNull(), F.struct(category.alias("category"), basis.alias("basis"), rule.alias("rule")))
+
+
 def orientation(direction: Column | str, role: Column | str) -> Column:
     """upstream or downstream as the app sees it; a gateway sees it the other way round."""
     direction, role = F.lower(col(direction)), F.lower(F.coalesce(col(role), F.lit("app")))

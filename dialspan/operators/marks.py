@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..sources.archives import base_name
 from . import extract as X
+from .attempts import APP_LOG
 from .messages import SIP_VERSION
 
 
@@ -43,13 +44,14 @@ def conditions() -> dict[str, Column]:
         "versions": low.contains("version"),
         "info": base == "info.log",
         "producers": base.startswith("sip_debug") | base.startswith("ctilib"),
+        "attempts": base == APP_LOG,
     }
 
 
 #: The marks in the order of their bits.
 NAMES = (
     "rtcp", "flow_stats", "ping", "devices", "gaps", "positions", "config_positions", "networks", "connectivity",
-    "transients", "switches", "signals", "sip", "legs", "versions", "info", "producers",
+    "transients", "switches", "signals", "sip", "legs", "versions", "info", "producers", "attempts",
 )
 
 

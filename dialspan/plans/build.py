@@ -14,7 +14,7 @@ from . import jobs as Z
 from . import listings as L
 
 #: Tables that follow from others over all archives: they are worked out when tables are read.
-DERIVED = ("calls",)
+DERIVED = ("calls", "conversations")
 #: Columns of perspectives that depend on other archives.
 ACROSS = ("producer", "duplicate_of")
 #: Tables that are written at once.
@@ -22,13 +22,14 @@ WRITES = 6
 
 
 def parts_of(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The tables that an archive has by itself, with what its calls' windows, its conversations and its samples' lifecycles say."""
+    """The tables that an archive has by itself, with its calls' windows, its samples' lifecycles and its fixes' movement."""
     out = {n: t for n, t in tables.items() if n not in DERIVED}
     evidence = tables["events"].where("perspective_id IS NOT NULL").select("perspective_id", "ts")
     windows = tables["perspectives"].select("import_id", "perspective_id", "call_id", "line_id", "start", "connected", "end")
     out["windows"] = C.bound_open_windows(windows, evidence, ["perspective_id"])
     creations = tables["transients"].where("type = 'device_created'").select("import_id", F.col("next_state").alias("device"), "ts", "event_id")
     out["periodic"] = L.tag_lifecycle(tables["periodic"], creations)
+    out["movement"] = Z.movement_of(tables["positions"])
     return out
 
 
@@ -59,10 +60,12 @@ def build_into(spark: SparkSession, archives: DataFrame, target: str, again: boo
 
 
 def read_tables(spark: SparkSession, target: str, names: list[str]) -> dict[str, DataFrame]:
-    """The tables below ``target`` that have rows, with perspectives that another archive of their producer brought first marked, and the calls of all of them."""
+    """The tables below ``target`` that have rows, with perspectives that another archive of their producer brought first marked, and the calls and conversations of all of them."""
     tables = {n: spark.read.parquet(f"{target}/{n}").drop("part") for n in names if there(spark, f"{target}/{n}/part=*")}
     if "perspectives" in tables:
         known = tables["producers"].select("import_id", "status", "producer") if "producers" in tables else spark.createDataFrame([], "import_id string, status string, producer string")
         tables["perspectives"] = C.mark_duplicates(tables["perspectives"], known)
         tables["calls"] = C.build_calls(tables["perspectives"])
+        uuids = tables["uuids"] if "uuids" in tables else spark.createDataFrame([], "uuid string, call_id string")
+        tables["conversations"] = Z.conversations_of(uuids, tables["perspectives"])
     return tables

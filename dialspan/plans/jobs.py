@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import from_micros, micros, mos_score, series_key
+from ..functions.scalars import elapsed_seconds, from_micros, micros, mos_score, series_key
+from ..operators import attempts as U
 from ..operators import calls as C
 from ..operators import extract as X
 from ..operators import geo as G
@@ -117,6 +118,7 @@ def tables_of(files: DataFrame, held: DataFrame | None = None) -> dict[str, Data
         "transients": X.extract_transients(of("transients")),
         "switches": X.extract_network_switches(of("switches")),
         "signals": X.extract_incident_signals(of("signals")),
+        "attempts": U.user_attempts(U.attempt_lines(of("attempts"))).join(order, "import_id", "left"),
     }
 
 
@@ -139,6 +141,35 @@ def mos_of_tables(tables: dict[str, DataFrame], threshold: float = 3.0) -> dict[
     return mos_report(losses, tables["perspectives"], networks, threshold)
 
 
+def movement_of(positions: DataFrame) -> DataFrame:
+    """Sequences of the fresh fixes of each import; times with contradicting or invalid fixes break them."""
+    fresh = positions.where("kind = 'fresh'")
+    first = fresh.groupBy("import_id", "ts").agg(F.min_by(F.struct("elapsed", "accuracy"), F.struct("name", "line_no", "offset")).alias("_f"))
+    fixes = G.fix_stamps(fresh, ["import_id"]).drop("accuracy").join(first, ["import_id", "ts"])
+    fixes = fixes.select("import_id", micros("ts").alias("t_us"), "ok", "latitude", "longitude", "_f.accuracy", "_f.elapsed", elapsed_seconds("_f.elapsed").alias("elapsed_s"))
+    return K.movement_sequences(fixes)
+
+
+def conversations_of(uuids: DataFrame, perspectives: DataFrame, manual: DataFrame | None = None, sessions: DataFrame | None = None) -> DataFrame:
+    """Groups of calls over all archives, with each call's first start."""
+    starts = perspectives.where("call_id IS NOT NULL").groupBy("call_id").agg(F.min("start").alias("start"))
+    return C.conversation_groups(uuids.select("uuid", "call_id").distinct().join(starts, "call_id", "left"), perspectives, manual, sessions)
+
+
+def attempt_report(tables: dict[str, DataFrame], families: list[str], roles: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Attempts of users over the tables of archives, once for each source with ``copies`` counted; what proves them and what the log ``families`` say around them; how many were blocked.
+
+    ``roles``: import_id, role of perspectives, where they are declared.
+    """
+    once = U.attempts_once(U.source_of(tables["attempts"], tables["producers"], roles)).withColumn("attempt_id", F.col("event_id"))
+    events = tables["events"].withColumn("family", A.file_family("name"))
+    return {
+        "attempts": once,
+        "context": U.attempt_context(events, once, families),
+        "statuses": once.groupBy("source", "status").agg(F.count("*").alias("attempts"), F.sum("copies").alias("observations")),
+    }
+
+
 def with_lifecycles(signals: DataFrame, creations: DataFrame) -> DataFrame:
     """``signals`` (import_id, t_us, observer, device) with the latest creation (import_id, device, ts, event_id) of the device that is observed and of the one that is read."""
     name = F.regexp_replace("observer", r"^AWT - ", "")
