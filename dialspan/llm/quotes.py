@@ -1,18 +1,21 @@
 """Conversations in order of their replies, without quotes; DataFrame functions only.
 
-A line's quote level is the number of ``>`` it begins with. Lines are normalised (lower case,
-letters and digits only) and hashed; a quoted line belongs to the first message of its
-conversation that has it as a line of its own. A message replies to the message with most
-of its quoted lines at the lowest level that is found (of equals the later). Hashes are
-grouped before they are joined, to one row for each line of a conversation, so that neither
-a line that all messages have nor a conversation that holds a third of them multiplies rows.
+A line's quote level is the number of ``>`` it begins with. A passage is a run of lines of one
+level, ended by a line without letters and digits, by one that announces a quote, or by another
+level. Passages are normalised (lower case, letters and digits only, so that lines may break
+elsewhere) and hashed; a quoted passage belongs to the first message of its conversation that
+has it as a passage of its own. Of a passage that no earlier message has as a whole (a part of one,
+or several in one run) each line belongs to the first message that has it as a line of its own. A
+message replies to the message with most of its quoted lines at the lowest level that is found
+(of equals the later). Hashes are grouped before they are joined, to one row for each passage or
+line of a conversation, so that neither a line that all messages have nor a conversation that
+holds a third of them multiplies rows.
 Threads follow the reply links by pointer doubling, in as many rounds as the logarithm of
 the longest chain.
 
-A passage is a line: what a message quotes may begin and end anywhere in the original, so that
-runs of lines needn't be runs there. Lines are split and normalised once, written as hashes
-(a few bytes each), and read as own and as quoted ones. Joins have one row on their right
-for each key, so that a hot key makes long tasks, which Spark splits, but no more rows.
+Texts are split and normalised once and written as the hashes of their passages, each with
+those of its lines. Joins have one row on their right for each key, so that a hot key makes long
+tasks, which Spark splits, but no more rows.
 
 A null text is empty. A message with a null conversation or turn replies to nothing. Rows
 with the same conversation and turn are one message in links; each is returned.
@@ -44,19 +47,43 @@ def normalised(line: Column) -> Column:
 def own_text(text: Column) -> Column:
     """The text without quoted lines and without lines that announce a quote."""
     lines = F.split(F.coalesce(text, F.lit("")), r"\r?\n")
-    kept = F.filter(lines, lambda x: (level(x) == 0) & ~(x.contains(":") & x.rlike(ATTRIBUTION)))
+    kept = F.filter(lines, lambda x: (level(x) == 0) & ~announces(x))
     return F.trim(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
 
 
+def announces(line: Column) -> Column:
+    return line.contains(":") & line.rlike(ATTRIBUTION)
+
+
+def passages(messages: DataFrame, conversation: list[str]) -> DataFrame:
+    """conversation, turn, level, passage (its hash) and lines (hashes of its lines, in order) of the messages' passages."""
+    line = lambda x: F.struct(level(x).alias("level"), F.when(announces(x), "").otherwise(normalised(x)).alias("words"))
+    rows = messages.select(*conversation, "turn", F.split(F.coalesce("text", F.lit("")), r"\r?\n").alias("_text"))
+    rows = rows.select(*conversation, "turn", F.explode(F.array(F.transform("_text", line))).alias("_lines"))  # made once a row
+    # words have neither blanks nor line breaks: these part lines, and those passages, which begin with their level
+    before = lambda i: F.get("_lines", i - 1)
+    joined = lambda x, i: (i > 0) & (before(i)["level"] == x["level"]) & (before(i)["words"] != "")
+    part = lambda x, i: F.when(x["words"] == "", "").when(joined(x, i), F.concat(F.lit(" "), x["words"])).otherwise(F.concat(F.lit("\n"), x["level"].cast("string"), F.lit(" "), x["words"]))
+    found = F.split(F.array_join(F.transform("_lines", part), ""), "\n")
+    rows = rows.select(*conversation, "turn", F.explode(found).alias("_p")).where("_p <> ''").select(*conversation, "turn", F.split("_p", " ").alias("_p"))
+    lines = F.slice("_p", F.lit(2), F.size("_p") - 1)
+    number = lambda words: F.xxhash64(words, F.length(words))
+    return rows.select(*conversation, "turn", F.get("_p", F.lit(0)).cast("int").alias("level"), number(F.array_join(lines, "")).alias("passage"), F.transform(lines, number).alias("lines"))
+
+
 def reply_links(messages: DataFrame, conversation: list[str]) -> DataFrame:
     """conversation, turn, reply_to (a turn) and matched (lines) of the messages that quote an earlier one."""
-    lines = messages.select(*conversation, "turn", F.explode(F.split(F.coalesce("text", F.lit("")), r"\r?\n")).alias("line"))
-    lines = lines.select(*conversation, "turn", level(F.col("line")).alias("level"), normalised(F.col("line")).alias("words"))
-    lines = cut(lines.where("words <> ''").select(*conversation, "turn", "level", F.xxhash64("words", F.length("words")).alias("hash")))
-    first = lines.where("level = 0").groupBy(*conversation, "hash").agg(F.min("turn").alias("origin"))
-    quoted = lines.where("level > 0").distinct()
-    votes = quoted.join(first, [*conversation, "hash"]).where("origin < turn")
-    votes = votes.groupBy(*conversation, "turn", "level", "origin").agg(F.count("*").alias("n"))
+    parts = cut(passages(messages, conversation))
+    own = parts.where("level = 0")
+    wholes = own.groupBy(*conversation, "passage").agg(F.min("turn").alias("origin"))
+    single = own.select(*conversation, "turn", F.explode("lines").alias("hash")).groupBy(*conversation, "hash").agg(F.min("turn").alias("origin"))
+    quoted = parts.where("level > 0").groupBy(*conversation, "turn", "level", "passage").agg(F.min("lines").alias("lines"))
+    quoted = quoted.join(wholes, [*conversation, "passage"], "left").withColumn("whole", F.coalesce(F.col("origin") < F.col("turn"), F.lit(False)))
+    votes = quoted.where("whole").select(*conversation, "turn", "level", "origin", F.size("lines").cast("long").alias("n"))
+    rest = quoted.where("NOT whole").select(*conversation, "turn", "level", F.explode("lines").alias("hash")).distinct()
+    rest = rest.join(single, [*conversation, "hash"]).where("origin < turn")
+    votes = votes.unionByName(rest.select(*conversation, "turn", "level", "origin", F.lit(1).cast("long").alias("n")))
+    votes = votes.groupBy(*conversation, "turn", "level", "origin").agg(F.sum("n").alias("n"))
     best = votes.groupBy(*conversation, "turn").agg(F.max(F.struct(-F.col("level"), "n", "origin")).alias("best"))
     return best.select(*conversation, "turn", F.col("best.origin").alias("reply_to"), F.col("best.n").alias("matched"))
 

@@ -105,16 +105,35 @@ def plain_replies(messages):
     """(conversation, turn) -> (reply_to, matched, thread, depth), message by message."""
     level = lambda x: (re.match(r"^(?:[ \t]*>)+", x) or [""])[0].count(">")
     norm = lambda x: "".join(c for c in re.sub(r"^(?:[ \t]*>)+", "", x).lower() if c.isalnum())
-    first, out = {}, {}
+    announces = lambda x: re.match(C.ATTRIBUTION, x)
+    def runs(text):
+        found, last = [], None
+        for x in (text or "").split("\n"):
+            words = "" if announces(x) else norm(x)
+            if words and last == level(x):
+                found[-1][1].append(words)
+            elif words:
+                found.append((level(x), [words]))
+            last = level(x) if words else None
+        return found
+    wholes, single, out = {}, {}, {}
     for c, t, text in messages:
-        for line in (text or "").split("\n"):
-            if norm(line) and level(line) == 0:
-                first[c, norm(line)] = min(t, first.get((c, norm(line)), t))
+        for n, lines in runs(text):
+            if n == 0:
+                wholes[c, "".join(lines)] = min(t, wholes.get((c, "".join(lines)), t))
+                for words in lines:
+                    single[c, words] = min(t, single.get((c, words), t))
     for c, t, text in messages:
-        votes = {}
-        for n, words in {(level(x), norm(x)) for x in (text or "").split("\n")}:
-            origin = first.get((c, words))
-            if n and words and origin is not None and origin < t:
+        votes, rest = {}, set()
+        for n, lines in {(n, tuple(lines)) for n, lines in runs(text) if n}:
+            origin = wholes.get((c, "".join(lines)), t)
+            if origin < t:
+                votes[n, origin] = votes.get((n, origin), 0) + len(lines)
+            else:
+                rest |= {(n, words) for words in lines}
+        for n, words in rest:
+            origin = single.get((c, words), t)
+            if origin < t:
                 votes[n, origin] = votes.get((n, origin), 0) + 1
         if votes:
             (n, origin), many = max(votes.items(), key=lambda v: (-v[0][0], v[1], v[0][1]))
