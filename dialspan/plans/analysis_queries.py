@@ -21,6 +21,7 @@ from . import jobs as Z
 from . import listings as L
 from . import reports as R
 from .core_queries import HOUR, MINUTE, read
+from .dictionary import entries
 from .log_queries import rendered
 
 SECOND = 1_000_000
@@ -703,7 +704,7 @@ ORACLE: dict[str, str] = {
     "p9_signaling": "SELECT ts, event_type AS method, event_id AS line_no FROM events WHERE user_id = 42",
     "p10_perspectives": """SELECT p.event_id AS perspective_id, CASE WHEN v.event_id IS NOT NULL THEN 'v' || v.event_id END AS version, CASE WHEN p.user_id % 2 = 0 THEN 'ios' ELSE 'android' END AS platform, CASE WHEN p.event_id % 3 = 0 THEN 'gw' ELSE 'unknown' END AS role
         FROM (SELECT * FROM events WHERE event_type = 'view') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'signup') v ON p.user_id = v.user_id AND p.ts >= v.ts""",
-    "a3_catalog": "WITH k(metric, unit) AS (VALUES " + ", ".join(f"('{m}', '{u}')" for m, u, _ in L.METRICS) + """), s AS (SELECT ['rtcp.loss', 'rtcp.rtt', 'mystery'][CAST(event_id % 3 AS INT) + 1] AS metric, string_agg(DISTINCT CASE WHEN event_id % 2 = 0 THEN 'ms' ELSE '%' END, ',' ORDER BY CASE WHEN event_id % 2 = 0 THEN 'ms' ELSE '%' END) AS seen, count(*) AS n FROM events GROUP BY 1)
+    "a3_catalog": "WITH k(metric, unit) AS (VALUES " + ", ".join(f"('{m}', '{u}')" for m, u, _, _ in entries()) + """), s AS (SELECT ['rtcp.loss', 'rtcp.rtt', 'mystery'][CAST(event_id % 3 AS INT) + 1] AS metric, string_agg(DISTINCT CASE WHEN event_id % 2 = 0 THEN 'ms' ELSE '%' END, ',' ORDER BY CASE WHEN event_id % 2 = 0 THEN 'ms' ELSE '%' END) AS seen, count(*) AS n FROM events GROUP BY 1)
         SELECT metric, k.unit, seen, coalesce(n, 0) AS samples, k.unit IS NOT NULL AS known FROM k FULL JOIN s USING (metric)""",
     "a4_coverage": "SELECT count(*) AS rows, count(DISTINCT user_id) AS imports, 'events' AS domain FROM events UNION ALL SELECT count(*), count(DISTINCT o_custkey), 'orders' FROM orders UNION ALL SELECT count(*), count(DISTINCT user_id), 'errors' FROM events WHERE event_type = 'error'",
     "a5_call_listing": """WITH o AS (SELECT *, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + to_microseconds(o_orderkey) AS a FROM orders)

@@ -12,22 +12,9 @@ from ..operators.intervals import clip, hold_intervals, overlaps_within, split_a
 from ..operators.joins import asof_latest, row_hash, state_stamps, within_tolerance_join
 from ..operators.network import notices_to_calls
 from ..operators.windows import SECOND
+from .dictionary import dictionary
 from .reports import seconds
 
-# Fixed values: (metric, unit, meaning) of the dictionary.
-METRICS = [
-    ("rtcp.loss", "%", "packets lost between two reports"),
-    ("rtcp.jitter", "ms", "interarrival jitter"),
-    ("rtcp.rtt", "ms", "round trip time"),
-    ("network.ping", "ms", "echo time of a probe"),
-    ("packet_gap", "packets", "gap in sequence numbers; not final loss"),
-    ("vd.buffer", "ms", "audio in the device's buffer"),
-    ("vd.underruns", "count", "buffer underruns so far"),
-    ("vd.silence_skipped", "ms", "silence left out so far"),
-    ("vd.silence_played", "ms", "silence played for underruns so far"),
-    ("vd.dejitter_target", "ms", "target of the jitter buffer"),
-]
-
 
 def call_context(events: DataFrame, windows: DataFrame, families: list[str]) -> DataFrame:
     """Events of each call, and events of the given families of its import inside its window, which are marked as context."""
@@ -76,11 +63,12 @@ def peer_reception(intervals: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def metric_catalog(metrics: DataFrame) -> DataFrame:
-    """The dictionary with the units that were seen; unknown names are kept."""
-    known = metrics.sparkSession.createDataFrame(METRICS, "metric string, unit string, meaning string")
+    """The dictionary with the units that were seen; unknown names are kept as reported statistics of no confirmed meaning."""
+    known = dictionary(metrics.sparkSession)
     seen = metrics.groupBy("metric").agg(F.array_sort(F.collect_set("unit")).alias("seen_units"), F.count("*").alias("samples"))
     out = known.join(seen, "metric", "full")
-    return out.withColumns({"known": F.col("meaning").isNotNull(), "label": unit_label("unit"), "samples": F.coalesce("samples", F.lit(0))})
+    unnamed = {"kind": "reported statistic", "domain": "unspecified", "rule": "unconfirmed"}
+    return out.withColumns({"known": F.col("meaning").isNotNull(), "label": unit_label("unit"), "samples": F.coalesce("samples", F.lit(0)), **{c: F.coalesce(c, F.lit(x)) for c, x in unnamed.items()}})
 
 
 def coverage(tables: dict[str, DataFrame]) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from dialspan.operators import extract as X
+from dialspan.plans import dictionary as D
+from dialspan.plans import listings as L
 from dialspan.plans import mos_table as B
 
 from .test_state import at, times
@@ -49,3 +52,14 @@ def test_telemetry_of_perspectives(spark):
     owners = spark.createDataFrame([("s", 1, "app"), ("s", 1, "gw"), ("t", 1, "gw"), ("t", 2, "gw"), ("t", 2, "gw")], "source_id string, perspective_id long, role string")
     got = {(r.perspective_id, r.ssrc, r.direction, r.role) for r in B.of_telemetry(rows, owners, ["source_id"]).collect()}
     assert got == {(1, "x", "incoming", None), (1, "y", "outgoing", None)}
+
+
+def test_dictionary(spark):
+    """Every metric once, those of every extractor's table among them; unknown ones are kept apart."""
+    names = [m for m, *_ in D.entries()]
+    assert names == sorted(set(names)) and {f"vd.{m}" for _, m, _, _ in X.PERIODIC_FIELDS} | {m for m, *_ in X.DEVICE_FIELDS} | {m for m, *_ in X.RTCP_FIELDS} <= set(names)
+    got = {r.metric: r for r in L.metric_catalog(spark.createDataFrame([("vd.buffer", "ms"), ("x", "y"), ("x", None), (None, "z")], "metric string, unit string")).collect()}
+    assert (got["vd.buffer"].kind, got["vd.buffer"].unit, got["vd.buffer"].domain, got["vd.buffer"].samples) == ("gauge", "ms", "buffer_media", 1)
+    assert (got["x"].known, got["x"].kind, got["x"].rule, got["x"].seen_units) == (False, "reported statistic", "unconfirmed", ["y"])
+    assert got["vd.dejitter_target"].unit == "ms" and got["vd.missing_packets"].rule == "rtp_receive" and got["rtcp.rtt"].samples == 0
+    assert got["vd.cycles_read"].domain == "scheduling" and got[None].samples == 1
