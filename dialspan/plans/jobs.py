@@ -265,12 +265,13 @@ def switch_report(records: DataFrame, windows: DataFrame, positions: DataFrame,
     return J.bracket_interpolate(seen.drop("perspective_id", "call_id"), fixes, ["import_id"], ["latitude", "longitude"]).join(called, "request_id", "left").where(K.matches(context or {}))
 
 
-def compare_ab(a: DataFrame, b: DataFrame, offset_us: int, limit: float, signals: DataFrame | None = None, versions: DataFrame | None = None) -> dict[str, DataFrame]:
+def compare_ab(a: DataFrame, b: DataFrame, offset_us: int, limit: float, signals: DataFrame | None = None, versions: DataFrame | None = None, connectivity: tuple[DataFrame, DataFrame] | None = None) -> dict[str, DataFrame]:
     """Two perspectives' samples (metric, unit, ts, ord, value, valid) on one aligned clock.
 
     peaks: of each side and metric. counters: increases between neighbouring samples of each side.
     together: the sum of both, where both are known. With ``signals`` (side, phase, t_us,
-    duration_ms) their incidents, with ``versions`` (side, ts, version) each sample's version.
+    duration_ms) their incidents, with ``versions`` (side, ts, version) each sample's version, with ``connectivity`` (events and bounds by
+    side, see ``listings.aligned_lanes``) the lanes of both sides.
     """
     both = L.on_one_clock(a, b, offset_us)
     out = {
@@ -284,6 +285,8 @@ def compare_ab(a: DataFrame, b: DataFrame, offset_us: int, limit: float, signals
     if versions is not None:
         moved = L.shifted(versions, F.when(F.col("side") == "b", offset_us).otherwise(0))
         out["versions"] = J.asof_latest(both, moved, ["side"], ["version"]).drop("seen")
+    if connectivity is not None:
+        out["lanes"] = L.aligned_lanes(*connectivity, ["side"], F.when(F.col("side") == "b", offset_us).otherwise(0))
     return out
 
 

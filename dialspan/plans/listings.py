@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import from_micros, mapped, micros, mos_score, series_key, unit_label
 from ..operators.intervals import clip, hold_intervals, overlaps_within, split_at_states
 from ..operators.joins import asof_latest, row_hash, state_stamps, within_tolerance_join
-from ..operators.network import notices_to_calls
+from ..operators.network import connectivity_timeline, notices_to_calls
 from ..operators.windows import SECOND
 from .dictionary import dictionary
 from .reports import seconds
@@ -183,6 +183,30 @@ def on_one_clock(a: DataFrame, b: DataFrame, offset_us: int) -> DataFrame:
     return a.withColumn("side", F.lit("a")).unionByName(shifted(b, F.lit(offset_us)).withColumn("side", F.lit("b")))
 
 
+def aligned_lanes(events: DataFrame, bounds: DataFrame, key: list[str], offset_us: Column, start: Column | None = None, end: Column | None = None, ttl_us: int = 30 * SECOND, most_us: int | None = 86_400 * SECOND) -> DataFrame:
+    """The connectivity lanes of several perspectives on one clock, each between its call's edges and inside [start, end) of that clock.
+
+    ``events``: key, ts, ord, layer, state (and what else lanes carry); ``bounds``: key, start, end of the
+    perspectives. One that isn't known to end ends with its last event. ``offset_us`` is the key's distance
+    to the common clock. Perspectives without any time inside, or with more than ``most_us`` of it, have no
+    lanes, nor have those whose key is NULL. What was said before an edge holds inside, as long as it
+    holds at all.
+    """
+    moved = shifted(events, offset_us)
+    bounds = bounds.dropna(subset=key)
+    last = moved.groupBy(*key).agg(F.max(micros("ts")).alias("_last"))
+    edges = bounds.select(*key, (micros("start") + offset_us).alias("_a"), (micros("end") + offset_us).alias("_b")).join(last, key, "left")
+    edges = edges.withColumn("_b", F.coalesce("_b", "_last"))
+    for c, pick, edge in (("_a", F.greatest, start), ("_b", F.least, end)):
+        if edge is not None:
+            edges = edges.withColumn(c, F.when(F.col(c).isNotNull(), pick(c, micros(edge))))
+    edges = edges.where("_a < _b")
+    if most_us is not None:
+        edges = edges.where(F.col("_b") - F.col("_a") <= most_us)
+    spans = edges.select(*key, from_micros("_a").alias("begin"), from_micros("_b").alias("stop"))
+    return connectivity_timeline(moved.join(spans.select(*key), key, "left_semi"), spans, key, ttl_us)
+
+
 def peaks(both: DataFrame, limit: float) -> DataFrame:
     """The greatest valid value of each side and metric (of equal ones the earliest), and whether it passes a limit."""
     best = F.struct("value", -micros("ts"))

@@ -63,3 +63,19 @@ def test_dictionary(spark):
     assert (got["x"].known, got["x"].kind, got["x"].rule, got["x"].seen_units) == (False, "reported statistic", "unconfirmed", ["y"])
     assert got["vd.dejitter_target"].unit == "ms" and got["vd.missing_packets"].rule == "rtp_receive" and got["rtcp.rtt"].samples == 0
     assert got["vd.cycles_read"].domain == "scheduling" and got[None].samples == 1
+
+
+def test_aligned_lanes(spark):
+    """Both sides' lanes on one clock; a side without time inside, or with too much of it, has none."""
+    said = times(spark, [("a", at(0), 1, "sip", "up"), ("a", at(50), 2, "device", "down"), ("b", at(0), 1, "sip", "up"), ("c", at(0), 1, "sip", "up"), (None, at(0), 1, "sip", "up")], "side string, ts string, ord long, layer string, state string")
+    bounds = times(spark, [("a", at(10), None), ("b", at(0), at(20)), ("c", at(0), "2027-01-02 10:00:00"), ("d", at(0), None), (None, at(0), at(5))], "side string, start string, end string")
+    offset = F.when(F.col("side") == "b", 60_000_000).otherwise(0)
+    got = {(r.side, r.lane): [] for r in L.aligned_lanes(said, bounds, ["side"], offset).collect()}
+    assert {side for side, _ in got} == {"a", "b"}
+    rows = L.aligned_lanes(said, bounds, ["side"], offset).where("lane IN ('sip', 'network')").orderBy("side", "lane", "start").collect()
+    spans = [(r.side, r.lane, r.state, str(r.start)[-5:], str(r.end)[-5:]) for r in rows]
+    assert ("a", "sip", "up", "00:10", "00:30") in spans and ("a", "sip", "unknown", "00:30", "00:50") in spans and ("b", "sip", "up", "01:00", "01:20") in spans
+    edge = lambda s: F.lit(at(s)).cast("timestamp_ntz")
+    inside = L.aligned_lanes(said, bounds, ["side"], offset, edge(25), edge(40)).where("lane = 'sip'").orderBy("side", "start").collect()
+    assert [(r.side, r.state, str(r.start)[-2:], str(r.end)[-2:]) for r in inside] == [("a", "up", "25", "30"), ("a", "unknown", "30", "40"), ("c", "up", "25", "30"), ("c", "unknown", "30", "40")]
+    assert L.aligned_lanes(said.limit(0), bounds, ["side"], offset).where("state <> 'unknown'").count() == 0
