@@ -77,9 +77,9 @@ def reply_links(messages: DataFrame, conversation: list[str]) -> DataFrame:
     own = parts.where("level = 0")
     wholes = own.groupBy(*conversation, "passage").agg(F.min("turn").alias("origin"))
     single = own.select(*conversation, "turn", F.explode("lines").alias("hash")).groupBy(*conversation, "hash").agg(F.min("turn").alias("origin"))
-    quoted = parts.where("level > 0").groupBy(*conversation, "turn", "level", "passage").agg(F.min("lines").alias("lines"))
-    quoted = quoted.join(wholes, [*conversation, "passage"], "left").withColumn("whole", F.coalesce(F.col("origin") < F.col("turn"), F.lit(False)))
-    votes = quoted.where("whole").select(*conversation, "turn", "level", "origin", F.size("lines").cast("long").alias("n"))
+    quoted = parts.where("level > 0").join(wholes, [*conversation, "passage"], "left").withColumn("whole", F.coalesce(F.col("origin") < F.col("turn"), F.lit(False)))
+    votes = quoted.where("whole").groupBy(*conversation, "passage", "turn", "level", "origin").agg(F.max(F.size("lines")).cast("long").alias("n"))  # repeated ones count once
+    votes = votes.select(*conversation, "turn", "level", "origin", "n")
     rest = quoted.where("NOT whole").select(*conversation, "turn", "level", F.explode("lines").alias("hash")).distinct()
     rest = rest.join(single, [*conversation, "hash"]).where("origin < turn")
     votes = votes.unionByName(rest.select(*conversation, "turn", "level", "origin", F.lit(1).cast("long").alias("n")))

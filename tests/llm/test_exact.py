@@ -124,13 +124,14 @@ def plain_replies(messages):
                 for words in lines:
                     single[c, words] = min(t, single.get((c, words), t))
     for c, t, text in messages:
-        votes, rest = {}, set()
-        for n, lines in {(n, tuple(lines)) for n, lines in runs(text) if n}:
-            origin = wholes.get((c, "".join(lines)), t)
-            if origin < t:
-                votes[n, origin] = votes.get((n, origin), 0) + len(lines)
+        votes, rest, most = {}, set(), {}
+        for n, lines in [(n, lines) for n, lines in runs(text) if n]:
+            if wholes.get((c, "".join(lines)), t) < t:
+                most[n, "".join(lines)] = max(len(lines), most.get((n, "".join(lines)), 0))
             else:
                 rest |= {(n, words) for words in lines}
+        for (n, whole), many in most.items():
+            votes[n, wholes[c, whole]] = votes.get((n, wholes[c, whole]), 0) + many
         for n, words in rest:
             origin = single.get((c, words), t)
             if origin < t:

@@ -124,9 +124,10 @@ def test_quoted_passages(spark):
         (1, 0, "Yes.\n\nThe rest of it."), (1, 1, "Thank you.\n\nSee below."), (1, 2, "Yes.\nThank you.\nSee below."),
         (1, 3, "> Yes. Thank\n> you. See\n> below.\nBroken elsewhere."), (1, 4, "> Yes.\n> Thank you.\nA part."), (1, 5, "On Monday Ann wrote:\n> Thank you.\n>\n> See below.\nTwo."),
         (1, 6, "> On Monday Ann wrote:\n>> See below.\nAn announced quote alone."), (1, 7, "On Monday Ann wrote:\n> On Monday Ann wrote:"),
+        (1, 8, "> Yes. Thank you.\n> See below.\n\n> Yes.\n> Thank you.\n> See below.\n\n> Yes. Thank you. See below.\nThrice."),
     ]
     got = {r.turn: (r.reply_to, r.matched) for r in C.ordered(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
-    assert got[3] == (2, 3) and got[5] == (1, 2) and got[6] == (1, 1) and got[7] == (None, 0)
+    assert got[3] == (2, 3) and got[8] == (2, 3) and got[5] == (1, 2) and got[6] == (1, 1) and got[7] == (None, 0)
     assert got[4] == (1, 1)  # each line is another message's, of equals the later
     parts = C.passages(spark.createDataFrame(rows[3:4], "conv_id long, turn long, text string"), ["conv_id"]).collect()
     assert [(p.level, len(p.lines)) for p in parts] == [(1, 3), (0, 1)]
