@@ -242,7 +242,7 @@ def conversation_groups(uuids: DataFrame, perspectives: DataFrame, manual: DataF
     """
     several = uuids.groupBy("call_id").agg(F.count_distinct("uuid").alias("_n"))
     by_uuid = uuids.join(several, "call_id").groupBy("uuid").agg(F.min("start").alias("start"), F.max("start").alias("last"), F.max(F.col("_n") > 1).alias("_twice"))
-    wide = micros("last") - micros("start") > spread_us
+    wide = F.coalesce(micros("last") - micros("start") > spread_us, F.lit(False))
     named = lambda prefix, c, basis: [F.concat(F.lit(prefix), F.col(c).cast("string")).alias("group"), F.lit(basis).alias("basis"), "call_id"]
     shared = uuids.select("uuid", "call_id").distinct().join(by_uuid, "uuid").select(*named("uuid:", "uuid", "shared_uuid"), "start", (F.col("_twice") | wide).alias("review"))
     rest = perspectives.join(uuids.select("call_id"), "call_id", "left_anti").where("call_id IS NOT NULL").groupBy("call_id").agg(F.count("*").alias("_n"), F.min("start").alias("start")).where("_n > 1")

@@ -123,3 +123,13 @@ def test_movement_and_conversations_of_a_build(spark, tmp_path):
     tables = B.read_tables(spark, str(tmp_path), B.build_into(spark, archives, str(tmp_path)))
     assert [(r.ordinal, r.reason) for r in tables["movement"].orderBy("t_us").collect()] == [(1, "first_sample"), (2, None), (1, "time_gap")]
     assert tables["attempts"].count() == 6 and A.file_family("name") is not None
+
+
+def test_conversations_over_archives(spark):
+    """Calls that share a UUID in any archives are one conversation that begins with the first of them; others need several perspectives."""
+    seen = spark.createDataFrame([("a", "x", 3), ("b", "x", 1), ("a", "y", 7), ("a", "z", 2), ("b", "z", 2), ("a", "w", 9), ("a", None, 0)], "import_id string, call_id string, s int")
+    seen = seen.withColumn("start", F.expr("timestamp_ntz '2026-01-02 10:00:00' + make_interval(0, 0, 0, 0, 0, 0, s)")).drop("s")
+    uuids = spark.createDataFrame([("a", "u", "x"), ("b", "u", "x"), ("a", "u", "y"), ("a", "v", "nowhere")], "import_id string, uuid string, call_id string")
+    rows = {(r.group, r.call_id): (r.basis, r.start and r.start.second, r.review) for r in Z.conversations_of(uuids, seen).collect()}
+    assert rows == {("uuid:u", "x"): ("shared_uuid", 1, False), ("uuid:u", "y"): ("shared_uuid", 1, False), ("uuid:v", "nowhere"): ("shared_uuid", None, False), ("call:z", "z"): ("several_perspectives", 2, False)}
+    assert Z.conversations_of(uuids.limit(0), seen.limit(0)).count() == 0
