@@ -30,12 +30,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Of rows that repeat an id and its text one stays. Different texts under one id count as one
     document: all stay, or all go if one of them is linked to a smaller id.
     """
-    linked = jaccard.link_components(docs, WORDS, PERCENT)
-    gone = linked.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    again = linked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    once = kept.join(again, "doc_id", "left_anti")
-    return once.unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    linked = cut(jaccard.link_components(docs, WORDS, PERCENT))
+    gone = cut(linked.where("doc_id <> component_id").select("doc_id").distinct())
+    kept = docs.join(jaccard.small(gone), "doc_id", "left_anti")
+    again = cut(linked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if again.limit(1).count() == 0:
+        return kept
+    once = kept.join(jaccard.small(again), "doc_id", "left_anti")
+    return once.unionByName(kept.join(jaccard.small(again), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

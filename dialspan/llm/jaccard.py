@@ -52,6 +52,8 @@ COUNTERS, COMMON, ORDERED = 1 << 22, 32, 1 << 16
 MOST_BROADCAST = 16 << 20
 #: Shingles of a block of sets; rows and shingles that one call of the Python side is to get.
 BLOCK_SHINGLES, POINT_ROWS, CALL_SHINGLES = 200_000, 2000, 400_000
+#: Bytes of text whose shingles a task holds at once: idle Python workers keep what their largest slice took.
+TEXT_BYTES = 1 << 20
 SMALL = 24
 SET = ["n", "sum_a", "sum_b"]
 
@@ -101,25 +103,31 @@ def set_sums(h: np.ndarray, o: np.ndarray) -> list[np.ndarray]:
     return [(s[o[1:]] - s[o[:-1]]).astype(np.uint64).view(np.int64) for s in sums]
 
 
+def counted(batches: Iterator[pa.RecordBatch], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the common shingles of a task's texts, in the memory of the counters and one slice."""
+    counters, found = np.zeros(COUNTERS, np.int64), np.zeros(0, np.uint64)
+    for batch in batches:
+        for part in slices(batch, "text", TEXT_BYTES):
+            h, o = shingle_sets(part.column("text"), words)
+            _, one = np.unique(set_sums(h, o)[0], return_index=True)  # equal sets count once
+            own = np.zeros(len(o) - 1, bool)
+            own[one] = True
+            h = h[np.repeat(own, np.diff(o))]
+            place = (h % np.uint64(COUNTERS)).astype(np.int64)
+            np.add.at(counters, place, 1)
+            found = np.union1d(found, h[counters[place] >= COMMON])
+            if len(found) > 4 * ORDERED:  # the memory stays fixed; what is left out is only not known as common
+                many = counters[(found % np.uint64(COUNTERS)).astype(np.int64)]
+                found = np.sort(found[np.argsort(-many, kind="stable")[: 2 * ORDERED]])
+    return found, counters[(found % np.uint64(COUNTERS)).astype(np.int64)]
+
+
 def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, ascending; their places in the order of counts) of the ``ORDERED`` most common shingles, counted by task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, found = np.zeros(COUNTERS, np.int64), np.zeros(0, np.uint64)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                h, o = shingle_sets(part.column("text"), words)
-                _, one = np.unique(set_sums(h, o)[0], return_index=True)  # equal sets count once
-                own = np.zeros(len(o) - 1, bool)
-                own[one] = True
-                h = h[np.repeat(own, np.diff(o))]
-                place = (h % np.uint64(COUNTERS)).astype(np.int64)
-                counters += np.bincount(place, minlength=COUNTERS)
-                found = np.union1d(found, h[counters[place] >= COMMON])
-                if len(found) > 4 * ORDERED:  # the memory stays fixed; what is left out is only not known as common
-                    many = counters[(found % np.uint64(COUNTERS)).astype(np.int64)]
-                    found = np.sort(found[np.argsort(-many, kind="stable")[: 2 * ORDERED]])
-        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counters[(found % np.uint64(COUNTERS)).astype(np.int64)], pa.int64())], names=["h", "c"])
+        found, many = counted(batches, words)
+        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(many, pa.int64())], names=["h", "c"])
 
     counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     top = counts.orderBy(F.desc("c"), "h").limit(ORDERED).toArrow()
@@ -136,7 +144,7 @@ def sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TEXT_BYTES):
                 h, o = shingle_sets(part.column("text"), words)
                 n = np.diff(o)
                 sets = [h[a:b] for a, b in zip(o[:-1], o[1:], strict=True)]
@@ -428,7 +436,7 @@ def node_sets(docs: DataFrame, nodes: DataFrame, again: DataFrame, wanted: DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TEXT_BYTES):
                 h, o = shingle_sets(part.column("text"), words)
                 same = np.diff(o) == part.column("_n").to_numpy()
                 for name, s in zip(SET[1:], set_sums(h, o), strict=True):
