@@ -83,12 +83,21 @@ def position_cells(positions: DataFrame, metres: float) -> DataFrame:
     return positions.where("valid").select(grid_cell("latitude", "longitude", metres).alias("cell")).distinct()
 
 
+def _scored(rows: DataFrame, pq: DataFrame, key: str = "perspective_id") -> DataFrame:
+    """``rows`` (one row a key and bin) that have scores, with their number ``_n`` and the least ``pq``.
+
+    How many bins calls have doesn't follow from the planned size of ``pq``, which is never sent to the driver, nor sorted:
+    tasks hold their part of ``rows`` and pass the bins by. Scores are counted after that.
+    """
+    found = rows.hint("shuffle_hash").join(pq.select(F.col("perspective_id").alias(key), "bin", "pq"), [key, "bin"])
+    return found.groupBy(*rows.columns).agg(F.count("*").alias("_n"), F.min("pq").alias("pq"))
+
+
 def cell_seconds(fixes: DataFrame, pq: DataFrame, metres: float, width_us: int = SECOND) -> DataFrame:
     """perspective_id, bin, cell and pq of the seconds that hold a fix: exactly one cell and one series there."""
     places = fixes.withColumns({"bin": F.floor(micros("ts") / width_us), "cell": grid_cell("latitude", "longitude", metres)})
     places = places.groupBy("perspective_id", "bin").agg(F.countDistinct("cell").alias("_c"), F.min("cell").alias("cell")).where("_c = 1")
-    scores = pq.groupBy("perspective_id", "bin").agg(F.count("*").alias("_n"), F.min("pq").alias("pq")).where("_n = 1")
-    return places.join(scores, ["perspective_id", "bin"]).select("perspective_id", "bin", "cell", "pq")
+    return _scored(places.drop("_c"), pq).where("_n = 1").select("perspective_id", "bin", "cell", "pq")
 
 
 def pq_cells_direct(fixes: DataFrame, pq: DataFrame, metres: float) -> DataFrame:
