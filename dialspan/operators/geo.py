@@ -124,8 +124,7 @@ def route_samples(fixes: DataFrame, pq: DataFrame, key: str = "perspective_id",
     share = (F.col("bin") * SECOND + SECOND / 2 - F.col("_a")) / (F.col("_b") - F.col("_a"))
     lat = F.col("latitude") + (F.col("_nlatitude") - F.col("latitude")) * share
     lon = F.pmod(F.col("longitude") + lon_arc("longitude", "_nlongitude") * share + 180, F.lit(360.0)) - 180
-    scores = pq.groupBy(F.col("perspective_id").alias(key), "bin").agg(F.count("*").alias("_n"), F.min("pq").alias("pq")).where("_n = 1").drop("_n")
-    return rows.select(key, "bin", lat.alias("latitude"), lon.alias("longitude")).join(scores, [key, "bin"])
+    return _scored(rows.select(key, "bin", lat.alias("latitude"), lon.alias("longitude")), pq, key).where("_n = 1").drop("_n")
 
 
 def pq_cells_estimated(samples: DataFrame, direct: DataFrame, metres: float) -> DataFrame:
