@@ -142,7 +142,7 @@ def route_points(fixes: DataFrame, pq: DataFrame, calls: DataFrame, metres: floa
     rows = fixes.join(calls.select("perspective_id", "begin_us", "stop_us"), "perspective_id").withColumns({"_t": micros("ts"), "cell": grid_cell("latitude", "longitude", metres)})
     rows = rows.withColumn("bin", F.floor(F.col("_t") / SECOND))
     several = rows.groupBy("perspective_id", "bin").agg((F.countDistinct("cell") > 1).alias("_many"))
-    scores = pq.groupBy("perspective_id", "bin").agg(F.count("*").alias("_n"), F.min("pq").alias("pq"))
+    scores = _scored(several, pq).drop("_many")
     rows = rows.join(several, ["perspective_id", "bin"]).join(scores, ["perspective_id", "bin"], "left")
     reason = F.when(F.col("cached"), "cached_position").when(F.col("_t") < F.col("begin_us"), "before_connect").when(F.col("_t") >= F.col("stop_us"), "at_or_after_end").when(F.col("_many"), "several_cells_in_second").when(F.coalesce(F.col("_n") != 1, F.lit(True)), "no_unique_series")
     return rows.withColumns({"reason": reason, "pq": F.when(reason.isNull(), F.col("pq"))}).drop("_t", "_many", "_n", "begin_us", "stop_us")
