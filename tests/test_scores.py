@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-NAMES = ["a18_direct_cells", "a19_estimated_cells", "i18_route", "i19_route_points"]
+NAMES = ["a18_direct_cells", "a19_estimated_cells", "i18_route", "i19_route_points", "z6_pq_map"]
 
 
 @pytest.mark.parametrize("name", NAMES)
