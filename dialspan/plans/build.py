@@ -1,7 +1,8 @@
-"""The tables of archives, kept below a folder and built archive by archive."""
+"""The tables of archives, kept below a folder and built a set of archives at a time."""
 
 from __future__ import annotations
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,35 +34,41 @@ def parts_of(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return out
 
 
+def next_build(spark: SparkSession, target: str) -> str:
+    """A name that sorts behind those of the builds that ended below ``target``."""
+    last = spark.read.parquet(f"{target}/built").agg(F.max("build")).first()[0] if there(spark, f"{target}/built") else None
+    return f"b{int(last[1:].split('-')[0]) + 1 if last else 0:09d}-{uuid.uuid4().hex}"
+
+
 def build_into(spark: SparkSession, archives: DataFrame, target: str, again: bool = False) -> list[str]:
     """Builds the tables of ``archives`` (import_id, archive, content) below ``target``; the names of the tables.
 
-    Archives whose bytes were built are left out, or with ``again`` built anew. A table is laid
-    out by archive, and what is written replaces the partitions of its archives only, so that
-    one archive is built, or a lost build repeated, without the others. Which archives are there is
-    written last.
+    Archives whose bytes were built are left out, or with ``again`` built anew. A build adds a
+    folder of its own to every table, with as many files as its rows need, however many archives they
+    are of. Which archives it built is written last, and of an archive the rows of its last build count, so that
+    one archive is built without the others, and a lost build leaves nothing that is read.
+    Rows that a later build replaced stay on disk.
     """
     if not again and there(spark, f"{target}/built"):
         archives = A.new_imports_only(archives, spark.read.parquet(f"{target}/built"))
+    build = next_build(spark, target)
     files = A.unpack(archives).withColumn("parser", A.classify_file("name"))
     tables = parts_of(Z.tables_of(files))
-    tables["built"] = archives.select("import_id").distinct()
 
     def write(name: str, table: DataFrame) -> None:
-        rows = table.drop(*[c for c in ACROSS if c in table.columns and name == "perspectives"]).withColumn("part", F.col("import_id"))
-        rows = rows.hint("rebalance", "part")  # a file or few of each archive, large archives split
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{target}/{name}")
+        rows = table.drop(*[c for c in ACROSS if c in table.columns and name == "perspectives"])
+        rows.hint("rebalance", "import_id").write.parquet(f"{target}/{name}/build={build}")  # rows of an archive in a file or few
 
-    built = tables.pop("built")
     with ThreadPoolExecutor(WRITES) as pool:  # small tables leave room for others
         list(pool.map(write, tables, tables.values()))
-    write("built", built)
+    write("built", archives.select("import_id").distinct())
     return list(tables)
 
 
 def read_tables(spark: SparkSession, target: str, names: list[str]) -> dict[str, DataFrame]:
-    """The tables below ``target`` that have rows, with perspectives that another archive of their producer brought first marked, and the calls and conversations of all of them."""
-    tables = {n: spark.read.parquet(f"{target}/{n}").drop("part") for n in names if there(spark, f"{target}/{n}/part=*")}
+    """The tables below ``target``, with perspectives that another archive of their producer brought first marked, and the calls and conversations of all of them."""
+    last = spark.read.parquet(f"{target}/built").groupBy("import_id").agg(F.max("build").alias("build"))
+    tables = {n: spark.read.parquet(f"{target}/{n}").join(last, ["import_id", "build"], "left_semi").drop("build") for n in names if there(spark, f"{target}/{n}/build=*")}
     if "perspectives" in tables:
         known = tables["producers"].select("import_id", "status", "producer") if "producers" in tables else spark.createDataFrame([], "import_id string, status string, producer string")
         tables["perspectives"] = C.mark_duplicates(tables["perspectives"], known)
