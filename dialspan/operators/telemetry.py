@@ -537,7 +537,7 @@ def suppress_overlaps(intervals: DataFrame, key: list[str]) -> DataFrame:
     nxt = F.when(F.col("_s") == 0, F.col("start_ms"))
     both = both.withColumns({"_r": F.max(w).over(order.rowsBetween(Window.unboundedPreceding, -1)), "_n": F.min(nxt).over(back.rowsBetween(Window.unboundedPreceding, -1))})
     lost = both.where("_s = 1 AND (_r > start_ms OR _n < end_ms)").select(*key, "start_ms", "end_ms")
-    return windows.unionByName(reports.join(lost, [*key, "start_ms", "end_ms"], "left_anti"))
+    return windows.unionByName(reports.join(lost.hint("merge"), [*key, "start_ms", "end_ms"], "left_anti"))
 
 
 def reused_sequences(windows: DataFrame, key: list[str], modulus: int | None = None) -> DataFrame:

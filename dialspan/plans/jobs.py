@@ -316,7 +316,8 @@ def telemetry_job(lines: DataFrame, order: list[str], semantics: tuple[str, ...]
     scored = every.where("loss IS NOT NULL").drop("issues")
     key = [*T.DOMAIN, "stream_id", "direction"]
     once = [*key, "method", "start_ms", "end_ms"]
-    kept = scored.join(T.suppress_overlaps(scored.select(*once), key), once, "left_semi").join(again, once, "left_anti")
+    again = again.hint("merge")  # intervals are small as files and large in memory: neither side is broadcast
+    kept = scored.join(T.suppress_overlaps(scored.select(*once), key).hint("merge"), once, "left_semi").join(again, once, "left_anti")
     fixes, networks = T.fix_records(usable), T.network_records(usable)
     return {
         "invalid": checked.where(F.size("issues") > 0),

@@ -1,4 +1,4 @@
-"""Scores of seconds, whose planned size doesn't follow from the calls' length, are never broadcast."""
+"""Scores of seconds and intervals of telemetry, whose planned size is much less than their rows', are never broadcast."""
 
 import re
 
@@ -14,3 +14,9 @@ def test_scores_of_seconds_stay_on_executors(spark, name):
     plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
     joins = re.findall(r"(\w+Join) \[\w+#\d+L?, bin#\d+L?\], \[\w+#\d+L?, bin#\d+L?\], Inner", plan)
     assert "ShuffledHashJoin" in joins and "BroadcastHashJoin" not in joins
+
+
+def test_intervals_of_telemetry_stay_on_executors(spark):
+    plan = entry.queries()["z9_telemetry_job"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    joins = re.findall(r"(\w+Join) \[source_id#", plan)
+    assert joins and set(joins) == {"SortMergeJoin"}
