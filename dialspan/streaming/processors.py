@@ -8,6 +8,7 @@ the next thing that waits; a key with nothing left has no state.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,7 +31,7 @@ class Waiting(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.waiting_sql)
+        self.waiting = handle.getListState("waiting", re.sub(r"(\w+) (\w+)", r"\1 array<\2>", self.waiting_sql))  # what waits at once is one value
 
     def row(self, row: tuple) -> tuple:
         raise NotImplementedError
@@ -40,24 +41,28 @@ class Waiting(StatefulProcessor):
         raise NotImplementedError
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        yield self.advanced(key, [self.row(r) for batch in rows for r in batch.itertuples(index=False)], timerValues)
+        yield from self.advanced(key, [self.row(r) for batch in rows for r in batch.itertuples(index=False, name=None)], timerValues)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        yield self.advanced(key, [], timerValues)
+        yield from self.advanced(key, [], timerValues)
 
-    def advanced(self, key: tuple, new: list[tuple], timers) -> pd.DataFrame:  # noqa: ANN001
-        before = list(self.waiting.get()) if self.waiting.exists() else []
-        rows = sorted({tuple(r) for r in [*before, *new]}, key=self.place)
+    def advanced(self, key: tuple, new: list[tuple], timers) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+        before = [row for part in self.waiting.get() for row in zip(*part, strict=True)] if self.waiting.exists() else []
+        rows = sorted({*before, *new}, key=self.place)
         out, rest, wake = self.ready(rows, timers.getCurrentWatermarkInMs() * 1000)
-        if rest:
-            self.waiting.put(rest)
-        elif before:
+        if rest and rest != before:
+            self.waiting.put([tuple(list(column) for column in zip(*rest, strict=True))])
+        elif before and not rest:
             self.waiting.clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if wake is not None:
-            self.handle.registerTimer(-(-wake // 1000) - 1)  # a timer runs once the watermark is beyond it
-        return pd.DataFrame([(key[0], *o) for o in out], columns=[self.key, *self.columns])
+        at = None if wake is None else -(-wake // 1000) - 1  # a timer runs once the watermark is beyond it
+        set_before = list(self.handle.listTimers())
+        for timer in set_before:
+            if timer != at:
+                self.handle.deleteTimer(timer)
+        if at is not None and at not in set_before:
+            self.handle.registerTimer(at)
+        if out:
+            yield pd.DataFrame([(key[0], *o) for o in out], columns=[self.key, *self.columns])
 
     def place(self, row: tuple) -> tuple:
         return row
